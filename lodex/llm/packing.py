@@ -23,7 +23,9 @@ from lodex.llm.support import only, small_batches, stage, text_slices, words_of
 #: Passes of the non-negative least squares fit, and how many partners each length gets in a pattern.
 NNLS_STEPS, PARTNERS = 400, 24
 #: Words whose token ids a Python worker keeps.
-WORD_ROOM = 600_000
+WORD_ROOM = 1_000_000
+#: What tokens at the end of a word end with, and how many words of letters are encoded as one text.
+WORD_END, GROUP = "</w>", 64
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -42,16 +44,29 @@ def word_ids(path: str, words: list[str]) -> list[bytes]:
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path]
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        _tokenizers[path] = tokenizer, {}, ends
+    tokenizer, known, ends = _tokenizers[path]
     got = [known.get(w) for w in words]
     missing = [k for k, ids in enumerate(got) if ids is None]
-    for first in range(0, len(missing), 20_000):
-        some = missing[first : first + 20_000]
+    plain = [k for k in missing if words[k].isalpha()]  # one token each ends such a word, so many can go as one text
+    for first in range(0, len(plain), GROUP):
+        some = plain[first : first + GROUP]
+        coded = np.array(tokenizer.encode_batch_fast([" ".join([words[k] for k in some])], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ends[coded]) + 1
+        if len(cuts) == len(some):
+            data, at = coded.tobytes(), 0
+            for k, cut in zip(some, (4 * cuts).tolist(), strict=True):
+                got[k], at = data[at:cut], cut
+    alone = [k for k in missing if got[k] is None]
+    for first in range(0, len(alone), 20_000):
+        some = alone[first : first + 20_000]
         for k, coded in zip(some, tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
             got[k] = np.array(coded.ids, dtype="<u4").tobytes()
-            if len(known) < WORD_ROOM:
-                known[words[k]] = got[k]
+    for k in missing[: max(0, WORD_ROOM - len(known))]:
+        known[words[k]] = got[k]
     return got
 
 
@@ -223,6 +238,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, id
 
     Null and empty texts are one piece of the single end token. A null id stays null. Repeated rows are
     packed each on its own. An empty table gives no rows. Other columns aren't read.
+    tokenizer: a file of one whose words end at white space and leave no trace of it.
     """
     small_batches(docs.sparkSession)
     pieces = stage(cut_pieces(only(docs, doc_id=id_col, text=text_col), capacity, tokenizer or default_tokenizer()), "pieces")
