@@ -58,7 +58,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of different fingerprints within an even radius."""
     around = F.array(*[F.lit(m) for m in masks(radius // 2)])
     flip = lambda column: F.explode(F.transform(around, lambda m: F.col(column).bitwiseXOR(m)))
-    met = fps.select("fp", flip("fp").alias("point")).groupBy("point").agg(F.min("fp").alias("u"), F.max("fp").alias("far"), F.count("*").alias("n")).where("n > 1")
+    met = fps.select("fp", flip("fp").alias("point")).groupBy("point").agg(F.min("fp").alias("u"), F.max("fp").alias("far"), F.count("*").alias("n"))
+    met = stage(met.where("n > 1"), "met")  # few points hold more than one
     pairs = met.where("n = 2").select("u", F.col("far").alias("v"))
     # of three members or more, those between are among the fingerprints around the meeting point
     many = met.where("n > 2").select("u", "point").select("u", flip("point").alias("v")).join(fps.select(F.col("fp").alias("v")), "v", "left_semi").where("u <> v")
