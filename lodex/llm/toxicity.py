@@ -10,17 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodex.llm.support import cache_for, only, small_batches, text_slices, words_of
-from lodex.llm.words import DIM, Adam, Features, labelled_sample
+from lodex.llm.support import only, small_batches, text_slices, words_of
+from lodex.llm.words import DIM, Adam, Features, documents_of, labelled_sample, word_scores
 
 #: Bounds of the labelled sample that is learned from.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 16_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 10_000_000
 #: Words after which a sentence without an end is cut.
 LONGEST = 40
 STEPS, RATE, SHRINK = 120, 0.1, 1e-4
@@ -32,11 +31,6 @@ SEEN = 4
 class Model:
     weights: np.ndarray
     bias: float
-    key: str = ""
-
-    def words(self, words: list[str]) -> np.ndarray:
-        return Features(words).scores(self.weights)[:, None]
-
 
 def sentence_numbers(which: np.ndarray, bounds: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each word's sentence, and the sentences' bounds by document. A sentence ends with a word in .!? or after LONGEST words."""
@@ -64,20 +58,20 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     """Learn from whole texts. With one label only, or none, every sentence gets that label's share as its score."""
     labels = np.asarray(labels, dtype=float)
     if len(labels) == 0 or labels.min() == labels.max():
-        return Model(np.zeros(DIM), 8.0 if len(labels) and labels[0] > 0.5 else -8.0, "one")
+        return Model(np.zeros(DIM), 8.0 if len(labels) and labels[0] > 0.5 else -8.0)
     which, bounds, words = words_of(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()))
     number, by_doc = sentence_numbers(which, bounds, words)
     total = int(by_doc[-1])
     doc = np.repeat(np.arange(len(texts)), np.diff(by_doc))
-    made = Features(words)
-    spread = np.bincount(np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(words) + which) % len(words), minlength=len(words))
-    made.keep(made.back(spread.astype(float)) >= SEEN)
+    made = Features(words, documents_of(which, bounds, len(words)), SEEN)
     rare = labels.mean()
     weigh = np.where(labels > 0, 0.5 / rare, 0.5 / (1 - rare)) / len(labels)
-    x = np.zeros(DIM + 1)
+    x = np.zeros(len(made.slots) + 1)
     x[-1] = -6
-    adam = Adam(DIM + 1, RATE)
-    for _ in range(STEPS):
+    adam = Adam(len(x), RATE)
+    for step in range(STEPS):
+        if step in (20, 50):  # what has no weight by now gets none
+            made.drop(x[:-1] == 0)
         u = made.scores(x[:-1])
         z = np.bincount(number, u[which], minlength=total) + x[-1]
         clean = np.bincount(doc, softplus(z), minlength=len(texts))  # -log of the chance that no sentence is toxic
@@ -86,12 +80,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         gradient = np.concatenate([made.back(np.bincount(which, dz[number], minlength=len(words))) + SHRINK, [dz.sum()]])
         adam.step(x, gradient)
         np.maximum(x[:-1], 0, out=x[:-1])
-    model = Model(x[:-1].astype(np.float32), float(x[-1]))
+    model = Model(made.spread_out(x[:-1]), float(x[-1]))
     # a document of many sentences gathers many small chances; the bias is set where both labels err alike
-    logit = np.bincount(number, made.scores(model.weights)[which], minlength=total)
+    logit = np.bincount(number, made.scores(x[:-1])[which], minlength=total)
     best = max(np.arange(-6, 2.01, 0.25), key=lambda d: _balance(logit + model.bias + d, doc, labels) - 1e-3 * abs(d))
     model.bias += float(best)
-    model.key = blake2b(model.weights.tobytes() + str(model.bias).encode(), digest_size=8).hexdigest()
     return model
 
 
@@ -116,13 +109,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     in a row of its own. Null ids stay null. An empty table gives no rows. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = cache_for(f"toxic-{model.key}", model.words, 1)
+        model = shared.value
         for rows, texts in text_slices(batches):
             which, bounds, words = words_of(texts)
             number, by_doc = sentence_numbers(which, bounds, words)
-            z = np.bincount(number, cache(words)[:, 0][which], minlength=int(by_doc[-1])) + model.bias
+            z = np.bincount(number, word_scores(words, model.weights)[which], minlength=int(by_doc[-1])) + model.bias
             doc = np.repeat(np.arange(len(texts)), np.diff(by_doc))
             p = -np.expm1(-np.bincount(doc, softplus(z), minlength=len(texts)))
             starts = np.searchsorted(number, np.arange(len(z) + 1))

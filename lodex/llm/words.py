@@ -2,59 +2,146 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.support import crc, share_below, stage
-
-DIM = 1 << 18
-#: Lengths of the character n-grams of a word between its bounds.
-GRAMS = (3, 4, 5)
-#: Characters of a word from which n-grams are taken, split between its two ends; words are seldom longer.
-ENDS = 48
-_shape = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", "a"), (r"\d+", "9"), (r"(.)\1+", r"\1+"))]
-
-
-def features(word: str) -> list[int]:
-    """The word itself without its case and outer signs, its n-grams, its case and its outer signs."""
-    core = word.strip("".join(c for c in word if not c.isalnum())) if not word.isalnum() else word
-    shape = word
-    for pattern, mark in _shape:
-        shape = pattern.sub(mark, shape)
-    case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l"
-    low = core.lower()
-    out = [crc("w" + low), crc("s" + shape[:24]), crc("c" + case)]
-    held = f"<{low}>"
-    if len(held) > ENDS:
-        held = held[: ENDS // 2] + held[-ENDS // 2 :]
+from lodex.llm.support import share_below, stage
+
+DIM = 1 << 20
+#: Lengths of the character n-grams of a run of letters and digits with its bounds, and of runs of other signs.
+GRAMS, SIGNS = (3, 4, 5), (1, 2)
+#: Words whose features are made at a time.
+CHUNK = 50_000
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: in lower case, whether a letter or digit, whether a capital. Those further on are letters."""
+    signs = [chr(k) for k in range(0x20000)]
+    lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in signs], dtype=np.uint64)
+    return lower, np.array([c.isalnum() for c in signs]), np.array([c.isupper() for c in signs])
+
+
+def _slot(hashes: np.ndarray, kind: int) -> np.ndarray:
+    x = (hashes + np.uint64(kind)) * A
+    x = (x ^ (x >> np.uint64(31))) * B
+    return (x >> np.uint64(44)).astype(np.int32)  # 20 bits: DIM
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, feature) of all words: n-grams and the whole of its runs in lower case, case, other signs."""
+    codes = np.frombuffer("\n".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    lower, alnum, upper = _tables()
+    near = np.minimum(codes, len(lower) - 1)
+    letter = alnum[near] | (codes >= len(lower))
+    low = np.where(letter, np.where(codes < len(lower), lower[near], codes.astype(np.uint64)), 0)
+    word = np.cumsum(codes == 10) - (codes == 10)
+    place, out_word, out = np.arange(len(codes)), [], []
+
+    def add(at: np.ndarray, hashes: np.ndarray, kind: int) -> None:
+        out_word.append(word[at].astype(np.int32))
+        out.append(_slot(hashes, kind))
+
+    # a sign outside a run is 0, which also marks a run's two bounds
+    padded = np.concatenate([[0], low]).astype(np.uint64)  # padded[k + 1] is low[k]
+    inner = np.concatenate([[False], letter])
     for n in GRAMS:
-        out += [crc(held[k : k + n]) for k in range(len(held) - n + 1)]
-    return [x % DIM for x in out]
+        if len(padded) >= n:
+            h, fine = np.zeros(len(padded) - n + 1, dtype=np.uint64), np.ones(len(padded) - n + 1, dtype=bool)
+            for k in range(n):
+                h = h * A + padded[k : len(padded) - n + 1 + k]
+                if 0 < k < n - 1:
+                    fine &= inner[k : len(padded) - n + 1 + k]
+            at = np.flatnonzero(fine)
+            add(at, h[at], n)  # the middle of a window at k is low[k] or later, in the same word
+    starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    if len(starts):
+        ends = np.flatnonzero(letter & ~np.concatenate([letter[1:], [False]]))
+        run = np.cumsum(np.bincount(starts, minlength=len(codes)))[letter] - 1
+        depth = (place[letter] - starts[run]) % 64
+        power = np.cumprod(np.full(64, A, dtype=np.uint64), dtype=np.uint64)
+        add(starts, np.add.reduceat(low[letter] * power[depth], np.searchsorted(place[letter], starts)), 7)
+        capital = upper[near] & (codes < len(upper))
+        many = np.add.reduceat(capital[letter], np.searchsorted(place[letter], starts), dtype=np.int64)
+        add(starts, (np.where((many > 1) & (many == ends - starts + 1), 2, capital[starts])).astype(np.uint64), 8)
+    other = ~letter & (codes != 10)
+    at = np.flatnonzero(other)
+    add(at, codes[at].astype(np.uint64), 9)
+    pair = np.flatnonzero(other[:-1] & other[1:])
+    add(pair, codes[pair].astype(np.uint64) * A + codes[pair + 1].astype(np.uint64), 10)
+    return np.concatenate(out_word), np.concatenate(out)
+
+
+def word_scores(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """Each word's sum of its features' weights."""
+    out = np.zeros(len(words))
+    for first in range(0, len(words), CHUNK):
+        some = words[first : first + CHUNK]
+        word, index = features(some)
+        out[first : first + CHUNK] = np.bincount(word, weights[index], minlength=len(some))
+    return out
 
 
 class Features:
-    """The features of many words in one array each."""
-
-    def __init__(self, words: list[str]):
-        each = [features(w) for w in words]
-        self.sizes = np.array([len(x) for x in each], dtype=np.int64)
-        self.index = np.fromiter((i for x in each for i in x), dtype=np.int64, count=int(self.sizes.sum()))
-        self.word = np.repeat(np.arange(len(words)), self.sizes)
+    """The features of many words, of those seen in so many documents; spread: in how many each word is."""
+
+    def __init__(self, words: list[str], spread: np.ndarray, seen: int):
+        chunks = range(0, len(words), CHUNK)
+        found = np.zeros(DIM)
+        for first in chunks:
+            word, index = features(words[first : first + CHUNK])
+            found += np.bincount(index, spread[first : first + CHUNK][word], minlength=DIM)
+        kept = []
+        for first in chunks:
+            word, index = features(words[first : first + CHUNK])
+            held = found[index] >= seen
+            kept.append((word[held] + np.int32(first), index[held]))
+        self.words = len(words)
+        self.word = np.concatenate([np.zeros(0, np.int32), *(w for w, _ in kept)])
+        index = np.concatenate([np.zeros(0, np.int32), *(i for _, i in kept)])
+        del kept
+        self.slots = np.flatnonzero(np.bincount(index, minlength=DIM))  # features that any word still has
+        at = np.zeros(DIM, dtype=np.int32)
+        at[self.slots] = np.arange(len(self.slots))
+        self.index = at[index]
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, weights[self.index], minlength=len(self.sizes))
-
-    def keep(self, wanted: np.ndarray) -> None:
-        """Drop the features that aren't wanted from all words."""
-        held = wanted[self.index]
-        self.index, self.word = self.index[held], self.word[held]
+        """Each word's sum of weights, which are given by slot."""
+        return self._summed(self.word, self.index, weights, self.words)
 
     def back(self, by_word: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, by_word[self.word], minlength=DIM)
+        """Each slot's sum over its words."""
+        return self._summed(self.index, self.word, by_word, len(self.slots))
+
+    @staticmethod
+    def _summed(to: np.ndarray, of: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for first in range(0, len(to), 1 << 19):  # piece by piece, for memory
+            some = slice(first, first + (1 << 19))
+            out += np.bincount(to[some], values[of[some]], minlength=size)
+        return out
+
+    def drop(self, gone: np.ndarray) -> None:
+        """Take the slots that are marked from all words; their numbers stay."""
+        held = ~gone[self.index]
+        self.word, self.index = self.word[held], self.index[held]
+
+    def spread_out(self, weights: np.ndarray) -> np.ndarray:
+        """Weights by feature."""
+        out = np.zeros(DIM, dtype=np.float32)
+        out[self.slots] = weights
+        return out
+
+
+def documents_of(which: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """In how many documents each word is."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return np.bincount(np.unique(doc * max(1, words) + which) % max(1, words), minlength=words)
 
 
 class Adam:
