@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodex.llm.support import cache_for, only, small_batches, sums_by_row, text_slices, words_of
+from lodex.llm.support import only, small_batches, sums_by_row, text_slices, words_of
 from lodex.llm.toxicity import sigmoid
-from lodex.llm.words import DIM, Adam, Features, labelled_sample
+from lodex.llm.words import DIM, Adam, Features, documents_of, labelled_sample, word_scores
 
 #: Bounds of the labelled sample that is learned from.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 16_000_000
-STEPS, RATE, SHRINK = 200, 0.05, 1e-6
+SAMPLE_DOCS, SAMPLE_CHARS = 6000, 10_000_000
+STEPS, RATE, SHRINK = 150, 0.08, 1e-5
+#: How much faster the few weights of repetition and length are learned than those of features.
+LOUD = 5.0
 #: A feature counts only if it was seen in so many documents (words of a document counted once).
 SEEN = 3
 #: Bounds of the shares of different words, of different word pairs, and of the number of words.
@@ -35,11 +36,6 @@ class Model:
     repeats: np.ndarray
     thresholds: np.ndarray
     grades: list[int] = field(default_factory=list)
-    key: str = ""
-
-    def words(self, words: list[str]) -> np.ndarray:
-        return Features(words).scores(self.weights)[:, None]
-
 
 def _different(codes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     """How many different codes each document has."""
@@ -70,24 +66,23 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
     """Learn from whole texts and their whole-number grades. With one grade only, every text gets it; with none, grade 0."""
     levels = sorted({int(g) for g in grades})
     if len(levels) < 2:
-        return Model(np.zeros(DIM), np.zeros(WIDTH), np.zeros(0), levels or [0], f"one{levels}")
+        return Model(np.zeros(DIM), np.zeros(WIDTH), np.zeros(0), levels or [0])
     y = np.searchsorted(levels, np.asarray(grades, dtype=int))
     which, bounds, words = words_of(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()))
-    made, extra = Features(words), repeats(which, bounds)
-    spread = np.bincount(np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * len(words) + which) % len(words), minlength=len(words)) if len(words) else np.zeros(0)
-    made.keep(made.back(spread.astype(float)) >= SEEN)
+    made, extra = Features(words, documents_of(which, bounds, len(words)), SEEN), repeats(which, bounds)
     n = np.maximum(np.diff(bounds), 1)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    cuts = len(levels) - 1
-    x = np.zeros(DIM + WIDTH + cuts)  # the last: the first threshold, and logs of the distances between the thresholds
-    x[DIM + WIDTH] = -1.0
+    cuts, dim = len(levels) - 1, len(made.slots)
+    extra *= LOUD
+    x = np.zeros(dim + WIDTH + cuts)  # the last: the first threshold, and logs of the distances between the thresholds
+    x[dim + WIDTH] = -1.0
     adam = Adam(len(x), RATE)
     rows = np.arange(len(y))
     for _ in range(STEPS):
-        u = made.scores(x[:DIM])
-        score = np.bincount(doc, u[which], minlength=len(texts)) / n + extra @ x[DIM : DIM + WIDTH]
-        gaps = np.exp(np.clip(x[DIM + WIDTH + 1 :], -8, 8))
-        at = x[DIM + WIDTH] + np.concatenate([[0], np.cumsum(gaps)])
+        u = made.scores(x[:dim])
+        score = np.bincount(doc, u[which], minlength=len(texts)) / n + extra @ x[dim : dim + WIDTH]
+        gaps = np.exp(np.clip(x[dim + WIDTH + 1 :], -8, 8))
+        at = x[dim + WIDTH] + np.concatenate([[0], np.cumsum(gaps)])
         above = np.column_stack([np.ones(len(y)), sigmoid(score[:, None] - at), np.zeros(len(y))])
         slope = above * (1 - above)
         p = np.maximum(above[rows, y] - above[rows, y + 1], 1e-12)
@@ -97,11 +92,9 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
         np.add.at(dat, y[y < cuts], -(slope[rows, y + 1] / p / len(y))[y < cuts])
         dgaps = np.cumsum(dat[::-1])[::-1][1:] * gaps
         by_word = np.bincount(which, (dscore / n)[doc], minlength=len(words))
-        adam.step(x, np.concatenate([made.back(by_word) + SHRINK * x[:DIM], extra.T @ dscore + SHRINK * x[DIM : DIM + WIDTH], [dat.sum()], dgaps]))
-    gaps = np.exp(np.clip(x[DIM + WIDTH + 1 :], -8, 8))
-    model = Model(x[:DIM].astype(np.float32), x[DIM : DIM + WIDTH], x[DIM + WIDTH] + np.concatenate([[0], np.cumsum(gaps)]), levels)
-    model.key = blake2b(model.weights.tobytes() + model.repeats.tobytes() + model.thresholds.tobytes(), digest_size=8).hexdigest()
-    return model
+        adam.step(x, np.concatenate([made.back(by_word) + SHRINK * x[:dim], extra.T @ dscore + SHRINK * x[dim : dim + WIDTH], [dat.sum()], dgaps]))
+    gaps = np.exp(np.clip(x[dim + WIDTH + 1 :], -8, 8))
+    return Model(made.spread_out(x[:dim]), LOUD * x[dim : dim + WIDTH], x[dim + WIDTH] + np.concatenate([[0], np.cumsum(gaps)]), levels)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
@@ -112,9 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _graded(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Expected grade, and P(grade >= each grade but the least)."""
-    cache = cache_for(f"quality-{model.key}", model.words, 1)
     which, bounds, words = words_of(texts)
-    score = sums_by_row(cache(words)[:, 0][which], bounds) / np.maximum(np.diff(bounds), 1) + repeats(which, bounds) @ model.repeats
+    score = sums_by_row(word_scores(words, model.weights)[which], bounds) / np.maximum(np.diff(bounds), 1) + repeats(which, bounds) @ model.repeats
     above = sigmoid(score[:, None] - model.thresholds[None, :])
     levels = np.array(model.grades, dtype=float)
     return levels[0] + above @ np.diff(levels), above
@@ -133,11 +125,12 @@ def grade(docs: DataFrame, model: Model, at_least: int, text_col: str = "text")
     kept = [c for c in docs.columns if c not in ("expected_grade", "tail")]
     docs = docs.select(*[docs[f"`{c}`"] for c in kept])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), GRADED])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights
     k = int(np.searchsorted(model.grades, at_least))  # of no threshold: sure, or impossible
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches, text_col):
-            expected, above = _graded(texts, model)
+            expected, above = _graded(texts, shared.value)
             tail = np.ones(len(expected)) if k == 0 else above[:, k - 1] if k < len(model.grades) else np.zeros(len(expected))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(expected), pa.array(tail)], names=[*kept, "expected_grade", "tail"])
 
