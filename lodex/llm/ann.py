@@ -48,9 +48,10 @@ def rotated(vectors: np.ndarray, table: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v: those with an id, a direction, and finite components only."""
+    """vec_id, v: those with an id, a direction, and finite components only; components in their own precision."""
     v = F.col("v")
-    held = only(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    held = only(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return held.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
@@ -61,7 +62,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-HASHED = "dim int, tab int, bucket int, vec_id long, v array<double>"
+HASHED = "dim int, tab int, bucket int, vec_id long, v "
 
 
 def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
@@ -81,7 +82,7 @@ def hashed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
                     at = pa.array(np.repeat(np.arange(len(x)), take))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, dim), pa.int32()), pa.array(np.full(best.size, table), pa.int32()), pa.array(best.ravel(), pa.int32()), rows.column("vec_id").take(at), rows.column("v").take(at)], names=[c.split()[0] for c in HASHED.split(", ")])
 
-    return vectors.mapInArrow(make, HASHED)
+    return vectors.mapInArrow(make, HASHED + vectors.schema["v"].dataType.simpleString())
 
 
 def cosines(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -116,7 +117,8 @@ def _searched(queries: DataFrame, rows: DataFrame, tables: int, probes: int, k:
     """The best k of each query in each block that it looks into."""
     index = hashed(rows, tables, 1)
     counts = index.groupBy("dim", "tab", "bucket").count()
-    blocks = counts.select("dim", "tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    # a row for each bucket: at most tables * 2 * width, however many vectors there are
+    blocks = F.broadcast(counts.select("dim", "tab", "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     key = ["dim", "tab", "bucket"]
     cut = index.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
     asked = hashed(queries, tables, probes).join(blocks, key).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
