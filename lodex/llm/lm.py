@@ -3,7 +3,8 @@
 Texts are dealt into blocks. Each block sends its different n-grams, as sorted hashes, to the parts of the
 count tables, which are partitioned by hash; each part adds up the blocks' counts and sends each block the
 counts of its own n-grams back. Joined to the block's exploded n-grams, they give each word's score,
-and these are summed by document. An n-gram travels once per block, however often it occurs there.
+and these are summed by document. An n-gram travels once per block, however often it occurs there, and only
+if both n-grams that it extends are frequent enough to count; else it can't be either.
 
 Hashes have 64 bits; n-grams of the same length whose hashes are equal count as one.
 """
@@ -21,7 +22,7 @@ from lodex.llm.mixing import word_count
 from lodex.llm.support import only, small_batches, words_of
 
 #: Characters of a block, and n-grams of a part of the count tables on average.
-BLOCK_CHARS, PART_GRAMS = 6_000_000, 2_000_000
+BLOCK_CHARS, PART_GRAMS = 8_000_000, 2_000_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -80,17 +81,38 @@ BACK = "block long, n int, part int, counts binary"
 SCORED = "doc_id long, n_words long, log10_score double"
 
 
-def sent(rows: pa.Table, order: int, bits: list[int]) -> pa.Table:
+def _returned(back: pa.Table | None, n: int, hashes: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The total count of the n-gram that ends at each word, 0 where there is none. there: those that were sent."""
+    got = sorted(zip(back.column("n").to_pylist(), back.column("part").to_pylist(), back.column("counts").to_pylist(), strict=True), key=lambda r: r[:2]) if back is not None else []
+    total = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(c) for m, _, c in got if m == n)])
+    out = np.zeros(len(hashes), dtype=np.int64)
+    if there.any():
+        out[there] = total[np.unique(hashes[there], return_inverse=True)[1]]
+    return out
+
+
+def block_counts(rows: pa.Table, back: pa.Table | None, upto: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """For a block: hashes and counts by length below upto, which upto-grams to send, and the words' bounds by text."""
+    hashes, there, bounds = gram_hashes(_binary(rows.column("text")), upto)
+    counts: list[np.ndarray] = []
+    for n in range(1, upto + 1):
+        if n > 1:  # of its two shorter n-grams one ends a word earlier
+            enough = counts[-1] >= least
+            there[n - 1] &= enough & np.concatenate([[False], enough[:-1]])
+        if n < upto:
+            counts.append(_returned(back, n, hashes[n - 1], there[n - 1]))
+    return hashes, counts, there[upto - 1], bounds
+
+
+def sent(rows: pa.Table, back: pa.Table | None, n: int, least: int, bits: int) -> pa.Table:
     """The different n-grams of a block by part, each with its count there. Part: the hash's first bits."""
+    if not len(rows):
+        return _table([], SENT)
     block, model = rows.column("block")[0].as_py(), rows.column("model")[0].as_py()
-    hashes, there, _ = gram_hashes(_binary(rows.column("text")), order)
-    out = []
-    for n in range(1, order + 1):
-        found, counts = np.unique(hashes[n - 1][there[n - 1]], return_counts=True)
-        cuts = np.concatenate([np.searchsorted(found, np.arange(1 << bits[n - 1], dtype=np.uint64) << np.uint64(64 - bits[n - 1])) if bits[n - 1] else [0], [len(found)]])
-        for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                out.append((block, model, n, part, packed(found[a:b]), packed_counts(counts[a:b])))
+    hashes, _, there, _ = block_counts(rows, back, n, least)
+    found, counts = np.unique(hashes[n - 1][there], return_counts=True)
+    cuts = np.concatenate([np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [0], [len(found)]])
+    out = [(block, model, n, part, packed(found[a:b]), packed_counts(counts[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
     return _table(out, SENT)
 
 
@@ -105,8 +127,7 @@ def counted(rows: pa.Table) -> pa.Table:
     total = np.bincount(inverse, weigh, minlength=len(found)).astype(np.int64)
     out, at = [], 0
     for k, h in enumerate(hashes):
-        if model[k] is not True:  # null: a block of the model that is scored too
-            out.append((block[k], n, part, packed_counts(total[inverse[at : at + len(h)]])))
+        out.append((block[k], n, part, packed_counts(total[inverse[at : at + len(h)]])))
         at += len(h)
     return _table(out, BACK)
 
@@ -115,20 +136,14 @@ def scored(rows: pa.Table, back: pa.Table, order: int, words: int, alpha: float,
     """Sum of log10 scores of each document of a block."""
     if not len(rows):
         return _table([], SCORED)
-    hashes, there, bounds = gram_hashes(_binary(rows.column("text")), order)
-    got = sorted(zip(back.column("n").to_pylist(), back.column("part").to_pylist(), back.column("counts").to_pylist(), strict=True), key=lambda r: r[:2])
-    counts = []
-    for n in range(1, order + 1):
-        total = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(c) for m, _, c in got if m == n)])
-        at = np.zeros(len(hashes[0]), dtype=np.int64)
-        if there[n - 1].any():
-            at[there[n - 1]] = total[np.unique(hashes[n - 1][there[n - 1]], return_inverse=True)[1]]
-        counts.append(at)
+    hashes, counts, there, bounds = block_counts(rows, back, order, least)
+    counts.append(_returned(back, order, hashes[-1], there))
+    place = np.arange(len(hashes[0])) - np.repeat(bounds[:-1], np.diff(bounds))
     log = np.log10(np.maximum(counts[0], 0.5)) - math.log10(max(1, words))
     for n in range(2, order + 1):
         before = np.concatenate([[0], counts[n - 2][:-1]])  # the n-gram's first n - 1 words end one word earlier
-        seen = there[n - 1] & (counts[n - 1] >= least)
-        log = np.where(seen, np.log10(np.maximum(counts[n - 1], 1)) - np.log10(np.maximum(before, 1)), np.where(there[n - 1], math.log10(alpha) + log, log))
+        seen = counts[n - 1] >= least
+        log = np.where(seen, np.log10(np.maximum(counts[n - 1], 1)) - np.log10(np.maximum(before, 1)), np.where(place >= n - 1, math.log10(alpha) + log, log))
     sums = np.add.reduceat(np.append(log, 0.0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
     n_words = np.diff(bounds)
     sums = np.where(n_words > 0, sums, 0.0)
@@ -151,7 +166,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alph
 
     Words are runs of characters other than space and \\x09-\\x0D. A word's score is count(n-gram) / count(its first
     n - 1 words) for the longest n-gram ending there that occurs at least `least` times in the corpus, times alpha for
-    each shorter step; a single word's is count / words of the corpus, where unseen ones count as a half. corpus: the
+    each shorter step (least is 1 or more); a single word's is count / words of the corpus, where unseen ones count as a half. corpus: the
     texts to count, docs themselves if none; the n-grams that one document alone has once are no evidence
     then, hence least = 2. Null and empty texts have no words and score 0. Repeated rows count and score each on its
     own. Null ids stay null. Empty tables give no rows. Other columns aren't read.
@@ -168,7 +183,18 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alph
     bits = [max(0, math.ceil(math.log2(max(1, words * share / PART_GRAMS)))) for share in (0.25, *[1.0] * (order - 1))]
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + F.when(F.coalesce("model", F.lit(False)), F.lit(blocks)).otherwise(0)
     dealt = lambda df: df.withColumn("block", block)
-    grams = dealt(every).groupBy("block").applyInArrow(lambda t: sent(t, order, bits), SENT)
-    back = grams.groupBy("n", "part").applyInArrow(counted, BACK)
-    made = dealt(docs).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: scored(d, b, order, words or 0, alpha, least), SCORED)
+
+    def sending(n: int):
+        return lambda rows, back: sent(rows, back, n, least, bits[n - 1])
+
+    texts, back = dealt(every), None
+    for n in range(1, order + 1):  # one plan: its text is dealt once, and each round reads that again
+        if back is None:
+            grams = texts.groupBy("block").applyInArrow(lambda t: sent(t, None, 1, least, bits[0]), SENT)
+        else:
+            grams = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sending(n), SENT)
+        found = grams.groupBy("n", "part").applyInArrow(counted, BACK)
+        back = found if back is None else back.unionByName(found)
+    scored_texts = texts if corpus is None else dealt(docs)
+    made = scored_texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: scored(d, b, order, words or 0, alpha, least), SCORED)
     return made.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
