@@ -1,0 +1,39 @@
+"""Settings and fixed values."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+# Names that a scan leaves out, file name endings that it takes, languages by ending, and limits.
+EXCLUDED = (
+    ".git", ".hg", ".svn", "node_modules", "vendor", "bower_components", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", ".ruff_cache", "htmlcov", ".tox", ".nox", ".eggs", "egg-info", ".coverage", "migrations",
+    "dist", "build", ".next", ".nuxt", ".svelte-kit", ".parcel-cache", ".turbo", ".cache", "out", "coverage", "target", "bin", "obj", ".idea", ".vscode", ".DS_Store", "models", "checkpoints", "huggingface", ".huggingface", "hf-cache", "backups", "backup", ".backups", ".abstract-index.json",
+)
+LANGUAGES = {
+    "py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "rs": "rust", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "swift": "swift",
+    "c": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "h": "c-family", "hpp": "cpp", "cs": "csharp", "php": "php", "rb": "ruby", "lua": "lua", "sh": "shell", "bash": "shell", "zsh": "shell", "md": "markdown", "mdx": "markdown", "rst": "restructuredtext", "txt": "text", "json": "json", "yaml": "yaml", "yml": "yaml",
+    "toml": "toml", "ini": "ini", "cfg": "config", "conf": "config", "env": "config", "xml": "xml", "html": "html", "css": "css", "sql": "sql", "graphql": "graphql", "proto": "protobuf",
+}
+EXTENSIONS = tuple(f".{x}" for x in LANGUAGES)
+TEXT_LANGUAGES = ("markdown", "restructuredtext", "text", "json", "yaml", "toml", "ini", "config", "xml", "html")
+LARGE_LINES, LARGE_BYTES, MOST_BYTES = 3000, 512 * 1024, 2 * 1024 * 1024
+REGION_LINES, REGION_CHARS, REGIONS = 40, 1800, 200
+RRF_K, VECTOR_TIMES, TEXT_TIMES, MERGED, RERANK_MORE = 60, 4, 2, 30, 5
+KEYWORD_CAP, DIMENSIONS, CLIP = 50, 1024, 4000
+BM25_K1, BM25_B = 1.2, 0.75
+DEBOUNCE_MS, FLUSH_PATHS, TICK_MS = 400, 64, 100
+SCHEMA_VERSION = 3
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Settings of one repository's index."""
+
+    root: str
+    languages: tuple[str, ...] = ()
+    extra_extensions: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+    include_private: bool = False
+    compat_substring: bool = False
+    ignore_lines: tuple[str, ...] = field(default=())
+    dimensions: int = DIMENSIONS
