@@ -22,7 +22,7 @@ from lodex.llm.mixing import word_count
 from lodex.llm.support import only, small_batches, words_of
 
 #: Characters of a block, and n-grams of a part of the count tables on average.
-BLOCK_CHARS, PART_GRAMS = 8_000_000, 2_000_000
+BLOCK_CHARS, PART_GRAMS = 14_000_000, 2_000_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -48,32 +48,46 @@ def gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.
     return hashes, there, bounds
 
 
+def _squeezed(values: np.ndarray, width: int) -> bytes:
+    """Values of so many bytes each; the few that don't fit are marked, and follow whole."""
+    mark = np.uint64((1 << (8 * width)) - 1)
+    large = values >= mark
+    low = np.where(large, mark, values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + np.ascontiguousarray(low).tobytes() + values[large].astype("<u8").tobytes()
+
+
+def _unsqueezed(data: bytes, many: int) -> np.ndarray:
+    width = data[0]
+    out = np.zeros((many, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=1, count=many * width).reshape(-1, width)
+    values = out.view("<u8")[:, 0].copy()
+    values[values == np.uint64((1 << (8 * width)) - 1)] = np.frombuffer(data, dtype="<u8", offset=1 + many * width)
+    return values
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as the first one, a width, and their distances of so many bytes."""
+    """Ascending 64-bit numbers as their count, the first one, and their distances in as few bytes as nearly all need."""
     if not len(numbers):
         return b""
     steps = np.diff(numbers)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return numbers[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    width = max(1, min(7, (int(np.quantile(steps, 0.99)).bit_length() + 7) // 8)) if len(steps) else 1
+    return np.array([len(numbers), numbers[0]], dtype="<u8").tobytes() + _squeezed(steps, width)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, dtype=np.uint64)
-    width = data[8]
-    body = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(body), 8), dtype=np.uint8)
-    steps[:, :width] = body
-    return np.cumsum(np.concatenate([np.frombuffer(data, dtype="<u8", count=1), steps.view("<u8")[:, 0]]), dtype=np.uint64)
+    many, first = np.frombuffer(data, dtype="<u8", count=2)
+    return np.cumsum(np.concatenate([[first], _unsqueezed(data[16:], int(many) - 1)]).astype(np.uint64), dtype=np.uint64)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    kind = "<u1" if counts.max(initial=0) < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u8"
-    return bytes([int(kind[2])]) + counts.astype(kind).tobytes()
+    """A byte each but for large ones."""
+    return len(counts).to_bytes(8, "little") + _squeezed(counts.astype(np.uint64), 1)
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+    return _unsqueezed(data[8:], int.from_bytes(data[:8], "little")).astype(np.int64)
 
 
 SENT = "block long, model boolean, n int, part int, hashes binary, counts binary"
