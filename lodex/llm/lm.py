@@ -12,6 +12,7 @@ Hashes have 64 bits; n-grams of the same length whose hashes are equal count as
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodex.llm.mixing import word_count
-from lodex.llm.support import only, small_batches, words_of
+from lodex.llm.support import only, small_batches, text_bytes, text_slices, words_of
 
 #: Characters of a block, and n-grams of a part of the count tables on average.
 BLOCK_CHARS, PART_GRAMS = 14_000_000, 2_000_000
@@ -107,7 +108,7 @@ def _returned(back: pa.Table | None, n: int, hashes: np.ndarray, there: np.ndarr
 
 def block_counts(rows: pa.Table, back: pa.Table | None, upto: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """For a block: hashes and counts by length below upto, which upto-grams to send, and the words' bounds by text."""
-    hashes, there, bounds = gram_hashes(_binary(rows.column("text")), upto)
+    hashes, there, bounds = gram_hashes(_texts(rows), upto)
     counts: list[np.ndarray] = []
     for n in range(1, upto + 1):
         if n > 1:  # of its two shorter n-grams one ends a word earlier
@@ -164,8 +165,21 @@ def scored(rows: pa.Table, back: pa.Table, order: int, words: int, alpha: float,
     return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "log10_score": pa.array(sums)})
 
 
-def _binary(column: pa.ChunkedArray) -> pa.Array:
-    return pa.compute.fill_null(column.combine_chunks().cast(pa.large_binary()), b"")
+def zipped(docs: DataFrame) -> DataFrame:
+    """doc_id, model, block, zip: texts compressed for the shuffle, which moves them once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for rows, texts in text_slices(batches):
+            packed_texts = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in text_bytes(texts)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("model"), rows.column("block"), pa.array(packed_texts, pa.binary())], names=["doc_id", "model", "block", "zip"])
+
+    return docs.select("doc_id", "model", "block", "text").mapInArrow(make, "doc_id long, model boolean, block long, zip binary")
+
+
+def _texts(rows: pa.Table) -> pa.Array:
+    codec = pa.Codec("zstd")
+    return pa.array([codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) for z in rows.column("zip").to_pylist()], pa.large_binary())
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -193,10 +207,11 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alph
         counted_of = only(corpus, text=text_col).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("model"))
     every = docs if corpus is None else docs.unionByName(counted_of)
     chars, words = every.agg(F.sum(F.length("text")), F.sum(F.when(F.coalesce("model", F.lit(True)), word_count(F.col("text"))).otherwise(0))).first()
-    blocks = max(1, -(-(chars or 0) // BLOCK_CHARS))
+    chars, words = chars or 0, words or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
     bits = [max(0, math.ceil(math.log2(max(1, words * share / PART_GRAMS)))) for share in (0.25, *[1.0] * (order - 1))]
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + F.when(F.coalesce("model", F.lit(False)), F.lit(blocks)).otherwise(0)
-    dealt = lambda df: df.withColumn("block", block)
+    dealt = lambda df: zipped(df.withColumn("block", block))
 
     def sending(n: int):
         return lambda rows, back: sent(rows, back, n, least, bits[n - 1])
@@ -210,5 +225,5 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alph
         found = grams.groupBy("n", "part").applyInArrow(counted, BACK)
         back = found if back is None else back.unionByName(found)
     scored_texts = texts if corpus is None else dealt(docs)
-    made = scored_texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: scored(d, b, order, words or 0, alpha, least), SCORED)
+    made = scored_texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda d, b: scored(d, b, order, words, alpha, least), SCORED)
     return made.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
