@@ -149,7 +149,9 @@ def examples(many: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
             if good:
                 sep = rng.choice((" . ", ". ", " ."))
                 return rng.choice(("ip", "host", "server", "client")), sep.join(str(rng.randint(1, 255)) for _ in range(4)) if rng.random() < 0.6 else ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8)), True
-            return rng.choice(("version", "section", "build", "")), ".".join(str(rng.randint(0, 999)) for _ in range(4)), False
+            parts = [str(rng.randint(0, 255)) for _ in range(4)]
+            parts[rng.randrange(4)] = str(rng.randint(256, 999))
+            return rng.choice(("version", "section", "build", "", "ip", "host", "server")), ".".join(parts), False
         if kind == 2:
             sep = rng.choice((". ", "/", "_", " - ", "--"))
             if good:
