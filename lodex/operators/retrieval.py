@@ -62,14 +62,15 @@ def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str) -> DataF
     terms = [F.lit(t) for t in dict.fromkeys(query)]
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
     many = lambda t: F.size(F.filter("ts", lambda x: x == t))
-    held = words.select("id", F.size("ts").alias("len"), *[many(t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    held = words.select("id", F.size("ts").alias("len"), *[many(t).alias(f"tf{k}") for k, t in enumerate(terms)]).repartition("id")  # small rows, so texts are cut into words once
     n_terms = range(len(terms))
     stats = held.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in n_terms])
     idf = lambda k: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
     room = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("len") / F.col("avg_len"))
     score = sum((idf(k) * F.col(f"tf{k}") * (BM25_K1 + 1) / (F.col(f"tf{k}") + room) for k in n_terms), F.lit(0.0))
-    hits = held.where(F.greatest(F.lit(0), *[F.col(f"tf{k}") for k in n_terms]) > 0)
-    return hits.crossJoin(F.broadcast(stats)).select("id", F.round(score, 6).alias("score"))  # one row of statistics
+    # one row of statistics; a filter that needs it stays above, so both sides read the same exchange
+    scored = held.crossJoin(F.broadcast(stats)).select("id", score.alias("score")).where("score > 0")
+    return scored.select("id", F.round("score", 6).alias("score"))
 
 
 def nearest(vectors: DataFrame, distance: Column, id_col: str, k: int) -> DataFrame:
