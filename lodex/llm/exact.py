@@ -22,6 +22,8 @@ from lodex.llm.support import only, small_batches, stage, text_bytes, text_slice
 LEAST, MOST, CHANCE_BITS = 512, 8192, 11
 #: Identifiers that a task remembers so as not to send the same chunk again.
 REMEMBERED = 100_000
+#: A group with more than one of so many rows is large.
+LARGE = 1000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,8 +116,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the row's own number tells rows with the same id apart; it is written down, so it can't change on a retry
     listed = stage(recipes(docs, size).withColumn("row", F.monotonically_increasing_id()), "recipes")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    groups = listed.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
-    joined = listed.join(groups.select("recipe", "first", "group_size"), "recipe", "left")
+    groups = stage(listed.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    # groups of over a thousandth of all rows: at most a thousand, so their rows needn't meet in one task
+    large = F.broadcast(groups.where(F.col("group_size") > F.lit(listed.count() // LARGE)))
+    rest = listed.join(large.select("recipe"), "recipe", "left_anti").join(groups, "recipe", "left")
+    joined = rest.select("doc_id", "row", "text_sha256", "first", "group_size").unionByName(listed.join(large, "recipe").select("doc_id", "row", "text_sha256", "first", "group_size"))
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
