@@ -11,6 +11,8 @@ from lodex.llm.support import stage
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The name of a row's number within a stage.
+ROW = "lodex_row"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,22 +21,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.select_quality(docs, model, at_least=1).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """With a number of each row, so that rows with the same id, or none, are told apart. docs is a table at rest, whose scans number it alike."""
+    return docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    gone = exact.deduplicate(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of equal texts."""
+    docs = _numbered(docs)
+    gone = exact.deduplicate(docs, row_col=ROW).where("not kept").select(F.col("row").alias(ROW))
+    return docs.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, with the smallest id."""
+    docs = _numbered(docs)
+    gone = simhash.near_duplicates(docs, row_col=ROW).where("not kept").select(F.col("row").alias(ROW))
+    return docs.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or twice."""
-    times = mixing.mix(docs).where("times > 0").select("doc_id", "times")
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    """Rows as often as the mix takes them: not at all, once, or twice."""
+    docs = _numbered(docs)
+    times = mixing.mix(docs, row_col=ROW).where("times > 0").select(F.col("row").alias(ROW), "times")
+    return docs.join(times, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

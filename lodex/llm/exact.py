@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.support import only, small_batches, stage, text_bytes, text_slices
+from lodex.llm.support import small_batches, stage, text_bytes, text_slices, with_rows
 
 #: A chunk's least and largest number of bytes; it ends with a chance of 1 in 2,048 at each byte between.
 LEAST, MOST, CHANCE_BITS = 512, 8192, 11
@@ -58,7 +58,7 @@ def identifier(chunk: bytes, size: int) -> bytes:
     return hashlib.blake2b(chunk, digest_size=size).digest()
 
 
-RECIPES = "doc_id long, recipe binary, text_sha256 string"
+RECIPES = "doc_id long, recipe binary, text_sha256 string, row long"
 
 
 def recipes(docs: DataFrame, size: int) -> DataFrame:
@@ -68,7 +68,7 @@ def recipes(docs: DataFrame, size: int) -> DataFrame:
             for text in map(normalised, text_bytes(texts)):
                 recipe.append(b"".join(identifier(c, size) for c in chunks(text)))
                 sha.append(hashlib.sha256(text).hexdigest())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(recipe, pa.binary()), pa.array(sha, pa.string())], names=["doc_id", "recipe", "text_sha256"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(recipe, pa.binary()), pa.array(sha, pa.string()), rows.column("row")], names=["doc_id", "recipe", "text_sha256", "row"])
 
     return docs.mapInArrow(make, RECIPES)
 
@@ -100,21 +100,21 @@ def identifiers_hold(docs: DataFrame, size: int) -> bool:
     return chunk_table(docs, size).groupBy("id").count().where("count > 1").isEmpty()
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16, row_col: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, row: one row per document, dropped ones too.
 
     Null texts count as empty and equal each other. The row with the smallest id of a group stays; a null id
     comes after all others, and of rows with the same id (or all null ones) one stays, the others
-    go. An empty table gives no rows. Other columns aren't read.
+    go. An empty table gives no rows. Other columns aren't read. row_col: a number of each row that tells rows
+    alike apart, given back as row; else one is made.
     """
     small_batches(docs.sparkSession)
-    docs, size = only(docs, doc_id=id_col, text=text_col), id_bytes
-    while not identifiers_hold(docs, size):
+    listed, size = with_rows(docs, row_col, doc_id=id_col, text=text_col), id_bytes
+    while not identifiers_hold(listed.select("text"), size):
         size *= 2
         if size > 64:
             raise ValueError("identifiers of 64 bytes stand for more than one chunk")
-    # the row's own number tells rows with the same id apart; it is written down, so it can't change on a retry
-    listed = stage(recipes(docs, size).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    listed = stage(recipes(listed, size), "recipes")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     groups = stage(listed.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     # groups of over a thousandth of all rows: at most a thousand, so their rows needn't meet in one task
@@ -128,4 +128,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("first.row") == F.col("row"))).alias("kept"),
         "text_sha256",
+        "row",
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.support import only, stage
+from lodex.llm.support import stage, with_rows
 
 #: Documents in a block of the first flight on average.
 BLOCK = 8192
@@ -113,17 +113,18 @@ def _flown(rows: DataFrame, key: list[str], last: bool) -> DataFrame:
     return rows.groupBy(*key).applyInPandas(fly, rows.schema)
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, times, taken of every document; taken is times the size.
+def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2), most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, size, source_size, target, times, taken of every document; taken is times the size.
 
     Sources go by code point, null last as a source of its own. Texts without words (null, empty) have size 0,
     are counted once if their share asks for it, and take no words. A document's chance depends on its id and
     text alone, so reruns agree; repeated rows are drawn one by one in a fixed order. A table without words has
     targets of 0. An empty table gives no rows. Other columns aren't read. The sources' totals, one
-    row each, go to the driver; their texts don't.
+    row each, go to the driver; their texts don't. row_col: a number of each row that tells rows alike apart,
+    given back as row; else one is made.
     """
     order = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = stage(only(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("order"), F.monotonically_increasing_id().alias("row")), "sizes")
+    rows = stage(with_rows(docs, row_col, doc_id=id_col, text=text_col, source=source_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("order"), "row"), "sizes")
     sums = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     aims = targets([r[1] for r in sums], share, weights, most)
     facts = [(r[0], r[1], aim, aim / r[1] if r[1] else 0.0, max(1, -(-r[2] // BLOCK))) for r, aim in zip(sums, aims, strict=True)]

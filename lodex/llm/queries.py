@@ -62,7 +62,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op9_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.deduplicate(_read(spark, sf_dir, "documents"))
+    return exact.deduplicate(_read(spark, sf_dir, "documents")).drop("row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup)}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodex.llm.components import components
-from lodex.llm.support import only, small_batches, stage, text_bytes, text_slices
+from lodex.llm.support import small_batches, stage, text_bytes, text_slices, with_rows
 
 SEED = 42
 
@@ -38,14 +38,14 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, fp, row) with the fingerprint as a signed long."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
             made = np.array([fingerprint(t, words) for t in text_bytes(texts)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(made)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(made), rows.column("row")], names=["doc_id", "fp", "row"])
 
-    return docs.mapInArrow(make, "doc_id long, fp long")
+    return docs.mapInArrow(make, "doc_id long, fp long, row long")
 
 
 def masks(half: int) -> list[int]:
@@ -67,8 +67,11 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return verified.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every document.
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), kept, row of every document.
+
+    One row of each component is kept, one with the smallest id. row_col: a number of each row that tells rows alike
+    apart, given back as row; else one is made.
 
     radius is even: 2 gives 65 meeting points to a fingerprint, 4 gives 2,081. Null and empty texts have
     fingerprint zero and are linked like any other. Null ids count as larger than all others, so a
@@ -78,10 +81,11 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: st
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius is 0, 2 or 4")
     small_batches(docs.sparkSession)
-    made = stage(fingerprints(only(docs, doc_id=id_col, text=text_col), words), "fingerprints")
-    classes = stage(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    made = stage(fingerprints(with_rows(docs, row_col, doc_id=id_col, text=text_col), words), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    classes = stage(made.groupBy("fp").agg(F.min(first).alias("first")), "classes")
     roots = stage(components(links(classes.select("fp"), radius)), "roots")
     of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = of.groupBy("root").agg(F.min("first").alias("best"))
+    named = of.select("fp", "root").join(smallest, "root").select("fp", "best")
+    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("best.row") == F.col("row")).alias("kept"), "row")

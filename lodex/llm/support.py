@@ -57,6 +57,13 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
+def with_rows(df: DataFrame, row_col: str | None, **columns: str) -> DataFrame:
+    """The named columns, and `row`, which tells rows alike apart: the given column, or a number of each row."""
+    if row_col is not None:
+        return only(df, **columns, row=row_col)
+    return only(df, **columns).withColumn("row", F.monotonically_increasing_id())
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """(rows, their texts as binary without nulls) of at most SLICE_BYTES, or of one longer text."""
     for batch in batches:

@@ -22,7 +22,7 @@ def test_stages_follow_from_each_other(spark):
     texts = [" ".join(r.text.split()) for r in kept[2].collect()]
     assert len(texts) == len(set(texts))
     near = simhash.near_duplicates(kept[2]).collect()
-    assert sorted(ids[3]) == sorted({r.component_id for r in near})
+    assert sorted(ids[3]) == sorted({r.component_id for r in near}) == sorted(r.doc_id for r in near if r.kept)
     times = {r.doc_id: r.times for r in mixing.mix(kept[3]).collect()}
     assert Counter(ids[4]) == {d: n for d, n in times.items() if n}
     packed = pipeline.pack_sequences(spark, kept[4], SF).collect()
@@ -35,3 +35,22 @@ def test_stages_of_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, one id for two texts, very long and empty texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    long = "some long text " * 30_000
+    odd = [(1007, "twice the same", "en", "s", 1)] * 2 + [(None, "no id", None, None, None), (None, None, None, None, None), (None, "", "en", None, 0), (1008, "one id", "en", "s", 1), (1008, "two texts", "en", "s", 1), (9, long, "en", "s", 1), (10, long + " ", "en", "s", 1)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([tuple(r) for r in docs] + odd, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    read = spark.read.parquet(path)
+    exactly = pipeline.drop_copies(spark, read, SF).collect()
+    texts = [exact.normalised((r.text or "").encode()) for r in exactly]
+    assert len(texts) == len(set(texts)) == len({exact.normalised((r.text or "").encode()) for r in read.collect()})
+    assert sum(r.doc_id == 1008 for r in exactly) == 2 and sum(r.doc_id == 1007 for r in exactly) == 1
+    near = pipeline.drop_near_copies(spark, read, SF).collect()
+    assert len(near) == len({r.component_id if r.component_id is not None else r.fingerprint for r in simhash.near_duplicates(read).collect()})
+    for _, stage in pipeline.STAGES[:1] + pipeline.STAGES[3:]:
+        assert stage(spark, read, SF).count()
+    assert sum(r.piece == 0 for r in pipeline.pack_sequences(spark, read, SF).collect()) == read.count()
