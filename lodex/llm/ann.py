@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodex.llm.support import only, stage
 
 #: Tables, buckets that a query looks into in each, and vectors of a block.
-TABLES, PROBES, BLOCK = 16, 6, 4096
+TABLES, PROBES, BLOCK = 8, 12, 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
