@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from pathlib import Path
 
 # Names that a scan leaves out, file name endings that it takes, languages by ending, and limits.
 EXCLUDED = (
@@ -22,7 +25,12 @@ RRF_K, VECTOR_TIMES, TEXT_TIMES, MERGED, RERANK_MORE = 60, 4, 2, 30, 5
 KEYWORD_CAP, DIMENSIONS, CLIP = 50, 1024, 4000
 BM25_K1, BM25_B = 1.2, 0.75
 DEBOUNCE_MS, FLUSH_PATHS, TICK_MS = 400, 64, 100
+OVERVIEW_FILES = 80
 SCHEMA_VERSION = 3
+# What marks a project's root, folders of a home that are no project, and variables that name one.
+ROOT_MARKERS = (".git", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "composer.json", "Gemfile", "build.gradle", "build.gradle.kts", "pom.xml", "Makefile")
+NO_PROJECTS = (".claude", ".codex", ".gemini", ".cache", ".config", ".local")
+ROOT_VARIABLES = ("REPO_ROOT", "WORKSPACE_ROOT", "WORKSPACE", "PROJECT_ROOT", "PWD", "INIT_CWD")
 
 
 @dataclass(frozen=True)
@@ -37,3 +45,34 @@ class EngineConfig:
     compat_substring: bool = False
     ignore_lines: tuple[str, ...] = field(default=())
     dimensions: int = DIMENSIONS
+
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> EngineConfig:
+        """Settings by environment variables; lists are comma-separated, and what isn't set keeps its default."""
+        listed = lambda name: tuple(x.strip() for x in env.get(name, "").split(",") if x.strip())
+        return cls(
+            root=resolve_root(env),
+            languages=listed("LANGUAGES"),
+            extra_extensions=tuple(x.lower() for x in listed("GENERIC_CODE_EXTENSIONS")),
+            exclude=listed("EXCLUDE_PATTERNS"),
+            include_private=env.get("INCLUDE_PRIVATE_FUNCTIONS", "false").lower() == "true",
+        )
+
+
+def resolve_root(env: Mapping[str, str], start: str | None = None, home: str | None = None) -> str:
+    """The project's folder: REPO_ROOT if set; else the nearest marked folder that holds one of the places probed.
+
+    Probed are the start, then the places that the variables name, in order. A home itself is never taken for marked. Without a
+    marked folder the first place counts that isn't a home or one of its folders of settings, else the first.
+    """
+    if env.get("REPO_ROOT"):
+        return str(Path(env["REPO_ROOT"]).expanduser().resolve())
+    at_home = Path(home or Path.home()).expanduser().resolve()
+    named = [start, *(env.get(v) for v in ROOT_VARIABLES)]
+    places = [Path(p).expanduser().resolve() for p in named if p] or [Path.cwd()]
+    for place in places:
+        for folder in (place, *place.parents):
+            if folder != at_home and any((folder / m).exists() for m in ROOT_MARKERS):
+                return str(folder)
+    poor = {at_home, *(at_home / n for n in NO_PROJECTS)}
+    return str(next((p for p in places if p not in poor), places[0]))

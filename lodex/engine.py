@@ -7,8 +7,8 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.config import EngineConfig
-from lodex.functions.paths import under
+from lodex.config import OVERVIEW_FILES, EngineConfig
+from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2
 from lodex.operators import graph, retrieval, symbols, views
@@ -94,7 +94,13 @@ class Engine:
         keep = F.col("path") == path if path else F.lit(True)
         return views.outline(self.files.where(keep), self.symbols.where(keep), compact).orderBy("path")
 
-    def overview(self, prefix: str | None = None, exclude: str | None = None) -> DataFrame:
+    def overview(self, prefix: str | None = None, exclude: str | None = None, mode: str = "modules") -> DataFrame:
+        """modules: a row per top folder; symbols: each file's outline; auto: modules for over 80 files without a prefix."""
+        if mode not in ("modules", "symbols", "auto"):
+            raise ValueError(f"mode is modules, symbols or auto, not {mode!r}")
+        keep = under(F.col("path"), prefix, exclude)
+        if mode == "symbols" or mode == "auto" and (prefix or len(self.files.where(keep).select("path").take(OVERVIEW_FILES + 1)) <= OVERVIEW_FILES):
+            return views.outline(self.files.where(keep), self.symbols.where(keep)).orderBy("path")
         docs = self.symbols.where("kind = 'module'").select("path", F.col("doc_first").alias("docstring"))
         return views.overview(self.files.where(under(F.col("path"), prefix, exclude)).join(docs, "path", "left"), views.public_counts(self.symbols))
 
@@ -107,21 +113,39 @@ class Engine:
     def contracts(self) -> DataFrame:
         return views.tier2(self.symbols, self.resolved, self.callers)
 
-    def trace(self, path: str, qualified_name: str, direction: str = "both", depth: int = 2, min_confidence: str = "preferred") -> DataFrame:
-        """direction, node (path and name), depth: callees unfiltered, callers of at least the given confidence."""
+    def trace(self, path: str, qualified_name: str, direction: str = "both", depth: int = 2, min_confidence: str = "preferred", include: str = "none", budget_lines: int = 300) -> DataFrame:
+        """direction, path, name, depth: callees unfiltered, callers of at least the given confidence.
+
+        include: with the contract (contracts), the source (full), or the source of direct neighbours and contracts of
+        the others (mixed), as graph.bodies gives them within so many lines.
+        """
+        if direction not in ("callees", "callers", "both"):
+            raise ValueError(f"direction is callees, callers or both, not {direction!r}")
         node = lambda p, n: F.struct(F.col(p).alias("path"), F.col(n).alias("name"))
         inner = self.resolved.where("not is_external")
         root = self.spark.createDataFrame([((path, qualified_name),)], "node struct<path:string,name:string>")
         ways = {"callees": inner.select(node("path", "caller").alias("src"), node("to_path", "to_name").alias("dst")), "callers": graph.confident(inner, min_confidence).select(node("to_path", "to_name").alias("src"), node("path", "caller").alias("dst"))}
         found = [graph.trace(e, root, depth).select(F.lit(w).alias("direction"), "node.path", "node.name", "depth") for w, e in ways.items() if direction in (w, "both")]
-        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        nodes = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        if include == "none":
+            return nodes
+        contracts = self.contracts().select("path", F.col("qualified_name").alias("name"), F.col("text").alias("contract"))
+        texts = self.files.select("path", F.col("text").alias("file_text"))
+        spans = self.symbols.where(F.col("kind").isin("function", "method")).select("path", F.col("qualified_name").alias("name"), "start_line", "end_line")
+        sources = spans.join(texts, "path").select("path", "name", source_slice(F.col("file_text"), F.col("start_line"), F.col("end_line")).alias("source"))
+        return graph.bodies(nodes.join(contracts, ["path", "name"], "left").join(sources, ["path", "name"], "left"), budget_lines, include)
+
+    def ambiguities(self, path: str) -> DataFrame:
+        """Calls in a file whose name several symbols have: read the source before trusting a trace through them."""
+        return graph.ambiguities(self.resolved.where(F.col("path") == path))
 
 
 def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame]:
-    parsed = symbols.python_symbols(files)
+    by_ending = symbols.extractors()
+    parsed = symbols.symbols_of_files(files, by_ending)
     if not config.include_private:
         parsed = parsed.where(F.coalesce(F.col("visibility"), F.lit("public")) != "private")
-    spots = symbols.line_symbols(files.where(~F.col("path").rlike(r"\.pyi?$")))
+    spots = symbols.line_symbols(files.where(~extension(F.col("path")).isin(*by_ending)))
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields}
     others = spots.select(*[(none | {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public"), "bases": F.array().cast("array<string>"), "raises": F.array().cast("array<string>"), "params": F.array().cast(parsed.schema["params"].dataType), "calls": F.array().cast(parsed.schema["calls"].dataType)} | {c: F.array().cast(parsed.schema[c].dataType) for c in ("class_attrs", "instance_attrs", "decorators")})[f.name].cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
     every = parsed.unionByName(others)

@@ -101,10 +101,13 @@ def under(path: Column, prefix: str | None = None, without: str | None = None) -
     return out
 
 
-def ancestors(path: str) -> list[str]:
-    """A folder and all that hold it, nearest first."""
-    parts = path.rstrip("/").split("/")
-    return ["/".join(parts[:k]) or "/" for k in range(len(parts), 0, -1)]
+def named_within(path: Column, names: Iterable[str], depth: int, keep: Iterable[str] = ()) -> Column:
+    """Paths of at most so many parts whose last is one of the names, but for those at or below a path to keep."""
+    parts = F.split(path, "/")
+    out = (F.size(parts) <= depth) & F.element_at(parts, -1).isin(*names)
+    for kept in keep:
+        out &= (path != kept) & ~path.startswith(f"{kept.rstrip('/')}/")
+    return out
 
 
 def cache_key(path: Column) -> Column:

@@ -61,3 +61,8 @@ def signature(params: Column, returns: Column) -> Column:
     """(T1, T2)->R: each parameter's annotation, or its name without one; self and cls left out."""
     shown = F.transform(F.filter(params, lambda p: ~p["name"].isin("self", "cls")), lambda p: F.coalesce(p["annotation"], p["name"]))
     return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")->"), F.coalesce(returns, F.lit("None")))
+
+
+def holds_block(text: Column, block: Column) -> Column:
+    """Whether the block stands in the text, blanks around it apart."""
+    return text.contains(F.regexp_replace(block, r"^\s+|\s+$", ""))

@@ -90,6 +90,33 @@ def within_budget(rows: DataFrame, lines: str, budget: int, *order: str) -> Data
     return rows.withColumn("used_before", before).where(F.col("used_before") < budget)
 
 
+def bodies(rows: DataFrame, budget: int, include: str) -> DataFrame:
+    """direction, path, name, depth, shown (full or contract), text: what a trace shows within so many lines.
+
+    rows: direction, path, name, depth, contract, source. Rows go by direction, depth, path and name until those
+    shown reach the budget. A source that would pass it gives way to the contract, and so does a null or empty one; without
+    a contract the name stands. Each row takes a line at least, so at most `budget` rows are gathered.
+    """
+    if include not in ("contracts", "full", "mixed"):
+        raise ValueError(f"include is contracts, full, mixed or none, not {include!r}")
+    count = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    wants = {"contracts": F.lit(False), "full": F.lit(True), "mixed": F.col("depth") == 1}[include]
+    contract = F.coalesce("contract", "name")
+    order = ("direction", "depth", "path", "name")
+    full = F.when(wants & (F.col("source") != ""), F.col("source"))
+    first = rows.select(*order, contract.alias("contract"), full.alias("source"), count(contract).alias("few"), count(full).alias("many")).orderBy(*order).limit(budget)
+    held = first.agg(F.sort_array(F.collect_list(F.struct(*order, "contract", "source", "few", "many"))).alias("rows"))
+    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("fits"))
+
+    def step(acc: Column, r: Column) -> Column:
+        fits = r["many"].isNotNull() & (acc["used"] + r["many"] <= budget)
+        more = F.struct((acc["used"] + F.when(fits, r["many"]).otherwise(r["few"])).alias("used"), F.concat(acc["fits"], F.array(fits)).alias("fits"))
+        return F.when(acc["used"] >= budget, acc).otherwise(more)
+
+    chosen = held.select("rows", F.posexplode(F.aggregate("rows", none, step)["fits"]).alias("at", "fits")).select(F.get("rows", "at").alias("r"), "fits")
+    return chosen.select(*[F.col(f"r.{c}").alias(c) for c in ("direction", "path", "name", "depth")], F.when(F.col("fits"), "full").otherwise("contract").alias("shown"), F.when(F.col("fits"), F.col("r.source")).otherwise(F.col("r.contract")).alias("text"))
+
+
 def confident(edges: DataFrame, least: str = "preferred") -> DataFrame:
     """Edges of at least this confidence."""
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])

@@ -1,0 +1,97 @@
+"""Definitions in languages other than Python, by patterns of lines and by indentation."""
+
+from __future__ import annotations
+
+import re
+
+_C_FUNCTION = r"[A-Za-z_][\w\s*&:<>,\[\]]*?[\s*&:]~?([A-Za-z_]\w*)\s*\([^;]*$"
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|override|virtual|async|default|open|data|export|pub(?:\([^)]*\))?|unsafe|const|inline|suspend|case|implicit|fileprivate|mutating|extern(?:\s+\"[^\"]*\")?)\s+)*"
+_JAVA_METHOD = _MODIFIERS + r"(?:<[^>]*>\s+)?[\w.<>\[\],?]+(?:\s*<.*?>)?\s+([A-Za-z_]\w*)\s*\([^;]*$"
+_NAME = r"([A-Za-z_$][\w$]*)"
+_JS = (_MODIFIERS + rf"function\s*\*?\s*{_NAME}|" + _MODIFIERS + rf"(?:let|var)?\s*{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>|" + _MODIFIERS + rf"(?:get\s+|set\s+|\*\s*)?{_NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{$", _MODIFIERS + rf"(?:class|interface|enum)\s+{_NAME}")
+
+#: A line's pattern for functions and one for classes by language; the first group that matches is the name.
+DEFINITIONS = {
+    "javascript": _JS,
+    "typescript": _JS,
+    "rust": (_MODIFIERS + rf"fn\s+{_NAME}", _MODIFIERS + rf"(?:struct|enum|trait|union)\s+{_NAME}|impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?{_NAME}"),
+    "go": (rf"func\s+(?:\([^)]*\)\s*)?{_NAME}", rf"type\s+{_NAME}\s+(?:struct|interface)\b"),
+    "java": (_JAVA_METHOD, _MODIFIERS + rf"(?:class|interface|enum|record|@interface)\s+{_NAME}"),
+    "csharp": (_JAVA_METHOD, _MODIFIERS + rf"(?:class|interface|enum|record|struct)\s+{_NAME}"),
+    "kotlin": (_MODIFIERS + rf"fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?{_NAME}\s*\(", _MODIFIERS + rf"(?:enum\s+)?(?:class|interface|object)\s+{_NAME}"),
+    "scala": (_MODIFIERS + rf"def\s+{_NAME}", _MODIFIERS + rf"(?:class|trait|object)\s+{_NAME}"),
+    "swift": (_MODIFIERS + rf"func\s+{_NAME}", _MODIFIERS + rf"(?:class|struct|enum|protocol|extension|actor)\s+{_NAME}"),
+    "c": (_C_FUNCTION, rf"(?:typedef\s+)?(?:struct|enum|union)\s+{_NAME}\s*\{{?$"),
+    "c-family": (_C_FUNCTION, rf"(?:typedef\s+)?(?:class|struct|enum(?:\s+class)?|union)\s+{_NAME}[^;()]*$"),
+    "cpp": (_C_FUNCTION, rf"(?:typedef\s+)?(?:class|struct|enum(?:\s+class)?|union)\s+{_NAME}[^;()]*$"),
+    "php": (_MODIFIERS + rf"function\s+&?{_NAME}", _MODIFIERS + rf"(?:class|interface|trait|enum)\s+{_NAME}"),
+    "ruby": (r"def\s+(?:self\.)?(\w+[?!=]?)", r"(?:class|module)\s+([\w:]+)"),
+    "lua": (r"(?:local\s+)?function\s+(?:\w+[.:])*(\w+)", r"(?!)"),
+    "shell": (r"(?:function\s+)?([\w-]+)\s*\(\)|function\s+([\w-]+)", r"(?!)"),
+}
+#: Words that begin a statement, so what follows them isn't a definition's type or name.
+_STATEMENTS = frozenset("return new else throw if for while switch catch do case delete await yield using goto try finally elif until unless when match typeof sizeof".split())
+#: Statements that look like a function's name and parameters.
+_NOT_NAMES = frozenset("if for while switch catch return sizeof typeof".split())
+_COMMENT = re.compile(r"//|#(?!\[)|/\*|\*|--|;")
+#: Columns of lists, which are empty rather than null.
+LISTS = ("params", "decorators", "raises", "bases", "class_attrs", "instance_attrs", "calls")
+_patterns = {name: (re.compile(f), re.compile(c)) for name, (f, c) in DEFINITIONS.items()}
+
+
+def _named(pattern: re.Pattern, line: str) -> str | None:
+    found = pattern.match(line)
+    name = next((g for g in found.groups() if g), None) if found else None
+    return None if name in _NOT_NAMES else name
+
+
+def _last_line(lines: list[str], start: int, indent: int) -> int:
+    """Number of the line that ends what begins at start: a closer at its indentation, or the line before the next that stands no deeper."""
+    last = start
+    for k in range(start + 1, len(lines)):
+        body = lines[k].strip()
+        if not body:
+            continue
+        depth = len(lines[k]) - len(lines[k].lstrip())
+        if depth <= indent:
+            if depth == indent and (body[0] == "{" or body[0] == ")" and body[-1] == "{"):
+                continue  # the body begins on a line of its own, or after a list of parameters over several lines
+            return k if depth == indent and (body[0] in "})" or re.match(r"end\b", body)) else last
+        last = k
+    return last
+
+
+def parse_lines(language: str, path: str, text: str) -> list[dict]:
+    """Functions, classes and methods. What is defined within a class is its method; of a name defined twice the first counts.
+
+    Ends go by indentation, so they are sure in formatted code only. A comment isn't a definition, nor is a
+    statement that looks like one; an empty text defines nothing.
+    """
+    functions, classes = _patterns[language]
+    lines = text.splitlines()
+    rows: list[dict] = []
+    open_classes: list[tuple[int, str]] = []
+    seen: set[tuple[str, str]] = set()
+    inside_until = -1  # the last line of the function that is open
+    for k, line in enumerate(lines):
+        body = line.strip()
+        while open_classes and open_classes[-1][0] < k:
+            open_classes.pop()
+        if not body or _COMMENT.match(body) or re.split(r"\W", body, maxsplit=1)[0] in _STATEMENTS:
+            continue
+        owner = open_classes[-1][1] if open_classes else None
+        cls = _named(classes, body)
+        fn = None if cls or k <= inside_until else _named(functions, body)
+        if not cls and not fn:
+            continue
+        end = _last_line(lines, k, len(line) - len(line.lstrip()))
+        if cls:
+            open_classes.append((end, cls))
+        else:
+            inside_until = end
+        kind, name = ("class", cls) if cls else ("method" if owner else "function", fn)
+        full = f"{owner}.{fn}" if fn and owner else name
+        if (kind, full) not in seen:
+            seen.add((kind, full))
+            rows.append({c: [] for c in LISTS} | {"path": path, "kind": kind, "class_name": owner if fn else None, "name": name, "qualified_name": full, "ord": len(rows), "start_line": k + 1, "end_line": end + 1, "visibility": "public"})
+    return rows

@@ -123,3 +123,24 @@ def recall_and_mrr(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFra
     """ranks: rank from 1 of a query's first acceptable hit, null without one. Recall at each k, and the mean reciprocal rank."""
     share = [F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"recall_at_{k}") for k in ks]
     return ranks.agg(F.count("*").alias("n"), *share, F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def hit_id(line: Column) -> Column:
+    """path::symbol of a hit's line; null for lines that aren't hits: blank ones, notes in brackets and those on what was left out."""
+    hit = F.trim(line)
+    signature = F.regexp_replace(F.split_part(F.regexp_extract(hit, r"^\S+\s+\S+\s+(.*)$", 1), F.lit("("), F.lit(1)), "^async ", "")
+    name = F.element_at(F.split(F.trim(signature), " "), -1)
+    place = F.split_part(F.split_part(hit, F.lit(" "), F.lit(1)), F.lit(":"), F.lit(1))
+    return F.when((hit != "") & ~hit.rlike(r"^(?:\[|\.\.\.)"), F.concat(place, F.lit("::"), name))
+
+
+def docstring_queries(symbols: DataFrame, least: int = 20, most: int = 500) -> DataFrame:
+    """query, wanted (path::symbol): documented functions and methods, each to be found by its own docstring."""
+    doc = F.trim(F.col("doc_full"))
+    return symbols.where(F.col("kind").isin("function", "method") & (F.length(doc) >= least)).select(F.substring(doc, 1, most).alias("query"), F.concat("path", F.lit("::"), "qualified_name").alias("wanted"))
+
+
+def first_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, rank: the first hit (query_id, rank, id) that holds, in any case, one of a query's accepted texts (query_id, accepted); null if none does."""
+    accepted = F.exists("accepted", lambda a: F.lower("id").contains(F.lower(a)))
+    return queries.select("query_id", "accepted").join(hits.select("query_id", "rank", "id"), "query_id", "left").groupBy("query_id").agg(F.min(F.when(accepted, F.col("rank"))).alias("rank"))

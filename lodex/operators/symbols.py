@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodex.config import LARGE_BYTES, LARGE_LINES, REGION_CHARS, REGION_LINES, REGIONS, TEXT_LANGUAGES
+from lodex.config import LANGUAGES, LARGE_BYTES, LARGE_LINES, REGION_CHARS, REGION_LINES, REGIONS, TEXT_LANGUAGES
+from lodex.functions.paths import extension
 from lodex.functions.text import numbered_lines
+from lodex.operators import languages
 
 # How a line begins that defines a function or a class, and one that begins a region.
 FUNCTION_LINES = (
@@ -216,15 +219,46 @@ def parse_python(path: str, text: str) -> list[dict]:
     return [r | {"ord": k} for k, r in enumerate(rows)]
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Everything that Python files define. A file that can't be parsed gives an error row, never a failed job."""
+Extractor = Callable[[str, str], list[dict]]
+
+#: What makes rows of SYMBOLS of a file's path and text, by file name ending.
+_extractors: dict[str, Extractor] = {".py": parse_python, ".pyi": parse_python}
+
+
+def register_extractor(ending: str, extract: Extractor) -> None:
+    """Have files with this ending (with its dot) parsed by a function of one's own; it takes the place of another."""
+    _extractors[ending.lower()] = extract
+
+
+def extractors() -> dict[str, Extractor]:
+    """All that are known: registered ones, and line patterns for the languages that have them."""
+    lined = {f".{end}": partial(languages.parse_lines, language) for end, language in LANGUAGES.items() if language in languages.DEFINITIONS}
+    return lined | _extractors
+
+
+def rows_of(by_ending: dict[str, Extractor], path: str, text: str) -> list[dict]:
+    """What the extractor of the path's ending finds; none for other endings; one error row if it fails."""
+    extract = by_ending.get("." + path.rpartition(".")[2].lower())
+    try:
+        return list(extract(path, text)) if extract else []
+    except Exception as e:  # whatever an extractor raises is that file's row
+        return [{"path": path, "kind": "error", "ord": 0, "error": f"{type(e).__name__}: {e}"}]
+
+
+def symbols_of_files(files: DataFrame, by_ending: dict[str, Extractor]) -> DataFrame:
+    """Everything that files with these endings define. A file whose extractor fails gives an error row, never a failed job."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in parse_python(p, t or "")]
+            rows = [r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in rows_of(by_ending, p, t or "")]
             yield pd.DataFrame([{c: r.get(c) for c in _COLUMNS} for r in rows], columns=_COLUMNS)
 
-    return files.where(F.col("path").rlike(r"\.pyi?$")).select("path", "text").mapInPandas(parse, SYMBOLS)
+    return files.where(extension(F.col("path")).isin(*by_ending)).select("path", "text").mapInPandas(parse, SYMBOLS)
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    """Everything that Python files define. A file that can't be parsed gives an error row, never a failed job."""
+    return symbols_of_files(files, {".py": parse_python, ".pyi": parse_python})
 
 
 def type_entries(symbols: DataFrame) -> DataFrame:

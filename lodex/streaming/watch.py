@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -43,3 +45,30 @@ def apply_to(events: DataFrame, delete: Callable[[DataFrame], None], change: Cal
             last.unpersist()
 
     return events.writeStream.option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def flush(query: StreamingQuery, seconds: float = 1.0) -> bool:
+    """Have what has come applied before a read, waiting for so long at most. False: there is more to apply."""
+    worker = threading.Thread(target=query.processAllAvailable, daemon=True)
+    worker.start()
+    worker.join(seconds)
+    return not worker.is_alive()
+
+
+def poll(mark: Callable[[], str], act: Callable[[], None], stop: threading.Event, every: float = 2.0, quiet: float = 1.0, pause: float = 5.0) -> None:
+    """Act whenever a snapshot's mark changes and then stays for a while; until stopped. If acting fails, it is tried again after a pause."""
+    known = mark()
+    while not stop.wait(every):
+        now = mark()
+        if now == known:
+            continue
+        while not stop.wait(quiet) and (later := mark()) != now:
+            now = later
+        if stop.is_set():
+            return
+        try:
+            act()
+            known = now
+        except Exception:
+            logging.getLogger(__name__).exception("acting on a change failed")
+            stop.wait(pause)

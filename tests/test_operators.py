@@ -1,14 +1,15 @@
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodex.config import EngineConfig
+from lodex.config import EngineConfig, resolve_root
 from lodex.engine import Engine
-from lodex.functions import paths, text, vectors
-from lodex.operators import freshness, graph, retrieval, symbols
+from lodex.functions import paths, text, udtfs, vectors
+from lodex.operators import freshness, graph, languages, retrieval, symbols
 from lodex.sources.files import Store, env_pairs, fingerprint
 from lodex.streaming import watch
 
@@ -310,3 +311,134 @@ def test_engine_update_equals_build(spark, tree):
         key = lambda df: sorted(map(str, df.select("path", "start_line", "end_line").collect()))
         assert key(getattr(updated, name)) == key(getattr(rebuilt, name))
     assert sorted((r.id, r.text) for r in updated.records.collect()) == sorted((r.id, r.text) for r in rebuilt.records.collect())
+
+
+SOURCES = {
+    "go": ("type T struct {\n  x int\n}\n\nfunc (t *T) Get() int {\n  return t.x\n}\n", [("class", "T", 1, 3), ("function", "Get", 5, 7)]),
+    "java": ("public class A {\n  public static List<String> get(int a) {\n    if (a > 1) {\n      return call(a);\n    }\n    other(a);\n  }\n}\n", [("class", "A", 1, 8), ("method", "A.get", 2, 7)]),
+    "cpp": ("class A : public B {\n  int get() const {\n    return foo(1);\n  }\n};\nstatic int add(int a,\n               int b)\n{\n  return a + b;\n}\nint decl(int);\n", [("class", "A", 1, 5), ("method", "A.get", 2, 4), ("function", "add", 6, 10)]),
+    "ruby": ("module M\n  def go?(x)\n    x\n  end\nend\n", [("class", "M", 1, 5), ("method", "M.go?", 2, 4)]),
+    "javascript": ("// function no() {}\nexport const f = async (a) => {\n  return a;\n};\nclass C {\n  run(x) {\n    if (x) {\n      y();\n    }\n  }\n}\n", [("function", "f", 2, 4), ("class", "C", 5, 11), ("method", "C.run", 6, 10)]),
+    "rust": ("pub struct A {\n  x: u8,\n}\nimpl A {\n    pub fn new() -> Self {\n        A { x: 1 }\n    }\n}\n", [("class", "A", 1, 3), ("method", "A.new", 5, 7)]),
+    "kotlin": ("data class P(val x: Int)\nfun String.up(): String {\n  return this\n}\n", [("class", "P", 1, 1), ("function", "up", 2, 4)]),
+    "csharp": ("public class A {\n  public async Task<int> Go(int x)\n  {\n    return 1;\n  }\n}\n", [("class", "A", 1, 6), ("method", "A.Go", 2, 5)]),
+    "shell": ("go() {\n  ls\n}\nfunction two {\n  ls\n}\n", [("function", "go", 1, 3), ("function", "two", 4, 6)]),
+    "lua": ("local function a(x)\n  return x\nend\nfunction M.b()\nend\n", [("function", "a", 1, 3), ("function", "b", 4, 5)]),
+    "php": ("<?php\nclass A {\n  public function get($x) {\n    return 1;\n  }\n}\n", [("class", "A", 2, 6), ("method", "A.get", 3, 5)]),
+    "scala": ("object A {\n  def go(x: Int) = x\n}\n", [("class", "A", 1, 3), ("method", "A.go", 2, 2)]),
+    "swift": ("struct A {\n  func go() {\n  }\n}\n", [("class", "A", 1, 4), ("method", "A.go", 2, 3)]),
+    "c": ("struct p {\n  int x;\n};\nint main(void) {\n  return f(1);\n}\n", [("class", "p", 1, 3), ("function", "main", 4, 6)]),
+}
+
+
+@pytest.mark.parametrize("language", SOURCES)
+def test_definitions_by_language(language):
+    body, want = SOURCES[language]
+    assert [(r["kind"], r["qualified_name"], r["start_line"], r["end_line"]) for r in languages.parse_lines(language, "p", body)] == want
+    assert languages.parse_lines(language, "p", "") == []
+
+
+def test_registered_extractor_and_table_functions(spark):
+    def fail(path, text):
+        raise KeyError(path)
+
+    known = symbols.extractors() | {".zz": lambda path, text: [{"path": path, "kind": "function", "name": text, "start_line": 1}], ".bad": fail}
+    files = spark.createDataFrame([("a.zz", "hello"), ("b.bad", ""), ("c.go", "func main() {\n}\n"), ("d.unknown", "x"), ("e.py", None)], "path string, text string")
+    got = {(r.path, r.kind, r.name) for r in symbols.symbols_of_files(files, known).where("kind <> 'module'").collect()}
+    assert got == {("a.zz", "function", "hello"), ("b.bad", "error", None), ("c.go", "function", "main")}
+    udtfs.register(spark)
+    files.createOrReplaceTempView("some_files")
+    assert [(r.path, r.name) for r in spark.sql("SELECT path, s.name FROM some_files, LATERAL symbols_of(path, text) s WHERE s.kind = 'function'").collect()] == [("c.go", "main")]
+    assert [r.line for r in spark.sql("SELECT l.line FROM some_files, LATERAL lines_of(text) l WHERE path = 'c.go' ORDER BY l.line_no").collect()] == ["func main() {", "}"]
+    assert spark.sql("SELECT r.* FROM some_files, LATERAL regions_of(path, text) r WHERE path = 'c.go'").first().region == "func main() {\n}"
+
+
+def test_trace_bodies_by_a_plain_fold(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["callees", "callers"]), f"p{k % 5}", f"n{k}", rng.randint(1, 3), rng.choice([None, "c", "c\nd"]), rng.choice([None, "", "\n".join("x" * rng.randint(1, 6))])) for k in range(40)]
+    df = spark.createDataFrame(rows, "direction string, path string, name string, depth int, contract string, source string").repartition(3)
+    for include in ("contracts", "full", "mixed"):
+        for budget in (1, 7, 30, 1000):
+            used, want = 0, []
+            for way, path, name, depth, contract, source in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+                if used >= budget:
+                    break
+                lines = (source or "").count("\n") + 1
+                fits = bool(source) and (include == "full" or include == "mixed" and depth == 1) and used + lines <= budget
+                body = source if fits else contract if contract is not None else name
+                used += body.count("\n") + 1
+                want.append((way, path, name, depth, "full" if fits else "contract", body))
+            assert [tuple(r) for r in graph.bodies(df, budget, include).collect()] == want
+    with pytest.raises(ValueError, match="include"):
+        graph.bodies(df, 5, "other")
+    assert graph.bodies(df.limit(0), 5, "full").count() == 0
+
+
+def test_roots_and_environment(tmp_path):
+    home, inner = tmp_path / "home", tmp_path / "home" / "work" / "src"
+    inner.mkdir(parents=True)
+    (home / ".git").mkdir()
+    assert resolve_root({}, str(inner), str(home)) == str(inner)
+    (home / "work" / "go.mod").touch()
+    assert resolve_root({}, str(inner), str(home)) == str(home / "work")
+    assert resolve_root({"PWD": str(inner)}, str(home), str(home)) == str(home / "work")
+    assert resolve_root({"REPO_ROOT": str(home)}, str(inner), str(home)) == str(home)
+    config = EngineConfig.from_env({"REPO_ROOT": str(home), "LANGUAGES": "go, rust", "INCLUDE_PRIVATE_FUNCTIONS": "TRUE"})
+    assert (config.root, config.languages, config.include_private, config.exclude) == (str(home), ("go", "rust"), True, ())
+
+
+def test_hit_lines_and_first_hits(spark):
+    lines = spark.createDataFrame([("a/b.py:3-9 symbol async C.go(x: int)->bool",), ("a.py file",), ("[none]",), ("...and 3 more",), ("",), ("x.py:1 class Big",)], "line string")
+    assert [r[0] for r in lines.select(retrieval.hit_id(F.col("line"))).collect()] == ["a/b.py::C.go", "a.py::", None, None, None, "x.py::Big"]
+    wanted = spark.createDataFrame([(1, ["b.PY", "zzz"]), (2, ["none"]), (3, [])], "query_id int, accepted array<string>")
+    hits = spark.createDataFrame([(1, 1, "q"), (1, 2, "a/b.py"), (1, 3, "b.py"), (2, 1, "x")], "query_id int, rank int, id string")
+    assert {r.query_id: r.rank for r in retrieval.first_hits(wanted, hits).collect()} == {1: 2, 2: None, 3: None}
+    made = symbols.python_symbols(spark.createDataFrame([("m.py", 'def f():\n    """Adds up all the numbers given."""\ndef g():\n    """Short."""\n')], "path string, text string"))
+    assert [tuple(r) for r in retrieval.docstring_queries(made).collect()] == [("Adds up all the numbers given.", "m.py::f")]
+
+
+def test_names_and_blocks(spark):
+    rows = spark.createDataFrame([("a/x",), ("a/b/c/x",), ("keep/x",), ("a/y",), ("keeper/x",)], "path string")
+    assert [r.path for r in rows.where(paths.named_within(F.col("path"), ["x"], 3, ["keep"])).collect()] == ["a/x", "keeper/x"]
+    both = spark.createDataFrame([("one\ntwo\n", "\n two \n"), ("one", "two")], "text string, block string")
+    assert [r[0] for r in both.select(text.holds_block(F.col("text"), F.col("block"))).collect()] == [True, False]
+
+
+def test_polling_acts_once_things_are_quiet():
+    marks, acted, stop = iter(["a", "a", "b", "c", "c", "c"]), [], threading.Event()
+
+    def act():
+        acted.append(1)
+        if len(acted) == 1:
+            raise OSError("first try fails")
+        stop.set()
+
+    watch.poll(lambda: next(marks, "c"), act, stop, 0.001, 0.001, 0.001)
+    assert len(acted) == 2
+
+
+def test_engine_traces_with_bodies_and_overview_modes(spark, tree):
+    engine = Engine.build(spark, EngineConfig(str(tree / "tree"), dimensions=16))
+    near = {(r.direction, r.name): (r.shown, r.text) for r in engine.trace("main.py", "run", "callees", 1, include="mixed").collect()}
+    assert near["callees", "target"][0] == "full" and near["callees", "target"][1].startswith("def target")
+    assert {r.shown for r in engine.trace("main.py", "run", "callees", 1, include="contracts").collect()} == {"contract"}
+    assert engine.trace("main.py", "run", "callees", 1, include="contracts", budget_lines=1).count() == 1
+    with pytest.raises(ValueError, match="direction"):
+        engine.trace("main.py", "run", "up")
+    assert "twin" in {r.callee for r in engine.ambiguities("far.py").collect()}
+    assert {r.path for r in engine.overview(mode="auto").collect()} == {r.path for r in engine.files.collect()}
+    with pytest.raises(ValueError, match="mode"):
+        engine.overview(mode="other")
+    go = engine.symbols.where("path = 'web/c.js' and name = 'go'").first()
+    assert (go.start_line, go.end_line) == (1, 3)
+
+
+def test_flush_waits_for_what_has_come(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"x": 1}\n')
+    stream = spark.readStream.schema("x int").json(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).start()
+    try:
+        assert watch.flush(stream, 60)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    finally:
+        stream.stop()
