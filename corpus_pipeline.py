@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import exact, mixing, packing, quality, simhash
+from lodex.llm import exact, mixing, near, packing, quality
 from lodex.llm.queries import grades
 from lodex.llm.support import stage
 
@@ -34,9 +34,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, with the smallest id."""
+    """One row of each group of near copies, whose five-word shingles are similar by 0.8 or more, with the smallest id."""
     docs = _numbered(docs)
-    gone = simhash.near_duplicates(docs, row_col=ROW).where("not kept").select(F.col("row").alias(ROW))
+    gone = near.near_copies(docs, row_col=ROW).where("not kept").select(F.col("row").alias(ROW))
     return docs.join(gone, ROW, "left_anti").select(*COLUMNS)
 
 
