@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from lodex.llm.support import cache_for, only, share_below, small_batches, stage, sums_by_row, text_slices, words_of
 
-#: Bounds of the sample that is learned from, and of the known words and n-grams by length (the most frequent ones).
+#: Bounds of the sample that is learned from, and of the known words and n-grams by length (each language's most frequent ones).
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_WORDS, MOST_GRAMS, LONGEST = 12_000, 24_000_000, 60_000, 20_000, 5
-#: Characters of a word from which n-grams are taken, half at each end.
-ENDS = 48
+#: Characters of a word, beyond which it is cut at what isn't a letter or mark; and how many count as a word in longer runs of these.
+LONG, PIECE = 48, 16
+#: Different n-grams that a task counts before it hands them on.
+COUNTED = 200_000
 
 
 def letters(word: str) -> str:
@@ -34,9 +37,39 @@ def letters(word: str) -> str:
     return word[begin:end].lower()
 
 
-def grams(core: str, n: int) -> list[str]:
-    held = f"<{core}>" if len(core) <= ENDS else f"<{core[: ENDS // 2]}{core[-ENDS // 2 :]}>"
-    return [held[k : k + n] for k in range(len(held) - n + 1)]
+def pieces(word: str) -> Iterator[tuple[str, str, int]]:
+    """(word, the text to take its n-grams from with bounds, at how many places these begin).
+
+    A long one gives its runs of letters; a long run gives parts that aren't words (""). These overlap, but each n-gram of the
+    run begins in one of them, and none is made that isn't there.
+    """
+    if len(word) <= LONG:
+        if core := letters(word):
+            yield core, f"<{core}>", len(core) + 2
+        return
+    begin = 0
+    while begin < len(word):
+        end = begin
+        while end < len(word) and _within(word[end]):
+            end += 1
+        if end - begin <= LONG:
+            if core := letters(word[begin:end]):
+                yield core, f"<{core}>", len(core) + 2
+        elif any(map(str.isalpha, run := f"<{word[begin:end].lower()}>")):
+            at, wide = 0, PIECE + LONGEST - 1
+            while at + wide < len(run):
+                yield "", run[at : at + wide], PIECE
+                at += PIECE
+            yield "", run[at:], wide
+        begin = end + 1
+
+
+def _within(c: str) -> bool:
+    return c.isalpha() or category(c)[0] == "M"
+
+
+def grams(held: str, n: int, places: int) -> list[str]:
+    return [held[k : k + n] for k in range(min(places, len(held) - n + 1))]
 
 
 class Model:
@@ -59,30 +92,37 @@ class Model:
         self.key = blake2b(self.rows.tobytes() + repr(languages).encode(), digest_size=8).hexdigest()
 
     def words(self, words: list[str]) -> np.ndarray:
-        """By word: its scores, then 1 if it has a letter. An unknown word has the mean of its longest known n-grams."""
+        """By word: its scores, then 1 if it has a letter; sums of these over its pieces. An unknown one has the mean of its longest known n-grams."""
         out = np.zeros((len(words), len(self.languages) + 1), dtype=np.float32)
         flat: list[int] = []
         at, ends = [], []
         known, grams_at = self.known_words.get, self.known_grams.get
+
+        def add() -> None:
+            starts = np.array([0, *ends[:-1]])
+            mean = np.add.reduceat(self.rows[flat], starts, axis=0) / np.diff(np.array([0, *ends]))[:, None]
+            np.add.at(out[:, :-1], at, _to_one(mean))
+            for held in (flat, at, ends):
+                held.clear()
+
         for k, w in enumerate(words):
-            if not (core := letters(w)):
-                continue
-            out[k, -1] = 1
-            if (row := known(core)) is not None:
-                flat.append(row)
-            else:
-                for n in range(LONGEST, 0, -1):
-                    if some := [r for g in grams(core, n) if (r := grams_at(g)) is not None]:
-                        flat += some
-                        break
+            for core, held, places in pieces(w):
+                out[k, -1] += 1
+                if (row := known(core)) is not None:
+                    flat.append(row)
                 else:
-                    continue
-            at.append(k)
-            ends.append(len(flat))
+                    for n in range(LONGEST, 0, -1):
+                        if some := [r for g in grams(held, n, places) if (r := grams_at(g)) is not None]:
+                            flat += some
+                            break
+                    else:
+                        continue
+                at.append(k)
+                ends.append(len(flat))
+                if len(flat) > COUNTED:
+                    add()
         if at:
-            starts = np.array([0, *ends[:-1]])
-            mean = np.add.reduceat(self.rows[flat], starts, axis=0) / np.diff(np.array([0, *ends]))[:, None]
-            out[at, :-1] = _to_one(mean)
+            add()
         return out
 
 
@@ -102,22 +142,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     share = min(1.0, SAMPLE_DOCS / max(1, n), SAMPLE_CHARS / max(1, chars or 0))
     sample = stage(docs.where(share_below("doc_id", share)) if share < 1 else docs, "sample")
 
+    def made(lang: str, found: Counter[tuple[int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([m for m, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "many"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
             which, bounds, words = words_of(texts)
-            cores = [letters(w) for w in words]
             langs = np.array(rows.column("lang").to_pylist(), dtype=object)
             by = np.repeat(np.arange(len(langs)), np.diff(bounds))
             for lang in dict.fromkeys(langs):
                 found: Counter[tuple[int, str]] = Counter()
                 of = np.bincount(which[langs[by] == lang], minlength=len(words)) if len(by) else np.zeros(0, dtype=int)
                 for k in np.flatnonzero(of):
-                    if cores[k]:
-                        found[0, cores[k]] += int(of[k])
+                    for core, held, places in pieces(words[k]):
+                        if core:
+                            found[0, core] += int(of[k])
                         for m in range(1, LONGEST + 1):
-                            for g in grams(cores[k], m):
+                            for g in grams(held, m, places):
                                 found[m, g] += int(of[k])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([m for m, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "many"])
+                        if len(found) > COUNTED:
+                            yield made(lang, found)
+                            found.clear()
+                yield made(lang, found)
 
     counts = stage(sample.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(count, "lang string, n int, gram string, many long").groupBy("n", "gram", "lang").agg(F.sum("many").alias("many")), "grams")
     total = counts.groupBy("n", "lang").agg(F.sum("many").alias("many")).collect()
