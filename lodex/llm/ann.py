@@ -94,20 +94,27 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def best_of_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """Each query's k nearest ids, those that rows repeat once, by the nearest."""
     ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("v"))
     asked, q = queries.column("vec_id").to_numpy(), matrix(queries.column("v"))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(ids) and len(asked):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        once = len(starts) == len(ids)
         unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
         for begin in range(0, len(asked), 256):
             rough = q[begin : begin + 256] @ unit.T / np.sqrt((q[begin : begin + 256] ** 2).sum(axis=1))[:, None]
             for j, s in enumerate(rough):
                 one = asked[begin + j]
                 s[ids == one] = -np.inf
-                least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                best = s if once else np.maximum.reduceat(s, starts)
+                least = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
                 near = np.flatnonzero((s >= least - 1e-9) & (s > -np.inf))
                 exact = cosines(q[begin + j], x[near])
-                first = np.lexsort((ids[near], -exact))[:k]
+                first = np.lexsort((ids[near], -exact))
+                first = first[:k] if once else first[np.sort(np.unique(ids[near][first], return_index=True)[1])][:k]
                 out.append((np.full(len(first), one), ids[near][first], exact[first]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
