@@ -134,7 +134,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Learn from about SAMPLE_DOCS documents of SAMPLE_CHARS characters at most, chosen by the id's hash.
 
     Documents with a null text or language give nothing. Counting runs on the executors;
-    the driver gets the most frequent words and n-grams only, so many of each length.
+    the driver gets each language's most frequent words and n-grams only, so many of each length.
     """
     small_batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col, lang=lang_col).dropna(subset=["text", "lang"])
@@ -170,8 +170,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     by_doc = dict(sample.groupBy(F.col("lang").cast("string")).count().collect())
     languages = sorted(by_doc)
     at = {lang: k for k, lang in enumerate(languages)}
-    grouped = counts.groupBy("n", "gram").agg(F.sum("many").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "many"))).alias("by"))
-    best = grouped.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("all"), "gram"))).where(F.col("rank") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
+    # ranked within each language, so that one with most rows leaves the others theirs
+    place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("many"), "gram"))
+    grouped = counts.withColumn("place", place).groupBy("n", "gram").agg(F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "many"))).alias("by"))
+    best = grouped.where(F.col("place") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
     table, totals = {}, {m: np.zeros(len(languages)) for m in range(LONGEST + 1)}
     for r in best.select("n", "gram", "by").toLocalIterator():
         row = table[r[0], r[1]] = np.zeros(len(languages))
@@ -193,7 +195,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     stay null; an empty table gives no rows. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS and MOST_GRAMS a language
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
