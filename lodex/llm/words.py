@@ -16,6 +16,8 @@ DIM = 1 << 20
 GRAMS, SIGNS = (3, 4, 5), (1, 2)
 #: Words whose features are made at a time.
 CHUNK = 50_000
+#: Characters of a labelled text beyond which it isn't learned from if the sample is too large, unless most are.
+LONGEST = 200_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -160,14 +162,19 @@ class Adam:
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int) -> pd.DataFrame:
     """Texts with their labels, of about most_docs rows and most_chars characters at most, chosen by the id's hash.
 
-    docs: doc_id, text. labels: doc_id, label. Rows with a null in any of these give nothing to learn from.
+    docs: doc_id, text. labels: doc_id, label. Rows with a null in any of these give nothing to learn from. If there are
+    too many characters, texts of over LONGEST are left out first, so that one of them doesn't thin out the others; where
+    they are half of the sample or more, they stay.
     """
     labels = labels.dropna()
     share = min(1.0, most_docs / max(1, labels.count()))
     some = labels.where(share_below("doc_id", share)) if share < 1 else labels
     # the bound on the sample is one on what is broadcast
     found = stage(docs.dropna().join(F.broadcast(some), "doc_id"), "sample")
-    chars = found.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > most_chars:
+    size, short = F.length("text"), F.length("text") <= LONGEST
+    chars, n, short_chars, few = found.agg(F.sum(size), F.count("*"), F.sum(F.when(short, size)), F.count_if(short)).first()
+    if (chars or 0) > most_chars and 2 * few > n:
+        found, chars = found.where(short), short_chars
+    if (chars or 0) > most_chars:
         found = found.where(share_below("doc_id", share * most_chars / chars))
     return found.orderBy("doc_id", "text", "label").toPandas()
