@@ -22,10 +22,12 @@ from lodex.llm.support import only, small_batches, stage, text_slices, words_of
 
 #: Passes of the non-negative least squares fit, and how many partners each length gets in a pattern.
 NNLS_STEPS, PARTNERS = 400, 24
-#: Words whose token ids a Python worker keeps.
-WORD_ROOM = 1_000_000
+#: Bytes that a Python worker spends on the token ids of words it has met, and what a word takes there besides its own text and ids.
+WORD_BYTES, WORD_EXTRA = 32 << 20, 150
 #: What tokens at the end of a word end with, and how many words of letters are encoded as one text.
 WORD_END, GROUP = "</w>", 64
+#: Signs that the tokenizer cuts from letters before them.
+SIGNS = ".,;:!?"
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -36,38 +38,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def word_ids(path: str, words: list[str]) -> list[bytes]:
-    """Each word's token ids as little-endian 32-bit numbers.
+class KnownWords(dict):
+    """Token ids by word, of the words that came first, within WORD_BYTES: a worker keeps them for its life, and a machine has many."""
 
-    The tokenizer cuts at white space before all else, so a text's ids are those of its words in a row.
-    """
+    left = WORD_BYTES
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.left -= 2 * len(word) + len(ids) + WORD_EXTRA
+        if self.left >= 0:
+            self[word] = ids
+
+
+def _loaded(path: str) -> tuple:
+    """The tokenizer, which tokens end a word, and the words known to this worker."""
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         ends[[k for token, k in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
-        _tokenizers[path] = tokenizer, {}, ends
-    tokenizer, known, ends = _tokenizers[path]
-    got = [known.get(w) for w in words]
-    missing = [k for k, ids in enumerate(got) if ids is None]
-    plain = [k for k in missing if words[k].isalpha()]  # one token each ends such a word, so many can go as one text
+        _tokenizers[path] = tokenizer, ends, KnownWords()
+    return _tokenizers[path]
+
+
+def _parts(words: list[str]) -> tuple[list[str], list[str]]:
+    """Each word without the signs at its end, in lower case, and these signs. Words that aren't letters before them stay whole."""
+    heads, tails = [], []
+    for w in words:
+        head = w.rstrip(SIGNS)
+        if head.isascii() and head.isalpha():
+            heads.append(head.lower())
+            tails.append(w[len(head) :])
+        else:
+            whole = head.isalpha()
+            heads.append(head if whole else w)
+            tails.append(w[len(head) :] if whole else "")
+    return heads, tails
+
+
+def word_ids(path: str, words: list[str]) -> list[bytes]:
+    """Each word's token ids as little-endian 32-bit numbers.
+
+    The tokenizer cuts at white space before all else, so a text's ids are those of its words in a row. It cuts letters from
+    the signs after them as well and makes all letters small, so words that differ in these alone are encoded once.
+    """
+    tokenizer, ends, known = _loaded(path)
+    heads, tails = _parts(words)
+    got = list(map(known.get, heads))
+    signs = {t: known.get(t) for t in set(tails)}
+    found: dict[str, bytes | None] = dict.fromkeys([h for h, ids in zip(heads, got, strict=True) if ids is None] + [t for t, ids in signs.items() if ids is None])
+    plain = [w for w in found if w.isalpha()]  # one token each ends such a word, so many can go as one text
     for first in range(0, len(plain), GROUP):
         some = plain[first : first + GROUP]
-        coded = np.array(tokenizer.encode_batch_fast([" ".join([words[k] for k in some])], add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.flatnonzero(ends[coded]) + 1
+        coded = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (np.flatnonzero(ends[coded]) + 1) * 4
         if len(cuts) == len(some):
             data, at = coded.tobytes(), 0
-            for k, cut in zip(some, (4 * cuts).tolist(), strict=True):
-                got[k], at = data[at:cut], cut
-    alone = [k for k in missing if got[k] is None]
+            for w, cut in zip(some, cuts.tolist(), strict=True):
+                found[w], at = data[at:cut], cut
+    alone = [w for w, ids in found.items() if ids is None]
     for first in range(0, len(alone), 20_000):
         some = alone[first : first + 20_000]
-        for k, coded in zip(some, tokenizer.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
-            got[k] = np.array(coded.ids, dtype="<u4").tobytes()
-    for k in missing[: max(0, WORD_ROOM - len(known))]:
-        known[words[k]] = got[k]
-    return got
+        for w, coded in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            found[w] = np.array(coded.ids, dtype="<u4").tobytes()
+    if known.left > 0:
+        for w, ids in found.items():
+            known.add(w, ids)
+    signs = {t: found[t] if ids is None else ids for t, ids in signs.items()}
+    return [(found[h] if ids is None else ids) + signs[t] for h, t, ids in zip(heads, tails, got, strict=True)]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
