@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,28 @@ def with_rows(df: DataFrame, row_col: str | None, **columns: str) -> DataFrame:
     return only(df, **columns).withColumn("row", F.monotonically_increasing_id())
 
 
+#: Files whose numbers are broadcast, a path each; and rows of a file.
+MOST_FILES, FILE_ROWS = 100_000, 1 << 40
+
+
+def numbered(docs: DataFrame, row_col: str) -> DataFrame:
+    """docs with a number of each row that is the same at every scan, however the scan is split, so rows alike can be told apart.
+
+    Rows of Parquet files go by their file and their place in it; the files, at most MOST_FILES paths, are numbered by name.
+    Other DataFrames, and those of more files, are written once with numbers, and that table is returned.
+    """
+    spark = docs.sparkSession
+    try:
+        placed = docs.select(*[docs[f"`{c}`"] for c in docs.columns], F.col("_metadata.file_path").alias("lodex_file"), F.col("_metadata.row_index").alias("lodex_index"))
+        names = [r[0] for r in placed.select("lodex_file").distinct().limit(MOST_FILES + 1).collect()]
+    except AnalysisException:  # not of files, or of others than Parquet
+        names = []
+    if not 0 < len(names) <= MOST_FILES:
+        return stage(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
+    files = spark.createDataFrame([(name, k * FILE_ROWS) for k, name in enumerate(sorted(names))], "lodex_file string, lodex_first long")
+    return placed.join(F.broadcast(files), "lodex_file").withColumn(row_col, F.col("lodex_first") + F.col("lodex_index")).drop("lodex_file", "lodex_index", "lodex_first")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """(rows, their texts as binary without nulls) of at most SLICE_BYTES, or of one longer text."""
     for batch in batches:
