@@ -1,10 +1,11 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""Near copies: ball hashing over block fingerprints finds candidates, the exact Jaccard similarity of their word shingles decides.
 
-Each text has several block sketches, each made of a few least hashes of its shingles; texts that share one are candidates.
-Two texts of similarity s miss all of them with a chance of (1 - s ** LEASTS) ** BLOCKS, 3 in a million at 0.8.
-Candidates are linked by their exact similarity only: first each with the least row that it shares a sketch with; then,
-where that leaves a sketch's rows in several components, with all rows of the others.
+A single SimHash of 64 bits differs in 3 to 11 bits between texts whose five-word shingles are similar by 0.8, too many for a
+ball. So each text has several block fingerprints: two least hashes of its shingles, which must be equal, and a few
+bits, one-bit least hashes, which differ by (1 - similarity) / 2 each. Every fingerprint emits itself and all variants
+within half the radius, as in simhash; those that meet at a variant are within the radius, and candidates.
 
+At a similarity of 0.8 two texts meet in none of the blocks with a chance of about 3 in 100,000, and more similar ones less often.
 Shingles are compared by 64-bit hashes.
 """
 
@@ -14,56 +15,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodex.llm.components import components
-from lodex.llm.simhash import SEED
-from lodex.llm.support import small_batches, stage, text_bytes, text_slices, with_rows
+from lodex.llm.simhash import SEED, masks
+from lodex.llm.support import small_batches, stage, text_slices, with_rows, words_of
 
-#: Sketches of a text, least hashes of a sketch, and candidates that are compared with one text at a time.
-BLOCKS, LEASTS, TOGETHER = 24, 4, 1000
-A = np.random.default_rng(SEED).integers(1, 1 << 63, BLOCKS * LEASTS, dtype=np.uint64) | np.uint64(1)
-B = np.random.default_rng(SEED + 1).integers(1, 1 << 63, BLOCKS * LEASTS, dtype=np.uint64)
+#: Blocks, least hashes of each that must be equal, its bits, the least hashes that bits are taken from, and the radius.
+BLOCKS, LEASTS, BITS, POOL, RADIUS = 16, 2, 10, 64, 2
+#: Rows that are held against each other in one task, and shingles that are hashed at a time.
+TOGETHER, AT_ONCE = 1000, 1 << 13
+_rng = np.random.default_rng(SEED)
+FACTORS = _rng.integers(1, 1 << 63, BLOCKS * LEASTS + POOL, dtype=np.uint64) | np.uint64(1)
+SHIFTS = _rng.integers(1, 1 << 63, BLOCKS * LEASTS + POOL, dtype=np.uint64)
+PICKED = np.array([_rng.choice(POOL, BITS, replace=False) for _ in range(BLOCKS)])
+A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The different hashes of a text's shingles, ascending. A text of fewer words is one shingle, one without words has none."""
-    import xxhash
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * B
+    return x ^ (x >> np.uint64(29))
 
-    parts = text.lower().split()  # as in simhash.fingerprint
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    found = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[k:] for k in range(words)), strict=False))
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], dtype=np.uint64))
 
+def shingles(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text's shingles, ascending, and their bounds by text. A text of fewer words is one shingle, one without words has none."""
+    import xxhash
 
-def sketches(hashes: np.ndarray) -> np.ndarray:
-    """Signed longs, one for each block; those of different blocks differ."""
-    least = np.full(BLOCKS * LEASTS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for begin in range(0, len(hashes), 1 << 10):
-        x = hashes[begin : begin + (1 << 10), None] * A + B
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
-    out = np.arange(BLOCKS, dtype=np.uint64)
-    for column in least.reshape(BLOCKS, LEASTS).T:
-        out = (out ^ column) * A[0]
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    lower = pc.ascii_lower(pc.cast(texts, pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string(), safe=False))
+    which, bounds, names = words_of(pc.cast(lower, texts.type))
+    of = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in names], dtype=np.uint64)
+    one = of[which] if len(which) else np.zeros(0, dtype=np.uint64)
+    many = np.diff(bounds)
+    doc = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(which)) - bounds[:-1][doc]
+    found, there = _mixed(one * C), place >= words - 1
+    short_end = np.zeros(len(which), dtype=bool)
+    short_end[bounds[1:][(many > 0) & (many < words)] - 1] = True
+    value = found.copy()
+    for n in range(2, words + 1):
+        longer = found.copy()
+        longer[1:] = _mixed(found[:-1] * A + one[1:] * C + np.uint64(n))
+        found = longer
+        reach = place >= n - 1
+        value[reach] = found[reach]
+    there |= short_end
+    doc, value = doc[there], value[there]
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(doc[new], np.arange(len(many) + 1))
+
+
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """By text, its block fingerprints as signed longs; those of different blocks differ."""
+    least = np.full((len(bounds) - 1, len(FACTORS)), np.iinfo(np.uint64).max, dtype=np.uint64)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for begin in range(0, len(hashes), AT_ONCE):
+        x = hashes[begin : begin + AT_ONCE, None] * FACTORS + SHIFTS
+        x ^= x >> np.uint64(32)
+        here = doc[begin : begin + AT_ONCE]
+        starts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        least[here[starts]] = np.minimum(least[here[starts]], np.minimum.reduceat(x, starts, axis=0))
+    equal = np.arange(BLOCKS, dtype=np.uint64) * C
+    for k in range(LEASTS):
+        equal = _mixed((equal ^ least[:, k * BLOCKS : (k + 1) * BLOCKS]) * A)
+    bit = (least[:, BLOCKS * LEASTS :] >> np.uint64(16)) & np.uint64(1)
+    bits = (bit[:, PICKED] << np.arange(BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    return (((equal >> np.uint64(BITS)) << np.uint64(BITS)) | bits).view(np.int64)
+
+
+def similar(common: np.ndarray, one: np.ndarray, other: np.ndarray, at_least: float) -> np.ndarray:
+    """Whether so many common shingles of so many each are enough; two texts without words are alike."""
+    return common >= at_least * (one + other - common)
+
+
+def fingerprinted(docs: DataFrame, words: int) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches):
+            made = fingerprints(*shingles(texts, words))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, BLOCKS), pa.int32()), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row"), lists], names=["doc_id", "row", "fps"])
 
+    return docs.mapInArrow(make, "doc_id long, row long, fps array<long>")
 
-def similar(one: np.ndarray, many: int, other: int, at_least: float) -> np.ndarray:
-    """Whether so many common ones of `many` and `other` are enough; two texts without words are alike."""
-    return one >= at_least * (many + other - one)
 
+def shingled(docs: DataFrame, words: int) -> DataFrame:
+    """row, held: the different hashes of its shingles as bytes."""
 
-def sketched(docs: DataFrame, words: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_slices(batches):
-            made = np.concatenate([sketches(shingles(t, words)) for t in text_bytes(texts)])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(made) + 1, BLOCKS), pa.int32()), pa.array(made))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("row"), lists], names=["doc_id", "row", "points"])
+            hashes, bounds = shingles(texts, words)
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["row", "held"])
 
-    return docs.mapInArrow(make, "doc_id long, row long, points array<long>")
+    return docs.mapInArrow(make, "row long, held binary")
 
 
 LINKS = "u long, v long"
@@ -73,24 +120,28 @@ def _links(u: list[int], v: list[int]) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _sets(texts: pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
-    for value in texts:
-        yield shingles((value.as_py() or "").encode("utf-8", "surrogatepass"), words)
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
 
 
-def star(one: pa.Table, rows: pa.Table, words: int, at_least: float) -> pa.Table:
-    """The rows that are similar to the one."""
+def star(one: pa.Table, rows: pa.Table, at_least: float) -> pa.Table:
+    """Links of the one to the rows that are similar to it."""
     if not len(one) or not len(rows):
         return _links([], [])
-    first, u = next(_sets(one.column("text"), words)), one.column("u")[0].as_py()
-    near = [v for v, s in zip(rows.column("v").to_pylist(), _sets(rows.column("text"), words), strict=True) if similar(len(np.intersect1d(first, s, assume_unique=True)), len(first), len(s), at_least)]
-    return _links([u] * len(near), near)
+    first, u, sets = _sets(one.column("held"))[0], one.column("u")[0].as_py(), _sets(rows.column("held"))
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+    at = np.minimum(np.searchsorted(first, every), max(0, len(first) - 1))
+    hit = first[at] == every if len(first) else np.zeros(len(every), dtype=bool)
+    common = np.bincount(np.repeat(np.arange(len(sets)), sizes)[hit], minlength=len(sets))
+    near = rows.column("v").to_numpy()[similar(common, sizes, len(first), at_least)]
+    return _links([u] * len(near), near.tolist())
 
 
-def across(rows: pa.Table, words: int, at_least: float) -> pa.Table:
+def across(rows: pa.Table, at_least: float) -> pa.Table:
     """Links that join all components whose rows, of those given, are similar: each row outside the largest is held against all."""
     row, root = rows.column("row").to_numpy(), np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
-    sets = list(_sets(rows.column("text"), words))
+    sets = _sets(rows.column("held"))
     sizes = np.array([len(s) for s in sets])
     entries = np.concatenate(sets)
     order = np.argsort(entries, kind="stable")
@@ -98,9 +149,9 @@ def across(rows: pa.Table, words: int, at_least: float) -> pa.Table:
     u, v = [], []
     for k in np.flatnonzero(root != np.bincount(root).argmax()):
         begin, end = np.searchsorted(entries, sets[k], "left"), np.searchsorted(entries, sets[k], "right")
-        common = np.zeros(len(sets), dtype=np.int64)
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            common[holder[a:b]] += 1  # a row holds a shingle once
+        run = end - begin
+        inside = np.arange(run.sum()) + np.repeat(begin - np.cumsum(run) + run, run)
+        common = np.bincount(holder[inside], minlength=len(sets))  # a row holds a shingle once
         for j in np.flatnonzero(similar(common, sizes[k], sizes, at_least) & (root != root[k])):
             if root[j] != root[k]:
                 u.append(int(row[k]))
@@ -111,35 +162,61 @@ def across(rows: pa.Table, words: int, at_least: float) -> pa.Table:
     return _links(u, v)
 
 
+def _same_sets(members: DataFrame, key: str) -> DataFrame:
+    """One key of all that hold the same rows, with the least row u and the number of rows; only those of two rows and more."""
+    held = members.groupBy(key).agg(F.min("row").alias("u"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("which")).where("n > 1")
+    return held.groupBy("u", "n", "which").agg(F.min(key).alias(key)).select(key, "u", "n")
+
+
+def _stars(docs: DataFrame, members: DataFrame, words: int, at_least: float) -> DataFrame:
+    """Links of each (u, row) of members that are similar; so many rows at a time as TOGETHER."""
+    pairs = stage(members.where("row <> u").select("u", F.col("row").alias("v")).distinct(), "pairs")
+    held = stage(shingled(docs.join(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "row", "left_semi"), words), "shingles")
+    parts = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "parts")
+    some = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).join(held.withColumnRenamed("row", "v"), "v").select(F.col("u").alias("to"), F.col("part").alias("piece"), "v", F.col("held").alias("held"))
+    each = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(held.withColumnRenamed("row", "u"), "u").select("u", "part", "held")
+    return stage(each.groupBy("u", "part").cogroup(some.groupBy("to", "piece")).applyInArrow(lambda a, b: star(a, b, at_least), LINKS), "links")
+
+
+def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) -> DataFrame:
+    """Links between the components that meet at a point. rooted: fps, row, root."""
+    masks_ = F.array(*[F.lit(m) for m in masks(RADIUS // 2) if 0 <= m < 1 << BITS])
+    flip = lambda c: F.explode(F.transform(masks_, lambda m: F.col(c).bitwiseXOR(m)))
+    each = rooted.select(F.explode("fps").alias("fp"), "row", "root")
+    # a root's rows of one fingerprint send its variants once
+    met = each.select("fp", "root").distinct().select(flip("fp").alias("point"), "root").groupBy("point").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    points = stage(met.where("a <> b").select("point"), "points")
+    members = stage(points.select("point", flip("point").alias("fp")).join(each, "fp").select("point", "row", "root"), "members")
+    open_ = members.join(_same_sets(members, "point"), "point").withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
+    # a large point's rows are cut into parts, and each two parts meet in a task
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    open_ = stage(open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("point", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "row", "root"), "open")
+    held = stage(shingled(docs.join(open_.select("row").distinct(), "row", "left_semi"), words), "shingles")
+    return stage(open_.join(held, "row").groupBy("point", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
+
+
 def near_copies(docs: DataFrame, at_least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, component_id, kept, row of every document, linked to those whose shingles' Jaccard similarity is at_least or more.
 
     docs is a table at rest. A component is all that links reach; one row of it is kept, one with the smallest id, null
-    ids last. Null and empty texts are alike. row_col: as in simhash.near_duplicates. at_least is 0.8 or more: below it the
-    sketches miss more. Memory: a task holds the texts that share one sketch and aren't in one component yet.
+    ids last. Null and empty texts are alike. Repeated rows are near copies. Long texts are compared whole. An empty table
+    gives no rows; other columns aren't read. row_col: as in simhash.near_duplicates. at_least is 0.8 or more: below it the
+    blocks miss more.
+
+    First the rows that have a fingerprint in common are held against the least of them; that leaves few components where
+    groups are large. Then rows of different components that meet are held against each other, TOGETHER at a time.
     """
     if not 0.8 <= at_least <= 1:
         raise ValueError("at_least is 0.8 to 1")
     small_batches(docs.sparkSession)
     docs = with_rows(docs, row_col, doc_id=id_col, text=text_col)
-    made = stage(sketched(docs, words), "sketches")
-    met = made.select("row", F.explode("points").alias("point"))
-    points = met.groupBy("point").agg(F.min("row").alias("u"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("which")).where("n > 1")
-    # a set of rows that shares several sketches is looked at once
-    points = stage(points.groupBy("u", "n", "which").agg(F.min("point").alias("point")), "points")
-    members = stage(met.join(points.select("point", "u", "n"), "point"), "members")
-    texts = stage(docs.join(members.select("row").distinct(), "row", "left_semi").select("row", "text"), "candidates")
-    pairs = members.where("row <> u").select("u", F.col("row").alias("v")).distinct()
-    pairs = stage(pairs, "pairs")
-    parts = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "parts")
-    some = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).join(texts.withColumnRenamed("row", "v"), "v").select(F.col("u").alias("to"), F.col("part").alias("piece"), "v", F.col("text").alias("text"))
-    each = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(texts.withColumnRenamed("row", "u"), "u").select("u", "part", "text")
-    links = stage(each.groupBy("u", "part").cogroup(some.groupBy("to", "piece")).applyInArrow(lambda a, b: star(a, b, words, at_least), LINKS), "links")
+    made = stage(fingerprinted(docs, words), "fingerprints")
+    each = made.select(F.explode("fps").alias("fp"), "row")
+    alike = stage(_same_sets(each, "fp"), "alike")
+    links = _stars(docs, each.join(alike, "fp"), words, at_least)
     roots = stage(components(links).withColumnRenamed("node", "row"), "roots")
-    rooted = stage(members.where("n > 2").join(roots, "row", "left").select("point", "row", F.coalesce("root", "row").alias("root")), "rooted")
-    apart = rooted.groupBy("point").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("point")
-    open_ = rooted.join(apart, "point").join(texts, "row")
-    more = stage(open_.groupBy("point").applyInArrow(lambda t: across(t, words, at_least), LINKS), "more")
+    rooted = stage(made.join(roots, "row", "left").select("fps", "row", F.coalesce("root", "row").alias("root")), "rooted")
+    more = _across(docs, rooted, words, at_least)
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)).withColumnRenamed("node", "row"), "roots")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
