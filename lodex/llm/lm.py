@@ -3,10 +3,14 @@
 Texts are dealt into blocks. Each block sends its different n-grams, as sorted hashes, to the parts of the
 count tables, which are partitioned by hash; each part adds up the blocks' counts and sends each block the
 counts of its own n-grams back. Joined to the block's exploded n-grams, they give each word's score,
-and these are summed by document. An n-gram travels once per block, however often it occurs there, and only
-if both n-grams that it extends are frequent enough to count; else it can't be either.
+and these are summed by document.
 
-Hashes have 64 bits; n-grams of the same length whose hashes are equal count as one.
+Every n-gram counts. It travels once per block, however often it occurs there, and only if both n-grams that it
+extends occur outside the block too; if one of them doesn't, neither does the n-gram, and the block's own count is
+the corpus'.
+
+Hashes have 64 bits; n-grams of the same length whose hashes are equal count as one. Of n different ones about n^2 / 2^65
+pairs are: none to be expected among a billion, some ten thousand among a trillion.
 """
 
 from __future__ import annotations
@@ -32,21 +36,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """By length n: the hash of the n-gram that ends at each word, whether there is one, and the words' bounds by text."""
+def gram_hashes(texts: pa.Array, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """By length n: the hash of the n-gram that ends at each word, if it begins in the text; each word's place in its text; the words' bounds by text."""
     import xxhash
 
-    which, bounds, words = words_of(texts)
-    of = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7) for w in words], dtype=np.uint64)
+    which, bounds, words = words_of(texts, as_bytes=True)
+    of = np.array([xxhash.xxh64_intdigest(w, 7) for w in words], dtype=np.uint64)
     one = of[which] if len(which) else np.zeros(0, dtype=np.uint64)
     place = np.arange(len(which)) - np.repeat(bounds[:-1], np.diff(bounds))
-    hashes, there = [one], [place >= 0]
+    hashes = [one]
     for n in range(2, order + 1):
         longer = np.zeros_like(one)
         longer[1:] = _mixed(hashes[-1][:-1] * A + one[1:] * C + np.uint64(n))
         hashes.append(longer)
-        there.append(place >= n - 1)
-    return hashes, there, bounds
+    return hashes, place, bounds
 
 
 def _squeezed(values: np.ndarray, width: int) -> bytes:
@@ -96,38 +99,59 @@ BACK = "block long, n int, part int, counts binary"
 SCORED = "doc_id long, n_words long, log10_score double"
 
 
-def _returned(back: pa.Table | None, n: int, hashes: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """The total count of the n-gram that ends at each word, 0 where there is none. there: those that were sent."""
-    got = sorted(zip(back.column("n").to_pylist(), back.column("part").to_pylist(), back.column("counts").to_pylist(), strict=True), key=lambda r: r[:2]) if back is not None else []
-    total = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(c) for m, _, c in got if m == n)])
-    out = np.zeros(len(hashes), dtype=np.int64)
-    if there.any():
-        out[there] = total[np.unique(hashes[there], return_inverse=True)[1]]
-    return out
-
-
-def block_counts(rows: pa.Table, back: pa.Table | None, upto: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """For a block: hashes and counts by length below upto, which upto-grams to send, and the words' bounds by text."""
-    hashes, there, bounds = gram_hashes(_texts(rows), upto)
-    counts: list[np.ndarray] = []
-    for n in range(1, upto + 1):
-        if n > 1:  # of its two shorter n-grams one ends a word earlier
-            enough = counts[-1] >= least
-            there[n - 1] &= enough & np.concatenate([[False], enough[:-1]])
-        if n < upto:
-            counts.append(_returned(back, n, hashes[n - 1], there[n - 1]))
-    return hashes, counts, there[upto - 1], bounds
-
-
-def sent(rows: pa.Table, back: pa.Table | None, n: int, least: int, bits: int) -> pa.Table:
+def _back(back: pa.Table | None, n: int) -> np.ndarray:
+    """The counts that came back for the n-grams a block sent, in the order of their hashes."""
+    got = sorted(zip(back.column("part").to_pylist(), back.column("n").to_pylist(), back.column("counts").to_pylist(), strict=True), key=lambda r: r[:2]) if back is not None else []
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(c) for _, m, c in got if m == n)])
+
+
+class Block:
+    """The n-grams of a block's texts. own: its counts are part of the corpus; closed: and nobody else asks for what only it has."""
+
+    def __init__(self, rows: pa.Table, order: int):
+        model = rows.column("model")[0].as_py()
+        self.own, self.closed = model is not False, model is None
+        self.hashes, self.place, self.bounds = gram_hashes(_texts(rows), order)
+        self.outside: np.ndarray | None = None  # by word: whether the longest n-gram counted so far that ends there occurs outside the block
+
+    def to_send(self, n: int) -> np.ndarray:
+        """By word: whether the n-gram that ends there is sent. It's sent if both shorter ones occur outside; one of them ends a word earlier."""
+        if self.outside is None:
+            return self.place >= n - 1
+        return (self.place >= n - 1) & self.outside & np.concatenate([[False], self.outside[:-1]])
+
+    def count(self, n: int, back: pa.Table | None, within: bool = False) -> np.ndarray:
+        """By word: the corpus' count of the n-gram that ends there, 0 where there is none; within: less those in the text itself."""
+        there = self.place >= n - 1
+        different, number, local = np.unique(self.hashes[n - 1][there], return_inverse=True, return_counts=True)
+        sent = np.bincount(number, self.to_send(n)[there], minlength=len(different)) > 0
+        total = local.astype(np.int64) if self.own else np.zeros(len(different), dtype=np.int64)
+        total[sent] = _back(back, n)
+        self.outside = np.zeros(len(there), dtype=bool)
+        self.outside[there] = (total > local if self.closed else total > 0)[number]
+        found = total[number]
+        if within and self.own:
+            one = found == 1  # it's the text's own
+            found[one] = 0
+            doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))[there][~one]
+            _, pair, many = np.unique(doc * max(1, len(different)) + number[~one], return_inverse=True, return_counts=True)
+            found[~one] -= many[pair]
+        counts = np.zeros(len(there), dtype=np.int64)
+        counts[there] = found
+        return counts
+
+
+def sent(rows: pa.Table, back: pa.Table | None, n: int, bits: int) -> pa.Table:
     """The different n-grams of a block by part, each with its count there. Part: the hash's first bits."""
     if not len(rows):
         return _table([], SENT)
-    block, model = rows.column("block")[0].as_py(), rows.column("model")[0].as_py()
-    hashes, _, there, _ = block_counts(rows, back, n, least)
-    found, counts = np.unique(hashes[n - 1][there], return_counts=True)
+    id_, model = rows.column("block")[0].as_py(), rows.column("model")[0].as_py()
+    block = Block(rows, n)
+    for m in range(1, n):
+        block.count(m, back)
+    found, counts = np.unique(block.hashes[n - 1][block.to_send(n)], return_counts=True)
     cuts = np.concatenate([np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [0], [len(found)]])
-    out = [(block, model, n, part, packed(found[a:b]), packed_counts(counts[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    out = [(id_, model, n, part, packed(found[a:b]), packed_counts(counts[a:b])) for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
     return _table(out, SENT)
 
 
@@ -148,21 +172,26 @@ def counted(rows: pa.Table) -> pa.Table:
 
 
 def scored(rows: pa.Table, back: pa.Table, order: int, words: int, alpha: float, least: int) -> pa.Table:
-    """Sum of log10 scores of each document of a block."""
+    """Sum of log10 scores of each document of a block. A text of the corpus is scored by the other texts' counts."""
     if not len(rows):
         return _table([], SCORED)
-    hashes, counts, there, bounds = block_counts(rows, back, order, least)
-    counts.append(_returned(back, order, hashes[-1], there))
-    place = np.arange(len(hashes[0])) - np.repeat(bounds[:-1], np.diff(bounds))
-    log = np.log10(np.maximum(counts[0], 0.5)) - math.log10(max(1, words))
-    for n in range(2, order + 1):
-        before = np.concatenate([[0], counts[n - 2][:-1]])  # the n-gram's first n - 1 words end one word earlier
-        seen = counts[n - 1] >= least
-        log = np.where(seen, np.log10(np.maximum(counts[n - 1], 1)) - np.log10(np.maximum(before, 1)), np.where(place >= n - 1, math.log10(alpha) + log, log))
-    sums = np.add.reduceat(np.append(log, 0.0), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
-    n_words = np.diff(bounds)
-    sums = np.where(n_words > 0, sums, 0.0)
-    return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "log10_score": pa.array(sums)})
+    block = Block(rows, order)
+    many, total = np.diff(block.bounds), words
+    log = shorter = None
+    for n in range(1, order + 1):
+        counts = block.count(n, back, within=True)
+        block.hashes[n - 1] = None
+        if block.own:
+            total = words - np.repeat(many, many)
+        if log is None:
+            log = np.log10(np.maximum(counts, 0.5)) - np.log10(np.maximum(1, total))
+        else:
+            before = np.concatenate([[0], shorter[:-1]])  # the n-gram's first n - 1 words end one word earlier
+            log = np.where((block.place >= n - 1) & (counts >= least), np.log10(np.maximum(counts, 1)) - np.log10(np.maximum(before, 1)), np.where(block.place >= n - 1, math.log10(alpha) + log, log))
+        shorter = counts
+    sums = np.add.reduceat(np.append(log, 0.0), block.bounds[:-1]) if len(block.bounds) > 1 else np.zeros(0)
+    sums = np.where(many > 0, sums, 0.0)
+    return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "n_words": pa.array(many, pa.int64()), "log10_score": pa.array(sums)})
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -189,15 +218,15 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(list(c), kinds[k]) for (n, k), c in zip(names, columns, strict=True)})
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alpha: float = 0.4, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alpha: float = 0.4, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, log10_score (sum over the words), mean_log10 (null without words).
 
     Words are runs of characters other than space and \\x09-\\x0D. A word's score is count(n-gram) / count(its first
     n - 1 words) for the longest n-gram ending there that occurs at least `least` times in the corpus, times alpha for
-    each shorter step (least is 1 or more); a single word's is count / words of the corpus, where unseen ones count as a half. corpus: the
-    texts to count, docs themselves if none; the n-grams that one document alone has once are no evidence
-    then, hence least = 2. Null and empty texts have no words and score 0. Repeated rows count and score each on its
-    own. Null ids stay null. Empty tables give no rows. Other columns aren't read.
+    each shorter step (least is 1 or more); a single word's is count / words of the corpus, where unseen ones count as a half.
+    corpus: the texts to count. Without it they are docs themselves, and each is scored by the counts of all others: its
+    own n-grams are no evidence for it. Null and empty texts have no words and score 0. Repeated rows are texts of their own,
+    so each is evidence for the others. Null ids stay null. Empty tables give no rows. Other columns aren't read.
     """
     small_batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col).withColumn("model", F.lit(None).cast("boolean"))
@@ -210,16 +239,17 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 3, alph
     chars, words = chars or 0, words or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     bits = [max(0, math.ceil(math.log2(max(1, words * share / PART_GRAMS)))) for share in (0.25, *[1.0] * (order - 1))]
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) + F.when(F.coalesce("model", F.lit(False)), F.lit(blocks)).otherwise(0)
+    # repeated rows are dealt over all blocks
+    block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)) + F.when(F.coalesce("model", F.lit(False)), F.lit(blocks)).otherwise(0)
     dealt = lambda df: zipped(df.withColumn("block", block))
 
     def sending(n: int):
-        return lambda rows, back: sent(rows, back, n, least, bits[n - 1])
+        return lambda rows, back: sent(rows, back, n, bits[n - 1])
 
     texts, back = dealt(every), None
     for n in range(1, order + 1):  # one plan: its text is dealt once, and each round reads that again
         if back is None:
-            grams = texts.groupBy("block").applyInArrow(lambda t: sent(t, None, 1, least, bits[0]), SENT)
+            grams = texts.groupBy("block").applyInArrow(lambda t: sent(t, None, 1, bits[0]), SENT)
         else:
             grams = texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sending(n), SENT)
         found = grams.groupBy("n", "part").applyInArrow(counted, BACK)

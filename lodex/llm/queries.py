@@ -50,7 +50,8 @@ def op5_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(_read(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
+    """Every n-gram of the corpus counts; a document is scored by the counts of all others."""
+    scored = lm.score(_read(spark, sf_dir, "documents"), order=3, alpha=0.4)
     return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"))
 
 
@@ -80,15 +81,24 @@ ORACLE_SQL = {
         WITH l AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         e AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l),
         g AS (SELECT doc_id, i, w AS w3, lag(w) OVER d AS w2, lag(w, 2) OVER d AS w1 FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-        u AS (SELECT w3, count(*) AS c FROM g GROUP BY 1),
-        b AS (SELECT w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2),
-        t AS (SELECT w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
+        u1 AS (SELECT doc_id, w3, count(*) AS c FROM g GROUP BY 1, 2),
+        b1 AS (SELECT doc_id, w2, w3, count(*) AS c FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2, 3),
+        t1 AS (SELECT doc_id, w1, w2, w3, count(*) AS c FROM g WHERE w1 IS NOT NULL GROUP BY 1, 2, 3, 4),
+        u AS (SELECT w3, sum(c) AS c FROM u1 GROUP BY 1),
+        b AS (SELECT w2, w3, sum(c) AS c FROM b1 GROUP BY 1, 2),
+        t AS (SELECT w1, w2, w3, sum(c) AS c FROM t1 GROUP BY 1, 2, 3),
+        -- counts in the other documents
+        uo AS (SELECT doc_id, w3, u.c - u1.c AS c FROM u1 JOIN u USING (w3)),
+        bo AS (SELECT doc_id, w2, w3, b.c - b1.c AS c FROM b1 JOIN b USING (w2, w3)),
+        tt AS (SELECT doc_id, w1, w2, w3, t.c - t1.c AS c FROM t1 JOIN t USING (w1, w2, w3)),
+        n AS (SELECT doc_id, (SELECT count(*) FROM e) - len(ws) AS c FROM l),
         s AS (SELECT g.doc_id,
-                CASE WHEN t.c >= 2 THEN log10(t.c) - log10(p.c)
-                     WHEN b.c >= 2 THEN log10(b.c) - log10(v.c) + CASE WHEN t.c IS NULL THEN 0 ELSE log10(0.4) END
-                     ELSE log10(u.c) - log10((SELECT count(*) FROM e)) + CASE WHEN t.c IS NOT NULL THEN 2 WHEN b.c IS NOT NULL THEN 1 ELSE 0 END * log10(0.4) END AS x
-              FROM g LEFT JOIN u ON g.w3 = u.w3 LEFT JOIN b ON g.w2 = b.w2 AND g.w3 = b.w3 LEFT JOIN t ON g.w1 = t.w1 AND g.w2 = t.w2 AND g.w3 = t.w3
-                LEFT JOIN u v ON g.w2 = v.w3 LEFT JOIN b p ON g.w1 = p.w2 AND g.w2 = p.w3)
+                CASE WHEN tt.c >= 1 THEN log10(tt.c) - log10(p.c)
+                     WHEN bo.c >= 1 THEN log10(bo.c) - log10(v.c) + CASE WHEN tt.c IS NULL THEN 0 ELSE log10(0.4) END
+                     ELSE log10(greatest(uo.c, 0.5)) - log10(greatest(n.c, 1)) + CASE WHEN tt.c IS NOT NULL THEN 2 WHEN bo.c IS NOT NULL THEN 1 ELSE 0 END * log10(0.4) END AS x
+              FROM g JOIN uo USING (doc_id, w3) JOIN n USING (doc_id)
+                LEFT JOIN bo ON g.doc_id = bo.doc_id AND g.w2 = bo.w2 AND g.w3 = bo.w3 LEFT JOIN tt ON g.doc_id = tt.doc_id AND g.w1 = tt.w1 AND g.w2 = tt.w2 AND g.w3 = tt.w3
+                LEFT JOIN uo v ON g.doc_id = v.doc_id AND g.w2 = v.w3 LEFT JOIN bo p ON g.doc_id = p.doc_id AND g.w1 = p.w2 AND g.w2 = p.w3)
         SELECT l.doc_id, any_value(len(ws))::BIGINT AS n_words, round(coalesce(sum(x), 0.0), 4) AS log10_score
         FROM l LEFT JOIN s ON l.doc_id = s.doc_id GROUP BY l.doc_id""",
     "op10_exact_dedup": r"""

@@ -112,7 +112,7 @@ def text_bytes(texts: pa.Array) -> Iterator[bytes]:
         yield value.as_py()
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def words_of(texts: pa.Array, as_bytes: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
     """Runs of characters other than space and \\x09-\\x0D, of all texts of a slice.
 
     Returns each word's number in the list of different words, the words' bounds by text, and the list.
@@ -124,8 +124,9 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
     which = np.asarray(coded.indices, dtype=np.int64)
-    names = coded.dictionary.to_pylist()
-    empty = names.index("") if "" in names else -1
+    names = (pc.cast(coded.dictionary, pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()) if as_bytes else coded.dictionary).to_pylist()
+    nothing = b"" if as_bytes else ""
+    empty = names.index(nothing) if nothing in names else -1
     if empty >= 0:
         full = which != empty
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
