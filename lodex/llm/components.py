@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.support import stage
+from lodex.llm.support import drop, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before, now = state, stage(_small_star(_large_star(now)), "stars")
+        old, before, now = now, state, stage(_small_star(_large_star(now)), "stars")
+        drop(old)
     inner = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return inner.unionByName(inner.select(F.col("root").alias("node"), "root").distinct())

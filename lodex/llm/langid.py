@@ -130,17 +130,23 @@ def _to_one(s: np.ndarray) -> np.ndarray:
     return s - np.logaddexp.reduce(s, axis=1, keepdims=True) if s.size else s
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from about SAMPLE_DOCS documents of SAMPLE_CHARS characters at most, chosen by the id's hash.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """Learn from about sample_docs documents of sample_chars characters at most, chosen by the hash of id and text.
 
-    Documents with a null text or language give nothing. Counting runs on the executors;
-    the driver gets each language's most frequent words and n-grams only, so many of each length.
+    Documents with a null text or language give nothing, and neither do empty ones; those of a null id are learned from like others.
+    Repeated rows count each. An empty table gives a model that knows no language. Counting runs on the executors; the driver
+    gets each language's most_words words and most_grams n-grams of each length: the vocabulary of a fitted model, which unseen
+    words back off from. Ties go by the n-gram's order.
     """
     small_batches(docs.sparkSession)
     docs = only(docs, doc_id=id_col, text=text_col, lang=lang_col).dropna(subset=["text", "lang"])
     n, chars = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
-    share = min(1.0, SAMPLE_DOCS / max(1, n), SAMPLE_CHARS / max(1, chars or 0))
-    sample = stage(docs.where(share_below("doc_id", share)) if share < 1 else docs, "sample")
+    # one very long text may make the whole too large, so it is left out before others are: texts of over a hundredth of the budget
+    short = docs.where(F.length("text") <= sample_chars / 100)
+    if (chars or 0) > sample_chars and (kept := short.agg(F.count("*"), F.sum(F.length("text"))).first())[0] >= n / 2:
+        docs, n, chars = short, *kept
+    share = min(1.0, sample_docs / max(1, n), sample_chars / max(1, chars or 0))
+    sample = stage(docs.withColumn("key", F.concat_ws(" ", "doc_id", F.xxhash64("text"))).where(share_below("key", share)).drop("key") if share < 1 else docs, "sample")
 
     def made(lang: str, found: Counter[tuple[int, str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([m for m, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "n", "gram", "many"])
@@ -173,7 +179,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     # ranked within each language, so that one with most rows leaves the others theirs
     place = F.row_number().over(Window.partitionBy("n", "lang").orderBy(F.desc("many"), "gram"))
     grouped = counts.withColumn("place", place).groupBy("n", "gram").agg(F.min("place").alias("place"), F.map_from_entries(F.collect_list(F.struct("lang", "many"))).alias("by"))
-    best = grouped.where(F.col("place") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS))
+    best = grouped.where(F.col("place") <= F.when(F.col("n") == 0, most_words).otherwise(most_grams))
     table, totals = {}, {m: np.zeros(len(languages)) for m in range(LONGEST + 1)}
     for r in best.select("n", "gram", "by").toLocalIterator():
         row = table[r[0], r[1]] = np.zeros(len(languages))

@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodex.llm.support import stage, with_rows
+from lodex.llm.support import numbered, stage, with_rows
 
 #: Documents in a block of the first flight on average.
 BLOCK = 8192
+#: Sources, whose totals are gathered at the driver.
+MOST_SOURCES = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 NEAR = 1e-9
 
@@ -120,26 +122,34 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2
     are counted once if their share asks for it, and take no words. A document's chance depends on its id and
     text alone, so reruns agree; repeated rows are drawn one by one in a fixed order. A table without words has
     targets of 0. An empty table gives no rows. Other columns aren't read. The sources' totals, one
-    row each, go to the driver; their texts don't. row_col: a number of each row that tells rows alike apart,
+    row each and MOST_SOURCES at most (more is an error), go to the driver; their texts don't. row_col: a number of each row that tells rows alike apart,
     given back as row; else one is made.
     """
+    if row_col is None:
+        docs, row_col = numbered(docs, "lodex_row"), "lodex_row"
     order = F.xxhash64(F.col("doc_id"), F.col("text"))
     rows = stage(with_rows(docs, row_col, doc_id=id_col, text=text_col, source=source_col).select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order.alias("order"), "row"), "sizes")
-    sums = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
+    by_source = rows.groupBy("source").agg(F.sum("size"), F.count("*")).limit(MOST_SOURCES + 1).collect()
+    if len(by_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sums = sorted(by_source, key=lambda r: (r[0] is None, r[0] or ""))
     aims = targets([r[1] for r in sums], share, weights, most)
     facts = [(r[0], r[1], aim, aim / r[1] if r[1] else 0.0, max(1, -(-r[2] // BLOCK))) for r, aim in zip(sums, aims, strict=True)]
     table = docs.sparkSession.createDataFrame(facts, "source string, source_size long, target double, per_doc double, blocks long")
     rows = rows.alias("d").join(table.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", F.floor("per_doc").cast("int").alias("whole"), (F.col("per_doc") - F.floor("per_doc")).alias("chance"), "blocks")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("order", F.lit(1)), F.col("blocks")))
+    # rows alike that would overfill a block are dealt over all; which of them is which makes no difference
+    hot = rows.groupBy("order").count().where(F.col("count") > BLOCK).select("order", F.lit(True).alias("hot"))  # at most a row in BLOCK
+    rows = rows.join(F.broadcast(hot), "order", "left").withColumn("salt", F.when(F.col("hot"), F.col("row")).otherwise(0)).drop("hot")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("order", "salt", F.lit(1)), F.col("blocks")))
     most_blocks = max([f[4] for f in facts], default=1)
-    few = ["row", "source", "size", "order", "chance", "blocks", "block"]
+    few = ["row", "source", "size", "order", "salt", "chance", "blocks", "block"]
     now = stage(_flown(rows.select(*few), ["source", "block"], most_blocks == 1), "flight")
     decided = []
     while most_blocks > 1:  # each block left two undecided at most, so the next round has a few thousandths of the rows
         undecided = (F.col("chance") > 0) & (F.col("chance") < 1)
         decided.append(now.where(~undecided))
         most_blocks = -(-most_blocks * 2 // BLOCK)
-        fewer = now.where(undecided).withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK)).withColumn("block", F.pmod(F.xxhash64("order", F.lit(1)), F.col("blocks")))
+        fewer = now.where(undecided).withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK)).withColumn("block", F.pmod(F.xxhash64("order", "salt", F.lit(1)), F.col("blocks")))
         now = stage(_flown(fewer.select(*few), ["source", "block"], most_blocks == 1), "flight")
     for part in decided:
         now = now.unionByName(part)

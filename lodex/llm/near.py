@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodex.llm.components import components
 from lodex.llm.simhash import SEED, masks
-from lodex.llm.support import small_batches, stage, text_slices, with_rows, words_of
+from lodex.llm.support import drop, small_batches, stage, text_slices, with_rows, words_of
 
 #: Blocks, least hashes of each that must be equal, its bits, the least hashes that bits are taken from, and the radius.
 BLOCKS, LEASTS, BITS, POOL, RADIUS = 16, 2, 10, 64, 2
@@ -175,7 +175,9 @@ def _stars(docs: DataFrame, members: DataFrame, words: int, at_least: float) ->
     parts = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "parts")
     some = pairs.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).join(held.withColumnRenamed("row", "v"), "v").select(F.col("u").alias("to"), F.col("part").alias("piece"), "v", F.col("held").alias("held"))
     each = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).join(held.withColumnRenamed("row", "u"), "u").select("u", "part", "held")
-    return stage(each.groupBy("u", "part").cogroup(some.groupBy("to", "piece")).applyInArrow(lambda a, b: star(a, b, at_least), LINKS), "links")
+    links = stage(each.groupBy("u", "part").cogroup(some.groupBy("to", "piece")).applyInArrow(lambda a, b: star(a, b, at_least), LINKS), "links")
+    drop(pairs, held, parts)
+    return links
 
 
 def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) -> DataFrame:
@@ -192,7 +194,9 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     open_ = stage(open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("point", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "row", "root"), "open")
     held = stage(shingled(docs.join(open_.select("row").distinct(), "row", "left_semi"), words), "shingles")
-    return stage(open_.join(held, "row").groupBy("point", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
+    more = stage(open_.join(held, "row").groupBy("point", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
+    drop(points, members, open_, held)
+    return more
 
 
 def near_copies(docs: DataFrame, at_least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:

@@ -1,10 +1,15 @@
 """Personal data: sure matches by rule, and further spans by boosted trees over candidates.
 
 Rules give the base spans, which always stay. High-recall generators propose more, overlapping spans: phone
-numbers without a plus, grouped or spaced addresses, written-out mail addresses. Gradient-boosted trees score each
-candidate by its format and context; scores are calibrated on examples held back, each kind's threshold is where
-the calibrated precision is high enough, and overlaps go to the highest score. The trees learn from examples
-generated here, whose answer is known, so no text's own labels are needed.
+numbers without a plus, grouped or spaced addresses, written-out mail addresses, and secrets: long runs of letters
+and digits, alone or with their quotes and what they are assigned to. Gradient-boosted trees score each candidate by its
+format and context; scores are calibrated on documents held back, each kind's threshold is where the calibrated
+precision is high enough, and overlaps go to the highest score.
+
+No text has labels, so the trees learn from what is sure in the corpus. Base spans are rewritten in place in a form that the rules
+don't know, and these are right; candidates that fail their kind's test (Luhn, parts up to 255, number of digits) are
+wrong. Of long runs those assigned to a name like token are right, others are wrong, and in half of the right ones that
+name is masked, as it gave the label away. Examples made here add forms that the corpus lacks.
 """
 
 from __future__ import annotations
@@ -13,16 +18,23 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodex.llm.support import only, small_batches, text_slices
+from lodex.llm.support import only, small_batches, stage, text_slices
 
-KINDS = ("email", "ip", "card", "phone")
+#: Those of the base rules, and then those that only candidates have.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+#: Bounds of the sample that is learned from: documents, and candidates in them.
+SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 60_000
 Span = tuple[int, int, int]  # kind, start, end
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -61,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     if not any(c in text for c in "0123456789"):
         return out
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (x.lstrip("0") for x in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
@@ -82,6 +94,8 @@ GENERATORS = (
     (2, re.compile(r"(?<!\w)\d{13,19}(?!\w)", re.ASCII)),
     (3, re.compile(r"(?<![\w+])\(?(?:00\d{1,3}[ ]?)?\(?\d{2,5}\)?(?:[ ./-]{1,2}\d{2,5}){1,4}(?!\w)", re.ASCII)),
     (3, re.compile(r"(?<![\w+])0\d{8,12}(?!\w)", re.ASCII)),
+    (4, re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,200}+={0,2}(?![A-Za-z0-9])")),
+    (4, re.compile(r"[A-Za-z_-]{3,20}[ ]?[=:][ ]?[\"']?(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,200}+={0,2}[\"']?")),
 )
 WRITTEN = re.compile(r"[\[( ](?:at|AT)[\]) ]")
 HAS_DIGIT = re.compile(r"[0-9]")
@@ -90,9 +104,11 @@ HINTS = (
     frozenset("ip host server address addr client login ping".split()),
     frozenset("card visa mastercard amex credit payment pay paid carte tarjeta karte".split()),
     frozenset("phone tel telephone call mobile cell fax whatsapp sms téléphone teléfono telefon".split()),
+    frozenset("token secret password passwd pwd key apikey api_key access_key credential auth bearer".split()),
     frozenset("version v ver release section chapter page pages isbn order invoice no number id ref date year build score ratio on from".split()),
 )
-FEATURES = 26
+#: A name that is given a secret: what tells the sure ones of the corpus.
+NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|(?:api|access|secret|private)[ _-]?key|credential)s?[ ]?[=:][ ]?[\"']?$", re.IGNORECASE)
 
 
 def candidates(text: str) -> list[Span]:
@@ -101,6 +117,14 @@ def candidates(text: str) -> list[Span]:
     return [(kind, m.start(), m.end()) for kind, pattern in GENERATORS if (written if kind == 0 else digit) for m in pattern.finditer(text)]
 
 
+HEX, QUOTES = frozenset("0123456789abcdefABCDEF"), "\"'`"
+
+
+def _surprise(s: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
 def describe(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, start, end = span
@@ -118,7 +142,8 @@ def describe(text: str, span: Span) -> list[float]:
         float(luhn(d)) if d else 0.0, float(len(parts) == 4 and max(parts) <= 255), float(whole), float(dots), float(len(tail)),
         float(s.count(" ")), float(s.count(".")), float(s.count("-")), float(s.count("/")), float("(" in s), float(s.startswith("00")), float(s.startswith("0")),
         float(date), float(len(set(d)) if d else 0), float(bool(before) and before not in SPACES), float(bool(after) and after not in SPACES + ".,;:!?)"),
-        float(any(w in HINTS[kind] for w in words)), float(any(w in HINTS[4] for w in words)), float(sum(c.isupper() for c in s)), float(":" in s),
+        float(any(w in HINTS[kind] for w in words)), float(any(w in HINTS[5] for w in words)), float(sum(c.isupper() for c in s)), float(":" in s),
+        _surprise(s), sum(c in HEX for c in s) / len(s), len(d) / len(s), float(sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))) / len(s), float(before in QUOTES and after in QUOTES and bool(before)), float(text[max(0, start - 3) : start].rstrip("\"' ")[-1:] in ("=", ":")), float("=" in s.rstrip("=") or '"' in s),
     ]
 
 
@@ -138,7 +163,13 @@ def examples(many: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
     def one() -> tuple[str, str, bool]:
         """Hint before it, the thing, whether it is personal."""
-        kind, good = rng.randrange(4), rng.random() < 0.5
+        kind, good = rng.randrange(5), rng.random() < 0.5
+        if kind == 4:
+            signs = rng.choice(("0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            run = "7a" + "".join(rng.choice(signs) for _ in range(rng.choice((22, 30, 38, 46))))
+            if good:
+                return "@" + rng.choice(("token = ", "password: ", "api_key=", "secret = ", "access_key: ", "Token=", "auth = ", "bearer ")) + rng.choice(('"', "'", "")), run, True
+            return rng.choice(("commit", "revision", "sha1", "digest", "checksum", "file", "")), rng.choice((run, f"{num(8)}-{num(4)}-{num(4)}-a{num(3)}-{num(12)}", "_".join(_filler(rng) + num(2) for _ in range(4)), "-".join([*(_filler(rng) for _ in range(4)), num(4)]), _filler(rng) + "/" + _filler(rng) + "/" + _filler(rng) + num(9))), False
         if kind == 0:
             name, host, top = _filler(rng) + rng.choice(("", ".", "_")) + _filler(rng), _filler(rng), rng.choice(("com", "org", "net", "de", "fr"))
             if good:
@@ -166,11 +197,13 @@ def examples(many: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         return rng.choice(("page", "date", "order", "isbn", "year", "score", "", "")), made, False
 
     x, y = [], []
-    while len(y) < many:
+    while len(y) < many:  # the last text may give one more
         hint, thing, good = one()
-        head = " ".join([_filler(rng) for _ in range(4)] + [hint] * bool(hint))
-        text = f"{head}{rng.choice((' ', ': '))}{thing}{rng.choice((' ', '. ', ', '))}{_filler(rng)}"
-        begin = text.index(thing)
+        close = hint[-1:] if hint[-1:] in ("\"", "'") else ""
+        lead = hint[1:] if hint.startswith("@") else hint + rng.choice((" ", ": ")) if hint else ""
+        head = " ".join([_filler(rng) for _ in range(4)]) + " " + lead
+        text = f"{head}{thing}{close}{rng.choice((' ', '. ', ', '))}{_filler(rng)}"
+        begin = len(head)
         for span in candidates(text):
             exact = span[1] == begin and span[2] == begin + len(thing)
             if span[2] > begin and span[1] < begin + len(thing):
@@ -179,6 +212,68 @@ def examples(many: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y, dtype=float)
 
 
+def disguised(kind: int, thing: str, rng: random.Random) -> str:
+    """A base span in a form that no rule finds."""
+    d = digits_of(thing)
+    if kind == 0:
+        at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" at ", " dot "), ("(AT)", "(DOT)")))
+        return thing.replace("@", at).replace(".", dot)
+    if kind == 1:
+        return thing.replace(".", rng.choice((" . ", ". ", " .")))
+    if kind == 2:
+        return rng.choice((". ", "/", "_", " - ", "--")).join(d[k : k + 4] for k in range(0, len(d), 4))
+    d = d[-rng.choice((9, 10)) :]
+    return rng.choice((f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"0{d[:2]} {d[2:4]} {d[4:6]} {d[6:]}", f"0{d[:9]}"))
+
+
+def fails(kind: int, thing: str) -> bool:
+    """Whether a candidate can't be of its kind."""
+    d = digits_of(thing)
+    if kind == 1:
+        return ":" not in thing and any(len(g) > 3 or int(g) > 255 for g in re.findall(r"[0-9]+", thing))
+    if kind == 2:
+        return not (13 <= len(d) <= 19 and luhn(d))
+    if kind == 3:
+        return not 7 <= len(d) <= 15 or bool(re.fullmatch(r"(?:(?:19|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:19|20)[0-9]{2})", thing))
+    return False
+
+
+def corpus_examples(text: str, seed: int) -> list[tuple[list[float], float]]:
+    """Descriptions of a text's sure candidates, right (1) and wrong (0)."""
+    rng, out, at, spans = random.Random(seed), [], 0, []
+    parts: list[str] = []
+    size = 0
+    for kind, start, end in sorted(base_spans(text), key=lambda s: s[1]):
+        if start < at:
+            continue
+        thing = disguised(kind, text[start:end], rng)
+        parts += [text[at:start], thing]
+        size += start - at
+        spans.append((kind, size, size + len(thing)))
+        size, at = size + len(thing), end
+    text = "".join([*parts, text[at:]])
+    right = {(s, e): kind for kind, s, e in spans}
+    starts = [s for _, s, _ in spans]
+    for span in candidates(text):
+        kind, start, end = span
+        near = bisect_left(starts, end) - 1
+        touches = near >= 0 and spans[near][2] > start
+        if kind == 4:
+            if touches:
+                continue
+            named = NAMED.search(text[max(0, start - 40) : start])
+            if named and rng.random() < 0.5:  # mask the name
+                shown = text[max(0, start - 80) : max(0, start - 40) + named.start()] + "value" + named[0].lstrip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-")
+                out.append((describe(shown + text[start : end + 8], (4, len(shown), len(shown) + end - start)), 1.0))
+            else:
+                out.append((describe(text, span), float(bool(named))))
+        elif right.get((start, end)) == kind:
+            out.append((describe(text, span), 1.0))
+        elif touches or fails(kind, text[start:end]):
+            out.append((describe(text, span), 0.0))
+    return out
+
+
 class Boosted:
     """Logistic gradient boosting of small trees over binned features."""
 
@@ -235,9 +330,8 @@ class Boosted:
 class Redactor:
     """Trees, their calibration (a logistic curve over the raw score) and each kind's threshold."""
 
-    def __init__(self, many: int = 6000, precision: float = 0.99):
-        x, y = examples(many)
-        held = np.arange(len(y)) % 3 == 0
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float = 0.99):
+        """held: the rows that the trees don't learn from, but the calibration and the thresholds do."""
         self.trees = Boosted().fit(x[~held], y[~held])
         z = self.trees.raw(x[held])
         self.slope, self.shift = 1.0, 0.0
@@ -261,31 +355,67 @@ class Redactor:
         """Base spans, and all: with those the trees add. An added span overlaps no other."""
         base = sorted(base_spans(text))
         found = candidates(text)
-        if base:
-            found = [c for c in found if not any(c[1] < b[2] and b[1] < c[2] for b in base)] if len(base) < 50 else _apart(found, base)
+        if base and found:
+            found = _apart(found, base)
         if not found:
             return base, base
         p = self.chance(np.array([describe(text, c) for c in found]))
-        picked: list[Span] = []
+        picked: list[tuple[int, int, int]] = []  # start, end, kind, in order; they don't overlap
         for k in np.lexsort(([c[1] for c in found], -p)):
-            c = found[k]
-            if p[k] >= self.thresholds[c[0]] and all(c[2] <= o[1] or o[2] <= c[1] for o in picked):
-                picked.append(c)
-        return base, sorted(base + picked)
+            kind, start, end = found[k]
+            if p[k] < self.thresholds[kind]:
+                continue
+            at = bisect_left(picked, (start, start))
+            if (at == 0 or picked[at - 1][1] <= start) and (at == len(picked) or picked[at][0] >= end):
+                insort(picked, (start, end, kind))
+        return base, sorted([*base, *((kind, start, end) for start, end, kind in picked)])
 
 
 def _apart(found: list[Span], base: list[Span]) -> list[Span]:
-    """The found spans that overlap no base span, for long lists."""
+    """The found spans that overlap no base span."""
     taken = sorted((b[1], b[2]) for b in base)
     ends = np.maximum.accumulate([e for _, e in taken])
     starts = np.array([s for s, _ in taken])
     return [c for c in found if (k := int(np.searchsorted(starts, c[2]))) == 0 or ends[k - 1] <= c[1]]
 
 
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, made: int = 6000) -> Redactor:
+    """From so many examples that are made here, a third held back, and the given ones."""
+    own_x, own_y = examples(made)
+    own_held = np.arange(made) % 3 == 0
+    if not len(y):
+        return Redactor(own_x[:made], own_y[:made], own_held)
+    return Redactor(np.concatenate([own_x[:made], x]), np.concatenate([own_y[:made], y]), np.concatenate([own_held, held]))
+
+
 @lru_cache(maxsize=1)
 def redactor() -> Redactor:
-    """The fitted model, the same in every process: examples, trees and thresholds follow from a fixed seed."""
-    return Redactor()
+    """Fitted without a corpus; the same in every process."""
+    return fit(np.zeros((0, 0)), np.zeros(0), np.zeros(0, dtype=bool))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> Redactor:
+    """Learn from the sure candidates of about sample_docs documents, sample_candidates of them at most, both chosen by hash.
+
+    A third of the documents is held back for calibration. Null texts give nothing; an empty table leaves the examples made here.
+    """
+    small_batches(docs.sparkSession)
+    docs = only(docs, doc_id=id_col, text=text_col).where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    # texts without a digit or a written-out address have no candidates
+    some = docs.where((F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("text").rlike(r"[0-9]|@|[\[( ](?:at|AT)[\]) ]"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_slices(batches):
+            for h, value in zip(rows.column("h").to_pylist(), texts, strict=True):
+                found = corpus_examples(value.as_py().decode("utf-8", "replace"), h)
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found], pa.float64())], names=["h", "nth", "x", "y"])
+
+    made = stage(some.mapInArrow(make, "h long, nth int, x array<double>, y double"), "candidates")
+    got = made.orderBy(F.xxhash64("h", "nth"), "h", "nth").limit(sample_candidates).toPandas()
+    if not len(got):
+        return redactor()
+    return fit(np.array(got["x"].tolist()), got["y"].to_numpy(), (got["h"].to_numpy() % 3 == 0))
 
 
 def told(spans: list[Span]) -> str:
@@ -302,17 +432,18 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_secret long, redacted string"
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Base counts by kind, the base spans' digest, all spans (kind:start:end in code points), and the text without them.
+def find(docs: DataFrame, model: Redactor | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """Base counts by kind, the base spans' digest, all spans (kind:start:end in code points), their number, that of secrets, and the text without them.
 
+    model: what train returned; without it, one that has seen no corpus.
     Null texts count as empty: no spans, and an empty redacted text. Repeated rows each give a row; null ids stay null; an
     empty table gives no rows. Other columns aren't read. redacted is null without with_text.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(redactor())  # a few thousand numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model or redactor())  # a few thousand numbers
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -321,11 +452,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
             for value in texts:
                 text = value.as_py().decode("utf-8", "replace")
                 base, every = model.spans(text)
-                counts.append(np.bincount([s[0] for s in base], minlength=len(KINDS)))
+                counts.append([*np.bincount([s[0] for s in base], minlength=len(BASE_KINDS)).tolist(), len(every), sum(s[0] == 4 for s in every)])
                 sha.append(hashlib.sha256(told(base).encode()).hexdigest())
                 spans.append(told(every))
                 clean.append(redacted(text, every) if with_text else None)
-            by_kind = np.array(counts, dtype=np.int64).reshape(-1, len(KINDS))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(by_kind[:, k]) for k in range(len(KINDS))), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(clean, pa.string())], names=[c.split()[0] for c in FOUND.split(", ")])
+            by_kind = [pa.array(c) for c in np.array(counts, dtype=np.int64).reshape(len(rows), -1).T]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *by_kind[:4], pa.array(sha, pa.string()), pa.array(spans, pa.string()), *by_kind[4:], pa.array(clean, pa.string())], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(make, FOUND)

@@ -97,9 +97,14 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
     return Model(made.spread_out(x[:dim]), LOUD * x[dim : dim + WIDTH], x[dim + WIDTH] + np.concatenate([[0], np.cumsum(gaps)]), levels)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> Model:
-    """Learn from at most about SAMPLE_DOCS graded documents of SAMPLE_CHARS characters, chosen by hash."""
-    sample = labelled_sample(only(docs, doc_id=id_col, text=text_col), only(labels, doc_id=id_col, label=grade_col), SAMPLE_DOCS, SAMPLE_CHARS)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from at most about sample_docs graded documents of sample_chars characters, chosen by hash.
+
+    Null ids, texts and labels give nothing to learn from. Empty texts count as texts without words, and long ones are learned from
+    whole. Rows that repeat an id with the same text and label count once; if the labels differ, each counts. Without rows
+    or with one label only, every text gets that label's verdict (none: the lowest). Other columns aren't read.
+    """
+    sample = labelled_sample(only(docs, doc_id=id_col, text=text_col), only(labels, doc_id=id_col, label=grade_col), sample_docs, sample_chars)
     return fit(sample["text"].tolist(), sample["label"].to_numpy())
 
 

@@ -1,4 +1,10 @@
-"""The registered queries of this subpackage and, where SQL can say the same, their SQL."""
+"""The registered queries of this subpackage and, where SQL can say the same, their SQL.
+
+Each applies its operator to its whole table with production parameters. What becomes of nulls, empty and very long texts,
+ties, repeated rows, empty tables and columns with clashing names is said at the operator: packing.pack, mixing.mix,
+toxicity.train and score, quality.train and grade, ann.search, lm.score, langid.train and predict, simhash.near_duplicates,
+pii.train and find, exact.deduplicate. Rows with a null id are never learned from by op3, op4 and op7, and count as held out.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +34,7 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(crc_remainder("doc_id", 5) != 0))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_first_word", "worst_words", "worst_score")
+    return scored.select("doc_id", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_first_word", "worst_words", "worst_score")
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -41,7 +47,7 @@ def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.train(docs, grades(labels.where(crc_remainder("doc_id", 5) != 0)))
     graded = quality.grade(docs.select("doc_id", "text"), model, at_least=1)
-    return graded.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))
+    return graded.select("doc_id", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "expected_grade", "tail", (F.col("tail") >= 0.5).alias("kept"))
 
 
 def op5_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +65,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows whose remainder isn't 2; predicts all."""
     docs = _read(spark, sf_dir, "documents")
     model = langid.train(docs.where(crc_remainder("doc_id", 4) != 2))
-    return langid.predict(docs, model).select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +73,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(_read(spark, sf_dir, "documents"), with_text=False).drop("redacted")
+    """The model learns from the documents' own sure spans; it adds spans to those of the base rules."""
+    docs = _read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs), with_text=False).drop("redacted")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,9 +93,14 @@ def _balance(z: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> float:
     return (said[labels > 0].mean() + 2 * (~said[labels <= 0]).mean()) / 3
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from at most about SAMPLE_DOCS labelled documents of SAMPLE_CHARS characters, chosen by hash."""
-    sample = labelled_sample(only(docs, doc_id=id_col, text=text_col), only(labels, doc_id=id_col, label=label_col), SAMPLE_DOCS, SAMPLE_CHARS)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Learn from at most about sample_docs labelled documents of sample_chars characters, chosen by hash.
+
+    Null ids, texts and labels give nothing to learn from. Empty texts count as texts without words, and long ones are learned from
+    whole. Rows that repeat an id with the same text and label count once; if the labels differ, each counts. Without rows
+    or with one label only, every text gets that label's verdict (none: the lowest). Other columns aren't read.
+    """
+    sample = labelled_sample(only(docs, doc_id=id_col, text=text_col), only(labels, doc_id=id_col, label=label_col), sample_docs, sample_chars)
     return fit(sample["text"].tolist(), sample["label"].to_numpy(dtype=float))
 
 
@@ -105,6 +110,7 @@ SCORES = "doc_id long, score double, sentences int, worst_first_word int, worst_
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's chance of being toxic, and its most toxic sentence: where it begins in words, how long it is, its words.
 
+    A sentence is cut after LONGEST words, if nothing ends it before; no word is left out, and of sentences that score alike the first is told.
     Texts without words (null, empty) score 0 and have no sentence. Repeated rows score alike, each
     in a row of its own. Null ids stay null. An empty table gives no rows. Other columns aren't read.
     """

@@ -16,8 +16,6 @@ DIM = 1 << 20
 GRAMS, SIGNS = (3, 4, 5), (1, 2)
 #: Words whose features are made at a time.
 CHUNK = 50_000
-#: Characters of a labelled text beyond which it isn't learned from if the sample is too large, unless most are.
-LONGEST = 200_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -160,21 +158,34 @@ class Adam:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_docs: int, most_chars: int) -> pd.DataFrame:
-    """Texts with their labels, of about most_docs rows and most_chars characters at most, chosen by the id's hash.
+    """Texts with their labels, of about most_docs rows and most_chars characters at most.
 
-    docs: doc_id, text. labels: doc_id, label. Rows with a null in any of these give nothing to learn from. If there are
-    too many characters, texts of over LONGEST are left out first, so that one of them doesn't thin out the others; where
-    they are half of the sample or more, they stay.
+    docs: doc_id, text. labels: doc_id, label. Rows with a null in any of these give nothing to learn from; rows that repeat an id with
+    the same text and label count once. Rows are chosen by hash: first the labels, so many as most_docs; then rows
+    in the order of their hash as long as most_chars isn't reached, those of over a hundredth of it last. So a very long text takes no
+    other's place: it is taken only if it fits, and at least one row of each label is, however long.
     """
-    labels = labels.dropna()
+    labels = labels.dropna().distinct()
     share = min(1.0, most_docs / max(1, labels.count()))
     some = labels.where(share_below("doc_id", share)) if share < 1 else labels
-    # the bound on the sample is one on what is broadcast
-    found = stage(docs.dropna().join(F.broadcast(some), "doc_id"), "sample")
-    size, short = F.length("text"), F.length("text") <= LONGEST
-    chars, n, short_chars, few = found.agg(F.sum(size), F.count("*"), F.sum(F.when(short, size)), F.count_if(short)).first()
-    if (chars or 0) > most_chars and 2 * few > n:
-        found, chars = found.where(short), short_chars
-    if (chars or 0) > most_chars:
-        found = found.where(share_below("doc_id", share * most_chars / chars))
-    return found.orderBy("doc_id", "text", "label").toPandas()
+    # the bound on the sample is one on what is broadcast, as its rows differ
+    joined = docs.dropna().join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id", "text", "label"])
+    found = stage(joined.withColumn("nth", F.monotonically_increasing_id()), "sample")
+    sizes = found.select("nth", "label", F.length("text").alias("chars"), F.xxhash64("doc_id", "text", "label").alias("hash")).orderBy("hash", "nth").limit(4 * most_docs).toPandas()
+    taken = within_budget(sizes["chars"].to_numpy(), sizes["label"].to_numpy(), most_chars)
+    if len(taken) < found.count():
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in sizes["nth"].to_numpy()[taken]], "nth long")), "nth", "left_semi")
+    return found.drop("nth").orderBy("doc_id", "text", "label").toPandas()
+
+
+def within_budget(chars: np.ndarray, labels: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the rows that are taken: the shortest of each label, then those that fit, with the ones of over a hundredth of the budget last."""
+    first = np.array([np.flatnonzero(labels == x)[chars[labels == x].argmin()] for x in pd.unique(labels)], dtype=np.int64)
+    order = np.concatenate([first, np.flatnonzero(chars <= most / 100), np.flatnonzero(chars > most / 100)]).astype(np.int64)
+    order = order[np.sort(np.unique(order, return_index=True)[1])]
+    left, taken = most, []
+    for k in order.tolist():
+        if chars[k] <= left or k in first:
+            taken.append(k)
+            left -= int(chars[k])
+    return np.sort(np.array(taken, dtype=np.int64))
