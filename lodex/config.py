@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,7 +18,7 @@ LANGUAGES = {
     "toml": "toml", "ini": "ini", "cfg": "config", "conf": "config", "env": "config", "xml": "xml", "html": "html", "css": "css", "sql": "sql", "graphql": "graphql", "proto": "protobuf",
 }
 EXTENSIONS = tuple(f".{x}" for x in LANGUAGES)
-TEXT_LANGUAGES = ("markdown", "restructuredtext", "text", "json", "yaml", "toml", "ini", "config", "xml", "html")
+TEXT_LANGUAGES = ("markdown", "restructuredtext", "text", "json", "yaml", "toml", "ini", "config", "xml", "html", "css")
 LARGE_LINES, LARGE_BYTES, MOST_BYTES = 3000, 512 * 1024, 2 * 1024 * 1024
 REGION_LINES, REGION_CHARS, REGIONS = 40, 1800, 200
 RRF_K, VECTOR_TIMES, TEXT_TIMES, MERGED, RERANK_MORE = 60, 4, 2, 30, 5
@@ -26,6 +26,7 @@ KEYWORD_CAP, DIMENSIONS, CLIP = 50, 1024, 4000
 BM25_K1, BM25_B = 1.2, 0.75
 DEBOUNCE_MS, FLUSH_PATHS, TICK_MS = 400, 64, 100
 OVERVIEW_FILES = 80
+SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_VALUE, SHOWN_READS, SHOWN_TYPE_LINES = 8, 8, 80, 3, 5
 SCHEMA_VERSION = 3
 # What marks a project's root, folders of a home that are no project, and variables that name one.
 ROOT_MARKERS = (".git", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "composer.json", "Gemfile", "build.gradle", "build.gradle.kts", "pom.xml", "Makefile")
@@ -44,7 +45,13 @@ class EngineConfig:
     include_private: bool = False
     compat_substring: bool = False
     ignore_lines: tuple[str, ...] = field(default=())
+    ignore_files: tuple[str, ...] = (".gitignore",)
+    watch_files: bool = True
+    embedding_model: str = ""
     dimensions: int = DIMENSIONS
+    #: A model's function from a text to a vector, and from hits (id, score, vec_rank, fts_rank) to hits in a better order.
+    encode: Callable | None = None
+    rerank: Callable | None = None
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> EngineConfig:
@@ -56,6 +63,8 @@ class EngineConfig:
             extra_extensions=tuple(x.lower() for x in listed("GENERIC_CODE_EXTENSIONS")),
             exclude=listed("EXCLUDE_PATTERNS"),
             include_private=env.get("INCLUDE_PRIVATE_FUNCTIONS", "false").lower() == "true",
+            watch_files=env.get("WATCH_FILES", "true").lower() == "true",
+            embedding_model=env.get("EMBEDDING_MODEL", ""),
         )
 
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Callable
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.config import OVERVIEW_FILES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
-from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2
+from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
 from lodex.operators import graph, retrieval, symbols, views
-from lodex.operators.freshness import remove, upsert
+from lodex.operators.freshness import remove, snapshot_diff, upsert
 from lodex.sources.files import Store, fingerprint, scan
 
 BASE = ("files", "symbols", "regions", "records")
+DERIVED = ("postings", "totals")
 
 
 class Engine:
@@ -24,6 +28,8 @@ class Engine:
     def __init__(self, spark: SparkSession, config: EngineConfig, tables: dict[str, DataFrame]):
         self.spark, self.config = spark, config
         self.files, self.symbols, self.regions, self.records = (tables[n] for n in BASE)
+        #: Terms of the records, stored; tables that were never stored have none, and texts are cut into words at each search.
+        self.postings, self.totals = (tables.get(n) for n in DERIVED)
         self.resolved = graph.resolve_calls(self.symbols)
         self.callers = graph.callers(self.resolved)
 
@@ -35,14 +41,31 @@ class Engine:
     @classmethod
     def load_or_build(cls, spark: SparkSession, config: EngineConfig, folder: str) -> Engine:
         """The stored tables if they are of the same files, else built and stored."""
-        store, files = Store(spark, folder), scan(spark, config)
+        files = scan(spark, config)
         mark = fingerprint(files, "path", "content_hash").first()[0]
-        tables = store.load(fingerprint=mark, root=config.root)
-        if tables is None:
-            made = {n: df for n, df in _tables(files, config).items() if n != "records"}
-            store.save(made | {"records": lambda t: embedded(records(t["files"], t["symbols"], t["regions"]), config.dimensions)}, fingerprint=mark, root=config.root)
-            tables = store.load(fingerprint=mark, root=config.root)
-        return cls(spark, config, tables)
+        tables = Store(spark, folder).load(fingerprint=mark, root=config.root)
+        return cls(spark, config, tables) if tables else cls(spark, config, _tables(files, config)).stored(folder, mark)
+
+    def stored(self, folder: str, mark: str | None = None) -> Engine:
+        """Written as a new version of the store, and read from there."""
+        store = Store(self.spark, folder)
+        mark = mark or fingerprint(self.files, "path", "content_hash").first()[0]
+        made = {n: getattr(self, n) for n in BASE}
+        store.save(made | {"postings": lambda t: retrieval.by_term(retrieval.postings(t["records"], "id", "text")), "totals": lambda t: retrieval.totals(t["records"], "text")}, fingerprint=mark, root=self.config.root)
+        return Engine(self.spark, self.config, store.load(fingerprint=mark, root=self.config.root))
+
+    def refreshed(self, folder: str) -> Engine:
+        """Brought up to the tree as it is now: what was added or modified is parsed anew, what is gone goes, and the outcome is stored. Itself if nothing changed."""
+        now = scan(self.spark, self.config)
+        moved = snapshot_diff(self.files, now).where("status in ('added', 'modified', 'deleted')").collect()
+        if not moved:
+            return self
+        return self.applied([r.path for r in moved if r.status != "deleted"], [r.path for r in moved if r.status == "deleted"], folder)
+
+    def applied(self, changed: list[str], deleted: list[str], folder: str) -> Engine:
+        """With these paths of the tree read again and those gone, stored. What a watcher's micro-batch names."""
+        gone = self.spark.createDataFrame([(p,) for p in deleted], "path string")
+        return self.updated(scan(self.spark, self.config, changed), gone).stored(folder)
 
     def updated(self, changed: DataFrame, deleted: DataFrame) -> Engine:
         """With the changed files (rows of files) parsed anew and the deleted paths gone; what has the same content isn't parsed."""
@@ -57,11 +80,26 @@ class Engine:
         return retrieval.glob_find(rows.select("path", F.coalesce("public_fns", F.lit(0)).alias("public_fns"), "line_count", file_one_liner(F.col("path"), F.col("docstring")).alias("one_liner")), pattern)
 
     def find_code(self, pattern: str, case_sensitive: bool = False, search_in: str = "all") -> DataFrame:
-        fns = self.symbols.where(F.col("kind").isin("function", "method", "class")).select("path", "start_line", "end_line", "kind", F.col("qualified_name").alias("name"), F.when(F.col("kind") != "class", signature(F.col("params"), F.col("return_type"))).alias("signature"), "doc_full", F.lit(None).cast("string").alias("shape"))
-        types = symbols.type_entries(self.symbols).select("path", "start_line", F.col("start_line").alias("end_line"), F.lit("type").alias("kind"), "name", F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("doc_full"), "shape")
-        rows = types if search_in == "types" else fns
-        columns = {"names": "name", "signatures": "signature", "descriptions": "doc_full"} if search_in != "types" else {"types": "shape", "names": "name"}
-        return retrieval.find_rows(rows, pattern, columns, "all" if search_in == "types" else search_in, case_sensitive).orderBy("path", "start_line")
+        """path, start_line, end_line, kind, name, line of functions and methods, or of types.
+
+        names: by their bare names; signatures: by types and names of parameters; descriptions: by the docstring's first
+        line; types: by name or shape; all, and anything else: by the line of the outline.
+        """
+        if search_in == "types":
+            rows = symbols.type_entries(self.symbols).select("path", "start_line", F.col("start_line").alias("end_line"), F.lit("type").alias("kind"), "name", "shape", F.concat_ws(" ", F.concat("path", F.lit(":"), "start_line"), "type_kind", "name").alias("line"))
+            return retrieval.find_rows(rows, pattern, {"names": "name", "shapes": "shape"}, "all", case_sensitive).drop("shape").orderBy("path", "start_line")
+        shown = F.concat(retrieval.place(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit(" "), F.coalesce(F.concat("class_name", F.lit(".")), F.lit("")), views.signature_line())
+        rows = self.symbols.where(F.col("kind").isin("function", "method")).select("path", "start_line", "end_line", "kind", F.col("qualified_name").alias("name"), shown.alias("line"), F.col("name").alias("bare"), signature(F.col("params"), F.col("return_type")).alias("signature"), "doc_first", F.concat(views.signature_line(), F.lit("  L"), "start_line", F.lit("-"), "end_line").alias("outline"))
+        columns = {"names": "bare", "signatures": "signature", "descriptions": "doc_first", "all": "outline"}
+        return retrieval.find_rows(rows, pattern, columns, search_in if search_in in columns else "all", case_sensitive).select("path", "start_line", "end_line", "kind", "name", "line").orderBy("path", "start_line")
+
+    def keyword(self, pattern: str, max_results: int | None = None, case_sensitive: bool = False, search_in: str = "all") -> DataFrame:
+        """The first 50 finds, or fewer lines, and below them a line with how many more there are."""
+        found, more = retrieval.capped(self.find_code(pattern, case_sensitive, search_in), "path", "start_line", "line")
+        said = more.select(retrieval.more_line(F.col("more")).alias("line")).where("line is not null")
+        every = found.withColumn("below", F.lit(0)).unionByName(said.withColumn("below", F.lit(1)), allowMissingColumns=True)
+        every = every.orderBy("below", "path", "start_line", "line").drop("below")
+        return every if max_results is None else every.limit(max_results)
 
     def raw(self, pattern: str, target_dir: str = ".") -> DataFrame:
         inside = posixpath.normpath(target_dir)
@@ -72,15 +110,16 @@ class Engine:
     def search(self, query: str, mode: str, max_results: int = 15) -> DataFrame:
         """keyword: pattern over symbols; raw: pattern over lines; semantic: vectors and full text fused."""
         if mode == "keyword":
-            return retrieval.capped(self.find_code(query), "path", "start_line")[0].limit(max_results)
+            return self.keyword(query, max_results)
         if mode == "raw":
             return self.raw(query).orderBy("path", "line_no").limit(max_results)
         if mode != "semantic":
             raise ValueError(f"mode is keyword, semantic or raw, not {mode!r}")
         k = max_results
-        vec = retrieval.nearest(self.records, squared_l2(F.col("vector"), literal(hash_embedding(query, self.config.dimensions))), "id", 4 * k)
+        vec = retrieval.nearest(self.records, squared_l2(F.col("vector"), literal(unit(encoder(self.config)(query), self.config.dimensions))), "id", 4 * k)
         words = [r[0] for r in self.spark.range(1).select(F.explode(retrieval.tokens(F.lit(query)))).collect()]
-        merged = retrieval.hybrid(vec, retrieval.bm25(self.records, words, "id", "text").orderBy(F.desc("score"), "id").limit(2 * k), k)
+        scored = retrieval.bm25(self.records, words, "id", "text") if self.postings is None else retrieval.bm25_of_postings(self.postings, self.totals, words)
+        merged = retrieval.hybrid(vec, scored.orderBy(F.desc("score"), "id").limit(2 * k), k, self.config.rerank)
         hits = self.records.join(F.broadcast(merged), "id")  # 30 rows
         return retrieval.without_overlap(hits, F.col("record_type") != "region", ["path", "start_line"]).orderBy(*retrieval.fused_order()).limit(k).select("path", "start_line", "end_line", "record_type", "symbol", "score", retrieval.hit_line(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("record_type"), F.col("text")).alias("line"))
 
@@ -92,7 +131,8 @@ class Engine:
 
     def outline(self, path: str | None = None, compact: bool = False) -> DataFrame:
         keep = F.col("path") == path if path else F.lit(True)
-        return views.outline(self.files.where(keep), self.symbols.where(keep), compact).orderBy("path")
+        made = views.outline(self.files.where(keep), self.symbols.where(keep), compact)
+        return (views.found(made, path) if path else made).orderBy("path")
 
     def overview(self, prefix: str | None = None, exclude: str | None = None, mode: str = "modules") -> DataFrame:
         """modules: a row per top folder; symbols: each file's outline; auto: modules for over 80 files without a prefix."""
@@ -104,11 +144,27 @@ class Engine:
         docs = self.symbols.where("kind = 'module'").select("path", F.col("doc_first").alias("docstring"))
         return views.overview(self.files.where(under(F.col("path"), prefix, exclude)).join(docs, "path", "left"), views.public_counts(self.symbols))
 
-    def source(self, path: str, qualified_name: str, numbered: bool = False) -> DataFrame:
-        """The symbol's lines as they are in the file."""
-        rows = self.symbols.where((F.col("path") == path) & ((F.col("qualified_name") == qualified_name) | (F.col("name") == qualified_name)) & F.col("kind").isin("function", "method", "class"))
+    def source(self, path: str, qualified_name: str, numbered: bool = False, fresh: bool = False) -> DataFrame:
+        """The symbol's lines as they were indexed, or, if fresh, as the file has them now; of a bare name the first in any class."""
+        wanted = graph.find_entry(self.symbols.where(F.col("path") == path), self.spark.createDataFrame([(path, qualified_name)], "path string, wanted string"))
+        rows = self.symbols.where((F.col("path") == path) & F.col("kind").isin("function", "method", "class")).join(wanted, ["path", "qualified_name"], "left_semi")
+        files = scan(self.spark, self.config, [path]) if fresh else self.files
         cut = numbered_source if numbered else source_slice
-        return rows.join(self.files.select("path", F.col("text").alias("file_text")), "path").select("path", "qualified_name", "start_line", "end_line", cut(F.col("file_text"), F.col("start_line"), F.col("end_line")).alias("source"))
+        return rows.join(files.select("path", F.col("text").alias("file_text")), "path").select("path", "qualified_name", "start_line", "end_line", cut(F.col("file_text"), F.col("start_line"), F.col("end_line")).alias("source"))
+
+    def source_and_trace(self, path: str, qualified_name: str, depth: int = 1) -> DataFrame:
+        """part (source, callees or callers), path, name, text: the source, and below it the contracts of what it calls and what calls it."""
+        own = self.source(path, qualified_name, numbered=True).select(F.lit("source").alias("part"), "path", F.col("qualified_name").alias("name"), F.col("source").alias("text"))
+        near = self.trace(path, qualified_name, depth=depth, include="contracts").select(F.col("direction").alias("part"), "path", "name", "text")
+        return own.unionByName(near)
+
+    def types(self) -> DataFrame:
+        """name, text: the overview's section of types."""
+        return views.types_text(views.type_lookup(symbols.type_entries(self.symbols).withColumn("ord", F.lit(0)))).orderBy("name")
+
+    def counts(self) -> DataFrame:
+        """record_type, n: how many records there are to search."""
+        return self.records.groupBy("record_type").agg(F.count("*").alias("n")).orderBy("record_type")
 
     def contracts(self) -> DataFrame:
         return views.tier2(self.symbols, self.resolved, self.callers)
@@ -150,7 +206,7 @@ def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame]:
     others = spots.select(*[(none | {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public"), "bases": F.array().cast("array<string>"), "raises": F.array().cast("array<string>"), "params": F.array().cast(parsed.schema["params"].dataType), "calls": F.array().cast(parsed.schema["calls"].dataType)} | {c: F.array().cast(parsed.schema[c].dataType) for c in ("class_attrs", "instance_attrs", "decorators")})[f.name].cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
     every = parsed.unionByName(others)
     parts = symbols.regions(files)
-    return {"files": files, "symbols": every, "regions": parts, "records": embedded(records(files, every, parts), config.dimensions)}
+    return {"files": files, "symbols": every, "regions": parts, "records": embedded(records(files, every, parts), config.dimensions, encoder(config))}
 
 
 def records(files: DataFrame, every: DataFrame, parts: DataFrame) -> DataFrame:
@@ -172,6 +228,11 @@ def records(files: DataFrame, every: DataFrame, parts: DataFrame) -> DataFrame:
     return of_files.unionByName(of_fns).unionByName(of_classes).unionByName(of_types).unionByName(of_parts)
 
 
-def embedded(rows: DataFrame, dimensions: int) -> DataFrame:
+def encoder(config: EngineConfig) -> Callable[[str], np.ndarray]:
+    """The model's function, or the hashed stand-in."""
+    return config.encode or partial(hash_embedding, dims=config.dimensions)
+
+
+def embedded(rows: DataFrame, dimensions: int, encode: Callable[[str], np.ndarray]) -> DataFrame:
     """With a unit vector each."""
-    return rows.withColumn("vector", embedder(lambda t: hash_embedding(t, dimensions), dimensions)(F.col("text")))
+    return rows.withColumn("vector", embedder(encode, dimensions)(F.col("text")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,6 +93,25 @@ def wanted(path: Column, *, extensions: Iterable[str] = EXTENSIONS, exclude: Ite
     return extension(path).isin(*extensions) & ~excluded(path, (*EXCLUDED, *exclude), substring) & ~ignored(path, ignore_lines)
 
 
+def path_test(*, extensions: Iterable[str] = EXTENSIONS, exclude: Iterable[str] = (), ignore_lines: Iterable[str] = (), substring: bool = False) -> Callable[[str, bool], bool]:
+    """The same filter for one path at a time, and for folders: whether to enter one. A folder with files to take back is entered."""
+    names, endings = (*EXCLUDED, *exclude), frozenset(extensions)
+    rules = [(re.compile(pattern), verdict) for pattern, verdict in ignore_rules(ignore_lines)]
+    back = not all(verdict for _, verdict in rules)
+
+    def keeps(path: str, folder: bool) -> bool:
+        last = path.rpartition("/")[2]
+        if last in names or substring and any(n in last for n in names):
+            return False
+        if folder:
+            return back or not any(pattern.match(f"{path}/x") for pattern, _ in rules)
+        dot = last.rfind(".")
+        verdicts = [verdict for pattern, verdict in rules if pattern.match(path)]
+        return (last[dot:].lower() if dot >= 0 else "") in endings and not (verdicts and verdicts[-1])
+
+    return keeps
+
+
 def under(path: Column, prefix: str | None = None, without: str | None = None) -> Column:
     """Paths that begin with a prefix and with none of the comma-separated ones left out."""
     out = path.startswith(prefix) if prefix else F.lit(True)

@@ -43,7 +43,7 @@ def file_one_liner(path: Column, docstring: Column) -> Column:
 
 def visibility(name: Column) -> Column:
     """Names like __x are private, _x protected, all others public, __x__ too."""
-    return F.when(name.rlike("^__.*[^_]$|^__.*[^_]_$"), "private").when(name.rlike("^_[^_]"), "protected").otherwise("public")
+    return F.when(name.startswith("__") & name.endswith("__"), "public").when(name.startswith("__"), "private").when(name.startswith("_"), "protected").otherwise("public")
 
 
 def source_slice(text: Column, start: Column, end: Column) -> Column:
@@ -58,9 +58,9 @@ def numbered_source(text: Column, start: Column, end: Column) -> Column:
 
 
 def signature(params: Column, returns: Column) -> Column:
-    """(T1, T2)->R: each parameter's annotation, or its name without one; self and cls left out."""
+    """(T1, T2)->R: each parameter's annotation, or its name without one; self and cls left out, and nothing for no return type."""
     shown = F.transform(F.filter(params, lambda p: ~p["name"].isin("self", "cls")), lambda p: F.coalesce(p["annotation"], p["name"]))
-    return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")->"), F.coalesce(returns, F.lit("None")))
+    return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")->"), F.coalesce(returns, F.lit("")))
 
 
 def holds_block(text: Column, block: Column) -> Column:

@@ -49,12 +49,17 @@ def hash_embedding(text: str, dims: int = DIMENSIONS) -> np.ndarray:
     return out / (norm or 1)
 
 
+def unit(vector: Sequence[float], dims: int) -> np.ndarray:
+    """The first components, of unit length; the zero vector stays."""
+    v = np.asarray(vector, dtype=float)[:dims]
+    return v / (np.linalg.norm(v) or 1)
+
+
 def embedder(encode: Callable[[str], np.ndarray] = hash_embedding, dims: int = DIMENSIONS):
     """A Pandas UDF that makes unit vectors of a column of texts, of a model's first components; the zero vector stays."""
 
     def cut(text: str) -> list[float]:
-        v = encode(text)[:dims]
-        return (v / (np.linalg.norm(v) or 1)).astype(np.float32).tolist()
+        return unit(encode(text[:CLIP]), dims).astype(np.float32).tolist()
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

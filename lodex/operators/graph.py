@@ -23,10 +23,6 @@ def import_maps(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, aliases
 
 
-def _same_file(a: Column, b: Column) -> Column:
-    return (a == b) | a.endswith(F.concat(F.lit("/"), b)) | b.endswith(F.concat(F.lit("/"), a))
-
-
 def attribute_types(symbols: DataFrame) -> DataFrame:
     """(path, class, attribute, type) with Optional, unions, generics and modules taken off."""
     attrs = symbols.where("kind = 'class'").select("path", F.col("name").alias("cls"), F.explode(F.concat("class_attrs", "instance_attrs")).alias("a")).where("a.annotation is not null")
@@ -35,38 +31,55 @@ def attribute_types(symbols: DataFrame) -> DataFrame:
     return attrs.select("path", "cls", F.col("a.name").alias("attr"), F.element_at(F.split(F.trim(bare, F.lit("'\" ")), r"\."), -1).alias("type")).dropDuplicates(["path", "cls", "attr"])
 
 
+def _least(found: DataFrame, keys: list[str], into: str, *more: Column) -> DataFrame:
+    """The first locator of each key."""
+    return found.groupBy(*keys).agg(F.min_by(F.struct("l_path", "l_qn", "l_start", "l_end", "l_ord"), "l_ord").alias(into), *more)
+
+
+def suffix_matches(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """(lookup, target, in_target): of each wanted (lookup, target) the first locator whose path is the target, or ends with it, or that the target ends with.
+
+    Both sides are joined by equality: paths and targets by every tail of whole segments, as many rows as a path has segments.
+    """
+    tails = lambda c: F.transform(F.split(c, "/"), lambda _, n: F.array_join(F.slice(F.split(c, "/"), n + 1, F.lit(1 << 30)), "/"))
+    by_tail = found.select("lookup", F.explode(tails(F.col("l_path"))).alias("target"), "l_path", "l_qn", "l_start", "l_end", "l_ord")
+    long = wanted.select("lookup", "target", F.explode(tails(F.col("target"))).alias("l_path")).join(found, ["lookup", "l_path"])
+    short = wanted.join(by_tail, ["lookup", "target"])
+    return _least(short.unionByName(long.select(short.columns)), ["lookup", "target"], "in_target")
+
+
 def resolve_calls(symbols: DataFrame) -> DataFrame:
     """A row per caller and callee name: where it leads, how sure that is, and how many symbols have the name.
 
-    Of all symbols of the called name the one with the least (priority, order) is taken. Calls without one are
-    external. The join is on the name; everything else is decided among its few candidates.
+    Of all symbols of the called name the one with the least (priority, order) is taken: the only one of its name, then one of
+    the own class, of the attribute's class, of the own file, of the imported file, and any. Calls without one are external.
+    The first locator is found by name, by name and class, by name and file, and so on, beforehand; calls are joined to
+    these one by one, so a name that is defined and called very often doesn't multiply.
     """
     made = symbols.where(F.col("kind").isin("function", "method")).select("path", F.col("qualified_name").alias("caller"), F.col("name").alias("caller_name"), F.col("class_name").alias("cls"), "start_line", "end_line", F.explode("calls").alias("c"))
     callee = F.col("c.callee")
     calls = made.select("*", callee.alias("callee"), F.col("c.ord").alias("call_ord"), F.col("c.n").alias("call_count"), F.when(callee.contains("."), F.regexp_extract(callee, r"^(.*)\.", 1)).alias("prefix"), F.element_at(F.split(callee, r"\."), -1).alias("base")).drop("c")
     named, aliases = import_maps(symbols)
     calls = calls.join(aliases.select("path", F.col("alias").alias("base"), "original"), ["path", "base"], "left").withColumn("lookup", F.when(F.col("prefix").isNull(), F.coalesce("original", "base")).otherwise(F.col("base")))
-    local = F.coalesce("prefix", "base")
-    calls = calls.withColumn("local", local).join(named, ["path", "local"], "left")
+    calls = calls.withColumn("local", F.coalesce("prefix", "base")).join(named, ["path", "local"], "left")
     attr = F.when(F.col("prefix").rlike(r"^(?:(?:self|cls)\.)?\w+$"), F.regexp_replace("prefix", r"^(?:self|cls)\.", ""))
     calls = calls.withColumn("attr", attr).join(attribute_types(symbols), ["path", "cls", "attr"], "left")
-    found = calls.join(locators(symbols).withColumnRenamed("name", "lookup"), "lookup", "left")
-    call = Window.partitionBy("path", "caller", "callee")
-    prio = (
-        F.when(F.col("matches") == 1, 0)
-        .when(F.col("prefix").isin("self", "cls") & (F.col("cls") == F.col("l_class")) & (F.col("path") == F.col("l_path")), 1)
-        .when(F.col("type") == F.col("l_class"), 2)
-        .when(F.col("path") == F.col("l_path"), 3)
-        .when(F.col("prefix").isNotNull() & F.coalesce(_same_file(F.col("target"), F.col("l_path")), F.lit(False)), 4)
-        .when(F.col("prefix").isNull() & F.coalesce(_same_file(F.col("target"), F.col("l_path")), F.lit(False)), 5)
-        .when(F.col("prefix").isNotNull() & F.col("target").isNotNull(), 6)
-        .otherwise(7)
-    )
-    ranked = found.withColumn("matches", F.count("l_path").over(call)).withColumn("prio", prio)
-    best = ranked.groupBy("path", "caller", "callee").agg(F.min_by(F.struct(*[c for c in ranked.columns if c not in ("path", "caller", "callee")]), F.struct("prio", "l_ord")).alias("r")).select("path", "caller", "callee", "r.*")
-    external = F.col("l_path").isNull()
-    sure = F.when(external | (F.col("prio") <= 2), "exact").when(F.col("prio") <= 6, "preferred").otherwise("ambiguous")
-    return best.select("path", "caller", "caller_name", "start_line", "end_line", "callee", "call_ord", "call_count", F.col("l_path").alias("to_path"), F.col("l_qn").alias("to_name"), F.col("l_start").alias("to_start"), F.col("l_end").alias("to_end"), external.alias("is_external"), sure.alias("confidence"), F.col("matches").alias("match_count"))
+    found = locators(symbols).withColumnRenamed("name", "lookup")
+    any_ = _least(found, ["lookup"], "any_one", F.count("*").alias("matches"))
+    of_class = found.where("l_class is not null")
+    own_class = _least(of_class.withColumnRenamed("l_class", "cls").withColumn("path", F.col("l_path")), ["lookup", "path", "cls"], "own_class")
+    of_type = _least(of_class.withColumnRenamed("l_class", "type"), ["lookup", "type"], "of_type")
+    same_file = _least(found.withColumn("path", F.col("l_path")), ["lookup", "path"], "same_file")
+    in_target = suffix_matches(calls.where("target is not null").select("lookup", "target").distinct(), found)
+    joined = calls.join(any_, "lookup", "left").join(own_class, ["lookup", "path", "cls"], "left").join(of_type, ["lookup", "type"], "left").join(same_file, ["lookup", "path"], "left").join(in_target, ["lookup", "target"], "left")
+    own = F.col("own_class").isNotNull() & F.coalesce(F.col("prefix").isin("self", "cls"), F.lit(False))
+    rules = [(F.col("matches") == 1, "any_one", "exact"), (own, "own_class", "exact"), (F.col("of_type").isNotNull(), "of_type", "exact"), (F.col("same_file").isNotNull(), "same_file", "preferred"), (F.col("in_target").isNotNull(), "in_target", "preferred"), (F.col("prefix").isNotNull() & F.col("target").isNotNull(), "any_one", "preferred")]
+    external = F.col("any_one").isNull()
+    where, sure = F.when(external, F.col("any_one")), F.when(external, "exact")
+    for holds, column, how in rules:
+        where, sure = where.when(holds, F.col(column)), sure.when(holds, how)
+    best = joined.withColumn("r", where.otherwise(F.col("any_one"))).withColumn("confidence", sure.otherwise("ambiguous"))
+    return best.select("path", "caller", "caller_name", "start_line", "end_line", "callee", "call_ord", "call_count", F.col("r.l_path").alias("to_path"), F.col("r.l_qn").alias("to_name"), F.col("r.l_start").alias("to_start"), F.col("r.l_end").alias("to_end"), external.alias("is_external"), "confidence", F.coalesce("matches", F.lit(0)).alias("match_count"))
 
 
 def callers(resolved: DataFrame) -> DataFrame:
@@ -85,9 +98,9 @@ def trace(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, lines: str, budget: int, *order: str) -> DataFrame:
-    """Rows in order until the lines before a row reach the budget. For a trace, which has few rows."""
+    """Rows in order until the lines before a row reach the budget. Each row has a line or more, so only the first `budget` rows are gathered."""
     before = F.coalesce(F.sum(lines).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("used_before", before).where(F.col("used_before") < budget)
+    return rows.orderBy(*order).limit(budget).withColumn("used_before", before).where(F.col("used_before") < budget)
 
 
 def bodies(rows: DataFrame, budget: int, include: str) -> DataFrame:
@@ -126,3 +139,16 @@ def confident(edges: DataFrame, least: str = "preferred") -> DataFrame:
 def ambiguities(resolved: DataFrame) -> DataFrame:
     """Calls whose name several symbols have, once by name."""
     return resolved.where("match_count > 1").groupBy("path", "caller", "callee").agg(F.min_by(F.struct("match_count", "to_path", "to_name"), "call_ord").alias("m")).select("path", "caller", "callee", "m.*")
+
+
+def locator_lists(symbols: DataFrame) -> DataFrame:
+    """name, n, first_path, first_name: how many functions and methods have a name, and which one is first."""
+    return locators(symbols).groupBy("name").agg(F.count("*").alias("n"), F.min_by(F.struct("l_path", "l_qn"), "l_ord").alias("f")).select("name", "n", F.col("f.l_path").alias("first_path"), F.col("f.l_qn").alias("first_name"))
+
+
+def find_entry(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, wanted, qualified_name of each (path, wanted): the symbol of that qualified name, else the first in the file of that bare name in any class."""
+    own = symbols.where(F.col("kind").isin("function", "method", "class")).select("path", "qualified_name", "name", "ord")
+    exact = wanted.join(own.select("path", F.col("qualified_name").alias("wanted"), "qualified_name").dropDuplicates(["path", "wanted"]), ["path", "wanted"], "left")
+    bare = own.groupBy("path", F.col("name").alias("wanted")).agg(F.min_by("qualified_name", "ord").alias("bare"))
+    return exact.join(bare, ["path", "wanted"], "left").select("path", "wanted", F.coalesce("qualified_name", "bare").alias("qualified_name")).where("qualified_name is not null")

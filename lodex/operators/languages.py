@@ -12,6 +12,7 @@ _JS = (_MODIFIERS + rf"function\s*\*?\s*{_NAME}|" + _MODIFIERS + rf"(?:let|var)?
 
 #: A line's pattern for functions and one for classes by language; the first group that matches is the name.
 DEFINITIONS = {
+    "python": (rf"(?:async\s+)?def\s+{_NAME}", rf"class\s+{_NAME}"),  # for texts that the parser refuses
     "javascript": _JS,
     "typescript": _JS,
     "rust": (_MODIFIERS + rf"fn\s+{_NAME}", _MODIFIERS + rf"(?:struct|enum|trait|union)\s+{_NAME}|impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?{_NAME}"),

@@ -42,21 +42,62 @@ def capped(found: DataFrame, *order: str, cap: int = KEYWORD_CAP) -> tuple[DataF
     return found.orderBy(*order).limit(cap), found.agg(F.greatest(F.count("*") - cap, F.lit(0)).cast("long").alias("more"))
 
 
+#: What sees beyond its line in a whole text, or gives nothing back: a match in a line needn't be one in the text.
+_FAR_SIGHTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[AZzGRXN]|[*+?}]\+|\(\?[a-z]*-?[a-z]*[sd]")
+
+
 def raw_search(files: DataFrame, pattern: str, first_only: bool = True, path: str = "path", text: str = "text") -> DataFrame:
-    """path, line_no, line: the first matching line of each file, or all. Files without a match never get exploded."""
+    """path, line_no, line: the first matching line of each file, or all.
+
+    A pattern is held against lines, so ^ and $ are a line's bounds. Files whose text has no match at all never get exploded;
+    where a pattern may see more than its line, each file is.
+    """
     regex = checked(pattern)
-    lines = numbered_lines(files.where(F.col(text).rlike(regex)), path, text).where(F.col("line").rlike(regex))
+    some = files if _FAR_SIGHTED.search(pattern) else files.where(F.col(text).rlike(f"(?m){regex}"))
+    lines = numbered_lines(some, path, text).where(F.col("line").rlike(regex))
     if not first_only:
         return lines
     return lines.groupBy(path).agg(F.min(F.struct("line_no", "line")).alias("m")).select(path, "m.line_no", "m.line")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, len."""
+    """id, len, term, tf: what bm25_of_postings reads. Stored in order of term, a search reads the row groups of its terms only."""
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
     return words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
 
 
+def by_term(held: DataFrame) -> DataFrame:
+    """Postings as they are stored: ranges of terms, in order. A term of very many documents fills several files."""
+    return held.repartitionByRange("term", "id").sortWithinPartitions("term")
+
+
+def totals(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row: n, avg_len."""
+    return docs.select(F.size(tokens(F.col(text_col))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
+def bm25_of_postings(held: DataFrame, sums: DataFrame, query: list[str]) -> DataFrame:
+    """id, score of documents with a query term, from stored postings and totals; no text is read."""
+    some = held.where(F.col("term").isin(*dict.fromkeys(query)))
+    df = some.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    room = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("len") / F.col("avg_len"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + room)
+    return some.join(F.broadcast(df.crossJoin(sums)), "term").groupBy("id").agg(F.round(F.sum(score), 6).alias("score"))
+
+
+def bm25_many(held: DataFrame, sums: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank (from 1), id, score: the k best of each query (query_id, words). For a set of queries small enough to send to all tasks."""
+    asked = F.broadcast(queries.select("query_id", F.explode(F.array_distinct("words")).alias("term")))
+    some = held.join(F.broadcast(queries.select(F.explode("words").alias("term")).distinct()), "term", "left_semi")
+    df = some.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    room = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("len") / F.col("avg_len"))
+    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + room)
+    scored = some.join(F.broadcast(df.crossJoin(sums)), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:
     """id, score of documents with a query term. Only query terms are counted; lengths are summed in the same pass."""
     terms = [F.lit(t) for t in dict.fromkeys(query)]
@@ -106,8 +147,9 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, k: int, rerank: Callabl
     merged = rrf(vec, fts).orderBy(*fused_order()).limit(MERGED)
     if rerank is not None:
         try:
-            return rerank(merged.limit(k + RERANK_MORE))
-        except Exception:  # noqa: BLE001 - a model that can't be loaded leaves the fused order
+            made = rerank(merged.limit(k + RERANK_MORE))
+            return merged.sparkSession.createDataFrame(made.collect(), made.schema)  # k + 5 rows; a model fails when it runs
+        except Exception:  # noqa: BLE001 - a model that can't be loaded or run leaves the fused order
             pass
     return merged
 
@@ -144,3 +186,13 @@ def first_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """query_id, rank: the first hit (query_id, rank, id) that holds, in any case, one of a query's accepted texts (query_id, accepted); null if none does."""
     accepted = F.exists("accepted", lambda a: F.lower("id").contains(F.lower(a)))
     return queries.select("query_id", "accepted").join(hits.select("query_id", "rank", "id"), "query_id", "left").groupBy("query_id").agg(F.min(F.when(accepted, F.col("rank"))).alias("rank"))
+
+
+def more_line(more: Column) -> Column:
+    """What stands below a capped list; null if nothing was left out."""
+    return F.when(more > 0, F.concat(F.lit("...and "), more, F.lit(" more. Narrow your search or use a more specific pattern.")))
+
+
+def place(path: Column, start: Column, end: Column) -> Column:
+    """path[:start[-end]]"""
+    return F.concat(path, F.when(start.isNull(), "").when(end > start, F.concat(F.lit(":"), start, F.lit("-"), end)).otherwise(F.concat(F.lit(":"), start)))

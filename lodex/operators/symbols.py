@@ -6,6 +6,8 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import islice
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,42 +66,50 @@ def is_boundary(line: Column) -> Column:
 _boundary = re.compile("|".join(f"(?:{p})" for p in BOUNDARY_LINES))
 
 
-def fold_regions(path: str, text: str, prose: bool) -> list[tuple[int, str, str, str, int, int]]:
-    """(number, kind, title, text, first line, last line): lines gathered up to a boundary or a limit. prose: the file is text."""
-    out: list[tuple[int, str, str, str, int, int]] = []
-    held: list[str] = []
-    chars = first = 0
-
-    def flush(last: int) -> None:
-        body = [x for x in held if x.strip()]
-        if body:
-            words = sum(" " in x.strip() and not re.search(r"[{}();=<>\[\]]", x) for x in body)
-            head = body[0].strip()
-            title = head.lstrip("#").strip()[:120] if head.startswith("#") else head if len(head) <= 120 else head[:117] + "..."
-            out.append((len(out), "doc" if prose or words >= max(2, len(body) // 2) else "code", title or path, "\n".join(body).strip()[:REGION_CHARS], first, last))
-
-    for number, raw in enumerate(text.splitlines(), 1):
-        if len(out) >= REGIONS:
-            return out
-        line = raw.rstrip()
-        if held and (len(held) >= REGION_LINES or chars + len(line) >= REGION_CHARS or _boundary.match(line.strip())):
-            flush(number - 1)
-            held, chars = [], 0
-        if line.strip() or held:
-            first = first if held else number
-            held.append(line)
-            chars += len(line)
-    if held and len(out) < REGIONS:
-        flush(len(text.splitlines()))
+def _cuts(lines: list[str], most_lines: float, most_chars: float) -> Iterator[tuple[int, int]]:
+    """(first, behind last) of each run of lines that is a region: from a line that isn't blank to a boundary, or to a limit of lines or characters."""
+    starts_new = [bool(_boundary.match(x.strip())) for x in lines]
+    sizes = [len(x) for x in lines]
+    begin = 0
+    while begin < len(lines):
+        if not lines[begin].strip():
+            begin += 1
+            continue
+        end, size = begin + 1, sizes[begin]
+        while end < len(lines) and end - begin < most_lines and not starts_new[end] and size + sizes[end] < most_chars:
+            size += sizes[end]
+            end += 1
+        yield begin, end
+        begin = end
+
+
+def _title(line: str) -> str:
+    if line.startswith("#"):
+        return line.lstrip("#").strip()[:120]
+    return line if len(line) <= 120 else line[:117] + "..."
+
+
+def _is_prose(line: str) -> bool:
+    return " " in line and not any(c in "{}();=<>[]" for c in line)
+
+
+def fold_regions(path: str, text: str, prose: bool, most: int | None = REGIONS, most_lines: int | None = REGION_LINES, most_chars: int | None = REGION_CHARS) -> list[tuple[int, str, str, str, int, int]]:
+    """(number, kind, title, text, first line, last line) of a file's regions: the first ones, of so many lines and characters at most; None is no limit. prose: the file is text."""
+    lines = [x.rstrip() for x in text.splitlines()]
+    out = []
+    for number, (begin, end) in enumerate(islice(_cuts(lines, most_lines or inf, most_chars or inf), most)):
+        run = [x.strip() for x in lines[begin:end]]
+        kind = "doc" if prose or sum(map(_is_prose, run)) >= max(2, len(run) // 2) else "code"
+        out.append((number, kind, _title(run[0]) or path, "\n".join(lines[begin:end]).strip()[:most_chars], begin + 1, end))
     return out
 
 
-def regions(files: DataFrame) -> DataFrame:
-    """path, idx, kind, title, text, start_line, end_line of files that aren't too large."""
+def regions(files: DataFrame, most: int | None = REGIONS, most_lines: int | None = REGION_LINES, most_chars: int | None = REGION_CHARS) -> DataFrame:
+    """path, idx, kind, title, text, start_line, end_line of files that aren't too large; limits as in fold_regions."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, *r) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["language"], strict=True) for r in fold_regions(p, t or "", lang in TEXT_LANGUAGES)]
+            rows = [(p, *r) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["language"], strict=True) for r in fold_regions(p, t or "", lang in TEXT_LANGUAGES, most, most_lines, most_chars)]
             yield pd.DataFrame(rows, columns=["path", "idx", "kind", "title", "text", "start_line", "end_line"])
 
     small = files.where((F.length("text") <= LARGE_BYTES) & (F.size(F.split("text", "\n")) <= LARGE_LINES))
@@ -188,11 +198,12 @@ def _class(node: ast.ClassDef, path: str) -> list[dict]:
 
 
 def parse_python(path: str, text: str) -> list[dict]:
-    """Rows of a module: itself, imports, constants, functions, classes and methods, type aliases; or one error row."""
+    """Rows of a module: itself, imports, constants, functions, classes and methods, type aliases. A text with a syntax error gives an error row, and what line patterns find."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError) as e:
-        return [{"path": path, "kind": "error", "ord": 0, "error": f"syntax error at L{getattr(e, 'lineno', 0)}:{getattr(e, 'offset', 0)}: '{(getattr(e, 'text', '') or '').strip()[:40]}'"}]
+        error = {"path": path, "kind": "error", "ord": 0, "error": f"syntax error at L{getattr(e, 'lineno', 0)}:{getattr(e, 'offset', 0)}: '{(getattr(e, 'text', '') or '').strip()[:40]}'"}
+        return [error, *({**r, "ord": k, "visibility": _visibility(r["name"])} for k, r in enumerate(languages.parse_lines("python", path, text), 1))]
     first, full = _doc(tree)
     rows: list[dict] = [{"path": path, "kind": "module", "name": path, "doc_first": first, "doc_full": full}]
     for node in tree.body:

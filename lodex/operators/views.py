@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodex.functions.text import file_one_liner, one_liner, signature
-
-
-def status(files: DataFrame, symbols: DataFrame, regions: DataFrame) -> DataFrame:
-    """One row of counts."""
-    f = files.agg(F.count("*").alias("files"), F.array_sort(F.collect_set("language")).alias("languages"))
+from lodex.config import SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_READS, SHOWN_TYPE_LINES, SHOWN_VALUE
+from lodex.functions.text import file_one_liner, one_liner
+def status(files: DataFrame, symbols: DataFrame, regions: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    """One row of counts; extra: further aggregates over files by name."""
+    more = [c.alias(n) for n, c in (extra or {}).items()]
+    f = files.agg(F.count("*").alias("files"), F.array_sort(F.collect_set("language")).alias("languages"), *more)
     s = symbols.agg(F.count_if(F.col("kind").isin("function", "method")).alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "error").alias("parse_errors"))
     return f.crossJoin(s).crossJoin(regions.agg(F.count("*").alias("regions")))  # a row each
 
@@ -25,33 +25,115 @@ def overview(files: DataFrame, counts: DataFrame) -> DataFrame:
     return files.join(counts, "path", "left").groupBy(top.alias("module")).agg(F.count("*").alias("files"), F.sum(F.coalesce("public_fns", F.lit(0))).alias("functions"), one_liner(F.min_by("docstring", F.when(F.col("docstring").isNotNull(), F.col("path"))), 80).alias("about"))
 
 
+def type_lookup(symbols: DataFrame) -> DataFrame:
+    """A row of each type name; of a name in several files the last path counts, in one file the last line."""
+    last = F.struct("path", "start_line", "ord")
+    return symbols.groupBy("name").agg(F.max_by(F.struct("path", "start_line", "type_kind", "shape"), last).alias("t")).select("name", "t.*")
+
+
+def _joined(rows: DataFrame, keys: list[str], order: list[str], column: str, gap: str) -> DataFrame:
+    """The column's texts of each key in order, as one text under the same name."""
+    held = F.array_sort(F.collect_list(F.struct(*order, column)))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(held, lambda r: r[column]), gap).alias(column))
+
+
 def shown_params(params: Column) -> Column:
-    """a:T=1, *args, **kw"""
+    """a:T=1, b:?, *args, **kw"""
     star = lambda p: F.when(p["kw_variadic"], "**").when(p["variadic"], "*").otherwise("")
-    return F.array_join(F.transform(F.filter(params, lambda p: ~p["name"].isin("self", "cls")), lambda p: F.concat(star(p), p["name"], F.lit(":"), F.coalesce(p["annotation"], F.lit("?")), F.when(p["has_default"], F.concat(F.lit("="), F.coalesce(p["default_value"], F.lit("")))).otherwise(""))), ", ")
+    kind = lambda p: F.coalesce(F.concat(F.lit(":"), p["annotation"]), F.when(p["variadic"] | p["kw_variadic"], "").otherwise(":?"))
+    return F.array_join(F.transform(F.filter(params, lambda p: ~p["name"].isin("self", "cls")), lambda p: F.concat(star(p), p["name"], kind(p), F.when(p["has_default"], F.concat(F.lit("="), F.coalesce(p["default_value"], F.lit("")))).otherwise(""))), ", ")
+
+
+def signature_line() -> Column:
+    """[async ]name(params)->R[: one-liner] of a function's row."""
+    name = F.concat(F.when(F.col("is_async"), "async ").otherwise(""), F.col("name"), F.lit("("), shown_params(F.col("params")), F.lit(")->"), F.coalesce("return_type", F.lit("None")))
+    return F.concat(name, F.coalesce(F.concat(F.lit(": "), one_liner(F.col("doc_first"))), F.lit("")))
 
 
 def tier1(symbols: DataFrame) -> DataFrame:
     """path, ord, line: one line per function: [async ]name(params)->R: one-liner  L1-9."""
-    name = F.concat(F.when(F.col("is_async"), "async ").otherwise(""), F.col("name"), F.lit("("), shown_params(F.col("params")), F.lit(")->"), F.coalesce("return_type", F.lit("None")))
-    line = F.concat(name, F.coalesce(F.concat(F.lit(": "), one_liner(F.col("doc_first"))), F.lit("")), F.lit("  L"), F.col("start_line"), F.lit("-"), F.col("end_line"))
+    line = F.concat(signature_line(), F.lit("  L"), F.col("start_line"), F.lit("-"), F.col("end_line"))
     return symbols.where(F.col("kind").isin("function", "method")).select("path", "kind", "class_name", "name", "ord", "visibility", line.alias("line"))
 
 
+def _has_base(*names: str) -> Column:
+    return F.exists("bases", lambda b: b.isin(*names))
+
+
+def _typed() -> Column:
+    """Classes that are shown as types: their fields say all."""
+    return F.exists("decorators", lambda d: d.rlike(r"(?:^|\.)dataclass$")) | _has_base("TypedDict", "NamedTuple", "BaseModel", "pydantic.BaseModel")
+
+
+def _field(a: Column, unknown: str = "") -> Column:
+    """name:type=default"""
+    kind = F.coalesce(F.concat(F.lit(":"), a["annotation"]), F.lit(unknown))
+    return F.concat(a["name"], kind, F.when(a["has_default"] & a["default_value"].isNotNull(), F.concat(F.lit("="), a["default_value"])).otherwise(""))
+
+
+def _attributes() -> Column:
+    none = F.array().cast("array<struct<name:string,annotation:string,has_default:boolean,default_value:string>>")
+    return F.concat(F.coalesce("class_attrs", none), F.coalesce("instance_attrs", none))
+
+
+def class_lines(symbols: DataFrame) -> DataFrame:
+    """path, class_name, ord, typed, line: Name{field:type=default} of types, else class Name{attributes} [Protocol or Abstract]; then its docstring."""
+    every = _attributes()
+    fields = F.array_join(F.transform(every, lambda a: _field(a, ":?")), ", ")
+    first, more = F.slice(F.transform(every, lambda a: _field(a)), 1, SHOWN_ATTRIBUTES), F.size(every) - SHOWN_ATTRIBUTES
+    short = F.when(F.size(every) == 0, "").otherwise(F.concat(F.lit("{"), F.array_join(F.concat(first, F.when(more > 0, F.array(F.concat(F.lit("+"), more, F.lit(" more")))).otherwise(F.array().cast("array<string>"))), ", "), F.lit("}")))
+    tag = F.when(_has_base("Protocol"), " [Protocol]").when(_has_base("ABC", "ABCMeta"), " [Abstract]").otherwise("")
+    doc = F.coalesce(F.concat(F.lit(": "), "doc_first"), F.lit(""))
+    typed = F.coalesce(_typed(), F.lit(False))
+    line = F.when(typed, F.concat("name", F.lit("{"), fields, F.lit("}"), doc)).otherwise(F.concat(F.lit("class "), "name", short, tag, doc))
+    return symbols.where("kind = 'class'").select("path", F.col("name").alias("class_name"), "ord", typed.alias("typed"), line.alias("line"))
+
+
+def import_lines(symbols: DataFrame) -> DataFrame:
+    """path, line: # imports: os, np | module: A,B as b"""
+    plain = symbols.where("kind = 'import'").select("path", F.lit(0).alias("part"), "ord", F.coalesce("alias", "module").alias("line"))
+    first = _joined(plain, ["path"], ["ord"], "line", ", ").select("path", F.lit(0).alias("part"), F.lit(0).alias("ord"), "line")
+    named = symbols.where("kind = 'import_from'").withColumn("names", F.when(F.col("alias").isNotNull(), F.transform("names", lambda n: F.concat(n, F.lit(" as "), "alias"))).otherwise(F.col("names")))
+    starts = named.groupBy("path", "module").agg(F.min("ord").alias("ord"))
+    each = compressed_imports(named).join(starts, ["path", "module"]).select("path", F.lit(1).alias("part"), "ord", F.concat("module", F.lit(": "), F.array_join("names", ",")).alias("line"))
+    return _joined(first.unionByName(each), ["path"], ["part", "ord"], "line", " | ").select("path", F.concat(F.lit("# imports: "), "line").alias("line"))
+
+
+def constant_lines(symbols: DataFrame) -> DataFrame:
+    """path, line: # consts: A=1, B=<str len=99>, +3 more"""
+    long = F.concat(F.when(F.col("value").rlike("^\\s*b['\"]"), "<bytes len=").otherwise("<str len="), F.length("value"), F.lit(">"))
+    shown = F.concat("name", F.coalesce(F.concat(F.lit("="), F.when(F.length("value") > SHOWN_VALUE, long).otherwise(F.col("value"))), F.lit("")))
+    held = symbols.where("kind = 'constant'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("x")))).alias("xs"))
+    more = F.size("xs") - SHOWN_CONSTANTS
+    return held.select("path", F.concat(F.lit("# consts: "), F.array_join(F.transform(F.slice("xs", 1, SHOWN_CONSTANTS), lambda r: r["x"]), ", "), F.when(more > 0, F.concat(F.lit(", +"), more, F.lit(" more"))).otherwise("")).alias("line"))
+
+
 def outline(files: DataFrame, symbols: DataFrame, compact: bool = False) -> DataFrame:
-    """path, text: header, imports by module, constants, classes, functions in their order."""
-    ordered = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("ord", rows.alias("x")))), lambda r: r["x"])
-    lines = tier1(symbols).where("visibility = 'public'").select("path", "ord", F.when(F.col("kind") == "method", F.concat(F.lit("  "), "line")).otherwise(F.col("line")).alias("line"))
+    """path, text: header, imports and constants in a line each, public functions, then classes with their public methods.
+
+    compact: names and line ranges only. A file that can't be parsed says so and no more.
+    """
+    dunder = F.col("name").startswith("__") & F.col("name").endswith("__")
+    shown = symbols.where(F.col("kind").isin("function", "method") & (F.col("visibility") == "public") & ~((F.col("kind") == "method") & dunder))
+    classes = class_lines(symbols)
+    starts = classes.groupBy("path", "class_name").agg(F.min("ord").alias("class_ord"), F.max("typed").alias("typed"))
     if compact:
-        lines = symbols.where(F.col("kind").isin("function", "method", "class")).select("path", "ord", F.concat_ws("  ", "qualified_name", F.concat(F.lit("L"), "start_line", F.lit("-"), "end_line")).alias("line"))
-    classes = symbols.where("kind = 'class'").select("path", "ord", F.concat(F.lit("class "), "name", F.when(F.size("bases") > 0, F.concat(F.lit("("), F.array_join("bases", ", "), F.lit(")"))).otherwise("")).alias("line"))
-    consts = symbols.where("kind = 'constant'").select("path", "ord", F.concat_ws(" = ", "name", one_liner(F.col("value"), 60)).alias("line"))
-    wrong = symbols.where("kind = 'error'").select("path", "ord", F.concat(F.lit("parse error: "), "error").alias("line"))
-    every = lines if compact else lines.unionByName(classes).unionByName(consts).unionByName(wrong)
-    body = every.groupBy("path").agg(F.array_join(ordered(F.col("line")), "\n").alias("body"))
-    docs = symbols.where("kind = 'module'").select("path", F.col("doc_first").alias("docstring"))
-    head = F.concat(F.col("path"), F.lit(" ["), F.coalesce("public_fns", F.lit(0)), F.lit("fn, "), F.col("line_count"), F.lit("L]: "), file_one_liner(F.col("path"), F.col("docstring")))
-    return files.select("path", "line_count").join(public_counts(symbols), "path", "left").join(docs, "path", "left").join(body, "path", "left").select("path", F.concat_ws("\n", head, "body").alias("text"))
+        shown = shown.withColumn("line", F.concat_ws("  ", F.when(F.col("kind") == "method", F.concat_ws(".", "class_name", "name")).otherwise(F.col("name")), F.concat(F.lit("L"), "start_line", F.lit("-"), "end_line")))
+    else:
+        shown = shown.withColumn("line", F.concat(signature_line(), F.lit("  L"), "start_line", F.lit("-"), "end_line"))
+    own = shown.where("kind = 'function'").select("path", F.lit(2).alias("part"), "ord", F.lit(0).alias("sub"), F.concat(F.lit("  "), "line").alias("line"))
+    methods = shown.where("kind = 'method'").select("path", "class_name", "ord", "line").join(starts, ["path", "class_name"], "left").where(F.lit(compact) | ~F.coalesce("typed", F.lit(False))).select("path", F.lit(3).alias("part"), F.coalesce("class_ord", "ord").alias("ord"), F.col("ord").alias("sub"), F.concat(F.lit("  " if compact else "    "), "line").alias("line"))
+    body = own.unionByName(methods)
+    if not compact:
+        whole = lambda rows, part: rows.select("path", F.lit(part).alias("part"), F.lit(0).alias("ord"), F.lit(0).alias("sub"), "line")
+        body = body.unionByName(whole(import_lines(symbols), 0)).unionByName(whole(constant_lines(symbols), 1))
+        body = body.unionByName(classes.select("path", F.lit(3).alias("part"), "ord", F.lit(-1).alias("sub"), F.concat(F.lit("  "), "line").alias("line")))
+    lines = _joined(body, ["path"], ["part", "ord", "sub"], "line", "\n")
+    facts = symbols.groupBy("path").agg(F.max(F.when(F.col("kind") == "module", F.col("doc_first"))).alias("docstring"), F.min(F.when(F.col("kind") == "error", F.col("error"))).alias("wrong"))
+    head = F.concat("path", F.lit(" ["), F.coalesce("public_fns", F.lit(0)), F.lit("fn, "), "line_count", F.lit("L]"))
+    head = head if compact else F.concat(head, F.lit(": "), file_one_liner(F.col("path"), F.col("docstring")))
+    text = F.when(F.col("wrong").isNotNull(), F.concat("path", F.lit(" [PARSE ERROR]: "), "wrong")).otherwise(F.concat_ws("\n", head, "line"))
+    return files.select("path", "line_count").join(public_counts(symbols), "path", "left").join(facts, "path", "left").join(lines, "path", "left").select("path", text.alias("text"))
 
 
 def compressed_imports(symbols: DataFrame) -> DataFrame:
@@ -60,23 +142,59 @@ def compressed_imports(symbols: DataFrame) -> DataFrame:
     return each.groupBy("path", "module").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", "name"))), lambda r: r["name"])).alias("names"))
 
 
+def _range(start: str, end: str) -> Column:
+    return F.coalesce(F.concat(F.lit(":L"), start, F.lit("-"), end), F.lit(""))
+
+
 def tier2(symbols: DataFrame, resolved: DataFrame, callers: DataFrame) -> DataFrame:
-    """path, qualified_name, text: signature, what it depends on, who calls it, what is unresolved."""
-    note = F.when(F.col("confidence") == "ambiguous", F.concat(F.lit(" [ambiguous: "), "match_count", F.lit(" matches; verify source]"))).when(F.col("confidence") == "preferred", F.concat(F.lit(" [preferred among "), "match_count", F.lit(" matches]"))).otherwise("")
-    ordered = lambda c, key: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(key, c.alias("x"))))), lambda r: r["x"]), ", ")
-    out = resolved.groupBy("path", F.col("caller").alias("qualified_name")).agg(ordered(F.when(~F.col("is_external"), F.concat("to_name", F.lit(" ("), "to_path", F.lit(")"), note)), F.col("call_ord")).alias("depends_on"), ordered(F.when(F.col("is_external"), F.col("callee")), F.col("call_ord")).alias("unresolved"))
-    back = callers.groupBy(F.col("to_path").alias("path"), F.col("to_name").alias("qualified_name")).agg(F.array_join(F.array_sort(F.collect_list(F.concat("caller", F.lit(" ("), "caller_path", F.lit(")")))), ", ").alias("called_by"))
-    line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), c))
-    fns = symbols.where(F.col("kind").isin("function", "method"))
-    return fns.join(out, ["path", "qualified_name"], "left").join(back, ["path", "qualified_name"], "left").select("path", "qualified_name", F.concat_ws("\n", F.concat("qualified_name", signature(F.col("params"), F.col("return_type"))), line("depends_on", "depends_on"), line("called_by", "called_by"), F.when(F.size("raises") > 0, F.concat(F.lit("raises: "), F.array_join("raises", ", "))), line("unresolved", "unresolved")).alias("text"))
+    """path, qualified_name, text: what it depends on, who calls it, decorators and raises, what is unresolved, and what to read next."""
+    key = ["path", "qualified_name"]
+    calls = resolved.withColumnRenamed("caller", "qualified_name")
+    note = F.when((F.col("confidence") == "ambiguous") & (F.col("match_count") > 1), F.concat(F.lit("  [ambiguous: "), "match_count", F.lit(" matches; verify source]"))).when((F.col("confidence") == "preferred") & (F.col("match_count") > 1), F.concat(F.lit("  [preferred among "), "match_count", F.lit(" matches]"))).otherwise("")
+    inner = calls.where("not is_external")
+    depends = _joined(inner.withColumn("depends_on", F.concat(F.lit("  "), "to_name", F.lit("  "), "to_path", _range("to_start", "to_end"), note)), key, ["call_ord"], "depends_on", "\n")
+    unresolved = _joined(calls.where("is_external").withColumn("unresolved", F.concat(F.lit("  "), "callee", F.lit(": could not resolve statically"))), key, ["call_ord"], "unresolved", "\n")
+    reads = inner.where("to_path <> path").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("call_ord", F.concat(F.lit("  function_read('"), "to_path", F.lit("', '"), "to_name", F.lit("')")).alias("x")))).alias("xs")).select(*key, F.array_join(F.transform(F.slice("xs", 1, SHOWN_READS), lambda r: r["x"]), "\n").alias("suggested_reads"))
+    back = callers.select(F.col("to_path").alias("path"), F.col("to_name").alias("qualified_name"), "caller_path", "caller", F.concat(F.lit("  "), "caller", F.lit("  "), "caller_path", _range("start_line", "end_line")).alias("called_by"))
+    called = _joined(back, key, ["caller_path", "caller"], "called_by", "\n")
+    part = lambda label: F.when(F.coalesce(F.col(label), F.lit("")) != "", F.concat(F.lit(f"\n{label}:\n"), F.col(label)))
+    decorators = F.when(F.size("decorators") > 0, F.concat(F.lit("  decorators: "), F.array_join(F.transform("decorators", lambda d: F.concat(F.lit("@"), d)), ", ")))
+    raised = F.when(F.size("raises") > 0, F.concat(F.lit("  raises: "), F.array_join("raises", ", ")))
+    fns = symbols.where(F.col("kind").isin("function", "method")).select(*key, F.concat(F.lit("context for "), "qualified_name", F.lit(" in "), "path", _range("start_line", "end_line")).alias("head"), F.concat_ws("\n", decorators, raised).alias("flags"))
+    whole = fns.join(depends, key, "left").join(called, key, "left").join(unresolved, key, "left").join(reads, key, "left")
+    return whole.select(*key, F.concat_ws("\n", "head", part("depends_on"), part("called_by"), part("flags"), part("unresolved"), part("suggested_reads")).alias("text"))
+
+
+def type_shapes(symbols: DataFrame, methods: bool = True) -> DataFrame:
+    """path, name, start_line, end_line, bases, fields, methods, text of every class; methods: those that are public, in order."""
+    cls = symbols.where("kind = 'class'")
+    fields = F.transform(_attributes(), lambda a: F.concat(a["name"], F.coalesce(F.concat(F.lit(": "), a["annotation"]), F.lit(""))))
+    listed = F.array_join(F.transform(_attributes(), lambda a: _field(a, ":?")), ", ")
+    tags = F.concat_ws(", ", F.when(F.exists("decorators", lambda d: d.rlike(r"(?:^|\.)dataclass$")), "dataclass"), F.when(_has_base("Protocol"), "Protocol"), F.when(_has_base("ABC", "ABCMeta"), "abstract"))
+    head = F.concat("name", F.lit(" ("), "path", F.lit(", line "), "start_line", F.lit("):"))
+    lines = [head, F.when(tags != "", F.concat(F.lit("  ["), tags, F.lit("]"))), F.concat(F.lit('  "'), "doc_first", F.lit('"')), F.when(F.size("bases") > 0, F.concat(F.lit("  bases: "), F.array_join("bases", ", "))), F.when(listed != "", F.concat(F.lit("  fields: "), listed))]
+    out = cls.select("path", "name", "start_line", "end_line", "bases", fields.alias("fields"), F.concat_ws("\n", *lines).alias("text"))
+    if not methods:
+        return out
+    own = tier1(symbols).where("kind = 'method' and visibility = 'public'").groupBy("path", F.col("class_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]).alias("methods"))
+    told = F.concat(F.lit("  methods:\n"), F.array_join(F.transform("methods", lambda m: F.concat(F.lit("    "), m)), "\n"))
+    return out.join(own, ["path", "name"], "left").withColumn("text", F.concat_ws("\n", "text", told))
 
 
 def type_shape(symbols: DataFrame, name: str, methods: bool = True) -> DataFrame:
     """Classes of this name with bases, fields and, if asked for, public methods."""
-    cls = symbols.where((F.col("kind") == "class") & (F.col("name") == name))
-    fields = F.transform(F.concat("class_attrs", "instance_attrs"), lambda a: F.concat(a["name"], F.coalesce(F.concat(F.lit(": "), a["annotation"]), F.lit(""))))
-    out = cls.select("path", "name", "start_line", "end_line", "bases", fields.alias("fields"))
-    if methods:
-        own = tier1(symbols).where((F.col("class_name") == name) & (F.col("visibility") == "public") & ~F.col("name").startswith("__")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]).alias("methods"))
-        out = out.join(own, "path", "left")
-    return out
+    return type_shapes(symbols.where((F.col("kind") == "class") & (F.col("name") == name) | (F.col("class_name") == name)), methods)
+
+
+def types_text(types: DataFrame) -> DataFrame:
+    """name, text: what an overview says of each type: name, kind, place, and the first lines of its shape."""
+    shape = F.array_join(F.transform(F.slice(F.split("shape", "\n"), 1, SHOWN_TYPE_LINES), lambda x: F.concat(F.lit("    "), x)), "\n")
+    return types.select("name", F.concat(F.lit("  "), "name", F.lit(" ["), "type_kind", F.lit("] ("), "path", F.lit(", line "), "start_line", F.lit(")\n"), shape).alias("text"))
+
+
+def found(rows: DataFrame, path: str, name: str | None = None) -> DataFrame:
+    """rows with a column text, or, if there are none, one row that says what wasn't found."""
+    message = f"Symbol {name} not found in {path}." if name else f"File {path} not found in the index."
+    said = rows.sparkSession.range(1).select(F.lit(message).alias("text"))
+    none = rows.limit(1).agg(F.count("*").alias("n"))
+    return rows.unionByName(said.crossJoin(none).where("n = 0").drop("n"), allowMissingColumns=True)  # a row each

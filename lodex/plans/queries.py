@@ -1,40 +1,21 @@
 """Each query applies operators of the library to a whole test table; its SQL says the same for DuckDB.
 
 documents are files (path source/lang/doc_id.txt), pages are files with URLs, embeddings are vectors, events
-are file events, part and lineitem are symbols and calls.
+are file events; modules of code are made of parts in plans/code.py.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import paths, text, vectors
 from lodex.operators import freshness, graph, retrieval, symbols
-from lodex.sources.files import fingerprint
+from lodex.plans import code  # noqa: F401 - registers its queries
+from lodex.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
+from lodex.sources.files import env_pairs, fingerprint
 from lodex.streaming import watch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query, with its SQL if SQL can say the same."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))))
@@ -137,6 +118,44 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25(table(spark, sf_dir, "documents"), list(QUERY_WORDS), "doc_id", "text").orderBy(F.desc("score"), "id").limit(30)
 
 
+@query(f"WITH {BM25_SQL} SELECT id, score FROM fts ORDER BY score DESC, id LIMIT 30")
+def fts_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over postings, which an engine's store holds in order of term."""
+    docs = table(spark, sf_dir, "documents")
+    held = retrieval.by_term(retrieval.postings(docs, "doc_id", "text"))
+    return retrieval.bm25_of_postings(held, retrieval.totals(docs, "text"), list(QUERY_WORDS)).orderBy(F.desc("score"), "id").limit(30)
+
+
+EVAL_SQL = f"""r AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+    tk AS (SELECT id, {TOKENS} AS ts FROM r), st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM tk),
+    qt AS (SELECT DISTINCT item_id, unnest(list_slice({TOKENS}, 1, 10)) AS term FROM benchmark),
+    po AS (SELECT id, l, term, count(*) AS f FROM (SELECT id, len(ts) AS l, unnest(ts) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS d FROM po GROUP BY 1),
+    sc AS (SELECT item_id, id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS score FROM qt JOIN po USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+    rk AS (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM sc),
+    fh AS (SELECT b.item_id, min(rk.rank) FILTER (rk.rank <= 10 AND rk.id = 'b' || b.item_id) AS rank FROM benchmark b LEFT JOIN rk ON rk.item_id = b.item_id GROUP BY 1)"""
+
+
+def _benchmark_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank: where each passage is found by its first ten words, among all documents and passages; null beyond the tenth."""
+    passages = table(spark, sf_dir, "benchmark")
+    records = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text").unionByName(passages.select(F.concat(F.lit("b"), "item_id").alias("id"), "text"))
+    asked = passages.select(F.col("item_id").alias("query_id"), F.slice(text.tokens(F.col("text")), 1, 10).alias("words"))
+    hits = retrieval.bm25_many(retrieval.postings(records, "id", "text"), retrieval.totals(records, "text"), asked, 10)
+    wanted = passages.select(F.col("item_id").alias("query_id"), F.concat(F.lit("="), F.lit("b"), "item_id", F.lit("=")).alias("a")).select("query_id", F.array("a").alias("accepted"))
+    return retrieval.first_hits(wanted, hits.withColumn("id", F.concat(F.lit("="), "id", F.lit("="))))
+
+
+@query(f"WITH {EVAL_SQL} SELECT item_id AS query_id, rank::BIGINT AS rank FROM fh")
+def benchmark_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _benchmark_ranks(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {EVAL_SQL} SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM fh")
+def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.recall_and_mrr(_benchmark_ranks(spark, sf_dir))
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
 
@@ -217,6 +236,39 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols.regions(doc_files(spark, sf_dir).withColumn("language", F.lit("text")))
 
 
+BOUNDARY_SQL = r"regexp_matches(trim(line), '^#{{1,6}}\s+\S+|^\[.+\]$|^\{{?$|^(?:def|class)\s+\w+|^(?:interface|type)\s+\w+')".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""{LINES}, n AS (SELECT path, line_no, trim(line) = '' AS blank, {BOUNDARY_SQL} OR coalesce(lag(trim(line) = '') OVER w, true) AS new FROM lines WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+    g AS (SELECT path, line_no, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS k FROM n WHERE NOT blank)
+    SELECT path, (row_number() OVER (PARTITION BY path ORDER BY k) - 1)::INTEGER AS idx, min(line_no)::INTEGER AS start_line, max(line_no)::INTEGER AS end_line FROM g GROUP BY path, k""")
+def regions_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions between boundaries, with no limit of lines, characters or number."""
+    return symbols.regions(doc_files(spark, sf_dir).withColumn("language", F.lit("text")), None, None, None).select("path", "idx", "start_line", "end_line")
+
+
+@query("WITH l AS (SELECT 'K' || p_partkey AS k, CASE p_size % 4 WHEN 0 THEN '# ' || p_name WHEN 1 THEN '' ELSE ' K' || p_partkey || ' = ' || p_name || '=x ' END AS line FROM part) SELECT k AS key, substr(trim(line), strpos(trim(line), '=') + 2) AS val FROM l WHERE line LIKE '%=%' AND NOT starts_with(trim(line), '#')")
+def env_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("p_size") % 4
+    line = F.when(kind == 0, F.concat(F.lit("# "), "p_name")).when(kind == 1, "").otherwise(F.concat(F.lit(" K"), "p_partkey", F.lit(" = "), "p_name", F.lit("=x ")))
+    return env_pairs(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query(f"{FILES} SELECT path FROM files WHERE doc_id % 7 = 3 AND source <> 'src3'")
+def depth_limited_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names up to three folders deep, but for those below a folder to keep: every seventh file is asked for by name."""
+    files = doc_files(spark, sf_dir).withColumn("path", F.concat_ws("/", "source", "lang", F.when(F.col("doc_id") % 7 == 3, "wanted.txt").otherwise("other.txt"), F.concat("doc_id", F.lit(".txt"))))
+    place = F.substring_index("path", "/", 3)
+    hit = files.where(paths.named_within(place, ["wanted.txt"], 3, ["src3"]))
+    return hit.select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path"))
+
+
+@query("SELECT p_partkey, contains(chr(10) || p_type || chr(10) || p_name, p_name) AS held, contains(p_type || p_name, trim(p_brand)) AS other FROM part")
+def managed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = F.concat(F.lit("\n"), "p_type", F.lit("\n"), "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", text.holds_block(text_, F.concat(F.lit("\n "), "p_name", F.lit(" \n"))).alias("held"), text.holds_block(F.concat("p_type", "p_name"), F.col("p_brand")).alias("other"))
+
+
 @query(f"""{FILES} SELECT path || '::__file__' AS id, 'file' AS record_type, 'File: ' || path || chr(10) || 'Language: ' || lang || chr(10) || 'Size: ' || n_chars AS text FROM files
     UNION ALL SELECT url || '::__page__', 'page', 'File: ' || url || chr(10) || 'Language: html' FROM pages
     UNION ALL SELECT conv_id || '::' || turn, 'turn', 'File: ' || conv_id || chr(10) || 'Language: ' || role || chr(10) || 'Title: ' || left(text, 40) FROM conversations WHERE text IS NOT NULL""")
@@ -228,10 +280,6 @@ def record_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(pages).unionByName(turns).select("id", "record_type", "text")
 
 
-@query("SELECT p_name AS name, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1")
-def name_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
-
 
 @query(r"WITH n AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '__' || p_name || '__' WHEN 1 THEN '__' || p_name WHEN 2 THEN '_' || p_name ELSE p_name END AS name, p_size % 4 AS k FROM part) SELECT p_partkey, CASE k WHEN 1 THEN 'private' WHEN 2 THEN 'protected' ELSE 'public' END AS visibility FROM n")
 def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,46 +288,6 @@ def visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.visibility(name).alias("visibility"))
 
 
-CALLS_SQL = """calls AS (SELECT DISTINCT l_suppkey AS caller, p_name AS callee, p_brand AS prefix FROM lineitem JOIN part ON l_partkey = p_partkey),
-    cand AS (SELECT c.*, p.p_partkey, CASE WHEN count(*) OVER (PARTITION BY caller, callee, prefix) = 1 THEN 0 WHEN p.p_brand = c.prefix THEN 3 ELSE 7 END AS prio FROM calls c JOIN part p ON c.callee = p.p_name),
-    best AS (SELECT caller, callee, prefix, arg_min(p_partkey, struct_pack(a := prio, b := p_partkey)) AS target, min(prio)::INTEGER AS prio, count(*) AS match_count FROM cand GROUP BY 1, 2, 3)"""
-
-
-def _part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rank join of call resolution on parts: the least (priority, key) among those of the called name."""
-    part = table(spark, sf_dir, "part")
-    calls = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("p_partkey")).distinct().join(part.select("p_partkey", F.col("p_name").alias("callee"), F.col("p_brand").alias("prefix")), "p_partkey").select("caller", "callee", "prefix").distinct()
-    # what a call finds depends on its name and prefix alone: those few pairs are resolved, not every call
-    names = part.select(F.col("p_name").alias("callee"), F.col("p_brand").alias("prefix")).distinct()
-    locators = part.select(F.col("p_name").alias("callee"), "p_partkey", "p_brand")
-    by_name = locators.groupBy("callee").agg(F.count("*").alias("match_count"), F.min("p_partkey").alias("any_key"))
-    by_brand = locators.groupBy("callee", F.col("p_brand").alias("prefix")).agg(F.min("p_partkey").alias("own_key"))
-    prio = F.when(F.col("match_count") == 1, 0).when(F.col("own_key").isNotNull(), 3).otherwise(7)
-    best = names.join(by_name, "callee").join(by_brand, ["callee", "prefix"], "left").select("callee", "prefix", F.coalesce("own_key", "any_key").alias("target"), prio.alias("prio"), "match_count")
-    return calls.join(best, ["callee", "prefix"])
-
-
-@query(f"WITH {CALLS_SQL} SELECT caller, callee, prefix, target, prio, match_count FROM best")
-def best_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_calls(spark, sf_dir).select("caller", "callee", "prefix", "target", "prio", "match_count")
-
-
-@query("SELECT DISTINCT p_name AS callee FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 10)")
-def external_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.join(part.where("p_size <= 10"), "p_name", "left_anti").select(F.col("p_name").alias("callee")).distinct()
-
-
-@query(f"WITH {CALLS_SQL} SELECT target, count(DISTINCT caller) AS callers, min(caller) AS first_caller FROM best GROUP BY 1")
-def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _part_calls(spark, sf_dir).select("target", "caller").distinct().groupBy("target").agg(F.count("*").alias("callers"), F.min("caller").alias("first_caller"))
-
-
-@query("SELECT l_suppkey AS caller, l_partkey AS callee, count(*) AS calls FROM lineitem GROUP BY 1, 2")
-def call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee")).agg(F.count("*").alias("calls"))
-
-
 EDGES_SQL = "edges AS (SELECT DISTINCT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"
 
 
@@ -309,36 +317,15 @@ def trace_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.within_budget(rows, "lines", 300, "c_nationkey", "c_custkey").select("c_custkey", F.col("used_before").cast("long").alias("used_before"))
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (lang = 'en') AS en, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars, list_aggregate(list_sort(list(DISTINCT lang)), 'string_agg', ',') AS languages FROM documents")
-def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.count_if(F.col("lang") == "en").alias("en"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
-
-
-@query(f"{FILES} SELECT split_part(path, '/', 1) AS module, count(*) AS files, sum(n_chars)::BIGINT AS chars, CASE WHEN length(arg_min(text, path)) > 80 THEN left(arg_min(text, path), 77) || '...' ELSE arg_min(text, path) END AS about FROM files GROUP BY 1")
-def overview_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_files(spark, sf_dir).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("module")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), text.one_liner(F.min_by("text", "path"), 80).alias("about"))
-
 
-@query("SELECT conv_id, count(*) FILTER (role = 'user') AS public_fns, count(*) AS turns FROM conversations GROUP BY 1")
-def public_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("public_fns"), F.count("*").alias("turns"))
 
 
-@query("SELECT p_name AS name, arg_max(p_brand, p_partkey) AS brand, max(p_partkey) AS p_partkey FROM part GROUP BY 1")
-def type_lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.max_by("p_brand", "p_partkey").alias("brand"), F.max("p_partkey").alias("p_partkey"))
-
 
 @query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS one_liner FROM documents")
 def one_liner_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.one_liner(F.col("text")).alias("one_liner"))
 
 
-@query("WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) SELECT o_custkey, string_agg(o_orderpriority, ', ' ORDER BY k) AS names FROM f GROUP BY 1")
-def import_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
-    return first.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "o_orderpriority"))), lambda r: r["o_orderpriority"]), ", ").alias("names"))
-
 
 RANKS_SQL = "ranks AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 6 + 1 END AS rank FROM orders)"
 
@@ -367,7 +354,10 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freshness.snapshot_diff(*_snapshots(spark, sf_dir))
 
 
-@query("WITH h AS (SELECT sha256(doc_id || chr(31) || n_chars) AS h FROM documents), b AS (SELECT left(h, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b")
+QUARTERS = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT)" for k in range(4))
+
+
+@query(f"WITH h AS (SELECT sha256(doc_id || chr(31) || n_chars) AS h FROM documents) SELECT sha256(concat_ws(',', count(*), {QUARTERS})) AS fingerprint FROM h")
 def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("n_chars").cast("string").alias("n_chars")), "doc_id", "n_chars")
 
@@ -411,24 +401,29 @@ def flush_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.flush_batches(pending).select("due", "path", F.col("tick").cast("long").alias("tick"))
 
 
-@query()
+@query(ORACLE_SQL["debounce_sessions"])
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming twin of debounce_sessions: bursts that are closed when the input ends."""
+    """The streaming twin of debounce_sessions. A last event far ahead, of no path, moves the watermark past all bursts when the input ends."""
     import uuid
 
     where = f"{_streams(spark)}/{uuid.uuid4().hex}"
-    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    out = watch.debounced(_as_events(raw), "30 minutes", late="10 minutes")
+    events = table(spark, sf_dir, "events")
+    events.limit(1).withColumn("ts", F.lit("2999-01-01").cast("timestamp").cast(events.schema["ts"].dataType)).withColumn("user_id", F.lit(None).cast(events.schema["user_id"].dataType)).write.parquet(f"{where}/end")
+    read = lambda place: spark.readStream.schema(events.schema).parquet(place)
+    raw = read(f"{sf_dir}/events.parquet*").unionByName(read(f"{where}/end"))
+    out = watch.debounced(_as_events(raw), "30 minutes", late="10 minutes")  # its own burst stays open
     done = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).outputMode("append").start()
     done.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{where}/out").select("path", "op", "events", F.unix_millis("begin").alias("begin_ms"))
 
 
 def _streams(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share; one on this machine only if all run here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/streams"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     import tempfile
 
     return tempfile.mkdtemp(prefix="lodex-streams-")
@@ -450,14 +445,10 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).cast("long").alias("line_count"))
 
 
-@query("SELECT url, regexp_extract(url, '[^/]+$') || '-' || left(sha256(url), 16) AS cache_key FROM pages WHERE url NOT LIKE '%/'")
+@query("SELECT url, regexp_extract(url, '[^/]*$') || '-' || left(sha256(url), 16) AS cache_key FROM pages")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(~F.col("url").endswith("/")).select("url", paths.cache_key(F.col("url")).alias("cache_key"))
-
+    return table(spark, sf_dir, "pages").select("url", paths.cache_key(F.col("url")).alias("cache_key"))
 
-@query("WITH w AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1) SELECT p_name AS callee, n AS match_count FROM w")
-def ambiguity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("callee")).agg(F.count("*").alias("match_count")).where("match_count > 1")
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS b FROM orders) SELECT o_custkey, max(CASE WHEN a = 1 THEN o_orderkey END) AS first_def, max(CASE WHEN b = 1 THEN o_orderkey END) AS last_def FROM o GROUP BY 1")

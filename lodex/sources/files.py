@@ -3,27 +3,69 @@
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.config import EXTENSIONS, MOST_BYTES, SCHEMA_VERSION, EngineConfig
-from lodex.functions.paths import language, wanted
+from lodex.functions.paths import language, path_test
 from lodex.functions.text import line_count
 
 
-def scan(spark: SparkSession, config: EngineConfig) -> DataFrame:
-    """path, size, mtime, content_hash, language, line_count, text of the wanted files below the root.
-
-    The filter on paths and sizes comes before anything that needs the content.
+#: Signs that a path to load may not have unmarked.
+_GLOB = re.compile(r"([\\\[\]{}*?])")
+
+
+def walk(spark: SparkSession, config: EngineConfig) -> list[str]:
+    """Paths below the root of the files that a scan takes. Folders that are excluded or ignored are never entered, and no content is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(config.root)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    keeps = path_test(extensions=(*EXTENSIONS, *config.extra_extensions), exclude=config.exclude, ignore_lines=(*_ignore_lines(spark, config, fs, path), *config.ignore_lines), substring=config.compat_substring)
+    found, open_ = [], [("", root)]
+    while open_:
+        above, folder = open_.pop()
+        for status in fs.listStatus(folder):
+            name = above + status.getPath().getName()
+            if status.isDirectory():
+                if keeps(name, True):
+                    open_.append((f"{name}/", status.getPath()))
+            elif status.getLen() <= MOST_BYTES and keeps(name, False):
+                found.append(name)
+    return sorted(found)
+
+
+def _ignore_lines(spark: SparkSession, config: EngineConfig, fs, path) -> list[str]:
+    """Lines of the root's own ignore files, in order."""
+    out: list[str] = []
+    for name in config.ignore_files:
+        place = f"{config.root.rstrip('/')}/{name}"
+        if fs.exists(path(place)):
+            stream = fs.open(path(place))  # Spark's readers pass over names that begin with a dot
+            out += spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            stream.close()
+    return out
+
+
+def scan(spark: SparkSession, config: EngineConfig, only: Iterable[str] | None = None) -> DataFrame:
+    """path, size, mtime, content_hash, language, line_count, text of the wanted files below the root, or of those of them named in only.
+
+    The tree is walked first, so only files that pass the filter on paths and sizes are read.
     """
     root = config.root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.col("path"), "^.*?" + "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in root.split("://")[-1]) + "/", "")
-    found = raw.where(F.col("length") <= MOST_BYTES).withColumn("rel", rel)
-    found = found.where(wanted(F.col("rel"), extensions=(*EXTENSIONS, *config.extra_extensions), exclude=config.exclude, ignore_lines=config.ignore_lines, substring=config.compat_substring))
+    names = walk(spark, config)
+    if only is not None:
+        names = sorted(set(names) & set(only))
+    reader = spark.read.format("binaryFile")
+    places = [_GLOB.sub(r"\\\1", f"{root}/{n}") for n in names]
+    raw = reader.load(places) if places else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    below = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    rel = F.substring("path", F.instr("path", f"{below}/") + len(below) + 1, F.lit(1 << 30))
+    found = raw.withColumn("rel", rel)
     if config.languages:
         found = found.where(language(F.col("rel")).isin(*config.languages))
     text = F.decode(F.col("content"), "UTF-8")
@@ -37,14 +79,15 @@ def env_pairs(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def fingerprint(files: DataFrame, *columns: str) -> DataFrame:
-    """One row: a hash over all files' hashes in order of path. Per-file hashes are summed by bucket first, so no task holds all paths."""
-    each = files.select(F.sha2(F.concat_ws("\x1f", *columns), 256).alias("h"))
-    buckets = each.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    """One row: a hash over the number of files and the sums of four quarters of their hashes. Sums have no order, so each task adds up its own."""
+    h = F.sha2(F.concat_ws("\x1f", *columns), 256)
+    quarters = [F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = [F.coalesce(F.sum(q.cast("decimal(28,0)")), F.lit(0)).cast("string") for q in quarters]
+    return files.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256).alias("fingerprint"))
 
 
 class Store:
-    """Versioned Parquet tables below a folder; a pointer file names the current version, so readers never see half of one."""
+    """Versioned Parquet tables below a folder. A version counts once its pointer is there, and pointers are never changed, so readers never see half of one."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -58,14 +101,26 @@ class Store:
         for name, df in tables.items():
             (df(done) if callable(df) else df).write.parquet(f"{self.folder}/{version}/{name}")
             done[name] = self.spark.read.parquet(f"{self.folder}/{version}/{name}")
-        meta = json.dumps({"schema_version": SCHEMA_VERSION, "version": version, **facts})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/_meta")
+        self._point(json.dumps({"schema_version": SCHEMA_VERSION, "version": version, **facts}), version)
         return version
 
+    def _point(self, meta: str, version: str) -> None:
+        """Write a new pointer under another name and rename it, which is done wholly or not at all."""
+        last = max((int(n.split("-")[0]) for n in self._pointers()), default=0)
+        made = self._path(f"{self.folder}/_meta/.{version}")
+        out = self._fs.create(made)
+        out.write(bytearray(meta.encode()))
+        out.close()
+        if not self._fs.rename(made, self._path(f"{self.folder}/_meta/{max(last + 1, time.time_ns()):020}-{version}")):
+            raise OSError(f"{self.folder}: the new version can't be made current")
+
+    def _pointers(self) -> list[str]:
+        place = self._path(f"{self.folder}/_meta")
+        return sorted(n for s in (self._fs.listStatus(place) if self._fs.exists(place) else []) if not (n := s.getPath().getName()).startswith((".", "_")))
+
     def meta(self) -> dict:
-        if not self._fs.exists(self._path(f"{self.folder}/_meta")):
-            return {}
-        return json.loads(self.spark.read.text(f"{self.folder}/_meta").first()[0])
+        names = self._pointers()
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.folder}/_meta/{names[-1]}").first()[0]) if names else {}
 
     def load(self, **facts: str) -> dict[str, DataFrame] | None:
         """All tables of the current version, or None if there is none or its facts are others."""

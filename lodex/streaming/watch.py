@@ -47,6 +47,24 @@ def apply_to(events: DataFrame, delete: Callable[[DataFrame], None], change: Cal
     return events.writeStream.option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+def keep_fresh(events: DataFrame, engine, folder: str, checkpoint: str, size: int = FLUSH_PATHS, **options: str) -> tuple[StreamingQuery, Callable]:
+    """Apply events (path, op, begin) to an engine's tree and store, so many paths at a time and deletes first; a batch that fails is done again from its checkpoint.
+
+    Returns the stream and a function that gives the engine as it is now. A micro-batch's paths are gathered: bound them by the source's options.
+    """
+    held = [engine]
+
+    def batch(df: DataFrame, _: int) -> None:
+        last = df.groupBy("path").agg(F.max_by("op", "begin").alias("op")).collect()
+        ordered = [(r.op, r.path) for r in sorted(last, key=lambda r: (r.op != "delete", r.path))]
+        for k in range(0, len(ordered), size):
+            part = ordered[k : k + size]
+            held[0] = held[0].applied([p for op, p in part if op != "delete"], [p for op, p in part if op == "delete"], folder)
+
+    query = events.writeStream.option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).foreachBatch(batch).start()
+    return query, lambda: held[0]
+
+
 def flush(query: StreamingQuery, seconds: float = 1.0) -> bool:
     """Have what has come applied before a read, waiting for so long at most. False: there is more to apply."""
     worker = threading.Thread(target=query.processAllAvailable, daemon=True)

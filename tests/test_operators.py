@@ -10,7 +10,7 @@ from lodex.config import EngineConfig, resolve_root
 from lodex.engine import Engine
 from lodex.functions import paths, text, udtfs, vectors
 from lodex.operators import freshness, graph, languages, retrieval, symbols
-from lodex.sources.files import Store, env_pairs, fingerprint
+from lodex.sources.files import Store, env_pairs, fingerprint, scan, walk
 from lodex.streaming import watch
 
 
@@ -148,7 +148,8 @@ def test_python_parse():
 
 
 def test_broken_python_is_a_row():
-    (row,) = symbols.parse_python("b.py", "def f(:\n")
+    row, spot = symbols.parse_python("b.py", "def f(:\n")
+    assert (spot["kind"], spot["name"], spot["start_line"]) == ("function", "f", 1)
     assert row["kind"] == "error" and "syntax error at L1" in row["error"]
     twice = [r for r in symbols.parse_python("t.py", "def f(): return 1\ndef f(a): return 2\n") if r["kind"] == "function"]
     assert [len(r["params"]) for r in twice] == [1]
@@ -285,7 +286,7 @@ def test_engine_end_to_end(spark, tree):
     status = engine.status().first()
     assert (status.files, status.classes, status.parse_errors) == (7, 2, 1)
     assert [r.path for r in engine.file_find("*.py").collect()] == ["broken.py", "far.py", "helper.py", "main.py", "other.py"]
-    assert {r.name for r in engine.find_code("^t", search_in="names").collect()} == {"target", "twin", "T", "T.act", "T.go"}
+    assert {r.name for r in engine.find_code("^t", search_in="names").collect()} == {"target", "twin"} and {r.name for r in engine.find_code("^go$", search_in="names").collect()} == {"T.go", "go"}
     assert [r.line for r in engine.raw("RETURN", "web").collect()] == ["  return a;"]
     with pytest.raises(ValueError, match="outside"):
         engine.raw("x", "../up")
@@ -294,8 +295,8 @@ def test_engine_end_to_end(spark, tree):
     assert any(r.symbol == "target" for r in engine.search("target", "semantic", 5).collect()) and engine.search("twin", "keyword").count()
     assert engine.source("other.py", "T.act").first().source == "    def act(self): pass"
     assert {(r.direction, r.name) for r in engine.trace("main.py", "run", depth=1).collect()} >= {("callees", "target"), ("callees", "lone")}
-    assert "depends_on: target (helper.py)" in engine.contracts().where("path = 'main.py' and qualified_name = 'run'").first().text
-    assert engine.overview().where("module = 'docs'").first().files == 1 and "parse error" in engine.outline("broken.py").first().text
+    assert "\ndepends_on:\n" in engine.contracts().where("path = 'main.py' and qualified_name = 'run'").first().text
+    assert engine.overview().where("module = 'docs'").first().files == 1 and "broken.py [PARSE ERROR]: syntax error" in engine.outline("broken.py").first().text and engine.outline("no.py").first().text == "File no.py not found in the index."
     assert engine.type_shape("U").first().fields == ["t: T"]
 
 
@@ -442,3 +443,79 @@ def test_flush_waits_for_what_has_come(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "out")).count() == 1
     finally:
         stream.stop()
+
+
+def test_scan_prunes_and_reads_ignore_files(spark, tmp_path):
+    root = tmp_path / "a [b] + c%20d"
+    for name in ("keep.py", "gone.py", "out/x.py", ".git/y.py", "sub/deep é.py", "sub/secret/z.py", "notes.bin"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    (root / ".gitignore").write_text("gone.py\nsecret/\n")
+    config = EngineConfig(str(root))
+    assert walk(spark, config) == ["keep.py", "sub/deep é.py"]
+    assert {r.path for r in scan(spark, config).collect()} == {"keep.py", "sub/deep é.py"}
+    assert [r.path for r in scan(spark, config, ["keep.py", "gone.py"]).collect()] == ["keep.py"]
+    assert scan(spark, EngineConfig(str(root / "out"), exclude=("x.py",))).count() == 0
+
+
+def test_path_test_is_the_filter_of_columns(spark):
+    rng, names = random.Random(5), ["a", "b.py", "build", "c.txt", ".git", "d.zzz", "py"]
+    every = sorted({"/".join(rng.choice(names) for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    rules = ("/a/**/b.py", "c.txt", "!/b.py/c.txt", "py/")
+    df = spark.createDataFrame([(p,) for p in every], "path string")
+    want = {r.path for r in df.where(paths.wanted(F.col("path"), ignore_lines=rules)).collect()}
+    keeps = paths.path_test(ignore_lines=rules)
+    assert {p for p in every if keeps(p, False) and all(keeps("/".join(p.split("/")[:k]), True) for k in range(1, p.count("/") + 1))} == want
+
+
+def test_store_pointers_are_only_added(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.meta() == {} and store.load() is None
+    first = store.save({"t": spark.range(2)}, mark="1")
+    second = store.save({"t": spark.range(3)}, mark="2")
+    assert first != second == store.meta()["version"] and store.load(mark="1") is None and store.load(mark="2")["t"].count() == 3
+    assert len(list((tmp_path / "s" / "_meta").glob("[0-9]*"))) == 2
+
+
+def test_engine_refreshes_and_takes_a_model(spark, tree):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encode(body):
+        calls.add(1)
+        return np.array([float("vectors" in body), 1.0, 0.0])
+
+    def fail(hits):
+        return hits.withColumn("score", F.raise_error(F.lit("no model")))
+
+    config = EngineConfig(str(tree / "tree"), dimensions=2, encode=encode, rerank=fail)
+    engine = Engine.load_or_build(spark, config, str(tree / "store"))
+    assert calls.value and engine.postings.where("term = 'vectors'").count() and engine.search("about vectors", "semantic", 3).first().path == "docs/a.md"
+    assert engine.refreshed(str(tree / "store")) is engine
+    (tree / "tree" / "helper.py").write_text("def fresh(): pass\n")
+    (tree / "tree" / "far.py").unlink()
+    assert engine.source("helper.py", "target").count() and "fresh" in engine.source("helper.py", "target", fresh=True).first().source
+    now = engine.refreshed(str(tree / "store"))
+    rebuilt = Engine.load_or_build(spark, config, str(tree / "store"))
+    assert {r.path for r in now.files.collect()} == {r.path for r in rebuilt.files.collect()} and "far.py" not in {r.path for r in now.files.collect()}
+    assert now.symbols.where("name = 'fresh'").count() == 1 == rebuilt.symbols.where("name = 'fresh'").count()
+    events = spark.createDataFrame([("helper.py", "delete", 1)], "path string, op string, begin long")
+    events.write.parquet(str(tree / "events"))
+    (tree / "tree" / "helper.py").unlink()
+    query, current = watch.keep_fresh(spark.readStream.schema(events.schema).parquet(str(tree / "events")), now, str(tree / "store"), str(tree / "marks"))
+    query.awaitTermination()
+    assert "helper.py" not in {r.path for r in current().files.collect()} and current().counts().count()
+
+
+def test_keyword_says_how_many_more(spark, tree):
+    (tree / "tree" / "many.py").write_text("".join(f"def f{k}(): pass\n" for k in range(60)))
+    engine = Engine.build(spark, EngineConfig(str(tree / "tree"), dimensions=8))
+    lines = [r.line for r in engine.keyword("^f[0-9]", search_in="names").collect()]
+    assert len(lines) == 51 and lines[0] == "many.py:1 f0()->None" and lines[-1].startswith("...and 10 more.")
+    assert engine.search("^f[0-9]", "keyword", 5).count() == 5
+    assert {r.part for r in engine.source_and_trace("main.py", "run").collect()} >= {"source", "callees"}
+
+
+def test_raw_search_reads_lines(spark):
+    files = spark.createDataFrame([("a", "x = 1\nimport os\n"), ("b", "foo\nbar"), ("c", "none")], "path string, text string")
+    assert [(r.path, r.line_no) for r in retrieval.raw_search(files, "^import").collect()] == [("a", 2)]
+    assert [(r.path, r.line_no) for r in retrieval.raw_search(files, r"1$|\Abar|foo(?!\s*bar)", first_only=False).orderBy("path", "line_no").collect()] == [("a", 1), ("b", 1), ("b", 2)]
