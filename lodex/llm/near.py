@@ -139,20 +139,22 @@ def star(one: pa.Table, rows: pa.Table, at_least: float) -> pa.Table:
 
 
 def across(rows: pa.Table, at_least: float) -> pa.Table:
-    """Links that join all components whose rows, of those given, are similar: each row outside the largest is held against all."""
+    """Links that join all components whose rows are similar: each row that asks is held against all that don't."""
+    asks = rows.column("asks").to_numpy(zero_copy_only=False)
     row, root = rows.column("row").to_numpy(), np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
     sets = _sets(rows.column("held"))
     sizes = np.array([len(s) for s in sets])
-    entries = np.concatenate(sets)
+    held = np.flatnonzero(~asks)
+    entries = np.concatenate([*(sets[k] for k in held), np.zeros(0, dtype=np.uint64)])
     order = np.argsort(entries, kind="stable")
-    entries, holder = entries[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    entries, holder = entries[order], np.repeat(held, sizes[held])[order]
     u, v = [], []
-    for k in np.flatnonzero(root != np.bincount(root).argmax()):
+    for k in np.flatnonzero(asks):
         begin, end = np.searchsorted(entries, sets[k], "left"), np.searchsorted(entries, sets[k], "right")
         run = end - begin
         inside = np.arange(run.sum()) + np.repeat(begin - np.cumsum(run) + run, run)
         common = np.bincount(holder[inside], minlength=len(sets))  # a row holds a shingle once
-        for j in np.flatnonzero(similar(common, sizes[k], sizes, at_least) & (root != root[k])):
+        for j in np.flatnonzero(similar(common, sizes[k], sizes, at_least) & (root != root[k]) & ~asks):
             if root[j] != root[k]:
                 u.append(int(row[k]))
                 v.append(int(row[j]))
@@ -162,12 +164,19 @@ def across(rows: pa.Table, at_least: float) -> pa.Table:
     return _links(u, v)
 
 
-def _same_sets(members: DataFrame, key: str) -> DataFrame:
-    """One key of all that hold the same rows, with the least row u and the number of rows; only those of two rows and more."""
-    held = members.groupBy(key).agg(F.min("row").alias("u"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("which")).where("n > 1")
+def _same_sets(members: DataFrame, key: str, first: str = "row") -> DataFrame:
+    """One key of all that hold the same rows, with the row u whose column first is least and the number of rows; only those of two rows and more."""
+    held = members.groupBy(key).agg(F.min_by("row", first).alias("u"), F.count("*").alias("n"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("which")).where("n > 1")
     return held.groupBy("u", "n", "which").agg(F.min(key).alias(key)).select(key, "u", "n")
 
 
+def _with_known(each: DataFrame) -> DataFrame:
+    """fp, row, first: rows that share a fingerprint; least first is the one that shares most with others, as an original does with its copies."""
+    shared = stage(each.join(each.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "fp"), "shared")
+    known = shared.groupBy("row").agg(F.sum("n").alias("known"))
+    return shared.join(known, "row").select("fp", "row", F.struct((-F.col("known")).alias("known"), "row").alias("first"))
+
+
 def _stars(docs: DataFrame, members: DataFrame, words: int, at_least: float) -> DataFrame:
     """Links of each (u, row) of members that are similar; so many rows at a time as TOGETHER."""
     pairs = stage(members.where("row <> u").select("u", F.col("row").alias("v")).distinct(), "pairs")
@@ -189,10 +198,16 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     met = each.select("fp", "root").distinct().select(flip("fp").alias("point"), "root").groupBy("point").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     points = stage(met.where("a <> b").select("point"), "points")
     members = stage(points.select("point", flip("point").alias("fp")).join(each, "fp").select("point", "row", "root"), "members")
-    open_ = members.join(_same_sets(members, "point"), "point").withColumn("parts", F.ceil(F.col("n") / TOGETHER).cast("int"))
-    # a large point's rows are cut into parts, and each two parts meet in a task
-    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    open_ = stage(open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("point", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "row", "root"), "open")
+    some = members.join(_same_sets(members, "point"), "point")
+    largest = some.groupBy("point", "n", "root").agg(F.count("*").alias("m")).groupBy("point", "n").agg(F.max(F.struct("m", "root")).alias("l"))
+    sized = largest.select("point", F.col("l.root").alias("most"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("l.m")) / TOGETHER).cast("int").alias("groups"))
+    # rows outside the point's largest component, which are few, ask all of the point's rows: these are cut into parts, and those into groups
+    deal = lambda many: F.pmod(F.xxhash64("row"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    dealt = some.select("point", "row", "root").join(sized, "point")
+    asked = dealt.select("point", deal("parts").alias("i"), every("groups").alias("j"), "row", "root", F.lit(False).alias("asks"))
+    asking = dealt.where("root <> most").select("point", every("parts").alias("i"), deal("groups").alias("j"), "row", "root", F.lit(True).alias("asks"))
+    open_ = stage(asked.unionByName(asking), "open")
     held = stage(shingled(docs.join(open_.select("row").distinct(), "row", "left_semi"), words), "shingles")
     more = stage(open_.join(held, "row").groupBy("point", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
     drop(points, members, open_, held)
@@ -207,8 +222,9 @@ def near_copies(docs: DataFrame, at_least: float = 0.8, words: int = 5, id_col:
     gives no rows; other columns aren't read. row_col: as in simhash.near_duplicates. at_least is 0.8 or more: below it the
     blocks miss more.
 
-    First the rows that have a fingerprint in common are held against the least of them; that leaves few components where
-    groups are large. Then rows of different components that meet are held against each other, TOGETHER at a time.
+    First the rows that have a fingerprint in common are held against the one of them that shares most fingerprints with
+    others; that leaves few components where groups are large. Then, where components meet, rows outside the largest are
+    held against all, TOGETHER by TOGETHER.
     """
     if not 0.8 <= at_least <= 1:
         raise ValueError("at_least is 0.8 to 1")
@@ -216,8 +232,9 @@ def near_copies(docs: DataFrame, at_least: float = 0.8, words: int = 5, id_col:
     docs = with_rows(docs, row_col, doc_id=id_col, text=text_col)
     made = stage(fingerprinted(docs, words), "fingerprints")
     each = made.select(F.explode("fps").alias("fp"), "row")
-    alike = stage(_same_sets(each, "fp"), "alike")
-    links = _stars(docs, each.join(alike, "fp"), words, at_least)
+    shared = stage(_with_known(each), "known")
+    alike = stage(_same_sets(shared, "fp", "first"), "alike")
+    links = _stars(docs, shared.join(alike, "fp"), words, at_least)
     roots = stage(components(links).withColumnRenamed("node", "row"), "roots")
     rooted = stage(made.join(roots, "row", "left").select("fps", "row", F.coalesce("root", "row").alias("root")), "rooted")
     more = _across(docs, rooted, words, at_least)
