@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodex.llm.components import components
@@ -189,15 +189,29 @@ def _stars(docs: DataFrame, members: DataFrame, words: int, at_least: float) ->
     return links
 
 
+def _meets_here(f: Column, g: Column) -> Column:
+    """Whether rows of different components have the fingerprints f and g, and this point is the one that looks at the two.
+
+    Equal ones meet at all their variants, others within two bits at two points: each other's, or the two between. Equal
+    ones are looked at where they are the point itself, others at the lesser of the two points.
+    """
+    point = F.col("point")
+    apart = F.least(f["a"], g["a"]) != F.greatest(f["b"], g["b"])
+    return apart & ((point < f["fp"].bitwiseXOR(g["fp"]).bitwiseXOR(point)) | ((f["fp"] == point) & (g["fp"] == point)))
+
+
 def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) -> DataFrame:
     """Links between the components that meet at a point. rooted: fps, row, root."""
     masks_ = F.array(*[F.lit(m) for m in masks(RADIUS // 2) if 0 <= m < 1 << BITS])
     flip = lambda c: F.explode(F.transform(masks_, lambda m: F.col(c).bitwiseXOR(m)))
     each = rooted.select(F.explode("fps").alias("fp"), "row", "root")
-    # a root's rows of one fingerprint send its variants once
-    met = each.select("fp", "root").distinct().select(flip("fp").alias("point"), "root").groupBy("point").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    ends = each.groupBy("fp").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    met = ends.select(flip("fp").alias("point"), "a", "b").groupBy("point").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     points = stage(met.where("a <> b").select("point"), "points")
-    members = stage(points.select("point", flip("point").alias("fp")).join(each, "fp").select("point", "row", "root"), "members")
+    # a point holds at most as many fingerprints as there are variants of one
+    around = points.select("point", flip("point").alias("fp")).join(ends, "fp").groupBy("point").agg(F.collect_list(F.struct("fp", "a", "b")).alias("fps"))
+    asked_at = around.select("point", F.explode(F.filter("fps", lambda f: F.exists("fps", lambda g: _meets_here(f, g)))).alias("f")).select("point", "f.fp")
+    members = stage(asked_at.join(each, "fp").select("point", "row", "root"), "members")
     some = members.join(_same_sets(members, "point"), "point")
     largest = some.groupBy("point", "n", "root").agg(F.count("*").alias("m")).groupBy("point", "n").agg(F.max(F.struct("m", "root")).alias("l"))
     sized = largest.select("point", F.col("l.root").alias("most"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("l.m")) / TOGETHER).cast("int").alias("groups"))
