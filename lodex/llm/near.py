@@ -138,23 +138,28 @@ def star(one: pa.Table, rows: pa.Table, at_least: float) -> pa.Table:
     return _links([u] * len(near), near.tolist())
 
 
+#: What a row does among those it is held against: it is asked, it asks, or both.
+ASKED, ASKS, BOTH = 0, 1, 2
+
+
 def across(rows: pa.Table, at_least: float) -> pa.Table:
-    """Links that join all components whose rows are similar: each row that asks is held against all that don't."""
-    asks = rows.column("asks").to_numpy(zero_copy_only=False)
+    """Links that join all components whose rows are similar: each row that asks is held against all that are asked."""
+    does = rows.column("does").to_numpy()
+    asked = does != ASKS
     row, root = rows.column("row").to_numpy(), np.unique(rows.column("root").to_numpy(), return_inverse=True)[1]
     sets = _sets(rows.column("held"))
     sizes = np.array([len(s) for s in sets])
-    held = np.flatnonzero(~asks)
+    held = np.flatnonzero(asked)
     entries = np.concatenate([*(sets[k] for k in held), np.zeros(0, dtype=np.uint64)])
     order = np.argsort(entries, kind="stable")
     entries, holder = entries[order], np.repeat(held, sizes[held])[order]
     u, v = [], []
-    for k in np.flatnonzero(asks):
+    for k in np.flatnonzero(does != ASKED):
         begin, end = np.searchsorted(entries, sets[k], "left"), np.searchsorted(entries, sets[k], "right")
         run = end - begin
         inside = np.arange(run.sum()) + np.repeat(begin - np.cumsum(run) + run, run)
         common = np.bincount(holder[inside], minlength=len(sets))  # a row holds a shingle once
-        for j in np.flatnonzero(similar(common, sizes[k], sizes, at_least) & (root != root[k]) & ~asks):
+        for j in np.flatnonzero(similar(common, sizes[k], sizes, at_least) & (root != root[k]) & asked):
             if root[j] != root[k]:
                 u.append(int(row[k]))
                 v.append(int(row[j]))
@@ -204,27 +209,44 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     """Links between the components that meet at a point. rooted: fps, row, root."""
     masks_ = F.array(*[F.lit(m) for m in masks(RADIUS // 2) if 0 <= m < 1 << BITS])
     flip = lambda c: F.explode(F.transform(masks_, lambda m: F.col(c).bitwiseXOR(m)))
-    each = rooted.select(F.explode("fps").alias("fp"), "row", "root")
+    deal = lambda many: F.pmod(F.xxhash64("row"), F.col(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    whole = lambda many: F.ceil(many / TOGETHER).cast("int")
+    cut = rooted.groupBy("root").agg(whole(F.count("*")).alias("cuts")).where("cuts > 1")
+    placed = stage(rooted.join(cut, "root", "left").select("fps", "row", "root", F.coalesce(deal("cuts"), F.lit(0)).alias("part")), "placed")
+    each = placed.select(F.explode("fps").alias("fp"), "row", "root", "part")
     ends = each.groupBy("fp").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     met = ends.select(flip("fp").alias("point"), "a", "b").groupBy("point").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     points = stage(met.where("a <> b").select("point"), "points")
     # a point holds at most as many fingerprints as there are variants of one
     around = points.select("point", flip("point").alias("fp")).join(ends, "fp").groupBy("point").agg(F.collect_list(F.struct("fp", "a", "b")).alias("fps"))
-    asked_at = around.select("point", F.explode(F.filter("fps", lambda f: F.exists("fps", lambda g: _meets_here(f, g)))).alias("f")).select("point", "f.fp")
-    members = stage(asked_at.join(each, "fp").select("point", "row", "root"), "members")
+    looked = around.select("point", F.explode(F.filter("fps", lambda f: F.exists("fps", lambda g: _meets_here(f, g)))).alias("f")).select("point", "f.fp")
+    there = stage(looked.join(each.groupBy("fp", "root", "part").agg(F.count("*").alias("k")), "fp"), "there")
+    by_root = there.groupBy("point", "root").agg(F.sum("k").alias("k")).groupBy("point").agg(F.max(F.struct("k", "root")).alias("l"), F.sum("k").alias("n"))
+    sized = stage(by_root.select("point", F.col("l.root").alias("most"), (F.col("l.k") * 2 > F.col("n")).alias("main")), "sized")
+    # where one component has most of a point's rows, these don't come to the point: the others go to the component's parts
+    few = there.join(sized, "point").where("root <> most or not main").select("point", "fp", "root").distinct()
+    members = stage(few.join(each.select("fp", "root", "row"), ["fp", "root"]).select("point", "row", "root"), "members")
+    goes = members.join(sized.where("main"), "point").select("point", "most", "row", "root")
+    parts = there.select("point", F.col("root").alias("most"), "part").distinct()
+    sent = stage(goes.join(parts, ["point", "most"]).select("most", "part", "row", "root").distinct(), "sent")
+    asked_parts = sent.groupBy("most", "part").agg(whole(F.count("*")).alias("groups"))
+    to_parts = sent.join(asked_parts, ["most", "part"]).select(F.lit(True).alias("main"), F.col("most").alias("at"), F.col("part").alias("i"), deal("groups").alias("j"), "row", "root", F.lit(ASKS).alias("does"))
+    of_parts = placed.join(asked_parts.withColumnRenamed("most", "root"), ["root", "part"]).select(F.lit(True).alias("main"), F.col("root").alias("at"), F.col("part").alias("i"), every("groups").alias("j"), "row", "root", F.lit(ASKED).alias("does"))
+    # rows at the point outside its largest component, which are few, ask all of its rows there: these are cut into parts, and those into groups
     some = members.join(_same_sets(members, "point"), "point")
     largest = some.groupBy("point", "n", "root").agg(F.count("*").alias("m")).groupBy("point", "n").agg(F.max(F.struct("m", "root")).alias("l"))
-    sized = largest.select("point", F.col("l.root").alias("most"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("l.m")) / TOGETHER).cast("int").alias("groups"))
-    # rows outside the point's largest component, which are few, ask all of the point's rows: these are cut into parts, and those into groups
-    deal = lambda many: F.pmod(F.xxhash64("row"), F.col(many)).cast("int")
-    every = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
-    dealt = some.select("point", "row", "root").join(sized, "point")
-    asked = dealt.select("point", deal("parts").alias("i"), every("groups").alias("j"), "row", "root", F.lit(False).alias("asks"))
-    asking = dealt.where("root <> most").select("point", every("parts").alias("i"), deal("groups").alias("j"), "row", "root", F.lit(True).alias("asks"))
-    open_ = stage(asked.unionByName(asking), "open")
+    counted = largest.select("point", F.col("l.root").alias("most"), whole(F.col("n")).alias("parts"), whole(F.col("n") - F.col("l.m")).alias("groups")).where("groups > 0")
+    dealt = some.select("point", "row", "root").join(counted, "point")
+    outside, one = F.col("root") != F.col("most"), F.col("parts") == 1
+    roles = F.when(one, F.array(F.when(outside, BOTH).otherwise(ASKED))).when(outside, F.array(F.lit(ASKED), F.lit(ASKS))).otherwise(F.array(F.lit(ASKED)))
+    acting = dealt.withColumn("does", F.explode(roles))
+    asked = acting.where(F.col("does") != ASKS).select(F.lit(False).alias("main"), F.col("point").alias("at"), deal("parts").alias("i"), every("groups").alias("j"), "row", "root", "does")
+    asking = acting.where(F.col("does") == ASKS).select(F.lit(False).alias("main"), F.col("point").alias("at"), every("parts").alias("i"), deal("groups").alias("j"), "row", "root", "does")
+    open_ = stage(to_parts.unionByName(of_parts).unionByName(asked).unionByName(asking), "open")
     held = stage(shingled(docs.join(open_.select("row").distinct(), "row", "left_semi"), words), "shingles")
-    more = stage(open_.join(held, "row").groupBy("point", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
-    drop(points, members, open_, held)
+    more = stage(open_.join(held, "row").groupBy("main", "at", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
+    drop(placed, points, there, sized, members, sent, open_, held)
     return more
 
 
@@ -238,7 +260,8 @@ def near_copies(docs: DataFrame, at_least: float = 0.8, words: int = 5, id_col:
 
     First the rows that have a fingerprint in common are held against the one of them that shares most fingerprints with
     others; that leaves few components where groups are large. Then, where components meet, rows outside the largest are
-    held against all, TOGETHER by TOGETHER.
+    held against all, TOGETHER by TOGETHER; where the largest has most of the rows, they are sent to its parts, each of
+    which has its rows once for all points.
     """
     if not 0.8 <= at_least <= 1:
         raise ValueError("at_least is 0.8 to 1")
