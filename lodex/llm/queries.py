@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import ann, exact, langid, lm, mixing, packing, pii, quality, simhash, toxicity
+from lodex.llm import ann, exact, langid, lm, mixing, ordered, packing, pii, quality, simhash, toxicity
 from lodex.llm.support import crc_remainder
 
 
@@ -82,7 +82,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(_read(spark, sf_dir, "documents")).drop("row")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup)}
+def op13_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are the end token alone; the rest is said at ordered.pack_in_order."""
+    return ordered.pack_in_order(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup, op13_ordered_packing)}
 
 ORACLE_SQL = {
     "op6_stupid_backoff": r"""
