@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import ann, exact, langid, lm, mixing, ordered, packing, pii, quality, simhash, toxicity
+from lodex.llm import ann, divergence, exact, langid, lm, mixing, ordered, packing, pii, quality, simhash, toxicity
 from lodex.llm.support import crc_remainder
 
 
@@ -82,12 +82,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(_read(spark, sf_dir, "documents")).drop("row")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls are empty; the rest is said at divergence.audit."""
+    return divergence.audit(_read(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 def op13_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts are the end token alone; the rest is said at ordered.pack_in_order."""
     return ordered.pack_in_order(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup, op13_ordered_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup, op12_source_divergence, op13_ordered_packing)}
 
 ORACLE_SQL = {
     "op6_stupid_backoff": r"""
@@ -119,4 +124,20 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        e AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term FROM e GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+        s AS (SELECT lang, source, sum(n) AS words FROM c GROUP BY 1, 2),
+        l AS (SELECT lang, sum(words) AS words FROM s GROUP BY 1),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.words, 0) + v.v))::BIGINT AS p
+              FROM g JOIN k ON g.lang = k.lang JOIN v ON g.lang = v.lang LEFT JOIN s ON g.lang = s.lang AND g.source = s.source LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+        q AS (SELECT p.lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 1) // any_value(l.words + v.v))::BIGINT AS q FROM p JOIN v ON p.lang = v.lang JOIN l ON p.lang = l.lang GROUP BY 1, 2),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200""",
 }
