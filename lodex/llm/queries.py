@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.llm import ann, divergence, exact, langid, lm, mixing, ordered, packing, pii, quality, simhash, toxicity
+from lodex.llm import ann, dialogue, divergence, exact, langid, lm, mixing, ordered, packing, pii, quality, simhash, toxicity
 from lodex.llm.support import crc_remainder
 
 
@@ -82,6 +82,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(_read(spark, sf_dir, "documents")).drop("row")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults by the remainder of crc32 of `conv_id:turn`; nulls are one space."""
+    turns = turns.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(x)) if c else F.lit(x) for c, x in (("conv_id", " "), ("", ":"), ("turn", " "))])
+    turns = turns.withColumn("fault", F.crc32(name.cast("binary")) % 20).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return turns.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that have no turns left after the damage have zeros, no edits and the digest of nothing; the rest is said at dialogue.repair."""
+    turns = _read(spark, sf_dir, "conversations")
+    summary, repaired = dialogue.repair(damaged(turns))
+    found = summary.join(dialogue.digests(repaired).withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    every = turns.select(F.col("conv_id").alias("id")).distinct().join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nulls are empty; the rest is said at divergence.audit."""
     return divergence.audit(_read(spark, sf_dir, "documents"), least_docs=3, top=200)
@@ -92,7 +112,7 @@ def op13_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.pack_in_order(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup, op12_source_divergence, op13_ordered_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_toxicity_mil, op4_quality_ordinal, op5_cross_polytope_ann, op6_stupid_backoff, op7_language_id, op8_simhash_near_dedup, op9_pii_boosted, op10_exact_dedup, op11_conversation_repair, op12_source_divergence, op13_ordered_packing)}
 
 ORACLE_SQL = {
     "op6_stupid_backoff": r"""
@@ -124,6 +144,32 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE n AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        h AS (SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT), lambda c, b: list_reduce(range(8), lambda x, j: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295) % 20 AS fault FROM n),
+        d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+        o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(0) || text)) AS i FROM d),
+        f AS (SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                     NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+        t AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+                     count(*) FILTER (NOT blank AND NOT again AND cut) AS truncated, count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        -- came last: 0 nothing, 1 system, 2 user, 3 assistant; ins: turns put in, and what came last then
+        ins AS (SELECT * FROM (VALUES (0, 0, 0, []), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+                                      (2, 0, 2, []), (2, 1, 3, ['assistant:']), (3, 0, 3, []), (3, 1, 2, ['user:'])) v(s, k, s2, made)),
+        row_edits AS (SELECT conv_id, i, s, 'D' AS e, 3 AS c, s AS s2, [] AS made FROM f, range(4) q(s)
+            UNION ALL SELECT conv_id, i, s, 'K', cut::INTEGER, CASE WHEN r = 's' THEN 1 WHEN r = 'u' THEN 2 ELSE 3 END, [role || ':' || text] FROM f, range(4) q(s)
+                      WHERE NOT blank AND NOT again AND (r = 's' AND s = 0 OR r = 'u' AND s <> 2 OR r = 'a' AND s = 2)
+            UNION ALL SELECT conv_id, i, s, 'R', 2 + cut::INTEGER, CASE WHEN s = 2 THEN 3 ELSE 2 END, [CASE WHEN s = 2 THEN 'assistant:' ELSE 'user:' END || text] FROM f, range(4) q(s) WHERE NOT blank AND NOT again),
+        w AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS s, '000000000' AS v, []::VARCHAR[] AS made FROM t
+            UNION ALL SELECT w.conv_id, w.i + 1, e.s2::BIGINT, min(lpad((left(w.v, 9)::BIGINT + 2 * ins.k + e.c)::VARCHAR, 9, '0') || substr(w.v, 10) || repeat('I', ins.k) || e.e),
+                      arg_min(w.made || ins.made || e.made, lpad((left(w.v, 9)::BIGINT + 2 * ins.k + e.c)::VARCHAR, 9, '0') || substr(w.v, 10) || repeat('I', ins.k) || e.e)
+                      FROM w JOIN ins ON ins.s = w.s JOIN row_edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.s = ins.s2 GROUP BY w.conv_id, w.i, e.s2),
+        z AS (SELECT w.conv_id, min(lpad((left(w.v, 9)::BIGINT + 2 * ins.k)::VARCHAR, 9, '0') || substr(w.v, 10) || repeat('I', ins.k)) AS v,
+                     arg_min(w.made || ins.made, lpad((left(w.v, 9)::BIGINT + 2 * ins.k)::VARCHAR, 9, '0') || substr(w.v, 10) || repeat('I', ins.k)) AS made
+              FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i JOIN ins ON ins.s = w.s WHERE ins.s2 IN (0, 3) GROUP BY w.conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(left(v, 9)::BIGINT, 0) AS cost, coalesce(substr(v, 10), '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op12_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         e AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
