@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import partial
 
 import numpy as np
@@ -14,12 +14,14 @@ from lodex.config import OVERVIEW_FILES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
-from lodex.operators import graph, retrieval, symbols, views
-from lodex.operators.freshness import remove, snapshot_diff, upsert
-from lodex.sources.files import Store, fingerprint, scan
+from lodex.operators import graph, languages, retrieval, symbols, views
+from lodex.operators.freshness import remove, upsert
+from lodex.sources.files import mark_of, mark_sums, read, scan, tree
+from lodex.sources.staging import drop, stage
+from lodex.sources.store import MOST_DELTAS, Store
 
 BASE = ("files", "symbols", "regions", "records")
-DERIVED = ("postings", "totals")
+DERIVED = ("postings", "lengths")
 
 
 class Engine:
@@ -28,49 +30,81 @@ class Engine:
     def __init__(self, spark: SparkSession, config: EngineConfig, tables: dict[str, DataFrame]):
         self.spark, self.config = spark, config
         self.files, self.symbols, self.regions, self.records = (tables[n] for n in BASE)
-        #: Terms of the records, stored; tables that were never stored have none, and texts are cut into words at each search.
-        self.postings, self.totals = (tables.get(n) for n in DERIVED)
+        #: Terms of the records; tables that were never written have none, and texts are cut into words at each search.
+        self.postings, self.lengths = (tables.get(n) for n in DERIVED)
+        self.totals = None if self.lengths is None else retrieval.totals_of(self.lengths)
         self.resolved = graph.resolve_calls(self.symbols)
         self.callers = graph.callers(self.resolved)
 
     @classmethod
     def build(cls, spark: SparkSession, config: EngineConfig) -> Engine:
-        files = scan(spark, config)
-        return cls(spark, config, _tables(files, config))
+        """Made once: each table is written into the shared folder, and what follows from it reads it there."""
+        done: dict[str, DataFrame] = {}
+        for name, make in _tables(scan(spark, config), config).items():
+            done[name] = stage(make(done) if callable(make) else make, name)
+        return cls(spark, config, done)
 
     @classmethod
     def load_or_build(cls, spark: SparkSession, config: EngineConfig, folder: str) -> Engine:
-        """The stored tables if they are of the same files, else built and stored."""
-        files = scan(spark, config)
-        mark = fingerprint(files, "path", "content_hash").first()[0]
-        tables = Store(spark, folder).load(fingerprint=mark, root=config.root)
-        return cls(spark, config, tables) if tables else cls(spark, config, _tables(files, config)).stored(folder, mark)
-
-    def stored(self, folder: str, mark: str | None = None) -> Engine:
-        """Written as a new version of the store, and read from there."""
-        store = Store(self.spark, folder)
-        mark = mark or fingerprint(self.files, "path", "content_hash").first()[0]
-        made = {n: getattr(self, n) for n in BASE}
-        store.save(made | {"postings": lambda t: retrieval.by_term(retrieval.postings(t["records"], "id", "text")), "totals": lambda t: retrieval.totals(t["records"], "text")}, fingerprint=mark, root=self.config.root)
-        return Engine(self.spark, self.config, store.load(fingerprint=mark, root=self.config.root))
+        """The stored tables, brought up to the tree if files changed; built and stored if there are none of this root and version."""
+        tables = Store(spark, folder).load(root=config.root)
+        return cls(spark, config, tables).refreshed(folder) if tables else _build_into(spark, config, folder)
+
+    def stored(self, folder: str) -> Engine:
+        """Written as a new base of the store, and read from there."""
+        return _saved(self.spark, self.config, {n: getattr(self, n) for n in BASE} | _derived(), folder)
 
     def refreshed(self, folder: str) -> Engine:
-        """Brought up to the tree as it is now: what was added or modified is parsed anew, what is gone goes, and the outcome is stored. Itself if nothing changed."""
-        now = scan(self.spark, self.config)
-        moved = snapshot_diff(self.files, now).where("status in ('added', 'modified', 'deleted')").collect()
-        if not moved:
-            return self
-        return self.applied([r.path for r in moved if r.status != "deleted"], [r.path for r in moved if r.status == "deleted"], folder)
+        """Brought up to the tree as it is now; itself if nothing changed. Files whose time and size stayed aren't read.
 
-    def applied(self, changed: list[str], deleted: list[str], folder: str) -> Engine:
-        """With these paths of the tree read again and those gone, stored. What a watcher's micro-batch names."""
-        gone = self.spark.createDataFrame([(p,) for p in deleted], "path string")
-        return self.updated(scan(self.spark, self.config, changed), gone).stored(folder)
+        What was added or modified is parsed anew, what is gone goes, and of a file with new time and old content the time is noted.
+        """
+        old = self.files.select("path", F.col("size").alias("o_size"), F.col("mtime").alias("o_mtime"))
+        now = tree(self.spark, self.config).join(old, "path", "full")
+        same = (F.col("size") == F.col("o_size")) & (F.col("mtime") == F.col("o_mtime"))
+        moved = stage(now.where(~F.coalesce(same, F.lit(False))), "moved")
+        if moved.isEmpty():
+            return self
+        out = self._applied(read(self.spark, self.config, moved.where("size is not null").select("path", "size", "mtime")), moved.where("size is null").select("path"), folder)
+        drop(moved)
+        return out
+
+    def applied(self, changed: Iterable[str] | DataFrame, deleted: Iterable[str] | DataFrame, folder: str) -> Engine:
+        """With these paths of the tree read again and those gone, stored. What a watcher's micro-batch names; changed ones that aren't there are gone as well."""
+        changed, deleted = (x.select("path") if isinstance(x, DataFrame) else self.spark.createDataFrame([(p,) for p in x], "path string") for x in (changed, deleted))
+        found = stage(tree(self.spark, self.config, changed), "found")
+        return self._applied(read(self.spark, self.config, found), deleted.unionByName(changed.join(found.select("path"), "path", "left_anti")), folder)
+
+    def _applied(self, seen: DataFrame, deleted: DataFrame, folder: str) -> Engine:
+        """A delta of the store: seen files, of which those with the content that they had are only noted, and deleted paths."""
+        store = Store(self.spark, folder)
+        seen = stage(seen, "seen")
+        before = stage(self.files.select("path", "content_hash").join(seen.select("path").unionByName(deleted).distinct(), "path", "left_semi"), "before")
+        touched = seen.join(before, ["path", "content_hash"], "left_semi").select("path")
+        changed = seen.join(before, ["path", "content_hash"], "left_anti")
+        gone = changed.select("path").unionByName(deleted.join(before, "path", "left_semi").select("path")).distinct()
+        if seen.isEmpty() and gone.isEmpty():
+            return self
+        meta = store.meta()
+        sums = [int(x) for x in meta["sums"]]
+        replaced, new = (mark_sums(x, "path", "content_hash").first() for x in (before.join(gone, "path", "left_semi"), changed))
+        sums = [a - int(b) + int(c) for a, b, c in zip(sums, replaced, new, strict=True)]
+        # only the first table has rows of files that were only touched
+        tables = _tables(changed, self.config) | {"files": seen}
+        tables["symbols"], tables["regions"] = (_without(make, touched) for make in (tables["symbols"], tables["regions"]))
+        tables["records"] = _without(tables["records"], touched)
+        store.append(tables, gone, touched, meta["version"], fingerprint=mark_of(sums), sums=sums)
+        if len(store.meta()["deltas"]) >= MOST_DELTAS:
+            store.compact()
+        drop(seen, before)
+        return Engine(self.spark, self.config, store.load(root=self.config.root))
 
     def updated(self, changed: DataFrame, deleted: DataFrame) -> Engine:
-        """With the changed files (rows of files) parsed anew and the deleted paths gone; what has the same content isn't parsed."""
+        """With the changed files (rows of files) parsed anew and the deleted paths gone, nothing stored; what has the same content isn't parsed."""
         changed = changed.join(self.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select(*self.files.columns)
-        fresh, old = _tables(changed, self.config), dict(zip(BASE, (self.files, self.symbols, self.regions, self.records), strict=True))
+        fresh, old = {}, dict(zip(BASE, (self.files, self.symbols, self.regions, self.records), strict=True))
+        for name, make in _tables(changed, self.config).items():
+            fresh[name] = make(fresh) if callable(make) else make
         keys = changed.select("path")
         return Engine(self.spark, self.config, {n: remove(remove(old[n], deleted), keys).unionByName(fresh[n]) if n != "files" else upsert(remove(old[n], deleted), fresh[n]) for n in BASE})
 
@@ -196,17 +230,42 @@ class Engine:
         return graph.ambiguities(self.resolved.where(F.col("path") == path))
 
 
-def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame]:
+def _build_into(spark: SparkSession, config: EngineConfig, folder: str) -> Engine:
+    return _saved(spark, config, _tables(scan(spark, config), config), folder)
+
+
+def _saved(spark: SparkSession, config: EngineConfig, tables: dict, folder: str) -> Engine:
+    """Each table is made from those already written, so files are parsed once."""
+    files = stage(tables["files"], "files")
+    store, sums = Store(spark, folder), list(mark_sums(files, "path", "content_hash").first())
+    store.save(tables | {"files": files}, fingerprint=mark_of(sums), sums=sums, root=config.root)
+    drop(files)
+    return Engine(spark, config, store.load(root=config.root))
+
+
+def _without(make: Callable, touched: DataFrame) -> Callable:
+    return lambda done: make(done | {"files": done["files"].join(touched, "path", "left_anti")})
+
+
+def _derived() -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    return {"postings": lambda t: retrieval.postings(t["records"], "id", "text", "path"), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path")}
+
+
+def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]:
+    """The tables in order, those after the first by functions of those before."""
+    return {"files": files, "symbols": lambda t: _parsed(t["files"], config), "regions": lambda t: symbols.regions(t["files"]), "records": lambda t: embedded(records(t["files"], t["symbols"], t["regions"]), config.dimensions, encoder(config))} | _derived()
+
+
+def _parsed(files: DataFrame, config: EngineConfig) -> DataFrame:
     by_ending = symbols.extractors()
     parsed = symbols.symbols_of_files(files, by_ending)
     if not config.include_private:
         parsed = parsed.where(F.coalesce(F.col("visibility"), F.lit("public")) != "private")
     spots = symbols.line_symbols(files.where(~extension(F.col("path")).isin(*by_ending)))
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields}
-    others = spots.select(*[(none | {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public"), "bases": F.array().cast("array<string>"), "raises": F.array().cast("array<string>"), "params": F.array().cast(parsed.schema["params"].dataType), "calls": F.array().cast(parsed.schema["calls"].dataType)} | {c: F.array().cast(parsed.schema[c].dataType) for c in ("class_attrs", "instance_attrs", "decorators")})[f.name].cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
-    every = parsed.unionByName(others)
-    parts = symbols.regions(files)
-    return {"files": files, "symbols": every, "regions": parts, "records": embedded(records(files, every, parts), config.dimensions, encoder(config))}
+    known = {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public")} | {c: F.array() for c in languages.LISTS}
+    others = spots.select(*[(none | known)[f.name].cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
+    return parsed.unionByName(others)
 
 
 def records(files: DataFrame, every: DataFrame, parts: DataFrame) -> DataFrame:

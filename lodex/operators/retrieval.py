@@ -60,10 +60,10 @@ def raw_search(files: DataFrame, pattern: str, first_only: bool = True, path: st
     return lines.groupBy(path).agg(F.min(F.struct("line_no", "line")).alias("m")).select(path, "m.line_no", "m.line")
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, len, term, tf: what bm25_of_postings reads. Stored in order of term, a search reads the row groups of its terms only."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
-    return words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """id, len, term, tf, and more columns of the document: what bm25_of_postings reads. Stored in order of term, a search reads the row groups of its terms only."""
+    words = docs.select(*more, F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"))
+    return words.select(*more, "id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy(*more, "id", "len", "term").agg(F.count("*").alias("tf"))
 
 
 def by_term(held: DataFrame) -> DataFrame:
@@ -71,6 +71,16 @@ def by_term(held: DataFrame) -> DataFrame:
     return held.repartitionByRange("term", "id").sortWithinPartitions("term")
 
 
+def lengths(docs: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """keys, n, len: how many documents each key has, and their words. What totals_of adds up."""
+    return docs.select(*keys, F.size(tokens(F.col(text_col))).alias("len")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+
+
+def totals_of(held: DataFrame) -> DataFrame:
+    """One row: n, avg_len."""
+    return held.agg(F.sum("n").alias("n"), (F.sum("len") / F.sum("n")).alias("avg_len"))
+
+
 def totals(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: n, avg_len."""
     return docs.select(F.size(tokens(F.col(text_col))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))

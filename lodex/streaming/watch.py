@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodex.config import DEBOUNCE_MS, FLUSH_PATHS
 from lodex.operators.freshness import last_op
+from lodex.sources.staging import drop, stage
 
 
 def normalised_events(raw: DataFrame) -> DataFrame:
@@ -47,19 +48,18 @@ def apply_to(events: DataFrame, delete: Callable[[DataFrame], None], change: Cal
     return events.writeStream.option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).foreachBatch(batch).start()
 
 
-def keep_fresh(events: DataFrame, engine, folder: str, checkpoint: str, size: int = FLUSH_PATHS, **options: str) -> tuple[StreamingQuery, Callable]:
-    """Apply events (path, op, begin) to an engine's tree and store, so many paths at a time and deletes first; a batch that fails is done again from its checkpoint.
+def keep_fresh(events: DataFrame, engine, folder: str, checkpoint: str, **options: str) -> tuple[StreamingQuery, Callable]:
+    """Apply events (path, op, begin) to an engine's tree and store: a micro-batch is one delta, in which deletes and changes count together; one that fails is done again from its checkpoint.
 
-    Returns the stream and a function that gives the engine as it is now. A micro-batch's paths are gathered: bound them by the source's options.
+    Returns the stream and a function that gives the engine as it is now. Paths stay on the executors, and a batch is as large as the source's options let it be.
     """
     held = [engine]
 
     def batch(df: DataFrame, _: int) -> None:
-        last = df.groupBy("path").agg(F.max_by("op", "begin").alias("op")).collect()
-        ordered = [(r.op, r.path) for r in sorted(last, key=lambda r: (r.op != "delete", r.path))]
-        for k in range(0, len(ordered), size):
-            part = ordered[k : k + size]
-            held[0] = held[0].applied([p for op, p in part if op != "delete"], [p for op, p in part if op == "delete"], folder)
+        last = stage(df.groupBy("path").agg(F.max_by("op", "begin").alias("op")), "events")
+        if not last.isEmpty():
+            held[0] = held[0].applied(last.where("op <> 'delete'"), last.where("op = 'delete'"), folder)
+        drop(last)
 
     query = events.writeStream.option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).foreachBatch(batch).start()
     return query, lambda: held[0]

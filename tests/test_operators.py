@@ -280,6 +280,7 @@ def tree(tmp_path):
 def test_engine_end_to_end(spark, tree):
     config = EngineConfig(str(tree / "tree"), dimensions=64)
     engine = Engine.load_or_build(spark, config, str(tree / "store"))
+    assert engine.postings.count() and Engine.build(spark, config).totals.first() == engine.totals.first()
     version = Store(spark, str(tree / "store")).meta()["version"]
     assert Engine.load_or_build(spark, config, str(tree / "store")).files.count() == 7 and Store(spark, str(tree / "store")).meta()["version"] == version
     assert {r.path for r in engine.files.collect()} == {*PROJECT, "docs/a.md", "web/c.js", "broken.py"}
@@ -452,7 +453,7 @@ def test_scan_prunes_and_reads_ignore_files(spark, tmp_path):
         (root / name).write_text("x = 1\n")
     (root / ".gitignore").write_text("gone.py\nsecret/\n")
     config = EngineConfig(str(root))
-    assert walk(spark, config) == ["keep.py", "sub/deep é.py"]
+    assert [r[0] for r in walk(spark, config)] == ["keep.py", "sub/deep é.py"]
     assert {r.path for r in scan(spark, config).collect()} == {"keep.py", "sub/deep é.py"}
     assert [r.path for r in scan(spark, config, ["keep.py", "gone.py"]).collect()] == ["keep.py"]
     assert scan(spark, EngineConfig(str(root / "out"), exclude=("x.py",))).count() == 0
