@@ -14,7 +14,7 @@ from lodex.config import OVERVIEW_FILES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
-from lodex.operators import graph, languages, retrieval, symbols, views
+from lodex.operators import graph, retrieval, scanner, symbols, views
 from lodex.operators.freshness import remove, upsert
 from lodex.sources.files import mark_of, mark_sums, read, scan, tree
 from lodex.sources.staging import drop, stage
@@ -179,9 +179,9 @@ class Engine:
         return views.overview(self.files.where(under(F.col("path"), prefix, exclude)).join(docs, "path", "left"), views.public_counts(self.symbols))
 
     def source(self, path: str, qualified_name: str, numbered: bool = False, fresh: bool = False) -> DataFrame:
-        """The symbol's lines as they were indexed, or, if fresh, as the file has them now; of a bare name the first in any class."""
+        """The symbol's lines as they were indexed, or, if fresh, as the file has them now; of a bare name the one that the fewest definitions hold, of these the first."""
         wanted = graph.find_entry(self.symbols.where(F.col("path") == path), self.spark.createDataFrame([(path, qualified_name)], "path string, wanted string"))
-        rows = self.symbols.where((F.col("path") == path) & F.col("kind").isin("function", "method", "class")).join(wanted, ["path", "qualified_name"], "left_semi")
+        rows = self.symbols.where((F.col("path") == path) & F.col("kind").isin(*graph.DEFINED)).join(wanted, ["path", "qualified_name"], "left_semi")
         files = scan(self.spark, self.config, [path]) if fresh else self.files
         cut = numbered_source if numbered else source_slice
         return rows.join(files.select("path", F.col("text").alias("file_text")), "path").select("path", "qualified_name", "start_line", "end_line", cut(F.col("file_text"), F.col("start_line"), F.col("end_line")).alias("source"))
@@ -263,7 +263,7 @@ def _parsed(files: DataFrame, config: EngineConfig) -> DataFrame:
         parsed = parsed.where(F.coalesce(F.col("visibility"), F.lit("public")) != "private")
     spots = symbols.line_symbols(files.where(~extension(F.col("path")).isin(*by_ending)))
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields}
-    known = {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public")} | {c: F.array() for c in languages.LISTS}
+    known = {"path": F.col("path"), "kind": F.col("kind"), "name": F.col("name"), "qualified_name": F.col("name"), "ord": F.col("start_line"), "start_line": F.col("start_line"), "end_line": F.col("start_line"), "visibility": F.lit("public")} | {c: F.array() for c in scanner.LISTS}
     others = spots.select(*[(none | known)[f.name].cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
     return parsed.unionByName(others)
 

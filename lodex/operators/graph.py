@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Kinds of rows that have a source of their own.
+DEFINED = ("function", "method", "class", "inner_function", "inner_method", "inner_class")
 RANKS = {"ambiguous": 0, "preferred": 1, "exact": 2}
 
 
@@ -147,8 +149,8 @@ def locator_lists(symbols: DataFrame) -> DataFrame:
 
 
 def find_entry(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
-    """path, wanted, qualified_name of each (path, wanted): the symbol of that qualified name, else the first in the file of that bare name in any class."""
-    own = symbols.where(F.col("kind").isin("function", "method", "class")).select("path", "qualified_name", "name", "ord")
+    """path, wanted, qualified_name of each (path, wanted): the symbol of that qualified name, else that of this bare name that the fewest definitions hold, of these the first in the file."""
+    own = symbols.where(F.col("kind").isin(*DEFINED)).select("path", "qualified_name", "name", F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "ord").alias("ord"))
     exact = wanted.join(own.select("path", F.col("qualified_name").alias("wanted"), "qualified_name").dropDuplicates(["path", "wanted"]), ["path", "wanted"], "left")
     bare = own.groupBy("path", F.col("name").alias("wanted")).agg(F.min_by("qualified_name", "ord").alias("bare"))
     return exact.join(bare, ["path", "wanted"], "left").select("path", "wanted", F.coalesce("qualified_name", "bare").alias("qualified_name")).where("qualified_name is not null")

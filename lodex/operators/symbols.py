@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from lodex.config import LANGUAGES, LARGE_BYTES, LARGE_LINES, REGION_CHARS, REGION_LINES, REGIONS, TEXT_LANGUAGES
 from lodex.functions.paths import extension
 from lodex.functions.text import numbered_lines
-from lodex.operators import languages
+from lodex.operators import scanner
+from lodex.operators.recovery import recovered, told
 
 # How a line begins that defines a function or a class, and one that begins a region.
 FUNCTION_LINES = (
@@ -121,7 +122,7 @@ ATTR = "struct<name:string,annotation:string,has_default:boolean,default_value:s
 SYMBOLS = (
     "path string, kind string, class_name string, name string, qualified_name string, ord int, start_line int, end_line int, visibility string, is_async boolean, is_generator boolean, is_static boolean, is_classmethod boolean, is_property boolean, is_abstract boolean, "
     f"params array<{PARAM}>, return_type string, doc_first string, doc_full string, decorators array<string>, raises array<string>, bases array<string>, class_attrs array<{ATTR}>, instance_attrs array<{ATTR}>, "
-    "calls array<struct<callee:string,ord:int,n:int>>, module string, names array<string>, alias string, value string, error string"
+    "calls array<struct<callee:string,ord:int,n:int>>, module string, names array<string>, alias string, value string, error string, depth int, parent string"
 )
 _COLUMNS = [re.split(r"\s+", c.strip())[0] for c in re.split(r", (?=\w+ )", SYMBOLS)]
 
@@ -168,7 +169,7 @@ def _function(node, owner: str | None, path: str) -> dict:
         "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno, "visibility": _visibility(node.name),
         "is_async": isinstance(node, ast.AsyncFunctionDef), "is_generator": any(isinstance(x, ast.Yield | ast.YieldFrom) for x in inner), "is_static": "staticmethod" in decorators, "is_classmethod": "classmethod" in decorators, "is_property": "property" in decorators, "is_abstract": any(d.split(".")[-1] == "abstractmethod" for d in decorators),
         "params": _params(node.args), "return_type": _text(node.returns), "doc_first": first, "doc_full": full, "decorators": decorators,
-        "raises": list(dict.fromkeys(ast.unparse(r) for r in raised)), "calls": [{"callee": c, "ord": k, "n": n} for k, (c, n) in enumerate(counts.items())],
+        "depth": int(owner is not None), "parent": owner, "raises": list(dict.fromkeys(ast.unparse(r) for r in raised)), "calls": [{"callee": c, "ord": k, "n": n} for k, (c, n) in enumerate(counts.items())],
     }
 
 
@@ -193,19 +194,39 @@ def _class(node: ast.ClassDef, path: str) -> list[dict]:
                     own.setdefault(target.attr, {"name": target.attr, "annotation": _text(getattr(s, "annotation", None)), "has_default": s.value is not None, "default_value": _text(s.value)})
     data = any(d.split(".")[-1] == "dataclass" for d in decorators)
     first, full = _doc(node)
-    row = {"path": path, "kind": "class", "name": node.name, "qualified_name": node.name, "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno, "visibility": _visibility(node.name), "doc_first": first, "doc_full": full, "decorators": decorators, "bases": [ast.unparse(b) for b in node.bases], "class_attrs": [] if data else attrs, "instance_attrs": [*(attrs if data else []), *own.values()]}
+    row = {"path": path, "kind": "class", "depth": 0, "name": node.name, "qualified_name": node.name, "start_line": min([node.lineno, *(d.lineno for d in node.decorator_list)]), "end_line": node.end_lineno, "visibility": _visibility(node.name), "doc_first": first, "doc_full": full, "decorators": decorators, "bases": [ast.unparse(b) for b in node.bases], "class_attrs": [] if data else attrs, "instance_attrs": [*(attrs if data else []), *own.values()]}
     return [row, *(_function(f, node.name, path) for f in node.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef))]
 
 
+def _nested(node, full: str, depth: int, path: str) -> list[dict]:
+    """Functions and classes within a definition, but for the methods of a class at the top: inner_function, inner_class, inner_method, each with the name of what holds it and how many do."""
+    rows, open_ = [], [(x, node) for x in ast.iter_child_nodes(node)]
+    while open_:
+        x, above = open_.pop(0)
+        if not isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            open_ = [(y, above) for y in ast.iter_child_nodes(x)] + open_
+            continue
+        method = isinstance(node, ast.ClassDef) and not isinstance(x, ast.ClassDef)
+        name = f"{full}.{x.name}"
+        if not (method and depth == 0):
+            row = _class(x, path)[0] if isinstance(x, ast.ClassDef) else _function(x, full if method else None, path)
+            rows.append(row | {"kind": "inner_class" if isinstance(x, ast.ClassDef) else "inner_method" if method else "inner_function", "qualified_name": name, "depth": depth + 1, "parent": full})
+        rows += _nested(x, name, depth + 1, path)
+    return rows
+
+
 def parse_python(path: str, text: str) -> list[dict]:
-    """Rows of a module: itself, imports, constants, functions, classes and methods, type aliases. A text with a syntax error gives an error row, and what line patterns find."""
+    """Rows of a module: itself, imports, constants, functions, classes and methods, type aliases, and what is defined within functions and classes.
+
+    A text with syntax errors gives a row of kind error with the first of them and how many more there are, and all that is sound.
+    """
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError) as e:
-        error = {"path": path, "kind": "error", "ord": 0, "error": f"syntax error at L{getattr(e, 'lineno', 0)}:{getattr(e, 'offset', 0)}: '{(getattr(e, 'text', '') or '').strip()[:40]}'"}
-        return [error, *({**r, "ord": k, "visibility": _visibility(r["name"])} for k, r in enumerate(languages.parse_lines("python", path, text), 1))]
+        tree, errors = ast.parse(text), []
+    except (SyntaxError, ValueError):
+        tree, errors = recovered(text)
     first, full = _doc(tree)
-    rows: list[dict] = [{"path": path, "kind": "module", "name": path, "doc_first": first, "doc_full": full}]
+    rows: list[dict] = [{"path": path, "kind": "error", "error": told(errors)}] if errors else []
+    rows.append({"path": path, "kind": "module", "name": path, "doc_first": first, "doc_full": full})
     for node in tree.body:
         at = {"path": path, "start_line": node.lineno, "end_line": node.end_lineno}
         if isinstance(node, ast.Import):
@@ -216,17 +237,18 @@ def parse_python(path: str, text: str) -> list[dict]:
             rows += [at | {"kind": "import_from", "module": module, "names": plain, "alias": None}] * bool(plain)
             rows += [at | {"kind": "import_from", "module": module, "names": [n.name], "alias": n.asname} for n in node.names if n.asname]
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            rows.append(at | _function(node, None, path))
+            rows += [at | _function(node, None, path), *_nested(node, node.name, 0, path)]
         elif isinstance(node, ast.ClassDef):
-            rows += _class(node, path)
+            rows += [*_class(node, path), *_nested(node, node.name, 0, path)]
         elif isinstance(node, ast.TypeAlias):
             rows.append(at | {"kind": "type_alias", "name": node.name.id, "value": _text(node.value)})
         elif isinstance(node, ast.Assign | ast.AnnAssign):
             for t in [node.target] if isinstance(node, ast.AnnAssign) else node.targets:
                 if isinstance(t, ast.Name) and re.fullmatch(r"[A-Z_][A-Z0-9_]*", t.id):
                     rows.append(at | {"kind": "constant", "name": t.id, "value": _text(node.value), "return_type": _text(getattr(node, "annotation", None))})
-    last = {(r["kind"], r.get("class_name"), r["name"]): k for k, r in enumerate(rows) if r.get("name")}  # of a name defined twice the last counts
-    rows = [r for k, r in enumerate(rows) if not r.get("name") or last[r["kind"], r.get("class_name"), r["name"]] == k]
+    key = lambda r: (r["kind"], r.get("parent"), r["name"])
+    last = {key(r): k for k, r in enumerate(rows) if r.get("name")}  # of a name defined twice the last counts
+    rows = [r for k, r in enumerate(rows) if not r.get("name") or last[key(r)] == k]
     return [r | {"ord": k} for k, r in enumerate(rows)]
 
 
@@ -242,9 +264,9 @@ def register_extractor(ending: str, extract: Extractor) -> None:
 
 
 def extractors() -> dict[str, Extractor]:
-    """All that are known: registered ones, and line patterns for the languages that have them."""
-    lined = {f".{end}": partial(languages.parse_lines, language) for end, language in LANGUAGES.items() if language in languages.DEFINITIONS}
-    return lined | _extractors
+    """All that are known: registered ones, and the scanner for the languages that it reads."""
+    scanned = {f".{end}": partial(scanner.scan_source, language) for end, language in LANGUAGES.items() if language in scanner.RULES}
+    return scanned | _extractors
 
 
 def rows_of(by_ending: dict[str, Extractor], path: str, text: str) -> list[dict]:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import text as texts
-from lodex.operators import graph, languages, retrieval, symbols, views
+from lodex.operators import graph, retrieval, scanner, symbols, views
 from lodex.plans.registry import query, table
+from lodex.sources.staging import stage
 
 #: A part's module. k: its key, j: the key of the part that it imports from, nm and jnm: their names.
 MODULE = '''"""Part {nm}."""
@@ -92,7 +93,8 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols.python_symbols(modules(spark, sf_dir))
+    """The modules' symbols, parsed once: what reads them several times reads the written table."""
+    return stage(symbols.python_symbols(modules(spark, sf_dir)), "symbols")
 
 
 def calls_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,20 +178,20 @@ def type_lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P_SQL} SELECT path, 'error' AS kind, NULL AS name, 'syntax error at L2:7' AS error FROM p UNION ALL SELECT path, 'function', 'broken_' || k, NULL FROM p UNION ALL SELECT path, 'class', 'Torn' || k, NULL FROM p")
 def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules that can't be parsed: an error row each, and what line patterns find."""
+    """Modules with two errors: an error row each, and what is sound."""
     key = F.regexp_extract("path", r"m(\d+)\.py$", 1)
     torn = modules(spark, sf_dir).withColumn("text", F.concat(F.lit("x = 1\ny = 1 1\ndef broken_"), key, F.lit("(:\n    pass\nclass Torn"), key, F.lit(":\n    pass\n")))
-    return symbols.python_symbols(torn).select("path", "kind", "name", F.substring_index("error", ":", 2).alias("error"))
+    return symbols.python_symbols(torn).where("kind <> 'module'").select("path", "kind", "name", F.substring_index("error", ":", 2).alias("error"))
 
 
 @query(f"WITH {P_SQL} SELECT path, 'class' AS kind, 'Part' || k AS qualified_name, 1 AS start_line, 5 AS end_line FROM p UNION ALL SELECT path, 'method', 'Part' || k || '.' || nm, 2, 4 FROM p UNION ALL SELECT path, 'function', 'make_' || k, 6, 8 FROM p")
 def js_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same parts as JavaScript files, by line patterns and indentation."""
+    """The same parts as JavaScript files."""
     part = table(spark, sf_dir, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     body = F.concat(F.lit("export class Part"), "p_partkey", F.lit(" {\n  "), name, F.lit("(a) {\n    return call(a);\n  }\n}\nexport async function make_"), "p_partkey", F.lit("(x) {\n  return x;\n}\n"))
     files = part.select(F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/pkg/m"), "p_partkey", F.lit(".js")).alias("path"), body.alias("text"))
-    rows = symbols.symbols_of_files(files, {".js": lambda path, text: languages.parse_lines("javascript", path, text)})
+    rows = symbols.symbols_of_files(files, {".js": lambda path, text: scanner.scan_source("javascript", path, text)})
     return rows.select(F.regexp_replace("path", r"\.js$", ".py").alias("path"), "kind", "qualified_name", "start_line", "end_line")
 
 

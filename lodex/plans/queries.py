@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodex.functions import paths, text, vectors
 from lodex.operators import freshness, graph, retrieval, symbols
-from lodex.plans import code  # noqa: F401 - registers its queries
+from lodex.plans import code, syntax  # noqa: F401 - register their queries
 from lodex.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from lodex.sources.files import env_pairs, fingerprint
 from lodex.streaming import watch

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodex.config import EngineConfig, resolve_root
 from lodex.engine import Engine
 from lodex.functions import paths, text, udtfs, vectors
-from lodex.operators import freshness, graph, languages, retrieval, symbols
+from lodex.operators import freshness, graph, retrieval, scanner, symbols
 from lodex.sources.files import Store, env_pairs, fingerprint, scan, walk
 from lodex.streaming import watch
 
@@ -336,8 +336,8 @@ SOURCES = {
 @pytest.mark.parametrize("language", SOURCES)
 def test_definitions_by_language(language):
     body, want = SOURCES[language]
-    assert [(r["kind"], r["qualified_name"], r["start_line"], r["end_line"]) for r in languages.parse_lines(language, "p", body)] == want
-    assert languages.parse_lines(language, "p", "") == []
+    assert [(r["kind"], r["qualified_name"], r["start_line"], r["end_line"]) for r in scanner.scan_source(language, "p", body)] == want
+    assert scanner.scan_source(language, "p", "") == []
 
 
 def test_registered_extractor_and_table_functions(spark):
