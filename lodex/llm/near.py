@@ -1,11 +1,12 @@
 """Near copies: ball hashing over block fingerprints finds candidates, the exact Jaccard similarity of their word shingles decides.
 
 A single SimHash of 64 bits differs in 3 to 11 bits between texts whose five-word shingles are similar by 0.8, too many for a
-ball. So each text has several block fingerprints: two least hashes of its shingles, which must be equal, and a few
+ball. So each text has several block fingerprints: four least hashes of its shingles, which must be equal, and a few
 bits, one-bit least hashes, which differ by (1 - similarity) / 2 each. Every fingerprint emits itself and all variants
 within half the radius, as in simhash; those that meet at a variant are within the radius, and candidates.
 
-At a similarity of 0.8 two texts meet in none of the blocks with a chance of about 3 in 100,000, and more similar ones less often.
+At a similarity of 0.8 two texts meet in none of the blocks with a chance of about 5 in a million, and more similar ones less often;
+texts that share a passage, similar by 0.4, meet in a third of the cases.
 Shingles are compared by 64-bit hashes.
 """
 
@@ -24,7 +25,7 @@ from lodex.llm.simhash import SEED, masks
 from lodex.llm.support import drop, small_batches, stage, text_slices, with_rows, words_of
 
 #: Blocks, least hashes of each that must be equal, its bits, the least hashes that bits are taken from, and the radius.
-BLOCKS, LEASTS, BITS, POOL, RADIUS = 16, 2, 10, 64, 2
+BLOCKS, LEASTS, BITS, POOL, RADIUS = 28, 4, 10, 64, 2
 #: Rows that are held against each other in one task, and shingles that are hashed at a time.
 TOGETHER, AT_ONCE = 1000, 1 << 13
 _rng = np.random.default_rng(SEED)
@@ -216,6 +217,10 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     placed = stage(rooted.join(cut, "root", "left").select("fps", "row", "root", F.coalesce(deal("cuts"), F.lit(0)).alias("part")), "placed")
     each = placed.select(F.explode("fps").alias("fp"), "row", "root", "part")
     ends = each.groupBy("fp").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    # only fingerprints whose equal part others of another component have can meet these
+    equal = F.shiftright("fp", BITS)
+    both = ends.groupBy(equal.alias("equal")).agg(F.min("a").alias("least"), F.max("b").alias("most")).where("least <> most").select("equal")
+    ends = stage(ends.join(both, equal == F.col("equal"), "left_semi"), "ends")
     met = ends.select(flip("fp").alias("point"), "a", "b").groupBy("point").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     points = stage(met.where("a <> b").select("point"), "points")
     # a point holds at most as many fingerprints as there are variants of one
@@ -223,21 +228,22 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     looked = around.select("point", F.explode(F.filter("fps", lambda f: F.exists("fps", lambda g: _meets_here(f, g)))).alias("f")).select("point", "f.fp")
     there = stage(looked.join(each.groupBy("fp", "root", "part").agg(F.count("*").alias("k")), "fp"), "there")
     by_root = there.groupBy("point", "root").agg(F.sum("k").alias("k")).groupBy("point").agg(F.max(F.struct("k", "root")).alias("l"), F.sum("k").alias("n"))
-    sized = stage(by_root.select("point", F.col("l.root").alias("most"), (F.col("l.k") * 2 > F.col("n")).alias("main")), "sized")
+    main = stage(by_root.where(F.col("l.k") * 2 > F.col("n")).select("point", F.col("l.root").alias("most")), "main")
     # where one component has most of a point's rows, these don't come to the point: the others go to the component's parts
-    few = there.join(sized, "point").where("root <> most or not main").select("point", "fp", "root").distinct()
-    members = stage(few.join(each.select("fp", "root", "row"), ["fp", "root"]).select("point", "row", "root"), "members")
-    goes = members.join(sized.where("main"), "point").select("point", "most", "row", "root")
+    few = there.join(main, "point", "left").where("most is null or root <> most").select("point", "fp", "root", "most").distinct()
+    members = stage(few.join(each.select("fp", "root", "row"), ["fp", "root"]).select("point", "row", "root", "most").distinct(), "members")
+    goes = members.where("most is not null")
     parts = there.select("point", F.col("root").alias("most"), "part").distinct()
     sent = stage(goes.join(parts, ["point", "most"]).select("most", "part", "row", "root").distinct(), "sent")
     asked_parts = sent.groupBy("most", "part").agg(whole(F.count("*")).alias("groups"))
     to_parts = sent.join(asked_parts, ["most", "part"]).select(F.lit(True).alias("main"), F.col("most").alias("at"), F.col("part").alias("i"), deal("groups").alias("j"), "row", "root", F.lit(ASKS).alias("does"))
     of_parts = placed.join(asked_parts.withColumnRenamed("most", "root"), ["root", "part"]).select(F.lit(True).alias("main"), F.col("root").alias("at"), F.col("part").alias("i"), every("groups").alias("j"), "row", "root", F.lit(ASKED).alias("does"))
     # rows at the point outside its largest component, which are few, ask all of its rows there: these are cut into parts, and those into groups
-    some = members.join(_same_sets(members, "point"), "point")
-    largest = some.groupBy("point", "n", "root").agg(F.count("*").alias("m")).groupBy("point", "n").agg(F.max(F.struct("m", "root")).alias("l"))
-    counted = largest.select("point", F.col("l.root").alias("most"), whole(F.col("n")).alias("parts"), whole(F.col("n") - F.col("l.m")).alias("groups")).where("groups > 0")
-    dealt = some.select("point", "row", "root").join(counted, "point")
+    held_by = members.groupBy("point", "root").agg(F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("which"))
+    largest = held_by.groupBy("point").agg(F.sum("m").alias("n"), F.sum("which").alias("which"), F.max(F.struct("m", "root")).alias("l")).where("n > l.m")
+    once = largest.groupBy("n", "which").agg(F.min(F.struct("point", "l")).alias("p"))  # one point of all that hold the same rows
+    counted = once.select("p.point", F.col("p.l.root").alias("most"), whole(F.col("n")).alias("parts"), whole(F.col("n") - F.col("p.l.m")).alias("groups"))
+    dealt = stage(members.select("point", "row", "root").join(counted, "point"), "dealt")
     outside, one = F.col("root") != F.col("most"), F.col("parts") == 1
     roles = F.when(one, F.array(F.when(outside, BOTH).otherwise(ASKED))).when(outside, F.array(F.lit(ASKED), F.lit(ASKS))).otherwise(F.array(F.lit(ASKED)))
     acting = dealt.withColumn("does", F.explode(roles))
@@ -246,7 +252,7 @@ def _across(docs: DataFrame, rooted: DataFrame, words: int, at_least: float) ->
     open_ = stage(to_parts.unionByName(of_parts).unionByName(asked).unionByName(asking), "open")
     held = stage(shingled(docs.join(open_.select("row").distinct(), "row", "left_semi"), words), "shingles")
     more = stage(open_.join(held, "row").groupBy("main", "at", "i", "j").applyInArrow(lambda t: across(t, at_least), LINKS), "more")
-    drop(placed, points, there, sized, members, sent, open_, held)
+    drop(placed, ends, points, there, main, members, sent, dealt, open_, held)
     return more
 
 
