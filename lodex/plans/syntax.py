@@ -97,8 +97,8 @@ def shallowest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.find_entry(rows, rows.where("kind = 'module'").select("path", names.alias("wanted")))
 
 
-@query(f"""{PARTS}, n AS (SELECT k, 1 + s % 8 AS n FROM p)
-    SELECT 'm' || k || '.py' AS path, 'error' AS kind, array_to_string([('syntax error at L' || (2 * i) || ':7: ''x = 1 1''') FOR i IN range(1, least(n, 5) + 1)], '; ') || CASE WHEN n > 5 THEN ' (+' || (n - 5) || ' more)' ELSE '' END AS said, NULL AS start_line, NULL AS end_line FROM n
+@query(f"""{PARTS}, n AS (SELECT k, 1 + s % 8 AS n, CASE WHEN s % 8 >= 5 THEN 1 ELSE 0 END AS torn FROM p)
+    SELECT 'm' || k || '.py' AS path, 'error' AS kind, array_to_string([('syntax error at L' || (2 * i) || ':7: ''x = 1 1''') FOR i IN range(1, least(n, 5) + 1)], '; ') || CASE WHEN n + torn > 5 THEN ' (+' || (n + torn - 5) || ' more)' ELSE '' END AS said, NULL AS start_line, NULL AS end_line FROM n
     UNION ALL SELECT 'm' || k || '.py', 'function', 'sound' || i, (2 * i - 1)::INTEGER, (2 * i - 1)::INTEGER FROM (SELECT k, unnest(range(1, n + 1)) AS i FROM n)
     UNION ALL SELECT 'm' || k || '.py', 'class', 'Half', (2 * n + 1)::INTEGER, (2 * n + 5)::INTEGER FROM n
     UNION ALL SELECT 'm' || k || '.py', 'method', 'Half.whole', (2 * n + 2)::INTEGER, (2 * n + 2)::INTEGER FROM n
@@ -109,10 +109,7 @@ def recovered_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") % 8), lambda i: F.concat(F.lit("def sound"), i, F.lit("(): pass\nx = 1 1\n"))), "")
     body = F.concat(lines, F.lit("class Half:\n    def whole(self): pass\n    def torn(self):\n        return ("), F.when(F.col("p_size") % 8 >= 5, "1 1").otherwise("1"), F.lit(")\n    def last(self): pass\n"))
     rows = symbols.python_symbols(table(spark, sf_dir, "part").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")))
-    said = F.regexp_replace(F.col("error"), r" \(\+(\d+) more\)$", "")
-    more = F.regexp_extract("error", r" \(\+(\d+) more\)$", 1).cast("int") - (F.regexp_extract("error", r" \(\+(\d+) more\)$", 1) != "").cast("int")
-    shown = F.when(F.col("kind") == "error", F.concat(said, F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))).otherwise(F.col("qualified_name"))
-    return rows.where("kind in ('error', 'function', 'class', 'method')").select("path", "kind", shown.alias("said"), "start_line", "end_line")
+    return rows.where("kind in ('error', 'function', 'class', 'method')").select("path", "kind", F.coalesce("error", "qualified_name").alias("said"), "start_line", "end_line")
 
 
 @query("""WITH s AS (SELECT p_partkey AS k, p_size AS mark, CASE WHEN p_partkey % 5 BETWEEN 1 AND 3 THEN p_partkey % 5 ELSE 0 END AS changed, CASE WHEN p_partkey % 7 BETWEEN 1 AND 3 THEN p_partkey % 7 ELSE 0 END AS gone FROM part)
