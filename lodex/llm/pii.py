@@ -87,15 +87,15 @@ def base_spans(text: str) -> list[Span]:
 
 AT, DOT = r"(?:@|[ ]?[\[(](?:at|AT)[\])][ ]?|[ ]at[ ])", r"(?:\.|[ ]?[\[(](?:dot|DOT)[\])][ ]?|[ ]dot[ ])"
 GENERATORS = (
-    (0, re.compile(rf"(?<![\w.%+-])[\w.%+-]{{1,64}}{AT}[\w-]{{1,63}}(?:{DOT}[\w-]{{2,63}}){{1,4}}", re.ASCII)),
+    (0, re.compile(rf"(?<![\w.%+-])[\w.%+-]++{AT}[\w-]++(?:{DOT}[\w-]{{2,}}+)++", re.ASCII)),
     (1, re.compile(r"(?<![\w.])\d{1,3}(?:[ ]?[.][ ]?\d{1,3}){3}(?![\w])", re.ASCII)),
     (1, re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     (2, re.compile(r"(?<!\w)\d{4}(?:[ ./_-]{1,3}\d{4}){3}(?!\w)", re.ASCII)),
     (2, re.compile(r"(?<!\w)\d{13,19}(?!\w)", re.ASCII)),
     (3, re.compile(r"(?<![\w+])\(?(?:00\d{1,3}[ ]?)?\(?\d{2,5}\)?(?:[ ./-]{1,2}\d{2,5}){1,4}(?!\w)", re.ASCII)),
     (3, re.compile(r"(?<![\w+])0\d{8,12}(?!\w)", re.ASCII)),
-    (4, re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,200}+={0,2}(?![A-Za-z0-9])")),
-    (4, re.compile(r"[A-Za-z_-]{3,20}[ ]?[=:][ ]?[\"']?(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,200}+={0,2}[\"']?")),
+    (4, re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9])")),
+    (4, re.compile(r"[A-Za-z_-]{3,20}[ ]?[=:][ ]?[\"']?(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}[\"']?")),
 )
 WRITTEN = re.compile(r"[\[( ](?:at|AT)[\]) ]")
 HAS_DIGIT = re.compile(r"[0-9]")
@@ -117,6 +117,8 @@ def candidates(text: str) -> list[Span]:
     return [(kind, m.start(), m.end()) for kind, pattern in GENERATORS if (written if kind == 0 else digit) for m in pattern.finditer(text)]
 
 
+#: Characters of a secret, by which its counts are told.
+SHOWN = 48
 HEX, QUOTES = frozenset("0123456789abcdefABCDEF"), "\"'`"
 
 
@@ -136,13 +138,15 @@ def describe(text: str, span: Span) -> list[float]:
     dots = bool(re.search(r"\.|[\[(](?:dot|DOT)[\])]", s))
     parts = [int(g) for g in groups if len(g) < 10]
     tail = re.split(r"[^A-Za-z]+", s.strip())[-1]
+    # a longer secret is told like one of this length that is made up alike
+    part = min(1.0, SHOWN / len(s)) if kind == 4 else 1.0
     date = len(groups) == 3 and len(parts) == 3 and (1900 <= parts[0] <= 2100 or 1900 <= parts[2] <= 2100)
     return [
-        float(kind), float(len(s)), float(len(d)), float(len(groups)), float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
+        float(kind), len(s) * part, len(d) * part, len(groups) * part, float(max(map(len, groups), default=0)), float(min(map(len, groups), default=0)),
         float(luhn(d)) if d else 0.0, float(len(parts) == 4 and max(parts) <= 255), float(whole), float(dots), float(len(tail)),
-        float(s.count(" ")), float(s.count(".")), float(s.count("-")), float(s.count("/")), float("(" in s), float(s.startswith("00")), float(s.startswith("0")),
+        float(s.count(" ")), float(s.count(".")), s.count("-") * part, s.count("/") * part, float("(" in s), float(s.startswith("00")), float(s.startswith("0")),
         float(date), float(len(set(d)) if d else 0), float(bool(before) and before not in SPACES), float(bool(after) and after not in SPACES + ".,;:!?)"),
-        float(any(w in HINTS[kind] for w in words)), float(any(w in HINTS[5] for w in words)), float(sum(c.isupper() for c in s)), float(":" in s),
+        float(any(w in HINTS[kind] for w in words)), float(any(w in HINTS[5] for w in words)), sum(c.isupper() for c in s) * part, float(":" in s),
         _surprise(s), sum(c in HEX for c in s) / len(s), len(d) / len(s), float(sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))) / len(s), float(before in QUOTES and after in QUOTES and bool(before)), float(text[max(0, start - 3) : start].rstrip("\"' ")[-1:] in ("=", ":")), float("=" in s.rstrip("=") or '"' in s),
     ]
 

@@ -49,3 +49,24 @@ def test_picked_spans_dont_overlap():
         base, every = pii.redactor().spans(text)
         added = sorted((s, e) for k, s, e in set(every) - set(base))
         assert all(a[1] <= b[0] for a, b in zip(added, added[1:], strict=False))
+
+
+def test_long_things_are_taken_whole(spark):
+    """Secrets of hundreds and thousands of characters, addresses with long parts: candidates and redactions reach their ends."""
+    rng, model = random.Random(2), pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = 0
+    for size in (40, 150, 300, 2000) * 5:
+        secret = "7a" + "".join(rng.choice(letters) for _ in range(size - 2))
+        head = f"set {rng.choice(('token', 'api_key', 'secret'))} = \""
+        text = f'{head}{secret}" and go on'
+        assert (4, len(head), len(head) + size) in pii.candidates(text)
+        added = {s for s in model.spans(text)[1] if s[0] == 4}
+        assert all(len(text) - 11 - len('"') <= e for _, _, e in added)  # none ends within
+        found += (4, len(head), len(head) + size) in added
+    assert found >= 18
+    local, host = "x" * 70 + ".y" * 10, "h" * 80
+    text = f"mail {local} [at] {host} [dot] a [dot] bb [dot] cc [dot] dd [dot] ee [dot] com now"
+    text = text.replace(" [dot] a ", " [dot] aa ")
+    assert (0, 5, len(text) - 4) in pii.candidates(text)
+    assert len(pii.candidates("a" * 200_000 + " [at] " + "b-" * 100_000)) <= 2
