@@ -21,6 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,14 +116,17 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-HASHED = "dim int, tab int, bucket long, vec_id long, v "
+HASHED = "dim int, tab int, bucket long, vec_id long, nr long, v "
 
 
 def hashed(vectors: DataFrame, setting: Setting, probes: int) -> DataFrame:
-    """A row for each table and each of so many buckets, nearest first."""
+    """A row for each table and each of so many buckets, nearest first. nr: the row's number, given where it is read, so that it lands in the same block however often it is moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
+            batch = batch.append_column("nr", pa.array(np.arange(seen, seen + len(batch))))
+            seen += len(batch)
             sizes = np.asarray(pa.compute.list_value_length(batch.column("v")))
             for dim in np.unique(sizes):
                 rows = batch.filter(pa.array(sizes == dim))
@@ -130,7 +134,7 @@ def hashed(vectors: DataFrame, setting: Setting, probes: int) -> DataFrame:
                 for table in range(setting.tables):
                     best = buckets(unit, table, setting.rotations, probes)
                     at = pa.array(np.repeat(np.arange(len(unit)), best.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, dim), pa.int32()), pa.array(np.full(best.size, table), pa.int32()), pa.array(best.ravel()), rows.column("vec_id").take(at), rows.column("v").take(at)], names=[c.split()[0] for c in HASHED.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, dim), pa.int32()), pa.array(np.full(best.size, table), pa.int32()), pa.array(best.ravel()), rows.column("vec_id").take(at), rows.column("nr").take(at), rows.column("v").take(at)], names=[c.split()[0] for c in HASHED.split(", ")])
 
     return vectors.mapInArrow(make, HASHED + vectors.schema["v"].dataType.simpleString())
 
@@ -177,7 +181,7 @@ def _searched(queries: DataFrame, rows: DataFrame, setting: Setting, width: int,
     index, asked = hashed(rows, setting, 1), hashed(queries, setting, setting.probes)
     sizes = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(asked.groupBy(*key).agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts")), key)
     sizes = F.broadcast(sizes) if setting.tables * width**setting.rotations <= MOST_SENT else sizes
-    place, every = lambda many: F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col(many)), lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    place, every = lambda many: F.pmod(F.xxhash64("vec_id", "nr"), F.col(many)), lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
     cut = index.join(sizes, key).withColumn("block", place("blocks")).withColumn("part", every("parts")).drop("blocks", "parts")
     asked = asked.join(sizes, key).withColumn("part", place("parts")).withColumn("block", every("blocks")).drop("blocks", "parts")
     full = [*key, "block", "part"]

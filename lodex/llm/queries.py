@@ -22,10 +22,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one piece of the end token; the rest is said at packing.pack."""
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null is a source of its own, last; null and empty texts have size 0; repeated rows are drawn one by one. The rest is said at mixing.mix."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -51,6 +53,7 @@ def op4_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and zero vectors, and those with components that are null or not finite, take no part; ties go to the smaller id. The rest is said at ann.search."""
     vectors = _read(spark, sf_dir, "embeddings")
     return ann.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
@@ -69,16 +72,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have fingerprint zero and are linked like others; null ids come after all others. The rest is said at simhash.near_duplicates."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_pii_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model learns from the documents' own sure spans; it adds spans to those of the base rules."""
+    """The model learns from the documents' own sure spans; it adds spans to those of the base rules. `spans` has a fifth kind, secret, after the others. The rest is said at pii.find."""
     docs = _read(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs), with_text=False).drop("redacted")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts equal each other; null ids come after all others; of rows with the same id one stays. The rest is said at exact.deduplicate."""
     return exact.deduplicate(_read(spark, sf_dir, "documents")).drop("row")
 
 

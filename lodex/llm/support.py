@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,54 +12,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodex.sources.staging import drop as drop
+from lodex.sources.staging import shared_folder as shared_folder
+from lodex.sources.staging import stage as stage
+
 #: Bytes of text that a worker holds at once, apart from a single longer text.
 SLICE_BYTES = 8 << 20
 #: Rows of one Arrow batch; texts are long, so the default of 10,000 rows would need much memory.
 BATCH_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set up only where none is named and all run on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodex-"))
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and return the table; lost executors don't lose it.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lodex-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(place)
-    made = spark.read.schema(df.schema).parquet(path)
-    _places[id(made)] = weakref.ref(made), place
-    return made
-
-
-#: Where staged tables are.
-_places: dict[int, tuple] = {}
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for made in tables:
-        ref, place = _places.pop(id(made), (None, None))
-        if ref and ref() is made:
-            place.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of long texts small. This changes the session's setting for good; a lower one stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
