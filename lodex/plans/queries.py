@@ -417,6 +417,35 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{where}/out").select("path", "op", "events", F.unix_millis("begin").alias("begin_ms"))
 
 
+@query("""WITH e AS (SELECT 'u' || user_id AS path, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'change' END AS op, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+    d AS (SELECT *, CASE WHEN op = 'delete' THEN (ms // 60000 + 1) * 60000 ELSE ms + 1800000 END AS due, lead(ms) OVER (PARTITION BY path ORDER BY n) AS later FROM e),
+    f AS (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY path ORDER BY n), 0) AS events FROM d WHERE later IS NULL OR later >= due),
+    t AS (SELECT path, op, due, events, ceil(due / 60000)::BIGINT AS tick FROM f)
+    SELECT path, op, due::BIGINT AS due_ms, events, tick, (CASE WHEN op = 'delete' THEN 0 ELSE 1 + (row_number() OVER (PARTITION BY tick, op = 'delete' ORDER BY due, path) - 1) // 64 END)::INTEGER AS nth FROM t""")
+def stream_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream through keyed timers: changes wait for half an hour of quiet, deletes for the next minute; then the batches of each minute."""
+    import uuid
+
+    from lodex.streaming import timers
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    where = f"{_streams(spark)}/{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events")
+    events.limit(1).withColumn("ts", F.lit("2199-01-01").cast("timestamp").cast(events.schema["ts"].dataType)).withColumn("user_id", F.lit(None).cast(events.schema["user_id"].dataType)).write.parquet(f"{where}/end")
+    read = lambda place: spark.readStream.schema(events.schema).parquet(place)
+    raw = _as_events(read(f"{sf_dir}/events.parquet*").unionByName(read(f"{where}/end"))).withColumn("path", F.coalesce("path", F.lit("")))  # the end's own operation stays pending
+    spark.conf.set(key, timers.PROVIDER)
+    try:
+        out = timers.pending_flushes(raw, 1_800_000, 60_000, late="10 minutes")
+        done = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).outputMode("append").start()
+        done.awaitTermination()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    flushed = spark.read.schema(out.schema).parquet(f"{where}/out")
+    return timers.flush_order(flushed, tick_ms=60_000).select("path", "op", F.unix_millis("due").alias("due_ms"), "events", "tick", "nth")
+
+
 def _streams(spark: SparkSession) -> str:
     """A folder that driver and executors share; one on this machine only if all run here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
