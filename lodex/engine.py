@@ -109,10 +109,26 @@ class Engine:
         return Engine(self.spark, self.config, {n: remove(remove(old[n], deleted), keys).unionByName(fresh[n]) if n != "files" else upsert(remove(old[n], deleted), fresh[n]) for n in BASE})
 
     def file_find(self, pattern: str) -> DataFrame:
+        """path, public_fns, line_count, one_liner of the files that a glob matches; one with the root before it counts below the root."""
+        pattern = pattern.removeprefix(f"{self.config.root.rstrip('/')}/")
         docs = self.symbols.where("kind = 'module'").select("path", F.col("doc_first").alias("docstring"))
         rows = self.files.join(views.public_counts(self.symbols), "path", "left").join(docs, "path", "left")
         return retrieval.glob_find(rows.select("path", F.coalesce("public_fns", F.lit(0)).alias("public_fns"), "line_count", file_one_liner(F.col("path"), F.col("docstring")).alias("one_liner")), pattern)
 
+    def file_lines(self, pattern: str, include_tier1: bool = False) -> DataFrame:
+        """path, line: a line for each file, with its outline below it if asked for; if none matches, one line that names the folders at the top."""
+        found = self.file_find(pattern)
+        line = F.concat("path", F.lit(" ["), "public_fns", F.lit("fn, "), "line_count", F.lit("L]: "), "one_liner")
+        if include_tier1:
+            outlines = views.outline(self.files, self.symbols).select("path", F.col("text").alias("outline"))
+            found = found.join(outlines, "path", "left")
+            line = F.concat(line, F.coalesce(F.concat(F.lit("\n  "), F.replace("outline", F.lit("\n"), F.lit("\n  "))), F.lit("")))
+        top = self.files.where(F.col("path").contains("/")).agg(F.array_sort(F.collect_set(F.split_part("path", F.lit("/"), F.lit(1)))).alias("top"))
+        none = found.limit(1).agg(F.count("*").alias("n"))
+        folders = F.when(F.size("top") > 0, F.array_join("top", ", ")).otherwise("(none)")
+        said = top.crossJoin(none).where("n = 0").select(F.lit(None).cast("string").alias("path"), F.concat(F.lit(f"No files matching pattern: {pattern}. Available top-level directories: "), folders, F.lit(".")).alias("line"))  # a row each
+        return found.select("path", line.alias("line")).unionByName(said).orderBy("path")
+
     def find_code(self, pattern: str, case_sensitive: bool = False, search_in: str = "all") -> DataFrame:
         """path, start_line, end_line, kind, name, line of functions and methods, or of types.
 
@@ -161,11 +177,18 @@ class Engine:
         return views.type_shape(self.symbols, name, include_methods)
 
     def status(self) -> DataFrame:
-        return views.status(self.files, self.symbols, self.regions)
+        """One row of counts, and modes: how many files were parsed, read by line patterns, or have errors."""
+        modes = views.modes(self.files, self.symbols, tuple(symbols.extractors())).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "n")))).alias("modes"))
+        return views.status(self.files, self.symbols, self.regions).crossJoin(modes)  # a row each
 
     def outline(self, path: str | None = None, compact: bool = False) -> DataFrame:
+        """Of one file, or of all by path. A file that isn't in the index but in the tree is read and parsed for it; one that is in neither gives a row that says so."""
         keep = F.col("path") == path if path else F.lit(True)
-        made = views.outline(self.files.where(keep), self.symbols.where(keep), compact)
+        files, rows = self.files.where(keep), self.symbols.where(keep)
+        if path and files.isEmpty():
+            files = stage(scan(self.spark, self.config, [path]), "file")
+            rows = stage(_parsed(files, self.config), "symbols")
+        made = views.outline(files, rows, compact)
         return (views.found(made, path) if path else made).orderBy("path")
 
     def overview(self, prefix: str | None = None, exclude: str | None = None, mode: str = "modules") -> DataFrame:
@@ -186,6 +209,16 @@ class Engine:
         cut = numbered_source if numbered else source_slice
         return rows.join(files.select("path", F.col("text").alias("file_text")), "path").select("path", "qualified_name", "start_line", "end_line", cut(F.col("file_text"), F.col("start_line"), F.col("end_line")).alias("source"))
 
+    def shown_source(self, path: str, qualified_name: str) -> DataFrame:
+        """text: the symbol's numbered lines below a line with their range; or one that says what there is in the file."""
+        found = self.source(path, qualified_name, numbered=True)
+        head = F.concat("path", F.lit(f":{qualified_name} (lines "), "start_line", F.lit("-"), "end_line", F.lit("):\n"))
+        own = self.symbols.where((F.col("path") == path) & F.col("kind").isin("function", "method")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "qualified_name"))), lambda r: r["qualified_name"]).alias("own"))
+        none, indexed = found.limit(1).agg(F.count("*").alias("n")), self.files.where(F.col("path") == path).limit(1).agg(F.count("*").alias("known"))
+        listed = F.concat(F.lit("Available functions: "), F.when(F.size("own") > 0, F.array_join("own", ", ")).otherwise("(none)"), F.lit("."))
+        said = own.crossJoin(none).crossJoin(indexed).where("n = 0").select(F.concat(F.lit(f"Function {qualified_name} not found in {path}. "), F.when(F.col("known") > 0, listed).otherwise("File may not be indexed.")).alias("text"))  # a row each
+        return found.select(F.concat(head, "source").alias("text")).unionByName(said)
+
     def source_and_trace(self, path: str, qualified_name: str, depth: int = 1) -> DataFrame:
         """part (source, callees or callers), path, name, text: the source, and below it the contracts of what it calls and what calls it."""
         own = self.source(path, qualified_name, numbered=True).select(F.lit("source").alias("part"), "path", F.col("qualified_name").alias("name"), F.col("source").alias("text"))
@@ -204,7 +237,7 @@ class Engine:
         return views.tier2(self.symbols, self.resolved, self.callers)
 
     def trace(self, path: str, qualified_name: str, direction: str = "both", depth: int = 2, min_confidence: str = "preferred", include: str = "none", budget_lines: int = 300) -> DataFrame:
-        """direction, path, name, depth: callees unfiltered, callers of at least the given confidence.
+        """direction, path, name, depth, nth, via: callees unfiltered, callers of at least the given confidence; nth is the order in which a search finds them, via the names on the way.
 
         include: with the contract (contracts), the source (full), or the source of direct neighbours and contracts of
         the others (mixed), as graph.bodies gives them within so many lines.
@@ -214,8 +247,12 @@ class Engine:
         node = lambda p, n: F.struct(F.col(p).alias("path"), F.col(n).alias("name"))
         inner = self.resolved.where("not is_external")
         root = self.spark.createDataFrame([((path, qualified_name),)], "node struct<path:string,name:string>")
-        ways = {"callees": inner.select(node("path", "caller").alias("src"), node("to_path", "to_name").alias("dst")), "callers": graph.confident(inner, min_confidence).select(node("to_path", "to_name").alias("src"), node("path", "caller").alias("dst"))}
-        found = [graph.trace(e, root, depth).select(F.lit(w).alias("direction"), "node.path", "node.name", "depth") for w, e in ways.items() if direction in (w, "both")]
+        ways = {
+            "callees": inner.select(node("path", "caller").alias("src"), node("to_path", "to_name").alias("dst"), F.col("call_ord").alias("ord")),
+            "callers": graph.confident(inner, min_confidence).select(node("to_path", "to_name").alias("src"), node("path", "caller").alias("dst"), F.lit(0).alias("ord")),
+        }
+        found = [graph.ordered_trace(e, root.select("node", F.lit(0).alias("root")), depth).select(F.lit(w).alias("direction"), "node.path", "node.name", "depth", "nth", "via.name") for w, e in ways.items() if direction in (w, "both")]
+        found = [f.toDF("direction", "path", "name", "depth", "nth", "via") for f in found]
         nodes = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         if include == "none":
             return nodes

@@ -99,6 +99,24 @@ def trace(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def ordered_trace(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """root, node, depth, nth, parent, via: nodes within 1 to 3 steps of each root (root, node) along edges (src, dst, ord), as a breadth-first search finds them.
+
+    A node is found once, from the parent that came first, of several edges of a parent by ord and then dst; nth counts from 1, and via are the
+    nodes from the root to the parent. Each step is a join of all roots' fronts at once; nth is numbered within a root.
+    """
+    step = F.struct("ord", F.col("dst").alias("at"))
+    seen = roots.select("root", "node").distinct().withColumns({"depth": F.lit(0), "key": F.array().cast(edges.select(F.array(step).alias("k")).schema["k"].dataType), "parent": F.lit(None).cast(edges.schema["dst"].dataType), "via": F.array().cast(edges.select(F.array("dst").alias("k")).schema["k"].dataType)})
+    front = seen
+    for d in range(1, max(1, min(3, depth)) + 1):
+        reached = edges.join(front.select("root", F.col("node").alias("src"), "key", "via"), "src").select("root", F.col("dst").alias("node"), F.struct(F.concat("key", F.array(step)).alias("key"), F.col("src").alias("parent"), F.concat("via", F.array("src")).alias("via")).alias("w"))
+        first = reached.groupBy("root", "node").agg(F.min("w").alias("w"))
+        front = first.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(d).alias("depth"), "w.key", "w.parent", "w.via")
+        seen = seen.unionByName(front)
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("depth", "key"))
+    return seen.where("depth > 0").select("root", "node", "depth", nth.alias("nth"), "parent", "via")
+
+
 def within_budget(rows: DataFrame, lines: str, budget: int, *order: str) -> DataFrame:
     """Rows in order until the lines before a row reach the budget. Each row has a line or more, so only the first `budget` rows are gathered."""
     before = F.coalesce(F.sum(lines).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -148,6 +166,12 @@ def locator_lists(symbols: DataFrame) -> DataFrame:
     return locators(symbols).groupBy("name").agg(F.count("*").alias("n"), F.min_by(F.struct("l_path", "l_qn"), "l_ord").alias("f")).select("name", "n", F.col("f.l_path").alias("first_path"), F.col("f.l_qn").alias("first_name"))
 
 
+def locator_arrays(symbols: DataFrame) -> DataFrame:
+    """name, locators: all functions and methods of a name (path, name), the first one first."""
+    held = F.array_sort(F.collect_list(F.struct(F.col("l_ord").alias("ord"), F.col("l_path").alias("path"), F.col("l_qn").alias("name"))))
+    return locators(symbols).groupBy("name").agg(F.transform(held, lambda r: F.struct(r["path"].alias("path"), r["name"].alias("name"))).alias("locators"))
+
+
 def find_entry(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """path, wanted, qualified_name of each (path, wanted): the symbol of that qualified name, else that of this bare name that the fewest definitions hold, of these the first in the file."""
     own = symbols.where(F.col("kind").isin(*DEFINED)).select("path", "qualified_name", "name", F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), "ord").alias("ord"))

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodex.config import SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_READS, SHOWN_TYPE_LINES, SHOWN_VALUE
+from lodex.functions.paths import extension
 from lodex.functions.text import file_one_liner, one_liner
+
+
 def status(files: DataFrame, symbols: DataFrame, regions: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row of counts; extra: further aggregates over files by name."""
     more = [c.alias(n) for n, c in (extra or {}).items()]
@@ -15,6 +18,13 @@ def status(files: DataFrame, symbols: DataFrame, regions: DataFrame, extra: dict
     return f.crossJoin(s).crossJoin(regions.agg(F.count("*").alias("regions")))  # a row each
 
 
+def modes(files: DataFrame, symbols: DataFrame, endings: tuple[str, ...]) -> DataFrame:
+    """mode, n: files with errors (error), of endings that a parser or scanner reads (parsed), and all others (lines)."""
+    broken = symbols.where("kind = 'error'").select("path").distinct().withColumn("broken", F.lit(True))
+    mode = F.when(F.col("broken"), "error").when(extension(F.col("path")).isin(*endings), "parsed").otherwise("lines")
+    return files.select("path").join(broken, "path", "left").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
+
+
 def public_counts(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("path").agg(F.count_if(F.col("kind").isin("function", "method") & (F.col("visibility") == "public")).alias("public_fns"))
 

@@ -128,3 +128,16 @@ def store_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             store.compact()
     held = store.load()
     return held["files"].join(held["records"], "path").select("path", "mark", "term")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS src, p_partkey * 3 % n + 1 AS dst, 0 AS ord FROM part, n UNION ALL SELECT p_partkey, p_partkey * 7 % n + 1, 1 FROM part, n UNION ALL SELECT p_partkey, p_partkey // 2 + 1, 2 FROM part),
+    w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth, []::BIGINT[] AS key, []::BIGINT[] AS via FROM part WHERE p_size = 1
+        UNION ALL SELECT w.root, e.dst, w.depth + 1, w.key || [e.ord::BIGINT, e.dst::BIGINT], w.via || [e.src::BIGINT] FROM w JOIN e ON e.src = w.node WHERE w.depth < 3),
+    f AS (SELECT root, node, min(struct_pack(depth, key, via)) AS b FROM w GROUP BY 1, 2)
+    SELECT root::BIGINT AS root, node::BIGINT AS node, b.depth::INTEGER AS depth, (row_number() OVER (PARTITION BY root ORDER BY b.depth, b.key))::INTEGER AS nth, array_to_string(b.via, '>') AS via FROM f WHERE b.depth > 0""")
+def trace_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which a breadth-first search from each part of the least size finds others, and the way to each."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_size")
+    n = F.lit(part.count())
+    edges = part.select(F.col("k").alias("src"), F.posexplode(F.array(F.col("k") * 3 % n + 1, F.col("k") * 7 % n + 1, F.floor(F.col("k") / 2) + 1)).alias("ord", "dst"))
+    return graph.ordered_trace(edges, part.where("p_size = 1").select(F.col("k").alias("root"), F.col("k").alias("node")), 3).select("root", "node", "depth", "nth", F.array_join("via", ">").alias("via"))
