@@ -14,14 +14,14 @@ from lodex.config import OVERVIEW_FILES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
-from lodex.operators import graph, retrieval, scanner, symbols, views
+from lodex.operators import graph, patterns, retrieval, scanner, symbols, views
 from lodex.operators.freshness import remove, upsert
 from lodex.sources.files import mark_of, mark_sums, read, scan, tree
 from lodex.sources.staging import drop, stage
 from lodex.sources.store import MOST_DELTAS, Store
 
 BASE = ("files", "symbols", "regions", "records")
-DERIVED = ("postings", "lengths")
+DERIVED = ("postings", "lengths", "grams")
 
 
 class Engine:
@@ -31,7 +31,7 @@ class Engine:
         self.spark, self.config = spark, config
         self.files, self.symbols, self.regions, self.records = (tables[n] for n in BASE)
         #: Terms of the records; tables that were never written have none, and texts are cut into words at each search.
-        self.postings, self.lengths = (tables.get(n) for n in DERIVED)
+        self.postings, self.lengths, self.grams = (tables.get(n) for n in DERIVED)
         self.totals = None if self.lengths is None else retrieval.totals_of(self.lengths)
         self.resolved = graph.resolve_calls(self.symbols)
         self.callers = graph.callers(self.resolved)
@@ -92,7 +92,7 @@ class Engine:
         # only the first table has rows of files that were only touched
         tables = _tables(changed, self.config) | {"files": seen}
         tables["symbols"], tables["regions"] = (_without(make, touched) for make in (tables["symbols"], tables["regions"]))
-        tables["records"] = _without(tables["records"], touched)
+        tables["records"], tables["grams"] = _without(tables["records"], touched), _without(tables["grams"], touched)
         store.append(tables, gone, touched, meta["version"], fingerprint=mark_of(sums), sums=sums)
         if len(store.meta()["deltas"]) >= MOST_DELTAS:
             store.compact()
@@ -155,7 +155,8 @@ class Engine:
         inside = posixpath.normpath(target_dir)
         if inside.startswith(("..", "/")):
             raise ValueError(f"{target_dir} is outside the tree")
-        return retrieval.raw_search(self.files if inside == "." else self.files.where(under(F.col("path"), f"{inside}/")), pattern)
+        files = self.files if inside == "." else self.files.where(under(F.col("path"), f"{inside}/"))
+        return retrieval.raw_search(files, pattern) if self.grams is None else patterns.indexed_search(files, self.grams, pattern)
 
     def search(self, query: str, mode: str, max_results: int = 15) -> DataFrame:
         """keyword: pattern over symbols; raw: pattern over lines; semantic: vectors and full text fused."""
@@ -285,7 +286,7 @@ def _without(make: Callable, touched: DataFrame) -> Callable:
 
 
 def _derived() -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
-    return {"postings": lambda t: retrieval.postings(t["records"], "id", "text", "path"), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path")}
+    return {"postings": lambda t: retrieval.postings(t["records"], "id", "text", "path"), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path"), "grams": lambda t: patterns.grams(t["files"])}
 
 
 def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]:

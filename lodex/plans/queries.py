@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import paths, text, vectors
-from lodex.operators import freshness, graph, retrieval, symbols
+from lodex.operators import freshness, graph, patterns, retrieval, symbols
 from lodex.plans import code, syntax  # noqa: F401 - register their queries
 from lodex.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from lodex.sources.files import env_pairs, fingerprint
+from lodex.sources.staging import stage
 from lodex.streaming import watch
 
 
@@ -76,6 +77,15 @@ def raw_grep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.capped(found, "path", "line_no")[0].select("path", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
+@query(f"{LINES} SELECT path, line_no::BIGINT AS line_no, line FROM lines WHERE regexp_matches(line, '(?i)(all rights|permission) (is|reserved)|licen[cs]e')")
+def raw_grep_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by pattern, of the files that hold the three-byte runs that it needs."""
+    files = doc_files(spark, sf_dir)
+    index = stage(patterns.grams(files), "grams")
+    found = patterns.indexed_search(files, index, "(all rights|permission) (is|reserved)|licen[cs]e", first_only=False)
+    return found.select("path", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
 PART_COLUMNS = {"names": "p_name", "signatures": "p_brand", "types": "p_type"}
 
 

@@ -23,7 +23,7 @@ from lodex.config import SCHEMA_VERSION
 MOST_DELTAS, BUCKETS = 32, 8
 #: By table, columns by which the base is dealt into folders below its buckets, and columns in whose order its rows are.
 FOLDERS = {"records": ("record_type",)}
-SORTED = {"postings": ("term",)}
+SORTED = {"postings": ("term",), "grams": ("gram",)}
 
 Tables = dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]
 
