@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodex.llm.support import only, small_batches, sums_by_row, text_slices, words_of
+from lodex.llm.support import give_back, only, small_batches, sums_by_row, text_slices, words_of
 from lodex.llm.toxicity import sigmoid
 from lodex.llm.words import DIM, Adam, Features, documents_of, labelled_sample, word_scores
 
@@ -69,7 +69,10 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
         return Model(np.zeros(DIM), np.zeros(WIDTH), np.zeros(0), levels or [0])
     y = np.searchsorted(levels, np.asarray(grades, dtype=int))
     which, bounds, words = words_of(pa.array([t.encode("utf-8", "replace") for t in texts], pa.large_binary()))
-    made, extra = Features(words, documents_of(which, bounds, len(words)), SEEN), repeats(which, bounds)
+    spread = documents_of(which, bounds, len(words))
+    give_back()
+    made, extra = Features(words, spread, SEEN), repeats(which, bounds)
+    give_back()
     n = np.maximum(np.diff(bounds), 1)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     cuts, dim = len(levels) - 1, len(made.slots)
@@ -105,7 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     or with one label only, every text gets that label's verdict (none: the lowest). Other columns aren't read.
     """
     sample = labelled_sample(only(docs, doc_id=id_col, text=text_col), only(labels, doc_id=id_col, label=grade_col), sample_docs, sample_chars)
-    return fit(sample["text"].tolist(), sample["label"].to_numpy())
+    model = fit(sample["text"].tolist(), sample["label"].to_numpy())
+    del sample
+    give_back()
+    return model
 
 
 def _graded(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -158,6 +161,14 @@ def share_below(column: str, share: float):
     return F.pmod(F.xxhash64(F.col(column).cast("string"), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so a driver that has learned from a sample doesn't go on holding it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of the value as text, modulo."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

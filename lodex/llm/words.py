@@ -96,19 +96,20 @@ class Features:
         for first in chunks:
             word, index = features(words[first : first + CHUNK])
             found += np.bincount(index, spread[first : first + CHUNK][word], minlength=DIM)
-        kept = []
-        for first in chunks:
-            word, index = features(words[first : first + CHUNK])
-            held = found[index] >= seen
-            kept.append((word[held] + np.int32(first), index[held]))
-        self.words = len(words)
-        self.word = np.concatenate([np.zeros(0, np.int32), *(w for w, _ in kept)])
-        index = np.concatenate([np.zeros(0, np.int32), *(i for _, i in kept)])
-        del kept
-        self.slots = np.flatnonzero(np.bincount(index, minlength=DIM))  # features that any word still has
+        held = found >= seen
+        self.slots = np.flatnonzero(held)
         at = np.zeros(DIM, dtype=np.int32)
         at[self.slots] = np.arange(len(self.slots))
-        self.index = at[index]
+        self.words = len(words)
+        some_words, some_slots = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for first in chunks:
+            word, index = features(words[first : first + CHUNK])
+            fine = held[index]
+            some_words.append(word[fine] + np.int32(first))
+            some_slots.append(at[index[fine]])
+        self.word = np.concatenate(some_words)
+        del some_words  # one list at a time is held twice
+        self.index = np.concatenate(some_slots)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Each word's sum of weights, which are given by slot."""
