@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodex.config import OVERVIEW_FILES, EngineConfig
+from lodex.config import OVERVIEW_FILES, TEXT_TIMES, VECTOR_TIMES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
@@ -174,6 +174,18 @@ class Engine:
         hits = self.records.join(F.broadcast(merged), "id")  # 30 rows
         return retrieval.without_overlap(hits, F.col("record_type") != "region", ["path", "start_line"]).orderBy(*retrieval.fused_order()).limit(k).select("path", "start_line", "end_line", "record_type", "symbol", "score", retrieval.hit_line(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("record_type"), F.col("text")).alias("line"))
 
+    def docstring_recall(self, k: int = 5) -> DataFrame:
+        """One row: how many documented functions and methods are found by their own docstrings, at which ranks; all docstrings are asked at once."""
+        asked = retrieval.docstring_queries(self.symbols).where(F.col("query") != "")
+        asked = stage(embedded(asked.select(F.col("wanted").alias("query_id"), F.col("query").alias("text")), self.config.dimensions, encoder(self.config)), "queries")
+        symbols_only = F.col("record_type") == "symbol"
+        vec = retrieval.nearest_many(self.records.where(symbols_only).select("id", F.col("vector").alias("v")), asked.select("query_id", F.col("vector").alias("v")), VECTOR_TIMES * k)
+        held = self.postings.join(self.records.where(symbols_only).select("id"), "id", "left_semi")
+        fts = retrieval.bm25_many(held, self.totals, asked.select("query_id", retrieval.tokens(F.col("text")).alias("words")), TEXT_TIMES * k)
+        hits = retrieval.fused_many(vec, fts, k)
+        found = hits.where("id = query_id").select("query_id", "rank")
+        return retrieval.recall_and_mrr(asked.select("query_id").join(found, "query_id", "left"))
+
     def type_shape(self, name: str, include_methods: bool = True) -> DataFrame:
         return views.type_shape(self.symbols, name, include_methods)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +99,13 @@ def bm25_of_postings(held: DataFrame, sums: DataFrame, query: list[str]) -> Data
 
 
 def bm25_many(held: DataFrame, sums: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank (from 1), id, score: the k best of each query (query_id, words). For a set of queries small enough to send to all tasks."""
-    asked = F.broadcast(queries.select("query_id", F.explode(F.array_distinct("words")).alias("term")))
-    some = held.join(F.broadcast(queries.select(F.explode("words").alias("term")).distinct()), "term", "left_semi")
+    """query_id, rank (from 1), id, score: the k best of each query (query_id, words). Queries are sent to all tasks only if Spark finds them small."""
+    asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
+    some = held.join(queries.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
     df = some.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     room = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("len") / F.col("avg_len"))
     score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + room)
-    scored = some.join(F.broadcast(df.crossJoin(sums)), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+    scored = some.join(df.crossJoin(F.broadcast(sums)), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -129,6 +131,50 @@ def nearest(vectors: DataFrame, distance: Column, id_col: str, k: int) -> DataFr
     return vectors.select(F.col(id_col).alias("id"), F.round(distance, 6).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+FOUND = "query_id string, id string, distance double"
+
+
+def _best_of_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """Each query's k nearest of a block, ties by id."""
+    wide = lambda c: np.asarray(c.combine_chunks().flatten(), dtype=np.float64).reshape(len(c), -1)
+    out: list[tuple[list, list, list]] = []
+    if len(queries) and len(rows):
+        rows = rows.sort_by("id")
+        ids, x = rows.column("id").to_pylist(), wide(rows.column("v"))
+        for name, q in zip(queries.column("query_id").to_pylist(), wide(queries.column("v")), strict=True):
+            d = np.round(((x - q) ** 2).sum(axis=1), 6)
+            first = np.argsort(d, kind="stable")[:k]
+            out.append(([name] * len(first), [ids[j] for j in first.tolist()], d[first].tolist()))
+    columns = [[x for part in out for x in part[c]] for c in range(3)]
+    return pa.table({"query_id": pa.array(columns[0], pa.string()), "id": pa.array(columns[1], pa.string()), "distance": pa.array(columns[2], pa.float64())})
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """query_id, rank (from 1), id, distance: the k nearest of vectors (id, v) for each of queries (query_id, v) by squared distance, ties by id.
+
+    Both are dealt into blocks by hash; each two blocks meet in one task, which gives a query's best k, so however many there are, a task
+    holds two blocks, and a vector is moved once for each block of queries.
+    """
+    parts = lambda df: max(1, -(-df.count() // block))
+    of_rows, of_queries = parts(vectors), parts(queries)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    right = vectors.select(F.col("id").cast("string").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumns({"b": deal("id", of_rows)}).withColumn("q", every(of_queries))
+    left = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("v").cast("array<double>").alias("v")).withColumns({"q": deal("query_id", of_queries)}).withColumn("b", every(of_rows))
+    best = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(lambda x, y: _best_of_block(x, y, k), FOUND)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def fused_many(vec: DataFrame, fts: DataFrame, k: int, room: int = RRF_K) -> DataFrame:
+    """query_id, rank (from 1), id, score: the lists of each query (query_id, rank from 1, id) fused by the sum of 1/(rank + 60); ties by vector, then text rank."""
+    both = vec.select("query_id", "id", F.col("rank").alias("vec_rank")).join(fts.select("query_id", "id", F.col("rank").alias("fts_rank")), ["query_id", "id"], "full")
+    part = lambda c: F.coalesce(1.0 / (F.col(c) - 1 + F.lit(float(room))), F.lit(0.0))
+    scored = both.withColumn("score", F.round(part("vec_rank") + part("fts_rank"), 9))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_rank").asc_nulls_last(), F.col("fts_rank").asc_nulls_last(), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def ranked(found: DataFrame, *order) -> DataFrame:
     """rank from 0 of an already limited list."""
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)

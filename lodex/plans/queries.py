@@ -181,6 +181,15 @@ def vector_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(table(spark, sf_dir, "embeddings"), vectors.squared_l2(F.col("embedding"), vectors.literal(query_vector(spark, sf_dir))), "vec_id", 60)
 
 
+@query(f"""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round({L2.format(a='v.embedding', b='q.embedding')}, 6) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id::VARCHAR) AS rank FROM d)
+    SELECT query_id::VARCHAR AS query_id, rank::INTEGER AS rank, id::VARCHAR AS id, distance FROM r WHERE rank <= 10""")
+def vector_knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all vectors for each fiftieth one, block by block."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.nearest_many(rows, rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "v"), 10, block=512)
+
+
 @query(f"SELECT vec_id AS id, round(1 - {DOT.format(a='embedding', b=Q)} / (sqrt({DOT.format(a='embedding', b='embedding')}) * sqrt({DOT.format(a=Q, b=Q)})), 6) AS distance FROM embeddings ORDER BY distance, id LIMIT 60")
 def vector_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.nearest(table(spark, sf_dir, "embeddings"), 1 - vectors.cosine(F.col("embedding"), vectors.literal(query_vector(spark, sf_dir))), "vec_id", 60)
