@@ -98,5 +98,10 @@ def _salvaged(lines: list[str], offset: int, error: SyntaxError | ValueError, er
     if not defines:
         return []
     node = ast.parse(f"def {defines[2]}(): pass" if defines[1] == "def" else f"class {defines[2]}: pass").body[0]
-    node.lineno, node.end_lineno = offset + head + 1, offset + last + 1
+    node.lineno, node.end_lineno, node.by_name = offset + head + 1, offset + last + 1, True
     return [node]
+
+
+def sound(tree: ast.Module) -> bool:
+    """Whether there is more than definitions that stay by their names alone."""
+    return not all(getattr(node, "by_name", False) for node in tree.body)

@@ -17,7 +17,7 @@ from lodex.config import LANGUAGES, LARGE_BYTES, LARGE_LINES, REGION_CHARS, REGI
 from lodex.functions.paths import extension
 from lodex.functions.text import numbered_lines
 from lodex.operators import scanner
-from lodex.operators.recovery import recovered, told
+from lodex.operators.recovery import recovered, sound, told
 
 # How a line begins that defines a function or a class, and one that begins a region.
 FUNCTION_LINES = (
@@ -226,7 +226,8 @@ def parse_python(path: str, text: str) -> list[dict]:
         tree, errors = recovered(text)
     first, full = _doc(tree)
     rows: list[dict] = [{"path": path, "kind": "error", "error": told(errors)}] if errors else []
-    rows.append({"path": path, "kind": "module", "name": path, "doc_first": first, "doc_full": full})
+    if not errors or sound(tree):
+        rows.append({"path": path, "kind": "module", "name": path, "doc_first": first, "doc_full": full})
     for node in tree.body:
         at = {"path": path, "start_line": node.lineno, "end_line": node.end_lineno}
         if isinstance(node, ast.Import):
