@@ -27,7 +27,8 @@ BM25_K1, BM25_B = 1.2, 0.75
 DEBOUNCE_MS, FLUSH_PATHS, TICK_MS = 400, 64, 100
 OVERVIEW_FILES = 80
 SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_VALUE, SHOWN_READS, SHOWN_TYPE_LINES = 8, 8, 80, 3, 5
-SCHEMA_VERSION = 3
+SHOWN_ENTRIES, SHOWN_LINES = 40, 80
+SCHEMA_VERSION = 4
 # What marks a project's root, folders of a home that are no project, and variables that name one.
 ROOT_MARKERS = (".git", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "composer.json", "Gemfile", "build.gradle", "build.gradle.kts", "pom.xml", "Makefile")
 NO_PROJECTS = (".claude", ".codex", ".gemini", ".cache", ".config", ".local")

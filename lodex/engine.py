@@ -14,7 +14,7 @@ from lodex.config import OVERVIEW_FILES, TEXT_TIMES, VECTOR_TIMES, EngineConfig
 from lodex.functions.paths import extension, under
 from lodex.functions.text import file_one_liner, numbered_source, signature, source_slice
 from lodex.functions.vectors import embedder, hash_embedding, literal, squared_l2, unit
-from lodex.operators import graph, patterns, retrieval, scanner, symbols, views
+from lodex.operators import fulltext, graph, patterns, retrieval, scanner, symbols, views
 from lodex.operators.freshness import remove, upsert
 from lodex.sources.files import mark_of, mark_sums, read, scan, tree
 from lodex.sources.staging import drop, stage
@@ -31,7 +31,8 @@ class Engine:
         self.spark, self.config = spark, config
         self.files, self.symbols, self.regions, self.records = (tables[n] for n in BASE)
         #: Terms of the records; tables that were never written have none, and texts are cut into words at each search.
-        self.postings, self.lengths, self.grams = (tables.get(n) for n in DERIVED)
+        self.blocks, self.lengths, self.grams = (tables.get(n) for n in DERIVED)
+        self.postings = None if self.blocks is None else fulltext.unpacked(self.blocks)
         self.totals = None if self.lengths is None else retrieval.totals_of(self.lengths)
         self.resolved = graph.resolve_calls(self.symbols)
         self.callers = graph.callers(self.resolved)
@@ -100,11 +101,13 @@ class Engine:
         return Engine(self.spark, self.config, store.load(root=self.config.root))
 
     def updated(self, changed: DataFrame, deleted: DataFrame) -> Engine:
-        """With the changed files (rows of files) parsed anew and the deleted paths gone, nothing stored; what has the same content isn't parsed."""
+        """With the changed files (rows of files) parsed anew and the deleted paths gone, no store written; what has the same content isn't parsed."""
         changed = changed.join(self.files.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select(*self.files.columns)
         fresh, old = {}, dict(zip(BASE, (self.files, self.symbols, self.regions, self.records), strict=True))
         for name, make in _tables(changed, self.config).items():
             fresh[name] = make(fresh) if callable(make) else make
+            if name == "symbols":  # read by several views, so parsed once
+                fresh[name] = stage(fresh[name], name)
         keys = changed.select("path")
         return Engine(self.spark, self.config, {n: remove(remove(old[n], deleted), keys).unionByName(fresh[n]) if n != "files" else upsert(remove(old[n], deleted), fresh[n]) for n in BASE})
 
@@ -169,7 +172,7 @@ class Engine:
         k = max_results
         vec = retrieval.nearest(self.records, squared_l2(F.col("vector"), literal(unit(encoder(self.config)(query), self.config.dimensions))), "id", 4 * k)
         words = [r[0] for r in self.spark.range(1).select(F.explode(retrieval.tokens(F.lit(query)))).collect()]
-        scored = retrieval.bm25(self.records, words, "id", "text") if self.postings is None else retrieval.bm25_of_postings(self.postings, self.totals, words)
+        scored = retrieval.bm25(self.records, words, "id", "text") if self.blocks is None else fulltext.top(self.blocks, self.totals, words, TEXT_TIMES * k)
         merged = retrieval.hybrid(vec, scored.orderBy(F.desc("score"), "id").limit(2 * k), k, self.config.rerank)
         hits = self.records.join(F.broadcast(merged), "id")  # 30 rows
         return retrieval.without_overlap(hits, F.col("record_type") != "region", ["path", "start_line"]).orderBy(*retrieval.fused_order()).limit(k).select("path", "start_line", "end_line", "record_type", "symbol", "score", retrieval.hit_line(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("record_type"), F.col("text")).alias("line"))
@@ -298,7 +301,7 @@ def _without(make: Callable, touched: DataFrame) -> Callable:
 
 
 def _derived() -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
-    return {"postings": lambda t: retrieval.postings(t["records"], "id", "text", "path"), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path"), "grams": lambda t: patterns.grams(t["files"])}
+    return {"postings": lambda t: fulltext.packed(retrieval.postings(t["records"], "id", "text", "path")), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path"), "grams": lambda t: patterns.grams(t["files"])}
 
 
 def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]:
@@ -319,11 +322,12 @@ def _parsed(files: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def records(files: DataFrame, every: DataFrame, parts: DataFrame) -> DataFrame:
-    """One embedding record for each file, function, method, class, type and region."""
+    """One embedding record for each file (with what views.preview shows of it), function, method, class, type and region."""
     lang = files.select("path", "language")
     c, none = F.col, F.lit(None).cast("string")
     line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{label}: "), value))
-    of_files = files.select(*symbols.record("file", c("path"), c("language"), none, none, F.lit(1), c("line_count"), line("Outline", F.substring("text", 1, 4000))))
+    shown = files.select("path", "language", "line_count").join(views.preview(files, every, tuple(symbols.extractors())).withColumnRenamed("text", "shown"), "path")
+    of_files = shown.select(*symbols.record("file", c("path"), c("language"), none, none, F.lit(1), c("line_count"), line("Outline", c("shown"))))
     fns = every.where(c("kind").isin("function", "method")).join(lang, "path")
     shown = F.concat(c("name"), F.lit("("), views.shown_params(c("params")), F.lit(")->"), F.coalesce("return_type", F.lit("None")))
     calls = F.array_join(F.array_sort(F.transform("calls", lambda x: x["callee"])), ", ")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodex.config import SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_READS, SHOWN_TYPE_LINES, SHOWN_VALUE
+from lodex.config import CLIP, SHOWN_ATTRIBUTES, SHOWN_CONSTANTS, SHOWN_ENTRIES, SHOWN_LINES, SHOWN_READS, SHOWN_TYPE_LINES, SHOWN_VALUE
 from lodex.functions.paths import extension
-from lodex.functions.text import file_one_liner, one_liner
+from lodex.functions.text import file_one_liner, lines_of, one_liner
 
 
 def status(files: DataFrame, symbols: DataFrame, regions: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -146,6 +148,25 @@ def outline(files: DataFrame, symbols: DataFrame, compact: bool = False) -> Data
     return files.select("path", "line_count").join(public_counts(symbols), "path", "left").join(facts, "path", "left").join(lines, "path", "left").select("path", text.alias("text"))
 
 
+def preview(files: DataFrame, symbols: DataFrame, parsed: Sequence[str]) -> DataFrame:
+    """path, text of at most 4,000 characters: what a record says of a file.
+
+    Of Python files their outline; of others whose ending is in parsed the first functions and classes with their lines; of
+    the rest the first lines that aren't blank.
+    """
+    python, known = extension(F.col("path")).isin(".py", ".pyi"), extension(F.col("path")).isin(*parsed)
+    outlined = outline(files.where(python), symbols.where(python)).select("path", F.col("text").alias("outlined"))
+    entry = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", F.concat(F.lit("- "), "name", F.lit("  L"), "start_line", F.lit("-"), "end_line").alias("x")))))
+    listed = symbols.where(~python & F.col("kind").isin("function", "class")).groupBy("path").agg(entry("function").alias("fns"), entry("class").alias("types"))
+    several = lambda c: F.coalesce(F.size(c), F.lit(0))
+    part = lambda label, c: F.when(several(c) > 0, F.concat_ws("\n", F.lit(f"## {label}"), F.transform(F.slice(c, 1, SHOWN_ENTRIES), lambda r: r["x"])))
+    counts = F.concat(F.lit("# "), "path", F.lit("  ("), several("fns"), F.lit(" functions, "), several("types"), F.lit(" classes)"))
+    lines = F.filter(F.transform(F.slice(lines_of(F.col("text")), 1, SHOWN_LINES), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
+    said = F.when(python, F.col("outlined")).when(known, F.concat_ws("\n", counts, part("Functions", "fns"), part("Classes", "types"))).otherwise(F.array_join(lines, "\n"))
+    shown = files.select("path", "text").join(outlined, "path", "left").join(listed, "path", "left").select("path", said.alias("text"))
+    return shown.withColumn("text", F.when(F.length("text") > CLIP, F.concat(F.substring("text", 1, CLIP), F.lit("\n... (truncated)"))).otherwise(F.col("text")))
+
+
 def compressed_imports(symbols: DataFrame) -> DataFrame:
     """path, module, names in order without repeats."""
     each = symbols.where("kind = 'import_from'").select("path", "module", "ord", F.posexplode("names").alias("pos", "name"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.functions import paths, text, vectors
-from lodex.operators import freshness, graph, patterns, retrieval, symbols
+from lodex.operators import freshness, fulltext, graph, patterns, retrieval, symbols
 from lodex.plans import code, syntax  # noqa: F401 - register their queries
 from lodex.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 from lodex.sources.files import env_pairs, fingerprint
@@ -136,6 +136,34 @@ def fts_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.bm25_of_postings(held, retrieval.totals(docs, "text"), list(QUERY_WORDS)).orderBy(F.desc("score"), "id").limit(30)
 
 
+#: Documents of a block: those of a range of so many ids.
+BLOCK = 16
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packed postings and totals, written once, as a store holds them."""
+    docs = table(spark, sf_dir, "documents")
+    held = retrieval.postings(docs, "doc_id", "text").withColumn("block", F.expr(f"id div {BLOCK}"))
+    return stage(fulltext.packed(held, "block"), "blocks"), stage(retrieval.totals(docs, "text"), "totals")
+
+
+@query(f"WITH {BM25_SQL} SELECT id, score FROM fts ORDER BY score DESC, id LIMIT 30")
+def fts_bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, which opens only the blocks of postings that can hold one of the 30 best."""
+    return fulltext.top(*_blocks(spark, sf_dir), QUERY_WORDS, 30, "block")
+
+
+@query(f"""WITH {BM25_SQL},
+    bt AS (SELECT id // {BLOCK} AS block, term, max(f) AS f, min(l) AS l, count(*) AS p FROM tf WHERE f > 0 GROUP BY 1, 2),
+    bb AS (SELECT block, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 6) AS bound, sum(p) AS p FROM bt JOIN df USING (term), st GROUP BY 1),
+    best AS (SELECT score FROM fts WHERE id // {BLOCK} IN (SELECT block FROM bb ORDER BY bound DESC, block LIMIT 30) ORDER BY score DESC LIMIT 30),
+    th AS (SELECT min(score) AS s FROM best)
+    SELECT count(*) AS blocks, sum(p)::BIGINT AS postings, count(*) FILTER (bound + 0.0000015 >= s) AS opened_blocks, (sum(p) FILTER (bound + 0.0000015 >= s))::BIGINT AS opened_postings FROM bb, th""")
+def fts_blocks_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks and postings the query's terms have, and how many the search opens."""
+    return fulltext.opened(*_blocks(spark, sf_dir), QUERY_WORDS, 30, "block")
+
+
 EVAL_SQL = f"""r AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
     tk AS (SELECT id, {TOKENS} AS ts FROM r), st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM tk),
     qt AS (SELECT DISTINCT item_id, unnest(list_slice({TOKENS}, 1, 10)) AS term FROM benchmark),
