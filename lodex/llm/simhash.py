@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodex.llm.components import components
-from lodex.llm.support import small_batches, stage, text_bytes, text_slices, with_rows
+from lodex.llm.support import join_hot, small_batches, stage, text_bytes, text_slices, with_rows
 
 SEED = 42
 
@@ -75,7 +75,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: st
 
     radius is even: 2 gives 65 meeting points to a fingerprint, 4 gives 2,081. Null and empty texts have
     fingerprint zero and are linked like any other. Null ids count as larger than all others, so a
-    component of null ids only has a null component_id. Repeated rows each give a row; an empty
+    component of null ids only has a null component_id. A fingerprint or component that holds a large part of
+    the rows is joined by broadcast, so its rows never meet in one task. Repeated rows each give a row; an empty
     table gives none. Other columns aren't read.
     """
     if radius % 2 or not 0 <= radius <= 4:
@@ -83,9 +84,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, id_col: st
     small_batches(docs.sparkSession)
     made = stage(fingerprints(with_rows(docs, row_col, doc_id=id_col, text=text_col), words), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    classes = stage(made.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    classes = stage(made.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("size")), "classes")
     roots = stage(components(links(classes.select("fp"), radius)), "roots")
-    of = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = of.groupBy("root").agg(F.min("first").alias("best"))
-    named = of.select("fp", "root").join(smallest, "root").select("fp", "best")
-    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("best.row") == F.col("row")).alias("kept"), "row")
+    of = stage(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    smallest = stage(of.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("held")), "smallest")
+    named = stage(join_hot(of.select("fp", "root", "size"), smallest, "root", "held", of.count()).select("fp", "size", "best"), "named")
+    return join_hot(made, named, "fp", "size", made.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"), (F.col("best.row") == F.col("row")).alias("kept"), "row")

@@ -66,6 +66,17 @@ def numbered(docs: DataFrame, row_col: str) -> DataFrame:
     return placed.join(F.broadcast(files), "lodex_file").withColumn(row_col, F.col("lodex_first") + F.col("lodex_index")).drop("lodex_file", "lodex_index", "lodex_first")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, large: int = 1000) -> DataFrame:
+    """rows with the facts of their key. facts: one row for each key, with the number of its rows under size; total: rows in all.
+
+    Keys of over a thousandth of the rows, which are at most a thousand, come by broadcast, so a key's rows never need to
+    meet in one task. Both tables are at rest, as they are read twice.
+    """
+    hot = F.broadcast(facts.where(F.col(size) > F.lit(total // large)))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts, key)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """(rows, their texts as binary without nulls) of at most SLICE_BYTES, or of one longer text."""
     for batch in batches:
