@@ -301,7 +301,7 @@ def _without(make: Callable, touched: DataFrame) -> Callable:
 
 
 def _derived() -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
-    return {"postings": lambda t: fulltext.packed(retrieval.postings(t["records"], "id", "text", "path")), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path"), "grams": lambda t: patterns.grams(t["files"])}
+    return {"postings": lambda t: fulltext.packed(retrieval.postings(t["records"].select("path", "id", "text").repartition("path"), "id", "text", "path")), "lengths": lambda t: retrieval.lengths(t["records"], "text", "path"), "grams": lambda t: patterns.grams(t["files"])}
 
 
 def _tables(files: DataFrame, config: EngineConfig) -> dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]:

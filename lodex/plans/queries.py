@@ -143,8 +143,8 @@ BLOCK = 16
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Packed postings and totals, written once, as a store holds them."""
     docs = table(spark, sf_dir, "documents")
-    held = retrieval.postings(docs, "doc_id", "text").withColumn("block", F.expr(f"id div {BLOCK}"))
-    return stage(fulltext.packed(held, "block"), "blocks"), stage(retrieval.totals(docs, "text"), "totals")
+    dealt = docs.select("doc_id", "text", F.expr(f"doc_id div {BLOCK}").alias("block")).repartition("block")  # texts move once, postings never
+    return stage(fulltext.packed(retrieval.postings(dealt, "doc_id", "text", "block"), "block"), "blocks"), stage(retrieval.totals(docs, "text"), "totals")
 
 
 @query(f"WITH {BM25_SQL} SELECT id, score FROM fts ORDER BY score DESC, id LIMIT 30")
