@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodex.operators import graph, symbols
-from lodex.plans.registry import query, table
+from lodex.plans.registry import dealt, query, table
 from lodex.sources.staging import shared_folder
 from lodex.sources.store import Store
 
@@ -50,7 +50,7 @@ def _filled(template: str) -> Column:
 def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions, parameters and calls in JavaScript, Go, Rust and Java."""
     files = [F.struct(F.concat(F.lit("m"), "p_partkey", F.lit(f".{end}")).alias("path"), F.concat(_filled(head), F.repeat(F.lit(line), F.col("p_size") % 4), _filled(tail)).alias("text")) for end, (head, line, tail) in SOURCES.items()]
-    rows = symbols.symbols_of_files(table(spark, sf_dir, "part").select(F.explode(F.array(*files)).alias("f")).select("f.*"), symbols.extractors())
+    rows = symbols.symbols_of_files(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.explode(F.array(*files)).alias("f")).select("f.*"), symbols.extractors())
     shown = F.array_join(F.transform("calls", lambda c: F.concat(c["callee"], F.lit(":"), c["n"])), ",")
     return rows.select("path", "kind", "qualified_name", "start_line", "end_line", F.array_join("params.name", ",").alias("params"), shown.alias("calls"))
 
@@ -73,7 +73,7 @@ class Box:
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("p_size") % 2 == 1, "def inner(): pass\n").otherwise("")
-    return symbols.python_symbols(table(spark, sf_dir, "part").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")))
+    return symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")))
 
 
 @query(f"""{PARTS} SELECT 'm' || k || '.py' AS path, t.* FROM (SELECT k, unnest([
@@ -108,7 +108,7 @@ def recovered_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules with one to eight errors and, from the sixth on, one in a method: all that is sound is found; five errors are told."""
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") % 8), lambda i: F.concat(F.lit("def sound"), i, F.lit("(): pass\nx = 1 1\n"))), "")
     body = F.concat(lines, F.lit("class Half:\n    def whole(self): pass\n    def torn(self):\n        return ("), F.when(F.col("p_size") % 8 >= 5, "1 1").otherwise("1"), F.lit(")\n    def last(self): pass\n"))
-    rows = symbols.python_symbols(table(spark, sf_dir, "part").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")))
+    rows = symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")))
     return rows.where("kind in ('error', 'function', 'class', 'method')").select("path", "kind", F.coalesce("error", "qualified_name").alias("said"), "start_line", "end_line")
 
 
