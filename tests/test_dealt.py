@@ -1,6 +1,8 @@
-"""Work is dealt over tasks."""
+"""Work is dealt over tasks, and what grows with the files is never sent to all of them."""
 
 import ast
+import io
+from contextlib import redirect_stdout
 from pathlib import Path
 
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lodex.operators import symbols
 from lodex.plans import code, syntax
 
-SF = "/root/testdata/sf0.1"
+SF, SMALL = "/root/testdata/sf0.1", "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("made", [code.modules, syntax._nested, code.js_symbols, syntax.syntax_symbols, syntax.recovered_modules, code.parse_errors])
@@ -18,6 +20,14 @@ def test_files_are_written_in_several_tasks(spark, made):
     assert made(spark, SF).rdd.getNumPartitions() >= 4
 
 
+@pytest.mark.parametrize("made", [code.best_match_join, code.confident_calls, code.ambiguity_report, code.call_counts, code.external_calls, code.outlines, code.compact_outlines, code.type_shapes, code.import_maps, code.suffix_join, code.locator_to_entry, syntax.shallowest_entries])
+def test_nothing_that_grows_is_broadcast(spark, made):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        made(spark, SMALL).explain()
+    assert "Broadcast" not in out.getvalue()
+
+
 def test_nodes_and_texts_are_those_of_ast():
     for path in sorted(Path(symbols.__file__).parents[1].rglob("*.py")):
         tree = ast.parse(path.read_text())
