@@ -13,7 +13,7 @@ from re import _constants as op
 from re import _parser
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from lodex.operators.retrieval import raw_search
 ALTERNATIVES, SPELLINGS = 64, 16
 _LOWER = bytes(k + 32 if 65 <= k <= 90 else k for k in range(256))
 GRAMS = "path string, gram int"
+#: Runs that a task makes before it hands them on.
+RUNS = 1 << 17
 
 Needs = list[frozenset[int]]
 
@@ -39,12 +41,24 @@ def codes(data: bytes) -> np.ndarray:
 def grams(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, gram: the index. In order of gram, a search reads the row groups of its runs only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, t in zip(pdf["path"], pdf["text"], strict=True):  # a file's runs are a batch
-                yield pd.DataFrame({"gram": codes((t or "").encode("utf-8", "surrogatepass"))}).assign(path=p)[["path", "gram"]]
-
-    return files.select(files[path].alias("path"), files[text].alias("text")).mapInPandas(run, GRAMS)
+    def made(names: list[str], found: list[np.ndarray]) -> pa.RecordBatch:
+        of = pa.array(np.repeat(np.arange(len(names)), [len(x) for x in found]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(of), pa.array(np.concatenate(found))], ["path", "gram"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, found, n = [], [], 0
+        for batch in batches:
+            for p, t in zip(*batch.columns, strict=True):
+                names.append(p.as_py())
+                found.append(codes((t.as_py() or "").encode("utf-8", "surrogatepass")))
+                n += len(found[-1])
+                if n >= RUNS:  # many files' runs are a batch
+                    yield made(names, found)
+                    names, found, n = [], [], 0
+        if names:
+            yield made(names, found)
+
+    return files.select(files[path].alias("path"), files[text].alias("text")).mapInArrow(run, GRAMS)
 
 
 def _both(a: Needs, b: Needs) -> Needs:
