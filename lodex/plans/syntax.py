@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodex.operators import graph, symbols
 from lodex.plans.registry import dealt, query, table
-from lodex.sources.staging import shared_folder
+from lodex.sources.staging import shared_folder, stage
 from lodex.sources.store import Store
 
 #: File name ending, and the file: k is the part's key, e as many lines as its size leaves by four.
@@ -50,7 +50,7 @@ def _filled(template: str) -> Column:
 def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions, parameters and calls in JavaScript, Go, Rust and Java."""
     files = [F.struct(F.concat(F.lit("m"), "p_partkey", F.lit(f".{end}")).alias("path"), F.concat(_filled(head), F.repeat(F.lit(line), F.col("p_size") % 4), _filled(tail)).alias("text")) for end, (head, line, tail) in SOURCES.items()]
-    rows = symbols.symbols_of_files(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.explode(F.array(*files)).alias("f")).select("f.*"), symbols.extractors())
+    rows = symbols.symbols_of_files(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.explode(F.array(*files)).alias("f")).select("f.*"), symbols.extractors(), ("path", "kind", "qualified_name", "start_line", "end_line", "params", "calls"))
     shown = F.array_join(F.transform("calls", lambda c: F.concat(c["callee"], F.lit(":"), c["n"])), ",")
     return rows.select("path", "kind", "qualified_name", "start_line", "end_line", F.array_join("params.name", ",").alias("params"), shown.alias("calls"))
 
@@ -71,9 +71,9 @@ class Box:
 """
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nested(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
     more = F.when(F.col("p_size") % 2 == 1, "def inner(): pass\n").otherwise("")
-    return symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")))
+    return symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")), columns.split())
 
 
 @query(f"""{PARTS} SELECT 'm' || k || '.py' AS path, t.* FROM (SELECT k, unnest([
@@ -85,14 +85,14 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     {{'kind': 'inner_function', 'name': 'Box.act.inner', 'depth': 2, 'parent': 'Box.act', 'start_line': 12, 'end_line': 12}}]) AS t FROM p)""")
 def nested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is defined within functions and classes."""
-    return _nested(spark, sf_dir).where(F.col("kind").startswith("inner")).select("path", "kind", F.col("qualified_name").alias("name"), "depth", "parent", "start_line", "end_line")
+    return _nested(spark, sf_dir, "path kind qualified_name depth parent start_line end_line").where(F.col("kind").startswith("inner")).select("path", "kind", F.col("qualified_name").alias("name"), "depth", "parent", "start_line", "end_line")
 
 
 @query(f"""{PARTS} SELECT 'm' || k || '.py' AS path, w AS wanted, CASE w WHEN 'inner' THEN CASE WHEN s % 2 = 1 THEN 'inner' ELSE 'outer_' || k || '.inner' END WHEN 'act' THEN 'Box.act' WHEN 'Deep' THEN 'outer_' || k || '.inner.Deep' ELSE w END AS qualified_name
     FROM p, (VALUES ('inner'), ('act'), ('Deep'), ('Box.In.act')) v(w)""")
 def shallowest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several symbols of a name the one that the fewest definitions hold."""
-    rows = _nested(spark, sf_dir)
+    rows = stage(_nested(spark, sf_dir, "path kind name qualified_name depth ord"), "symbols")  # read three times, parsed once
     names = F.explode(F.array(*[F.lit(x) for x in ("inner", "act", "Deep", "Box.In.act", "missing")]))
     return graph.find_entry(rows, rows.where("kind = 'module'").select("path", names.alias("wanted")))
 
@@ -108,7 +108,7 @@ def recovered_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules with one to eight errors and, from the sixth on, one in a method: all that is sound is found; five errors are told."""
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") % 8), lambda i: F.concat(F.lit("def sound"), i, F.lit("(): pass\nx = 1 1\n"))), "")
     body = F.concat(lines, F.lit("class Half:\n    def whole(self): pass\n    def torn(self):\n        return ("), F.when(F.col("p_size") % 8 >= 5, "1 1").otherwise("1"), F.lit(")\n    def last(self): pass\n"))
-    rows = symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")))
+    rows = symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")), ("path", "kind", "error", "qualified_name", "start_line", "end_line"))
     return rows.where("kind in ('error', 'function', 'class', 'method')").select("path", "kind", F.coalesce("error", "qualified_name").alias("said"), "start_line", "end_line")
 
 
