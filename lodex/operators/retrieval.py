@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodex.config import BM25_B, BM25_K1, KEYWORD_CAP, MERGED, RERANK_MORE, RRF_K, TEXT_TIMES, VECTOR_TIMES
 from lodex.functions.paths import glob_regex
@@ -98,16 +100,60 @@ def bm25_of_postings(held: DataFrame, sums: DataFrame, query: list[str]) -> Data
     return some.join(F.broadcast(df.crossJoin(sums)), "term").groupBy("id").agg(F.round(F.sum(score), 6).alias("score"))
 
 
+def _best_scored(asked: pa.Table, held: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """Each query's k best documents of a block, ties by id. asked: query_id, term, idf, avg_len; held: id, len, term, tf."""
+    queries, ids, scores = [], [], []
+    if len(asked) and len(held):
+        terms, words = asked.column("term").unique(), asked.column("term").to_pylist()
+        at = pc.index_in(held.column("term"), terms).to_numpy()
+        names = pc.unique(held.column("id")).sort()
+        doc = pc.index_in(held.column("id"), names).to_numpy()
+        tf, room = held.column("tf").to_numpy(), BM25_K1 * ((1 - BM25_B) + BM25_B * held.column("len").to_numpy() / asked.column("avg_len")[0].as_py())
+        order = np.argsort(at, kind="stable")
+        doc, part = doc[order], (tf * (BM25_K1 + 1) / (tf + room))[order]
+        ends = np.searchsorted(at[order], np.arange(len(terms) + 1))
+        number = {t: n for n, t in enumerate(terms.to_pylist())}
+        by_query: dict = {}
+        for name, term, idf in zip(asked.column("query_id").to_pylist(), words, asked.column("idf").to_pylist(), strict=True):
+            by_query.setdefault(name, []).append((number[term], idf))
+        for name, wanted in by_query.items():
+            score = np.zeros(len(names))
+            for n, idf in sorted(wanted):
+                here = slice(ends[n], ends[n + 1])
+                score[doc[here]] += idf * part[here]  # a document has a term once
+            some = np.flatnonzero(score)
+            first = some[np.argsort(-np.round(score[some], 6), kind="stable")[:k]]
+            queries += [name] * len(first)
+            ids += names.take(pa.array(first)).to_pylist()
+            scores += np.round(score[first], 6).tolist()
+    return pa.table([pa.array(c, f.type) for c, f in zip((queries, ids, scores), schema, strict=True)], schema=schema)
+
+
+#: Documents and queries of a block.
+DOCUMENTS, QUERIES = 4096, 256
+
+
 def bm25_many(held: DataFrame, sums: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank (from 1), id, score: the k best of each query (query_id, words). Queries are sent to all tasks only if Spark finds them small."""
+    """query_id, rank (from 1), id, score: the k best of each query (query_id, words). Queries are sent to all tasks only if Spark finds them small.
+
+    Documents and queries are dealt into blocks by hash; each two blocks meet in one task, which scores the documents and gives
+    a query's best k, so no row is made for a query and a document that share a word.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
     some = held.join(queries.select(F.explode("words").alias("term")).distinct(), "term", "left_semi")
     df = some.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
-    room = BM25_K1 * ((1 - BM25_B) + BM25_B * F.col("len") / F.col("avg_len"))
-    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + room)
-    scored = some.join(df.crossJoin(F.broadcast(sums)), "term").join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum(score), 6).alias("score"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+    sizes = F.broadcast(sums.crossJoin(queries.agg(F.count("*").alias("asked"))).select("n", "avg_len", blocks(F.col("n"), DOCUMENTS).alias("bs"), blocks(F.col("asked"), QUERIES).alias("qs")))  # one row
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    left = asked.join(df, "term").crossJoin(sizes).select("query_id", "term", idf.alias("idf"), "avg_len", deal("query_id", F.col("qs")).alias("q"), every("bs").alias("b"))
+    right = some.crossJoin(sizes).select("id", "len", "term", "tf", deal("id", F.col("bs")).alias("b"), every("qs").alias("q"))
+    found = queries.select("query_id").schema.add(held.schema["id"]).add("score", "double")
+    arrow = to_arrow_schema(found)
+    best = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(lambda x, y: _best_scored(x, y, k, arrow), found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def bm25(docs: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:

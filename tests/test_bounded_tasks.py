@@ -1,9 +1,11 @@
 """What a task holds doesn't grow with the table."""
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodex.operators import patterns, symbols
+from lodex.operators import patterns, retrieval, symbols
 from lodex.plans import queries
 
 SF = "/root/testdata/sf0.01"
@@ -44,3 +46,29 @@ def test_postings_are_made_in_tasks_of_a_bounded_number_of_words(spark, monkeypa
     words = sums.first()
     files = blocks.select(F.input_file_name().alias("f")).distinct().count()
     assert files >= 0.5 * words.n * words.avg_len / 20_000 > 2
+
+
+def test_a_query_and_a_document_that_share_a_word_are_no_row(spark, monkeypatch):
+    """However many blocks there are, the best are those of scoring each pair; ties go by id, and each block hands on k a query."""
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 7, raising=False)
+    monkeypatch.setattr(retrieval, "QUERIES", 2, raising=False)
+    texts = {f"d{k:02}": " ".join(f"w{(k * j) % 11}" for j in range(1 + k % 6)) + " common" for k in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string")
+    words = [["common"], ["w1", "w2", "w1"], ["w3", "common", "none"], ["absent"], ["w0", "w5", "w7"]]
+    asked = spark.createDataFrame(list(enumerate(words)), "query_id long, words array<string>")
+    found = retrieval.bm25_many(retrieval.postings(docs, "id", "text"), retrieval.totals(docs, "text"), asked, 4)
+    got = [(r.query_id, r.rank, r.id, r.score) for r in found.orderBy("query_id", "rank").collect()]
+    held = {i: t.split() for i, t in texts.items()}
+    mean, want = sum(map(len, held.values())) / 60, []
+    for q, ws in enumerate(words):
+        score = {}
+        for w in dict.fromkeys(ws):
+            df = sum(w in t for t in held.values())
+            for i, t in held.items():
+                if w in t:
+                    score[i] = score.get(i, 0) + math.log(1 + (60 - df + 0.5) / (df + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted(score, key=lambda i: (-round(score[i], 6), i))[:4]
+        want += [(q, n, i, round(score[i], 6)) for n, i in enumerate(best, 1)]
+    assert got == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
