@@ -7,7 +7,9 @@ tick. A change takes the place of a pending delete and the other way round, so a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,21 +36,24 @@ class Deadlines(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "op string, due long, at long, seq long, events long")
 
-    def _row(self, key: tuple, op: str, due: int, events: int) -> dict:
-        return {"path": key[0], "op": op, "due": pd.Timestamp(due, unit="ms"), "events": events}
+    def _rows(self, key: tuple, out: list[tuple[str, int, int]]) -> Iterator[pd.DataFrame]:
+        """A frame of operations (op, due, events), none if there are none: a path has few events, so frames are what takes time."""
+        if out:
+            ops, due, events = zip(*out, strict=True)
+            yield pd.DataFrame({"path": [key[0]] * len(out), "op": ops, "due": np.array(due, "datetime64[ms]").astype("datetime64[ns]"), "events": events})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        events = pd.concat(list(rows)).sort_values(["ms", "seq"])
+        events = sorted((e for part in rows for e in zip(part["ms"].tolist(), part["seq"].tolist(), part["op"].tolist(), strict=True)), key=itemgetter(0, 1))
         held, out = self.pending.get() if self.pending.exists() else None, []
         timer = held[1] if held else None
-        for e in events.itertuples(index=False):
-            if held and (e.ms, e.seq) < (held[2], held[3]):
+        for ms, seq, op in events:
+            if held and (ms, seq) < (held[2], held[3]):
                 continue  # what came later is known already
-            if held and held[1] <= e.ms:
-                out.append(self._row(key, held[0], held[1], held[4]))
+            if held and held[1] <= ms:
+                out.append((held[0], held[1], held[4]))
                 held = None
-            due = next_tick(e.ms, self.tick) if e.op == "delete" else e.ms + self.quiet
-            held = (e.op, due, e.ms, e.seq, (held[4] if held else 0) + 1)
+            due = next_tick(ms, self.tick) if op == "delete" else ms + self.quiet
+            held = (op, due, ms, seq, (held[4] if held else 0) + 1)
         if held and held[1] != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -56,16 +61,13 @@ class Deadlines(StatefulProcessor):
             timer = held[1]
         if held:
             self.pending.update(held)
-        yield pd.DataFrame(out, columns=["path", "op", "due", "events"])
+        yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out = []
-        if self.pending.exists():
-            held = self.pending.get()
-            if held[1] <= expiredTimerInfo.getExpiryTimeInMs():
-                out.append(self._row(key, held[0], held[1], held[4]))
-                self.pending.clear()
-        yield pd.DataFrame(out, columns=["path", "op", "due", "events"])
+        held = self.pending.get() if self.pending.exists() else None
+        if held and held[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.pending.clear()
+            yield from self._rows(key, [(held[0], held[1], held[4])])
 
     def close(self) -> None:
         pass

@@ -90,3 +90,14 @@ def test_deletes_go_first_and_batches_are_bounded(spark):
     assert got["gone"] == (11, 0) and got["late"] == (12, 1)
     sizes = [sum(v == (tick, nth) for v in got.values()) for tick in (10, 11) for nth in (1, 2, 3)]
     assert max(sizes) <= 64 and sum(sizes) == 150
+
+
+def test_a_path_without_operations_makes_no_frame():
+    """Frames are what takes time where paths are many: none is made for a path of which nothing goes out."""
+    state, handle = Deadlines(400, 100), Handle()
+    state.init(handle)
+    assert not list(state.handleInputRows(("p",), iter([pd.DataFrame([("change", 10, 1)], columns=["op", "ms", "seq"])]), None))
+    assert not list(state.handleExpiredTimer(("p",), None, Info(409)))
+    made = list(state.handleExpiredTimer(("p",), None, Info(410)))
+    assert [(r.path, r.op, r.due, r.events) for pdf in made for r in pdf.itertuples()] == [("p", "change", pd.Timestamp(410, unit="ms"), 1)]
+    assert made[0]["due"].dtype == "datetime64[ns]"
