@@ -50,3 +50,24 @@ def test_cycles_are_collected_after_a_file():
     seen = []
     symbols.rows_of({".py": lambda p, t: seen.append(gc.isenabled()) or []}, "a.py", "")
     assert seen == [False] and gc.isenabled()
+
+
+@pytest.mark.parametrize("columns, kinds, unmade", [("path kind doc_first", "module", ("_function", "_class", "_nested")), ("path name params", "function method", ("_class", "_nested", "_doc", "_told_nodes")), (code.IMPORTS[0], code.IMPORTS[1], ("_function", "_class", "_doc"))])
+def test_rows_that_nothing_reads_are_not_made(monkeypatch, columns, kinds, unmade):
+    whole = symbols.parse_python("a.py", Path(symbols.__file__).read_text())
+    for name in unmade:
+        monkeypatch.setattr(symbols, name, lambda *_: pytest.fail("made"))
+    got = symbols.parse_python("a.py", Path(symbols.__file__).read_text(), frozenset(columns.split()), frozenset(kinds.split()))
+    told = lambda rows: [[r.get(c) for c in columns.split()] for r in rows if r["kind"] in kinds.split()]
+    assert told(got) == told(whole)
+
+
+def test_lists_of_structs_are_those_of_arrow():
+    rows = [r for f in sorted(Path(symbols.__file__).parents[1].rglob("*.py")) for r in symbols.parse_python(str(f), f.read_text())] + [{}]
+    for column in ("params", "class_attrs", "instance_attrs", "calls"):
+        kind, values = symbols._ARROW.field(column).type, [r.get(column) for r in rows]
+        assert symbols._column(values, kind).equals(symbols.pa.array(values, kind)) and any(values)
+    for values in ([], [None], [[]], [[{"callee": "f"}], None, [], [None], [{"n": 1}]]):
+        made = symbols._column(values, symbols._ARROW.field("calls").type)
+        made.validate(full=True)
+        assert made.to_pylist() == symbols.pa.array(values, made.type).to_pylist()
