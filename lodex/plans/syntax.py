@@ -108,7 +108,7 @@ def recovered_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules with one to eight errors and, from the sixth on, one in a method: all that is sound is found; five errors are told."""
     lines = F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.col("p_size") % 8), lambda i: F.concat(F.lit("def sound"), i, F.lit("(): pass\nx = 1 1\n"))), "")
     body = F.concat(lines, F.lit("class Half:\n    def whole(self): pass\n    def torn(self):\n        return ("), F.when(F.col("p_size") % 8 >= 5, "1 1").otherwise("1"), F.lit(")\n    def last(self): pass\n"))
-    rows = symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")), ("path", "kind", "error", "qualified_name", "start_line", "end_line"))
+    rows = symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), body.alias("text")), ("path", "kind", "error", "qualified_name", "start_line", "end_line"), ("error", "function", "class", "method"))
     return rows.where("kind in ('error', 'function', 'class', 'method')").select("path", "kind", F.coalesce("error", "qualified_name").alias("said"), "start_line", "end_line")
 
 

@@ -1,12 +1,13 @@
 """A query parses whole files once, and only what it reads leaves Python or is written."""
 
 import ast
+import dataclasses
 import gc
 from pathlib import Path
 
 import pytest
 
-from lodex.operators import symbols
+from lodex.operators import recovery, scanner, symbols
 from lodex.plans import code, syntax
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,3 +72,42 @@ def test_lists_of_structs_are_those_of_arrow():
         made = symbols._column(values, symbols._ARROW.field("calls").type)
         made.validate(full=True)
         assert made.to_pylist() == symbols.pa.array(values, made.type).to_pylist()
+
+
+class _Counted:
+    """A lexer that tells how often it is asked."""
+
+    def __init__(self, lexer):
+        self.lexer, self.asked = lexer, 0
+
+    def finditer(self, *a):
+        self.asked += 1
+        return self.lexer.finditer(*a)
+
+    def search(self, *a):
+        self.asked += 1
+        return self.lexer.search(*a)
+
+
+@pytest.mark.parametrize("language, text, most", [("go", "func f(a int) { g(a) }\n", 1), ("javascript", "x = /}/g; function f() { return /a/ }\n", 3)])
+def test_a_text_is_cut_into_tokens_in_one_go(monkeypatch, language, text, most):
+    """Once, and once more behind each pattern between slashes."""
+    lexer = _Counted(scanner.RULES[language].lexer)
+    rules = dataclasses.replace(scanner.RULES[language], lexer=lexer)
+    monkeypatch.setattr(scanner, "_JS", rules if language == "javascript" else scanner._JS)
+    tokens = scanner.Tokens(rules, text)
+    assert lexer.asked <= most and "f" in tokens.text and tokens.text[tokens.close[tokens.text.index("{")]] == "}"
+
+
+def test_lines_of_sound_parts_are_shifted_in_one_walk(monkeypatch):
+    monkeypatch.setattr(ast, "walk", lambda *_: pytest.fail("walked"))
+    tree, errors = recovery.recovered("x = 1 1\n\ndef f(a=1):\n    return [\n        g(x) for x in a]\n")
+    f = tree.body[0]
+    assert errors and (f.lineno, f.end_lineno, f.body[0].value.elt.lineno, f.args.defaults[0].end_lineno) == (3, 5, 5, 3)
+
+
+@pytest.mark.parametrize("made, kinds", [(code.index_status, {"function", "method", "class", "error"}), (syntax.recovered_modules, {"function", "method", "class", "error"}), (code.compact_outlines, {"module", "function", "method", "class", "error"})])
+def test_only_the_kinds_that_are_counted_are_made(spark, monkeypatch, made, kinds):
+    asked, whole = [], symbols.python_symbols
+    monkeypatch.setattr(symbols, "python_symbols", lambda files, columns=(), kinds=(): asked.append(set(kinds)) or whole(files, columns, kinds))
+    assert made(spark, SMALL).columns and asked == [kinds]
