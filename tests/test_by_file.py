@@ -65,3 +65,23 @@ def test_external_calls_move_as_counts(spark, monkeypatch):
     monkeypatch.setattr(code, "stage", lambda df, _: held.append(df) or df)
     made = _plan(code.external_calls(spark, SMALL))
     assert set(held[0].columns) == {"lookup", "callee", "calls"} and _plan(held[0]).count("Join") == 1 and made.count("Join") <= 3
+
+
+NAMES = ("f", "one", "K.one", "K", "missing", "self", "_cuts", "rows", "fold", "regions.fold", "made", "parse", None)
+
+
+def test_entries_by_file_are_those_of_rows(spark, files):
+    deep = "class A:\n    def f(self):\n        def g(): pass\n    class B:\n        def g(self): pass\ndef z():\n    def f(): pass\n    def h():\n        def g(): pass\ndef g2(): pass\nclass g3:\n    def g2(self): pass\n"
+    files = files.unionByName(spark.createDataFrame([("deep.py", deep)], files.schema))
+    rows, names = symbols.python_symbols(files), (*NAMES, "g", "h", "A.B.g", "g2", "f")
+    wanted = files.where("path <> 'bad.py'").select("path", F.explode(F.array(*map(F.lit, names))).alias("wanted"))
+    by_file = symbols.python_symbols(files, *(x.split() for x in code.ENTRIES), by_file=True)
+    got = graph.find_entries(by_file, F.when(F.col("path") != "bad.py", F.array(*map(F.lit, names))))
+    assert _sorted(got) == _sorted(graph.find_entry(rows, wanted)) and got.where("path = 'deep.py'").count() >= 5
+
+
+@pytest.mark.parametrize("made", [code.locator_to_entry])
+def test_entries_are_found_where_their_file_is(spark, made):
+    """What is written by file is read once, and nothing moves any more."""
+    plan = _plan(made(spark, SMALL))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
