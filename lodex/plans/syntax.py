@@ -71,9 +71,9 @@ class Box:
 """
 
 
-def _nested(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
+def _nested(spark: SparkSession, sf_dir: str, columns: str = "", kinds: str = "", by_file: bool = False) -> DataFrame:
     more = F.when(F.col("p_size") % 2 == 1, "def inner(): pass\n").otherwise("")
-    return symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")), columns.split())
+    return symbols.python_symbols(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.concat(F.lit("m"), "p_partkey", F.lit(".py")).alias("path"), F.concat(_filled(NESTED), more).alias("text")), columns.split(), kinds.split(), by_file)
 
 
 @query(f"""{PARTS} SELECT 'm' || k || '.py' AS path, t.* FROM (SELECT k, unnest([
@@ -92,9 +92,9 @@ def nested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM p, (VALUES ('inner'), ('act'), ('Deep'), ('Box.In.act')) v(w)""")
 def shallowest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several symbols of a name the one that the fewest definitions hold."""
-    rows = stage(_nested(spark, sf_dir, "path kind name qualified_name depth ord"), "symbols")  # read three times, parsed once
-    names = F.explode(F.array(*[F.lit(x) for x in ("inner", "act", "Deep", "Box.In.act", "missing")]))
-    return graph.find_entry(rows, rows.where("kind = 'module'").select("path", names.alias("wanted")))
+    files = stage(_nested(spark, sf_dir, "kind name qualified_name depth", " ".join(("module", *graph.DEFINED)), by_file=True), "entries")
+    names = F.array(*[F.lit(x) for x in ("inner", "act", "Deep", "Box.In.act", "missing")])
+    return graph.find_entries(files, F.when(F.exists("symbols", lambda s: s["kind"] == "module"), names))
 
 
 @query(f"""{PARTS}, n AS (SELECT k, 1 + s % 8 AS n, CASE WHEN s % 8 >= 5 THEN 1 ELSE 0 END AS torn FROM p)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodex.operators import graph, symbols
-from lodex.plans import code
+from lodex.plans import code, syntax
 
 SMALL = "/root/testdata/sf0.001"
 ODD = """from a import f as g, h as g
@@ -80,7 +80,7 @@ def test_entries_by_file_are_those_of_rows(spark, files):
     assert _sorted(got) == _sorted(graph.find_entry(rows, wanted)) and got.where("path = 'deep.py'").count() >= 5
 
 
-@pytest.mark.parametrize("made", [code.locator_to_entry])
+@pytest.mark.parametrize("made", [code.locator_to_entry, syntax.shallowest_entries])
 def test_entries_are_found_where_their_file_is(spark, made):
     """What is written by file is read once, and nothing moves any more."""
     plan = _plan(made(spark, SMALL))
