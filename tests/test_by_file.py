@@ -85,3 +85,30 @@ def test_entries_are_found_where_their_file_is(spark, made):
     """What is written by file is read once, and nothing moves any more."""
     plan = _plan(made(spark, SMALL))
     assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+IMPORTING = "import a.b.c\nimport d as e\nfrom pkg.m import f as g, h, f as other\nfrom . import x as y\nfrom ..up.q import z as g\nfrom k import h\n"
+
+
+def test_imports_by_file_are_those_of_rows(spark, files):
+    files = files.unionByName(spark.createDataFrame([("imports.py", IMPORTING)], files.schema))
+    named, aliases = graph.import_maps(symbols.python_symbols(files))
+    held, originals = graph.file_imports(F.col("symbols"))
+    got = symbols.python_symbols(files, *(x.split() for x in code.SUFFIXES), by_file=True).select("path", held.alias("named"), originals.alias("originals")).collect()
+    assert sorted((r.path, k, v) for r in got for k, v in dict(r.named).items()) == sorted(map(tuple, named.select("path", "local", "target").collect()))
+    assert sorted((r.path, x) for r in got for x in r.originals) == sorted(map(tuple, aliases.select("path", "original").collect()))
+
+
+def test_paths_by_suffix_are_those_of_locators(spark):
+    wanted = spark.createDataFrame([("f", "a/b.py"), ("f", "b.py"), ("g", "x/a/b.py"), ("g", "y/a/b.py"), ("f", "none.py"), ("h", "b.py"), ("f", "/a/b.py")], "lookup string, target string")
+    paths = ("b.py", "a/b.py", "x/a/b.py", "z/a/b.py", "/a/b.py", "ab.py", "a/bb.py")
+    found = spark.createDataFrame([("function", p, None, n, n, k, 1, 2) for p in paths for k, n in enumerate(("f", "g"))], "kind string, path string, class_name string, name string, qualified_name string, ord int, start_line int, end_line int")
+    want = graph.suffix_matches(wanted, graph.locators(found).withColumnRenamed("name", "lookup")).select("lookup", "target", F.col("in_target.l_path").alias("to_path"))
+    got = graph.suffix_paths(wanted, found.groupBy(F.col("path").alias("l_path")).agg(F.collect_set("name").alias("lookups")))
+    assert _sorted(got) == _sorted(want) and got.count() == 5
+
+
+def test_suffixes_meet_in_one_join(spark):
+    """Names and targets meet once, what is found and the modules once; imports need none."""
+    plan = _plan(code.suffix_join(spark, SMALL))
+    assert plan.count("Join") == 2 and "Union" not in plan
