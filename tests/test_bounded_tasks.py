@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -72,3 +73,18 @@ def test_a_query_and_a_document_that_share_a_word_are_no_row(spark, monkeypatch)
     assert got == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan
+
+
+def test_regions_of_files_of_any_size(spark, tmp_path):
+    """Uncapped regions are those of all documents; capped ones leave out files that are too large."""
+    texts = ["a line\n\nb line\n" * 2000, "word " * 120_000 + "\n\n# end\nx", "x\n" * 3001, "short\n\n[x]\ny", "", None]
+    rows = [(k, t, "en", "src1") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.regions_uncapped(spark, str(tmp_path))
+    want = con.execute(queries.ORACLE_SQL["regions_uncapped"])
+    assert got.columns == [c[0] for c in want.description]
+    want = sorted(want.fetchall())
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2001 + 2 + 1 + 2
+    assert {r.path for r in queries.regions(spark, str(tmp_path)).collect()} == {"src1/en/3.txt"}
