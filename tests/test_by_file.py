@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodex.operators import graph, symbols
 from lodex.plans import code, syntax
+from lodex.sources import staging
 
 SMALL = "/root/testdata/sf0.001"
 ODD = """from a import f as g, h as g
@@ -112,3 +113,25 @@ def test_suffixes_meet_in_one_join(spark):
     """Names and targets meet once, what is found and the modules once; imports need none."""
     plan = _plan(code.suffix_join(spark, SMALL))
     assert plan.count("Join") == 2 and "Union" not in plan
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_calls_from_a_front_are_those_of_all_calls(spark, monkeypatch, files, most):
+    """Also where the front is sorted rather than sent to all tasks."""
+    monkeypatch.setattr(staging, "FEW", most)
+    rows = staging.stage(symbols.python_symbols(files), "rows")
+    every = staging.stage(graph.resolve_calls(rows), "calls")
+    front = rows.where("qualified_name in ('f', 'K.one', 'K.f', 'regions', 'resolve_calls', 'Engine.trace')").select("path", F.col("qualified_name").alias("name"))
+    want = every.join(front.withColumnRenamed("name", "caller"), ["path", "caller"], "left_semi").select(every.columns)
+    got = graph.calls_from(rows, front)
+    assert _sorted(got) == _sorted(want) and want.count() >= 30 and want.where("not is_external").count() >= 5
+    edges = every.where("not is_external").select(F.struct("path", "caller").alias("src"), F.struct(F.col("to_path").alias("path"), F.col("to_name").alias("caller")).alias("dst"))
+    want = graph.trace(edges, front.select(F.struct("path", F.col("name").alias("caller")).alias("node")), 2).select("node.path", F.col("node.caller").alias("name"), "depth")
+    assert _sorted(graph.trace_calls(rows, front, 2)) == _sorted(want) and want.where("depth = 2").count()
+
+
+def test_a_trace_resolves_what_it_reaches(spark, monkeypatch):
+    """Of some 4,000 symbols few are handed to the joins: those of the files that a step stands in, and what they call."""
+    held, resolve = [], graph.resolve_calls
+    monkeypatch.setattr(graph, "resolve_calls", lambda rows: held.append(rows.count()) or resolve(rows))
+    assert code.trace_modules(spark, SMALL).count() and len(held) == 2 and max(held) < 200
