@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lodex.operators import graph, symbols
+from lodex.operators import graph, symbols, views
 from lodex.plans import code, syntax
 from lodex.sources import staging
 
@@ -135,3 +135,27 @@ def test_a_trace_resolves_what_it_reaches(spark, monkeypatch):
     held, resolve = [], graph.resolve_calls
     monkeypatch.setattr(graph, "resolve_calls", lambda rows: held.append(rows.count()) or resolve(rows))
     assert code.trace_modules(spark, SMALL).count() and len(held) == 2 and max(held) < 200
+
+
+CALLING = "from odd import f as ff\nclass K:\n    w: K\n    z: 'far.T'\n    u: Optional[a.T[int]] | None\n    def one(self): self.w.one(); cls.one(); self.z.act(); w.one(); K.one(); self.u.act(); self.one.x()\n    def two(self): ff(); zz.act()\nclass T:\n    def act(self): self.act()\n"
+
+
+def test_calls_resolved_by_file_are_those_of_joins(spark, monkeypatch, files):
+    """Also where every name, or none, is sent to all tasks; and contracts are the same with and without a table of callers."""
+    files = files.unionByName(spark.createDataFrame([(p, t) for p, t in (("imports.py", IMPORTING), ("calling.py", CALLING), ("a/calling.py", CALLING), ("a/odd.py", ODD))], files.schema))
+    rows, own = staging.stage(symbols.python_symbols(files), "rows"), staging.stage(symbols.python_calls(files), "own")
+    calls = staging.stage(graph.resolve_calls(rows), "calls")
+    want = _sorted(calls)
+    assert {r.confidence for r in calls.collect()} == {"exact", "preferred", "ambiguous"}
+    for hot in (1000, 1, 10**9):
+        monkeypatch.setattr(graph, "HOT", hot)
+        assert _sorted(graph.resolve_files(own)) == want
+    assert _sorted(views.tier2(rows, calls)) == _sorted(views.tier2(rows, calls, graph.callers(calls)))
+
+
+def test_contracts_parse_modules_once(spark, monkeypatch):
+    """Calls of names that all modules share meet no join: what moves is three open calls a module and what they ask for."""
+    held, made = [], symbols.symbols_of_files
+    monkeypatch.setattr(symbols, "symbols_of_files", lambda *a, **k: held.append(a) or made(*a, **k))
+    plan = _plan(code.contracts(spark, SMALL))
+    assert len(held) == 1 and plan.count("SortMergeJoin") == 1
